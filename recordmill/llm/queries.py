@@ -33,8 +33,20 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7(_docs(spark, sf_dir))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordmill.llm.simhash import op4
+
+    return op4(_docs(spark, sf_dir))
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordmill.llm.fingerprints import op10
+
+    return op10(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op3_sentencepiece, op7_secret_scan)}
+    return {f.__name__: f for f in (op2_source_mixing, op3_sentencepiece, op4_simhash, op7_secret_scan, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
