@@ -45,11 +45,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(_docs(spark, sf_dir))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordmill.llm.licenses import op8
+
+    return op8(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op3_sentencepiece, op4_simhash, op7_secret_scan, op10_minhash)}
+    return {f.__name__: f for f in (op2_source_mixing, op3_sentencepiece, op4_simhash, op7_secret_scan, op8_license_scan, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from recordmill.llm.licenses import OP8_SQL
     from recordmill.llm.mixing import OP2_SQL
 
-    return {"op2_source_mixing": OP2_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op8_license_scan": OP8_SQL}
