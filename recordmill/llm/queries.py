@@ -13,6 +13,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordmill.llm.langid import op1
+
+    return op1(_docs(spark, sf_dir))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordmill.llm.mixing import op2
 
@@ -52,7 +58,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op3_sentencepiece, op4_simhash, op7_secret_scan, op8_license_scan, op10_minhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_sentencepiece, op4_simhash, op7_secret_scan, op8_license_scan, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
