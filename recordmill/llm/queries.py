@@ -33,6 +33,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordmill.llm.lattice import op5
+
+    return op5(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordmill.llm.html import op6
 
@@ -64,7 +70,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_sentencepiece, op4_simhash, op6_main_text, op7_secret_scan, op8_license_scan, op10_minhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_sentencepiece, op4_simhash, op5_lattice_dedup, op6_main_text, op7_secret_scan, op8_license_scan, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
