@@ -57,6 +57,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4(_docs(spark, sf_dir))
 
 
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordmill.llm.pseudolm import op9
+
+    return op9(_docs(spark, sf_dir))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordmill.llm.fingerprints import op10
 
@@ -70,7 +76,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_sentencepiece, op4_simhash, op5_lattice_dedup, op6_main_text, op7_secret_scan, op8_license_scan, op10_minhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_sentencepiece, op4_simhash, op5_lattice_dedup, op6_main_text, op7_secret_scan, op8_license_scan, op9_pseudo_likelihood, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
