@@ -69,10 +69,12 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, w0, w1, ...) of every row."""
+def fingerprints(docs: DataFrame, width: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None) -> DataFrame:
+    """(doc_id, w0, w1, ...) of every row, and tag with a number of the row if one is named."""
     names = [f"w{k}" for k in range(words)]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    tag = [F.col(tag_col).cast("long").alias("tag")] if tag_col else []
+    tagged = ["tag"] * len(tag)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *tag)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,9 +82,9 @@ def fingerprints(docs: DataFrame, width: int, words: int = 1, id_col: str = "doc
             for i, text in enumerate(batch.column(1)):
                 if raw := text.as_py():
                     found[i] = fingerprint(shingle_hashes(raw.encode(), width), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.ascontiguousarray(found.T))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *map(pa.array, np.ascontiguousarray(found.T))], names=["doc_id", *tagged, *names])
 
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
+    return rows.mapInArrow(run, "doc_id long, " + "tag long, " * len(tagged) + ", ".join(f"{x} long" for x in names))
 
 
 def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,13 +195,15 @@ def op4(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
-    """docs without the near copies of an earlier document: of each group the rows of the least document stay (one row of it), texts of a Jaccard similarity of about 0.8 or more in shingles of five words being linked.
+    """docs without the near copies of another document: of each group one row stays, that of the least document (the first of equal ones).
 
-    Texts without words hold nothing to compare and all stay. The ids of the rows to go are joined to docs with an anti-join, so
-    that texts are neither sorted nor shuffled by group.
+    Texts are linked when fingerprints of 64 * words bits over shingles of five words lie within the radius, that is at a Jaccard similarity of about 0.8
+    or more. Texts without words hold nothing to compare and all stay. Only the numbers of the rows to go are joined to docs.
     """
     marked = docs.withColumn("__at", F.monotonically_increasing_id())
-    prints = checkpoint(fingerprints(marked.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), width, words, id_col="__at"))
-    groups = near_groups(prints, words, radius)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__at"))
+    real = marked.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    prints = checkpoint(fingerprints(real, width, words, id_col="__at", tag_col="doc_id"))
+    groups = checkpoint(near_groups(prints, words, radius).select("doc_id", "tag", "component_id"))
+    stays = groups.groupBy("component_id").agg(F.min(F.struct("tag", "doc_id")).alias("s")).select(F.col("s.doc_id").alias("doc_id"))
+    gone = groups.join(stays, "doc_id", "left_anti").select(F.col("doc_id").alias("__at"))
     return marked.join(gone, "__at", "left_anti").select(*docs.columns)
