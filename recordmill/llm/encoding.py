@@ -16,13 +16,14 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 SPACE = "▁"
 #: Parts that a Python worker remembers before it starts anew; a bound on its memory, not on the texts.
-MEMO = 400_000
+MEMO = 800_000
 
 
 class MergeModel:
@@ -39,6 +40,7 @@ class MergeModel:
         order = sorted({sp.get_score(i) for i in plain}, reverse=True)
         places = {x: k for k, x in enumerate(order)}
         self.rank = {self.pieces[i]: places[sp.get_score(i)] for i in plain}
+        self.numbers = [*map(str, range(n))]
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         longer = [p for p in self.ids if len(p) > 1]
@@ -46,36 +48,37 @@ class MergeModel:
             raise ValueError("this vocabulary merges across word starts or line feeds, or has no byte pieces")
 
     def merge(self, part: str) -> list[int]:
-        """Ids of one part by the agenda: a heap of rank * 2^32 + position, so that equal scores go left to right."""
+        """Ids of one part by the agenda: a heap of rank and position in one number, so that equal scores go left to right."""
         if (n := len(part)) == 1:
             return self._id(part)
-        rank, symbols = self.rank.get, [*part]
-        pair = [rank(part[i : i + 2], -1) for i in range(n - 1)]  # rank of each symbol joined with its right neighbour
-        agenda = [(r << 32) + i for i, r in enumerate(pair) if r >= 0]
+        rank, pop, push, symbols = self.rank.get, heapq.heappop, heapq.heappush, [*part]
+        pair = [*map(rank, map(add, part, part[1:])), None]  # rank of each symbol joined with its right neighbour
+        bits = n.bit_length()
+        low = (1 << bits) - 1
+        agenda = [r << bits | i for i, r in enumerate(pair) if r is not None]
         if agenda:
-            pair.append(-1)
-            after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+            after, before = [*range(1, n + 1)], [*range(-1, n)]
             heapq.heapify(agenda)
             while agenda:
-                top = heapq.heappop(agenda)
-                i = top & 0xFFFFFFFF
-                if pair[i] != top >> 32:
+                top = pop(agenda)
+                i = top & low
+                if pair[i] != top >> bits:
                     continue  # one of the two has been joined to another symbol since
                 j = after[i]
-                symbols[i] += symbols[j]
-                symbols[j], pair[j] = "", -1
+                symbols[i] = joined = symbols[i] + symbols[j]
+                symbols[j] = pair[j] = None
                 after[i] = k = after[j]
+                before[k] = i
                 if k < n:
-                    before[k] = i
-                    pair[i] = r = rank(symbols[i] + symbols[k], -1)
-                    if r >= 0:
-                        heapq.heappush(agenda, (r << 32) + i)
+                    pair[i] = r = rank(joined + symbols[k])
+                    if r is not None:
+                        push(agenda, r << bits | i)
                 else:
-                    pair[i] = -1
+                    pair[i] = None
                 if (h := before[i]) >= 0:
-                    pair[h] = r = rank(symbols[h] + symbols[i], -1)
-                    if r >= 0:
-                        heapq.heappush(agenda, (r << 32) + h)
+                    pair[h] = r = rank(symbols[h] + joined)
+                    if r is not None:
+                        push(agenda, r << bits | h)
         ids = [*map(self.ids.get, filter(None, symbols))]
         return ids if None not in ids else [i for x in symbols if x for i in self._id(x)]
 
@@ -129,19 +132,26 @@ class Encoder:
     def __init__(self, path: str):
         self.model = MergeModel(path)
         self.memo: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def parts(self, text: str) -> list[str]:
         return PARTS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Encode what the memo lacks and hold it against the library, in one call for the batch."""
-        fresh = list(set().union(*texts).difference(self.memo))
+        """Encode what the memo lacks and hold it against the library, in one call for the batch. The memo has two halves: when the newer
+        is full it becomes the older, from which parts come back as they are met."""
+        if len(self.memo) > MEMO // 2:
+            self.older, self.memo = self.memo, {}
+        new = set().union(*texts).difference(self.memo)
+        back = new.intersection(self.older)
+        self.memo |= {p: self.older[p] for p in back}
+        fresh = list(new - back)
         found = [self.model.merge(p) for p in fresh]
-        said = self._library(fresh)
+        said, numbers = self._library(fresh), self.model.numbers
         for part, ids, theirs in zip(fresh, found, said, strict=True):
             if ids != theirs:
                 raise ValueError(f"agenda and library differ on {part!r}: {ids} and {theirs}")
-            self.memo[part] = (",".join(map(str, ids)), len(ids), self.model.text(ids))
+            self.memo[part] = (",".join([numbers[i] for i in ids]), len(ids), self.model.text(ids))
 
     def _library(self, parts: list[str]) -> list[list[int]]:
         """The library's ids of parts as they stand inside a text: it would put a space mark before each, so a line feed is put there and the two leading ids dropped."""
@@ -185,8 +195,6 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", ids:
 
 def _slice(enc: Encoder, rows: pa.RecordBatch, text_col: str, ids: bool, check_whole: bool) -> pa.RecordBatch:
     texts = [x or "" for x in rows.column(text_col).to_pylist()]
-    if len(enc.memo) > MEMO:
-        enc.memo.clear()
     parts = [enc.parts(x) for x in texts]
     enc.learn(parts)
     n_tokens, ids_sha, decoded_sha, token_ids, decoded_text = [], [], [], [], []
@@ -198,7 +206,7 @@ def _slice(enc: Encoder, rows: pa.RecordBatch, text_col: str, ids: bool, check_w
         ids_sha.append(hashlib.sha256(numbers.encode()).hexdigest())
         decoded_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
         if ids or check_whole:
-            token_ids.append([int(x) for x in numbers.split(",")] if numbers else [])
+            token_ids.append([*map(int, numbers.split(","))] if numbers else [])
             decoded_text.append(decoded)
     if check_whole:
         library = enc.model.library
