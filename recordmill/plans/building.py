@@ -1 +1,140 @@
-"""Queries."""
+"""Scalar transforms, record generation, augmentation, migration and baselines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from recordmill.functions import text as X
+from recordmill.operators import models as B
+from recordmill.plans.registry import query
+from recordmill.session import checkpoint
+
+
+@query("""
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9a-f]{16,}', '<hash>', 'g'), '[0-9]+(\\.[0-9]+)?', '<num>', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS template FROM documents""")
+def template_normalize(documents):
+    return documents.select("doc_id", X.template_form(F.col("text")).alias("template"))
+
+
+@query("SELECT doc_id, length(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))) AS n, sha256(concat_ws(chr(10), coalesce(lang, ''), coalesce(source, ''), coalesce(text, ''))) AS sig, substr(sha1(text), 1, 12) AS slug FROM documents")
+def hashes_and_blanks(documents):
+    return documents.select("doc_id", F.length(X.collapse_blanks(F.col("text"))).alias("n"), X.signature(F.col("lang"), F.col("source"), F.col("text")).alias("sig"), F.substring(F.sha1("text"), 1, 12).alias("slug"))
+
+
+@query("SELECT p_partkey, sha256('{\"brand\":' || to_json(p_brand) || ',\"key\":' || p_partkey || ',\"size\":' || p_size || '}') AS h FROM part")
+def canonical_json_hash(part):
+    """SHA-256 of canonical JSON: keys in order, no blanks, nulls kept."""
+    return part.select("p_partkey", F.sha2(F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("key"), F.col("p_size").alias("size")), {"ignoreNullFields": "false"}), 256).alias("h"))
+
+
+@query("SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(length(text) - 4, 1) + 1), lambda i: substr(text, i, 5)))) AS n_grams FROM documents")
+def char_ngram_counts(documents):
+    return documents.select("doc_id", F.size(X.char_grams(F.col("text"), 5)).cast("bigint").alias("n_grams"))
+
+
+@query("SELECT event_id, regexp_extract(props, '\"k\" *: *([0-9]+)', 1) AS salvaged, json_valid(props) AS strict, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_parse_and_repair(events):
+    """Strict parse, else the field salvaged by pattern."""
+    return events.select("event_id", F.regexp_extract("props", '"k" *: *([0-9]+)', 1).alias("salvaged"), F.get_json_object("props", "$").isNotNull().alias("strict"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '[一-鿿]') AS cjk, replace(replace(text, 'src', 'source'), '%%%', '') = text AS unchanged, coalesce(CAST(nullif(regexp_extract(text, '([0-9]{10,})', 1), '') AS VARCHAR), '') AS literal FROM documents")
+def walk_and_replace(documents):
+    return documents.select("doc_id", X.has_cjk(F.col("text")).alias("cjk"), (F.replace(F.replace("text", F.lit("src"), F.lit("source")), F.lit("%%%"), F.lit("")) == F.col("text")).alias("unchanged"), F.regexp_extract("text", "([0-9]{10,})", 1).alias("literal"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, regexp_replace(regexp_replace(CAST(CAST(l_quantity / 8 AS DECIMAL(18,6)) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS factor, CASE WHEN isfinite(l_extendedprice) THEN round_even(l_extendedprice / 7, 6) END AS guarded FROM lineitem""")
+def decimal_and_finite(lineitem):
+    return lineitem.select("l_orderkey", "l_linenumber", X.decimal_form(F.col("l_quantity") / 8).alias("factor"), X.finite(F.col("l_extendedprice") / 7, 6).alias("guarded"))
+
+
+@query("""
+SELECT event_id, m, CASE WHEN m < 360 THEN 'night' WHEN m < 720 THEN 'morning' ELSE 'later' END AS label FROM (SELECT event_id, CAST(extract(hour FROM ts) * 60 + extract(minute FROM ts) AS INTEGER) AS m FROM events)""")
+def clock_relations(events):
+    m = X.minutes_of(F.date_format("ts", "HH:mm"))
+    return events.select("event_id", m.alias("m"), F.when(m < 360, "night").when(m < 720, "morning").otherwise("later").alias("label"))
+
+
+@query("""
+SELECT event_id, ['visit', 'buy', 'other'][CASE event_type WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END] AS alias, event_type || '::' || CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS composite, concat_ws(',', 'lookup', CASE WHEN value > 50 THEN 'verify' END, CASE WHEN event_type = 'purchase' THEN 'confirm' END) AS tools FROM events""")
+def labels_and_tools(events):
+    high = F.col("value") > 50
+    return events.select("event_id", F.when(F.col("event_type") == "view", "visit").when(F.col("event_type") == "purchase", "buy").otherwise("other").alias("alias"), F.concat_ws("::", "event_type", F.when(high, "high").otherwise("low")).alias("composite"), F.concat_ws(",", F.lit("lookup"), F.when(high, "verify"), F.when(F.col("event_type") == "purchase", "confirm")).alias("tools"))
+
+
+@query("""
+SELECT doc_id, concat_ws(',', CASE WHEN contains(lower(text), 'token') THEN 'R1' END, CASE WHEN contains(lower(text), 'licensed') THEN 'R2' END, CASE WHEN contains(lower(text), '@') THEN 'R3' END) AS rules, (CASE WHEN contains(lower(text), 'token') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(text), 'licensed') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(text), '@') THEN 1 ELSE 0 END) AS n FROM documents""")
+def rule_link_inference(documents):
+    low = F.lower("text")
+    rules = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), r) for t, r in (("token", "R1"), ("licensed", "R2"), ("@", "R3"))]))
+    return documents.select("doc_id", F.array_join(rules, ",").alias("rules"), F.size(rules).alias("n"))
+
+
+@query("""
+SELECT c_custkey, regexp_replace(c_name, '[0-9]+', '#', 'g') AS skeleton, replace(regexp_replace(c_name, '[0-9]+', '#', 'g'), '#', CAST(c_nationkey AS VARCHAR)) AS remapped, regexp_replace(c_name, '[0-9]+', '#', 'g') = 'Customer#' AS known_shape FROM customer""")
+def slot_skeleton(customer):
+    """A name with its numbers as slots, and the slots filled from elsewhere."""
+    s = F.regexp_replace("c_name", "[0-9]+", "#")
+    return customer.select("c_custkey", s.alias("skeleton"), F.replace(s, F.lit("#"), F.col("c_nationkey").cast("string")).alias("remapped"), (s == "Customer#").alias("known_shape"))
+
+
+@query("""
+SELECT o_orderkey * 4 + v AS record_id, ['Check order ', 'Review order ', 'Confirm order ', 'Audit order '][v + 1] || o_orderkey || ' with status ' || o_orderstatus AS instruction, v AS variant FROM orders, (SELECT unnest([0, 1, 2, 3]) AS v)""")
+def record_generation(orders):
+    """Four records a state, rendered by variant number."""
+    v = orders.select("o_orderkey", "o_orderstatus", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("variant"))
+    head = F.element_at(F.array(*map(F.lit, ("Check order ", "Review order ", "Confirm order ", "Audit order "))), F.col("variant") + 1)
+    return v.select((F.col("o_orderkey") * 4 + F.col("variant")).alias("record_id"), F.concat(head, "o_orderkey", F.lit(" with status "), "o_orderstatus").alias("instruction"), "variant")
+
+
+@query("""
+SELECT conv_id, turn, k, CASE k WHEN 0 THEN text WHEN 1 THEN upper(role) || ': ' || text WHEN 2 THEN text || ' (please verify)' END AS augmented FROM conversations, (SELECT unnest([0, 1, 2]) AS k) WHERE k < 2 OR role = 'user'""")
+def augment_explode(conversations):
+    """One to n rows: the row, a paraphrase, and an extra one for some."""
+    ks = F.when(F.col("role") == "user", F.array(*map(F.lit, (0, 1, 2)))).otherwise(F.array(F.lit(0), F.lit(1)))
+    e = conversations.select("conv_id", "turn", "role", "text", F.explode(ks).alias("k"))
+    return e.select("conv_id", "turn", "k", F.when(F.col("k") == 0, F.col("text")).when(F.col("k") == 1, F.concat(F.upper("role"), F.lit(": "), "text")).otherwise(F.concat("text", F.lit(" (please verify)"))).alias("augmented"))
+
+
+@query("SELECT s_suppkey * 3 + l AS case_id, s_name, ['compliant', 'needs_review', 'non_compliant'][l + 1] AS label, sha256(s_suppkey || ':' || l) AS sealed FROM supplier, (SELECT unnest([0, 1, 2]) AS l)")
+def challenge_grid(supplier):
+    """Sources by labels, with the label sealed by a hash."""
+    e = supplier.select("s_suppkey", "s_name", F.posexplode(F.array(*map(F.lit, ("compliant", "needs_review", "non_compliant")))).alias("l", "label"))
+    return e.select((F.col("s_suppkey") * 3 + F.col("l")).alias("case_id"), "s_name", "label", F.sha2(F.concat_ws(":", "s_suppkey", "l"), 256).alias("sealed"))
+
+
+@query("""
+SELECT l_orderkey AS old_id, coalesce(m.new_id, l_orderkey) AS new_id, 'order ' || coalesce(m.new_id, l_orderkey) || ' line ' || l_linenumber AS text, m.new_id IS NOT NULL AS migrated FROM lineitem LEFT JOIN (SELECT o_orderkey, o_orderkey + 1000000 AS new_id FROM orders WHERE o_orderstatus = 'P') m ON m.o_orderkey = l_orderkey""")
+def link_migration(lineitem, orders):
+    """Links rewritten by a map, with the fields that name them."""
+    m = orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") + 1000000).alias("n"))
+    new = F.coalesce("n", "l_orderkey")
+    return lineitem.select("l_orderkey", "l_linenumber").join(m, "l_orderkey", "left").select(F.col("l_orderkey").alias("old_id"), new.alias("new_id"), F.concat(F.lit("order "), new, F.lit(" line "), "l_linenumber").alias("text"), F.col("n").isNotNull().alias("migrated"))
+
+
+@query()
+def tfidf_classifier(documents):
+    """Language of held-out documents by hashed character grams and a linear model (Spark ML); accuracy is tested."""
+    rows = checkpoint(documents.select("doc_id", "text", F.col("lang").alias("label"), (X.hash_bucket(F.col("doc_id"), 5) == 0).alias("held_out")))
+    return B.classify(rows)
+
+
+@query()
+def retrieval_baseline(benchmark, documents):
+    """The answer of the nearest training row, by TF-IDF over grams."""
+    from recordmill.operators import similarity as M
+
+    norm = X.collapse_blanks(F.lower("text"))
+    top = M.tfidf_top1(M.gram_sets(benchmark, "item_id", norm), M.gram_sets(documents.where("lang = 'es'"), "doc_id", norm))
+    return top.join(documents.select(F.col("doc_id").alias("best"), F.col("source").alias("answer")), "best", "left").select("id", "best", "cosine", "answer")
+
+
+@query("""
+WITH t AS (SELECT event_type || '::' || CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS target, user_id % 20 AS k, event_id % 5 = 0 AS held_out FROM events), c AS (SELECT k, target, count(*) AS n FROM t WHERE NOT held_out GROUP BY 1, 2), m AS (SELECT k, arg_max(target, (n, target)) AS guess FROM c GROUP BY 1)
+SELECT t.k, count(*) AS n, count(*) FILTER (target = guess) AS exact FROM t JOIN m USING (k) WHERE held_out GROUP BY 1""")
+def tool_choice_baseline(events):
+    """The most frequent composite target of each key in training, scored on the rest."""
+    t = events.select(F.concat_ws("::", "event_type", F.when(F.col("value") > 50, "high").otherwise("low")).alias("target"), (F.col("user_id") % 20).alias("k"), (F.col("event_id") % 5 == 0).alias("held_out"))
+    m = t.where("NOT held_out").groupBy("k", "target").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max_by("target", F.struct("n", "target")).alias("guess"))
+    return t.where("held_out").join(m, "k").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target") == F.col("guess")).alias("exact"))

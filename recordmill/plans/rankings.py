@@ -1 +1,109 @@
-"""Queries."""
+"""Caps, samples, orders and representatives."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from recordmill.functions import text as X
+from recordmill.operators import ranking as R
+from recordmill.plans.record_joins import NORM
+from recordmill.plans.registry import query
+
+
+@query("SELECT c_nationkey, c_custkey, c_acctbal, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rank FROM customer) WHERE rank <= 3")
+def per_group_cap(customer):
+    return R.first_of_each(customer, ["c_nationkey"], [F.desc("c_acctbal"), F.col("c_custkey")], 3).select("c_nationkey", "c_custkey", "c_acctbal", "rank")
+
+
+@query("""
+WITH t AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS turn FROM orders)
+SELECT o_orderkey, o_orderstatus, CAST(turn AS INTEGER) AS turn, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY turn, o_orderpriority, o_orderkey) AS INTEGER) AS place FROM t""")
+def stratified_round_robin(orders):
+    return R.round_robin(orders, ["o_orderstatus"], ["o_orderpriority"], [F.col("o_orderkey")]).select("o_orderkey", "o_orderstatus", "turn", "place")
+
+
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_retailprice, p_partkey) = 1 AS lead FROM part")
+def coverage_first_order(part):
+    return R.coverage_first(part, ["p_brand", "p_type"], [F.col("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "lead")
+
+
+@query("SELECT doc_id, sha256('s1:' || doc_id) AS h, CAST('0x' || substr(sha256('s1:' || doc_id), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM documents ORDER BY h LIMIT 50")
+def hash_order_topk(documents):
+    h = R.hash_rank("s1", F.col("doc_id"))
+    return documents.select("doc_id", h.alias("h"), (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 32)).alias("u")).orderBy("h").limit(50)
+
+
+@query("""
+WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('bal:' || doc_id), doc_id) AS r FROM documents), k AS (SELECT least(80, min(n)) AS k FROM (SELECT count(*) AS n FROM documents GROUP BY lang))
+SELECT doc_id, lang, CASE WHEN CAST('0x' || substr(sha256('bal/test:' || doc_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS part FROM r, k WHERE r <= k""")
+def balanced_per_label(documents):
+    return R.balanced(documents.select("doc_id", "lang"), "lang", 80, "bal", "doc_id")
+
+
+@query("""
+WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('cell:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang, source) AS n FROM documents)
+SELECT lang, source, CAST(count(*) FILTER (r <= 5) AS BIGINT) AS selected, CAST(greatest(0, 5 - max(n)) AS BIGINT) AS shortage FROM r GROUP BY 1, 2""")
+def matched_strata(documents):
+    r = documents.select("doc_id", "lang", "source").withColumn("r", F.row_number().over(Window.partitionBy("lang", "source").orderBy(R.hash_rank("cell", F.col("doc_id")), "doc_id")))
+    return r.groupBy("lang", "source").agg(F.count_if(F.col("r") <= 5).alias("selected"), F.greatest(F.lit(0), 5 - F.count(F.lit(1))).cast("bigint").alias("shortage"))
+
+
+@query("""
+WITH c AS (SELECT lang, n_chars // 2000 AS size, count(*) AS n FROM documents GROUP BY 1, 2)
+SELECT size, count(*) FILTER (n >= 10) AS langs, sum(n)::BIGINT AS n, count(*) FILTER (n >= 10) = (SELECT count(DISTINCT lang) FROM documents) AS full_support FROM c GROUP BY 1""")
+def common_support_block(documents):
+    """Which size strata hold every language with at least ten rows."""
+    c = documents.groupBy("lang", F.floor(F.col("n_chars") / 2000).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    all_ = documents.agg(F.count_distinct("lang").alias("k"))
+    return c.groupBy("size").agg(F.count_if(F.col("n") >= 10).alias("langs"), F.sum("n").alias("n")).join(F.broadcast(all_)).select("size", "langs", "n", (F.col("langs") == F.col("k")).alias("full_support"))
+
+
+@query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('cap:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 20")
+def limit_per_task(documents):
+    return R.first_of_each(documents.select("lang", "doc_id"), ["lang"], [R.hash_rank("cap", F.col("doc_id")), F.col("doc_id")], 20).select("lang", "doc_id")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY sha256('sample:' || o_orderkey), o_orderkey LIMIT 100")
+def fixed_size_sample(orders):
+    return orders.select("o_orderkey").orderBy(R.hash_rank("sample", F.col("o_orderkey")), "o_orderkey").limit(100)
+
+
+@query("""
+SELECT doc_id, shots FROM documents d JOIN (SELECT lang, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS shots FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents WHERE doc_id % 2 = 0) WHERE r <= 3 GROUP BY 1) s USING (lang) WHERE doc_id % 2 = 1""")
+def few_shot_pick(documents):
+    """The first three training rows of the same task for every other row."""
+    first = R.first_of_each(documents.where("doc_id % 2 = 0").select("lang", "doc_id"), ["lang"], [F.col("doc_id")], 3)
+    shots = first.groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("shots"))
+    return documents.where("doc_id % 2 = 1").select("doc_id", "lang").join(shots, "lang").select("doc_id", "shots")
+
+
+@query(f"SELECT sha256({NORM}) AS sig, min(doc_id) AS representative, count(*) AS n FROM documents GROUP BY 1")
+def first_representative(documents):
+    return documents.groupBy(F.sha2(X.collapse_blanks(F.lower("text")), 256).alias("sig")).agg(F.min("doc_id").alias("representative"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderpriority, o_totalprice DESC, o_orderkey) AS INTEGER) AS place FROM orders""")
+def multi_key_priority(orders):
+    status = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    return orders.select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(status, "o_orderpriority", F.desc("o_totalprice"), "o_orderkey")).alias("place"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(row_number() OVER (PARTITION BY least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey) ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_shipdate, l_tax, l_discount) - 1 AS INTEGER) AS ordinal FROM lineitem""")
+def endpoint_ordinal(lineitem):
+    """The ordinal among rows with the same unordered pair of ends."""
+    w = Window.partitionBy(F.least("l_partkey", "l_suppkey"), F.greatest("l_partkey", "l_suppkey")).orderBy("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_shipdate", "l_tax", "l_discount")
+    return lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.row_number().over(w) - 1).alias("ordinal"))
+
+
+@query("""
+WITH f AS (SELECT p_partkey, p_brand, p_type FROM part WHERE p_size = 1), u AS (SELECT p_brand, count(*) AS used FROM f GROUP BY 1)
+, a AS (SELECT p.p_partkey, p.p_brand, row_number() OVER (PARTITION BY p.p_brand ORDER BY p.p_partkey) + coalesce(used, 0) AS s FROM part p LEFT JOIN u USING (p_brand) WHERE p_size <> 1 AND p_partkey % 2 = 0)
+, ka AS (SELECT p_partkey, p_brand FROM a WHERE s <= 60 ORDER BY p_partkey LIMIT 40)
+, u2 AS (SELECT p_brand, count(*) AS used FROM (SELECT p_brand FROM f UNION ALL SELECT p_brand FROM ka) GROUP BY 1)
+, b AS (SELECT p.p_partkey, row_number() OVER (PARTITION BY p.p_brand ORDER BY p.p_partkey) + coalesce(used, 0) AS s FROM part p LEFT JOIN u2 USING (p_brand) WHERE p_size <> 1 AND p_partkey % 2 = 1)
+SELECT p_partkey, 'forced' AS why FROM f UNION ALL SELECT p_partkey, 'quota' FROM ka UNION ALL SELECT p_partkey, 'quota' FROM (SELECT p_partkey FROM b WHERE s <= 60 ORDER BY p_partkey LIMIT 25)""")
+def quota_selection(part):
+    rows = part.select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd").alias("kind"), "p_size")
+    return R.quota_selection(rows, "kind", "p_brand", {"even": 40, "odd": 25}, 60, "p_partkey", F.col("p_size") == 1).select("p_partkey", "why")
