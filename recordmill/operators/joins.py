@@ -66,26 +66,30 @@ def provenance_components(records: DataFrame, id_col: str, keys: list[Column]) -
     return ids.join(comps, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def nearest_unused(wanted: DataFrame, offered: DataFrame, group: list[str], value: str, id_col: str, rounds: int = 50) -> DataFrame:
+def nearest_unused(wanted: DataFrame, offered: DataFrame, group: list[str], value: str, id_col: str, rounds: int = 200) -> DataFrame:
     """(wanted, offered): each wanted row takes the free offered row of its group that is nearest by value (then least id); none is used twice.
 
-    Each round every wanted row that is left names its nearest free row and every named row takes the nearest who named it, so that each
-    round settles at least one row a group; candidates are looked up in sorted order by windows, never as all pairs of a group.
+    Pairs settle as if the closest free pair of a group (least ids among equals) were taken again and again: each round every row on either side finds its nearest
+    free row on the other by running extremes in the order of values, and pairs that name each other settle. All pairs of a group are never made.
     """
     left = wanted.select(*group, F.col(value).cast("double").alias("x"), F.col(id_col).alias("w"))
     free = offered.select(*group, F.col(value).cast("double").alias("x"), F.col(id_col).alias("o"))
     left, free, done = checkpoint(left), checkpoint(free), []
     for _ in range(rounds):
         both = left.select(*group, "x", "w", F.lit(None).cast("long").alias("o")).unionByName(free.select(*group, "x", F.lit(None).cast("long").alias("w"), "o"))
-        # equal values: offers stand before those who want them, so both sides are seen
-        back = Window.partitionBy(*group).orderBy(F.col("x"), F.col("w").isNotNull(), F.desc("o"))
-        ahead = Window.partitionBy(*group).orderBy(F.desc("x"), F.col("w").isNull(), F.desc("o"))
-        offer = F.when(F.col("o").isNotNull(), F.struct("x", "o"))
-        seen = both.withColumn("below", F.last(offer, True).over(back)).withColumn("above", F.last(offer, True).over(ahead)).where("w IS NOT NULL")
-        away = lambda c: F.struct(F.abs(F.col("x") - F.col(f"{c}.x")).alias("d"), F.col(f"{c}.o").alias("o"))
-        best = F.array_min(F.array_compact(F.array(F.when(F.col("below").isNotNull(), away("below")), F.when(F.col("above").isNotNull(), away("above")))))
-        named = seen.withColumn("b", best).where("b IS NOT NULL").select("w", "b.d", "b.o")
-        taken = checkpoint(named.groupBy("o").agg(F.min(F.struct("d", "w")).alias("t")).select(F.col("t.w").alias("w"), "o", F.col("t.d").alias("distance")))
+        upto = Window.partitionBy(*group).orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        onward = Window.partitionBy(*group).orderBy("x").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+
+        def nearest(mine: str, other: str) -> DataFrame:
+            there = F.col(other).isNotNull()
+            seen = both.withColumn("lo", F.max(F.when(there, F.struct("x", (-F.col(other)).alias("i")))).over(upto)).withColumn("hi", F.min(F.when(there, F.struct("x", F.col(other).alias("i")))).over(onward))
+            low = F.when(F.col("lo").isNotNull(), F.struct(F.abs(F.col("x") - F.col("lo.x")).alias("d"), (-F.col("lo.i")).alias(other)))
+            high = F.when(F.col("hi").isNotNull(), F.struct(F.abs(F.col("x") - F.col("hi.x")).alias("d"), F.col("hi.i").alias(other)))
+            best = seen.where(F.col(mine).isNotNull()).select(mine, F.array_min(F.array_compact(F.array(low, high))).alias("b"))
+            return best.where("b IS NOT NULL").select(mine, "b.*")
+
+        named = nearest("w", "o").join(nearest("o", "w").select("w", "o"), ["w", "o"])
+        taken = checkpoint(named.select("w", "o", F.col("d").alias("distance")))
         if taken.isEmpty():
             break
         done.append(taken)
