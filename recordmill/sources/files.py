@@ -59,3 +59,35 @@ def inspect_files(spark: SparkSession, pattern: str, key: str = "id") -> DataFra
     lines = spark.read.text(pattern).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("path"), F.get_json_object("value", f"$.{key}").alias("k"))
     counts = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct("k").alias("n_ids"))
     return raw.join(counts, "path", "left").fillna(0, ["n_records", "n_ids"])
+
+
+def read_archive(spark: SparkSession, pattern: str, member: str, schema: StructType | str) -> DataFrame:
+    """Records of the JSON-lines members, of names that end in `member`, of tar.gz archives: one task an archive, one line at a time."""
+    import pandas as pd
+
+    def lines(batches):
+        import io
+        import tarfile
+
+        for batch in batches:
+            for content in batch["content"]:
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as tar:
+                    for m in tar:
+                        if m.isfile() and m.name.endswith(member):
+                            held = []
+                            for line in tar.extractfile(m):
+                                if line.strip():
+                                    held.append(line.decode())
+                                if len(held) == 4096:
+                                    yield pd.DataFrame({"value": held})
+                                    held = []
+                            yield pd.DataFrame({"value": pd.Series(held, dtype="str")})
+
+    text = spark.read.format("binaryFile").load(pattern).select("content").mapInPandas(lines, "value string")
+    return text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """An append-only cache read back: the last row of each key."""
+    cols = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("r")).select(key, "r.*")
