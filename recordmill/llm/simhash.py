@@ -92,14 +92,16 @@ def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarra
     n, m = len(left), len(right)
     parent = np.arange(n + m)
     out_a, out_b = [], []
-    step = max(1, HELD // max(1, m))
-    first, limit = right[:, 0], radius
+    step, half = max(1, HELD // max(1, m)), (left.shape[1] + 1) // 2
     for at in range(0, n, step):
         part = left[at : at + step]
-        distance = np.bitwise_count(part[:, :1] ^ first[None, :])
-        a, b = np.nonzero(distance <= limit)
-        if left.shape[1] > 1 and len(a):
-            rest = sum((np.bitwise_count(part[a, k] ^ right[b, k]).astype(np.int32) for k in range(1, left.shape[1])), distance[a, b].astype(np.int32))
+        # the distance in half of the words can't exceed that in all: of unrelated wide fingerprints few pass
+        distance = np.bitwise_count(part[:, :1] ^ right[None, :, 0])
+        for k in range(1, half):
+            distance += np.bitwise_count(part[:, k : k + 1] ^ right[None, :, k])
+        a, b = np.nonzero(distance <= radius)
+        if half < left.shape[1] and len(a):
+            rest = sum((np.bitwise_count(part[a, k] ^ right[b, k]).astype(np.int32) for k in range(half, left.shape[1])), distance[a, b].astype(np.int32))
             a, b = a[rest <= radius], b[rest <= radius]
         if not len(a):
             continue
