@@ -232,12 +232,17 @@ PARTS = {
 PHRASES = {"notice": "we use cookies accept consent privacy settings", "footer": "copyright all rights reserved terms privacy contact", "form": "search email subscribe password sign in submit", "ad": "sponsored buy now offer sale", "comments": "reply says posted comment", "nav": "home about next previous", "side": "related popular latest", "header": "home menu sign in"}
 
 
+ALPHABET = np.array(list("abcdefghilmnoprstuvèñü"))
+_made = np.random.default_rng(12)
+POOL = np.array(["".join(_made.choice(ALPHABET, n)) for n in _made.integers(2, 9, 3000)])
+
+
 def laid_out(rng: np.random.Generator) -> tuple[str, list[int]]:
     """A page and the labels of its blocks in order."""
-    alphabet, labels = "abcdefghilmnoprstuvèñü", []
+    labels: list[int] = []
 
     def words(low: int, high: int, part: str = "") -> str:
-        made = ["".join(rng.choice(list(alphabet), rng.integers(2, 9))) for _ in range(rng.integers(low, high))]
+        made = POOL[rng.integers(0, len(POOL), rng.integers(low, high))].tolist()
         for i in range(3, len(made), 7):
             made[i] += rng.choice([".", ",", ";", ""])
         if rng.random() < 0.1:  # lists, junk and lines of one word
