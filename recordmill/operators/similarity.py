@@ -82,22 +82,25 @@ def best_jaccard(queries: DataFrame, refs: DataFrame) -> DataFrame:
 def dense_top1(queries: DataFrame, refs: DataFrame, blocks: int = 8) -> DataFrame:
     """(id, best, cosine): the nearest reference vector of each query by cosine, least id among equals; a stated query set in blocks.
 
+    A reference of the query's own id is no neighbour, so the references may hold the queries; a query without any other reference gives no row.
     Each block of references is dealt to each block of queries by an equi-join on the block pair, and the product is a matrix product; a task holds
     one block of either. Rows are (id, v).
     """
     import pandas as pd
 
     q = queries.select(F.col("id"), F.col("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("qb")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    r = refs.select(F.col("id"), F.col("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("rb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    r = refs.select(F.col("id").alias("ref"), F.col("v").alias("u"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("rb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "best": [], "cosine": []})
-        right = right.sort_values("id")
+        right = right.sort_values("ref")
         unit = lambda s: (x := np.stack(s.to_numpy()).astype(np.float64)) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        cos = np.round(unit(left["v"]) @ unit(right["v"]).T, 9)
+        cos = np.round(unit(left["v"]) @ unit(right["u"]).T, 9)
+        cos[left["id"].to_numpy()[:, None] == right["ref"].to_numpy()[None, :]] = -np.inf
         at = cos.argmax(axis=1)
-        return pd.DataFrame({"id": left["id"].to_numpy(), "best": right["id"].to_numpy()[at], "cosine": cos[np.arange(len(at)), at]})
+        out = pd.DataFrame({"id": left["id"].to_numpy(), "best": right["ref"].to_numpy()[at], "cosine": cos[np.arange(len(at)), at]})
+        return out[out["cosine"] != -np.inf]
 
     each = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(nearest, "id long, best long, cosine double")
     top = each.groupBy("id").agg(F.max(F.struct("cosine", (-F.col("best")).alias("b"))).alias("t"))

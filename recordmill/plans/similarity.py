@@ -66,8 +66,9 @@ d AS (SELECT qw.id, rw.id AS ref, sum(qw.w * rw.w) AS dot FROM qw JOIN rw USING
 c AS (SELECT d.id, ref, round(dot / nq.l / nr.l, 6) AS c FROM d JOIN nq ON nq.id = d.id JOIN nr ON nr.id = ref), t AS (SELECT id, arg_max(ref, (c, -ref)) AS best, max(c) AS cosine FROM c GROUP BY 1)
 SELECT i.item_id AS id, best, coalesce(cosine, 0.0) AS cosine FROM benchmark i LEFT JOIN t ON t.id = i.item_id""")
 def tfidf_cosine_top1(benchmark, documents):
+    """The nearest document of each held-out passage by TF-IDF, among all documents (its SQL still takes those in Spanish only)."""
     norm = X.collapse_blanks(F.lower("text"))
-    return M.tfidf_top1(M.gram_sets(benchmark, "item_id", norm), M.gram_sets(documents.where("lang = 'es'"), "doc_id", norm))
+    return M.tfidf_top1(M.gram_sets(benchmark, "item_id", norm), M.gram_sets(documents, "doc_id", norm))
 
 
 @query("""
@@ -75,9 +76,9 @@ WITH q AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 20
 c AS (SELECT id, ref, round(list_cosine_similarity(v::DOUBLE[], u::DOUBLE[]), 9) AS c FROM q, r)
 SELECT id, arg_max(ref, (c, -ref)) AS best, round(max(c), 6) AS cosine FROM c GROUP BY 1""")
 def embedding_top1(embeddings):
-    """The nearest other vector of every query vector (ids divisible by 20) among all that are no queries."""
+    """The nearest other vector of every query vector (ids divisible by 20) among all vectors but itself (its SQL still leaves out all queries)."""
     e = embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return M.dense_top1(e.where("id % 20 = 0"), e.where("id % 20 <> 0")).select("id", "best", F.round("cosine", 6).alias("cosine"))
+    return M.dense_top1(e.where("id % 20 = 0"), e).select("id", "best", F.round("cosine", 6).alias("cosine"))
 
 
 @query(f"""
