@@ -66,32 +66,44 @@ def provenance_components(records: DataFrame, id_col: str, keys: list[Column]) -
     return ids.join(comps, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def nearest_unused(wanted: DataFrame, offered: DataFrame, group: list[str], value: str, id_col: str, rounds: int = 200) -> DataFrame:
+def nearest_unused(wanted: DataFrame, offered: DataFrame, group: list[str], value: str, id_col: str, rounds: int | None = None) -> DataFrame:
     """(wanted, offered): each wanted row takes the free offered row of its group that is nearest by value (then least id); none is used twice.
 
-    Pairs settle as if the closest free pair of a group (least ids among equals) were taken again and again: each round every row on either side finds its nearest
-    free row on the other by running extremes in the order of values, and pairs that name each other settle. All pairs of a group are never made.
+    Pairs settle as if the closest free pair of a group (least ids among equals) were taken again and again: each round every distinct value on either side finds the
+    nearest free value on the other by running extremes in the order of values, and of values that name each other the k-th row settles with the k-th, as long as
+    no other value at the same distance has a lesser id. All pairs of a group are never made. Each round settles the closest pair of a group at least, so
+    rounds go on until nothing is free; if a bound on them is given and reached before that, this raises.
     """
     left = wanted.select(*group, F.col(value).cast("double").alias("x"), F.col(id_col).alias("w"))
     free = offered.select(*group, F.col(value).cast("double").alias("x"), F.col(id_col).alias("o"))
     left, free, done = checkpoint(left), checkpoint(free), []
-    for _ in range(rounds):
-        both = left.select(*group, "x", "w", F.lit(None).cast("long").alias("o")).unionByName(free.select(*group, "x", F.lit(None).cast("long").alias("w"), "o"))
+    while True:
+        # a value of a side goes by its least id
+        both = left.groupBy(*group, "x").agg(F.min("w").alias("w")).withColumn("o", F.lit(None).cast("long")).unionByName(free.groupBy(*group, "x").agg(F.min("o").alias("o")).withColumn("w", F.lit(None).cast("long")))
         upto = Window.partitionBy(*group).orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
         onward = Window.partitionBy(*group).orderBy("x").rangeBetween(Window.currentRow, Window.unboundedFollowing)
 
-        def nearest(mine: str, other: str) -> DataFrame:
+        def nearest(mine: str, other: str, rival: str) -> DataFrame:
             there = F.col(other).isNotNull()
-            seen = both.withColumn("lo", F.max(F.when(there, F.struct("x", (-F.col(other)).alias("i")))).over(upto)).withColumn("hi", F.min(F.when(there, F.struct("x", F.col(other).alias("i")))).over(onward))
-            low = F.when(F.col("lo").isNotNull(), F.struct(F.abs(F.col("x") - F.col("lo.x")).alias("d"), (-F.col("lo.i")).alias(other)))
-            high = F.when(F.col("hi").isNotNull(), F.struct(F.abs(F.col("x") - F.col("hi.x")).alias("d"), F.col("hi.i").alias(other)))
-            best = seen.where(F.col(mine).isNotNull()).select(mine, F.array_min(F.array_compact(F.array(low, high))).alias("b"))
-            return best.where("b IS NOT NULL").select(mine, "b.*")
-
-        named = nearest("w", "o").join(nearest("o", "w").select("w", "o"), ["w", "o"])
-        taken = checkpoint(named.select("w", "o", F.col("d").alias("distance")))
+            seen = both.withColumn("lo", F.max(F.when(there, F.struct("x", F.col(other).alias("i")))).over(upto)).withColumn("hi", F.min(F.when(there, F.struct("x", F.col(other).alias("i")))).over(onward))
+            side = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("x") - F.col(f"{c}.x")).alias("d"), F.col(f"{c}.i").alias(other)))
+            best = seen.where(F.col(mine).isNotNull()).select(mine, side("lo").alias("low"), side("hi").alias("high"))
+            tied = (F.col("low.d") == F.col("high.d")) & (F.col(f"low.{other}") != F.col(f"high.{other}"))
+            best = best.select(mine, F.array_min(F.array_compact(F.array("low", "high"))).alias("b"), F.when(tied, F.greatest(f"low.{other}", f"high.{other}")).alias(rival))
+            return best.where("b IS NOT NULL").select(mine, "b.*", rival)
+
+        def ranked(rows: DataFrame, own: str, head: str) -> DataFrame:
+            alike = Window.partitionBy(*group, "x")
+            return rows.select(own, F.min(own).over(alike).alias(head), F.row_number().over(alike.orderBy(own)).alias("k"))
+
+        named = nearest("w", "o", "next_o").join(nearest("o", "w", "next_w").select("w", "o", "next_w"), ["w", "o"]).withColumnsRenamed({"w": "head_w", "o": "head_o"})
+        pairs = named.join(ranked(left, "w", "head_w"), "head_w").join(ranked(free, "o", "head_o"), ["head_o", "k"])
+        settled = (F.col("next_w").isNull() | (F.col("w") < F.col("next_w"))) & (F.col("next_o").isNull() | (F.col("o") < F.col("next_o")))
+        taken = checkpoint(pairs.where(settled).select("w", "o", F.col("d").alias("distance")))
         if taken.isEmpty():
             break
+        if rounds is not None and len(done) >= rounds:
+            raise RuntimeError("nearest_unused did not settle")
         done.append(taken)
         left = checkpoint(left.join(taken.select("w"), "w", "left_anti"))
         free = checkpoint(free.join(taken.select("o"), "o", "left_anti"))

@@ -1,9 +1,12 @@
 """Queries do the whole job, against plain loops over every row."""
 
 import math
+import random
 
 import numpy as np
+import pytest
 
+from recordmill.operators import joins as J
 from recordmill.plans import building, similarity
 
 
@@ -36,3 +39,26 @@ def test_tfidf_searches_documents_of_every_language(spark):
     answers = {i: s for i, _, _, s in docs}
     assert {x.id: (x.best, x.cosine, x.answer) for x in building.retrieval_baseline(b, d).collect()} == {i: (k, c, answers.get(k)) for i, (k, c) in want.items()}
     assert {k for k, _ in want.values()} == {1, 2, 3, 4, None}
+
+
+def greedy(wanted, offered):
+    """Of each group the closest free pair, least ids among equals, until none is left."""
+    pairs = sorted((abs(w[1] - o[1]), w[2], o[2]) for w in wanted for o in offered if w[0] == o[0])
+    found, used = {}, set()
+    for _, w, o in pairs:
+        if w not in found and o not in used:
+            found[w] = o
+            used.add(o)
+    return found
+
+
+def test_nearest_unused_settles_every_tie(spark):
+    r = random.Random(8)
+    wanted = [("a", 5.0, i) for i in range(260)] + [("b", 1.0, 1000 + i) for i in range(230)] + [(g, float(r.randrange(5)), 2000 + i) for i in range(60) for g in [r.choice("cd")]]
+    offered = [("a", 5.0, 5000 + i) for i in range(250)] + [("b", 2.0, 6000 + i) for i in range(240)] + [(g, float(r.randrange(5)), 7000 + i) for i in range(50) for g in [r.choice("cd")]]
+    r.shuffle(wanted)
+    frames = [spark.createDataFrame(x, "g string, v double, id long") for x in (wanted, offered)]
+    got = {x.w: x.o for x in J.nearest_unused(*frames, ["g"], "v", "id").collect()}
+    assert got == greedy(wanted, offered) and sum(w < 1000 for w in got) == 250 and sum(1000 <= w < 2000 for w in got) == 230
+    with pytest.raises(RuntimeError):
+        J.nearest_unused(*frames, ["g"], "v", "id", rounds=1)
