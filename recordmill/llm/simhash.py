@@ -11,6 +11,8 @@ Defined results: a null text is an empty text; a text without words has fingerpr
 text with fewer words than a shingle is one shingle; equal texts share a fingerprint; a document number that
 repeats is one node; null document numbers take no part in links and are their own component; an empty table gives an
 empty result; columns of the input that clash with results are not read.
+
+The pipeline's stage uses the comparison as a search for candidates only: its links are verified by the Jaccard similarity of the sets of shingles.
 """
 
 from __future__ import annotations
@@ -30,8 +32,11 @@ SEED = 42
 TILE, HELD = 8192, 1 << 20
 #: Blocks of a word whose population counts key the tiles, for radii up to SMALL.
 BLOCKS, SMALL = 4, 4
-#: For 256-bit fingerprints of five-word shingles: the distance of texts with a Jaccard similarity of 0.8 is 39 on average with a deviation of 5.7 at most.
-WIDE_WORDS, WIDE_RADIUS = 4, 46
+#: For 256-bit fingerprints of distinct five-word shingles: the distance of texts with a Jaccard similarity of 0.8 is 39 on average with a deviation of 5.7
+#: (48 and 6.2 for sets of four and five shingles), that of unrelated texts 128 with 8.
+WIDE_WORDS, WIDE_RADIUS = 4, 72
+#: The Jaccard similarity at which candidates are linked, and the sets in a tile of one candidate group.
+SIMILARITY, SET_TILE = 0.8, 128
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -69,6 +74,29 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> list[int]:
     return out
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    return np.unique(shingle_hashes(text.encode(), width)) if text else np.zeros(0, np.uint64)
+
+
+def set_fingerprints(docs: DataFrame, width: int, words: int, id_col: str, tag_col: str) -> DataFrame:
+    """(doc_id, tag, s0, s1, w0, w1, ...) of every row: a 128-bit hash of its set of shingles, and the fingerprint of the set, so repeats in a text don't count."""
+    from xxhash import xxh128_digest
+
+    names = ["s0", "s1", *[f"w{k}" for k in range(words)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((batch.num_rows, len(names)), np.int64)
+            for i, text in enumerate(batch.column(1)):
+                own = shingle_set(text.as_py(), width)
+                found[i] = [*np.frombuffer(xxh128_digest(own.tobytes(), SEED), np.int64), *fingerprint(own, words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, np.ascontiguousarray(found.T))], names=["doc_id", "tag", *names])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text", F.col(tag_col).cast("long").alias("tag"))
+    return rows.mapInArrow(run, "doc_id long, tag long, " + ", ".join(f"{x} long" for x in names))
+
+
 def fingerprints(docs: DataFrame, width: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None) -> DataFrame:
     """(doc_id, w0, w1, ...) of every row, and tag with a number of the row if one is named."""
     names = [f"w{k}" for k in range(words)]
@@ -92,10 +120,12 @@ def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarra
     n, m = len(left), len(right)
     parent = np.arange(n + m)
     out_a, out_b = [], []
-    step, half = max(1, HELD // max(1, m)), (left.shape[1] + 1) // 2
+    step, words = max(1, HELD // max(1, m)), left.shape[1]
+    # as many words as leave few unrelated pairs (32 differing bits a word, with a deviation of 4), three of four at most: their count must fit a byte
+    half = next((k for k in range((words + 1) // 2, words) if 32 * k - 12 * k**0.5 >= radius), max(1, words - 1))
     for at in range(0, n, step):
         part = left[at : at + step]
-        # the distance in half of the words can't exceed that in all: of unrelated wide fingerprints few pass
+        # the distance in some of the words can't exceed that in all: of unrelated wide fingerprints few pass
         distance = np.bitwise_count(part[:, :1] ^ right[None, :, 0])
         for k in range(1, half):
             distance += np.bitwise_count(part[:, k : k + 1] ^ right[None, :, k])
@@ -196,16 +226,92 @@ def op4(docs: DataFrame) -> DataFrame:
     return near_groups(prints, 1, 2).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, width: int = 5, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
+def _exact_forest(a: pa.ListScalar, b: pa.ListScalar, similarity: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links at a Jaccard similarity of at least this between the sets of two tiles (structs of rep and grams)."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def parts(tile: pa.ListScalar) -> tuple[list[int], list[np.ndarray]]:
+        rows = tile.values
+        sets, stops = rows.field("grams"), np.cumsum(rows.field("grams").value_lengths().to_numpy(zero_copy_only=False))
+        return rows.field("rep").to_pylist(), np.split(sets.flatten().to_numpy(zero_copy_only=False), stops[:-1])
+
+    (ids_a, sets_a), (ids_b, sets_b) = parts(a), parts(b)
+    # the tile's shingles in one order, each with the sets that hold it
+    sizes = np.array([len(x) for x in sets_b], np.int64)
+    every, owner = np.concatenate(sets_b), np.repeat(np.arange(len(sets_b)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    distinct, first, held = np.unique(every, return_index=True, return_counts=True)
+    src, dst = [], []
+    for rep, own in zip(ids_a, sets_a, strict=True):
+        at = np.minimum(np.searchsorted(distinct, own), len(distinct) - 1)
+        at = at[distinct[at] == own]
+        n = held[at]
+        rows = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(owner[rows], minlength=len(sizes))
+        for j in np.nonzero(common >= similarity * (len(own) + sizes - common) - 1e-9)[0]:
+            x, y = root(rep), root(ids_b[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                src.append(rep)
+                dst.append(ids_b[j])
+    return src, dst
+
+
+def exact_links(docs: DataFrame, candidates: DataFrame, width: int, similarity: float, tile: int = SET_TILE) -> DataFrame:
+    """(src, dst): a forest whose components are those of all pairs of docs (rep, text) of one candidate group (node, component) with this Jaccard similarity of shingles.
+
+    A group is dealt to tiles by a hash and compared tile with tile, so a large one costs comparisons but no pairs, and no task holds more than two
+    tiles at once. Only the sizes of groups beyond a tile are broadcast: at most one row for each `tile` documents.
+    """
+
+    def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                some = batch.slice(k, 512)
+                sets = [shingle_set(t.as_py(), width).view(np.int64) for t in some.column(2)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["component", "rep", "grams"])
+
+    large = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("component", F.ceil(F.col("n") / tile).cast("int").alias("n_sub"))
+    sets = docs.join(candidates.select(F.col("node").alias("rep"), "component"), "rep").select("component", "rep", "text").mapInArrow(run_sets, "component long, rep long, grams array<long>")
+    sets = sets.join(F.broadcast(large), "component", "left").withColumn("n_sub", F.coalesce("n_sub", F.lit(1))).withColumn("sub", F.pmod(F.xxhash64("rep"), "n_sub").cast("int"))
+    tiles = checkpoint(sets.groupBy("component", "sub", "n_sub").agg(F.collect_list(F.struct("rep", "grams")).alias("rows")))
+    left = tiles.select("component", F.col("rows").alias("left"), F.explode(F.sequence("sub", F.col("n_sub") - 1)).alias("sub"))
+    pairs = left.join(tiles.select("component", "sub", F.col("rows").alias("right")), ["component", "sub"]).select("left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, dst = [], []
+            for a, b in zip(batch.column(0), batch.column(1), strict=True):
+                x, y = _exact_forest(a, b, similarity)
+                src += x
+                dst += y
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return pairs.mapInArrow(run, "src long, dst long").where("src <> dst")
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the near copies of another document: of each group one row stays, that of the least document (the first of equal ones).
 
-    Texts are linked when fingerprints of 64 * words bits over shingles of five words lie within the radius, that is at a Jaccard similarity of about 0.8
-    or more. Texts without words hold nothing to compare and all stay. Only the numbers of the rows to go are joined to docs.
+    Texts are linked at a Jaccard similarity of their sets of five-word shingles of 0.8 or more. Fingerprints of 64 * words bits of the sets find candidates: components
+    at a radius that pairs at 0.8 hardly ever exceed. Within each the sets themselves are compared, and only what that links is a group.
+    Texts without words hold nothing to compare and all stay. Only the numbers of the rows to go are joined to docs.
     """
     marked = docs.withColumn("__at", F.monotonically_increasing_id())
     real = marked.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    prints = checkpoint(fingerprints(real, width, words, id_col="__at", tag_col="doc_id"))
-    groups = checkpoint(near_groups(prints, words, radius).select("doc_id", "tag", "component_id"))
+    prints = checkpoint(set_fingerprints(real, width, words, "__at", "doc_id"))
+    # equal sets are one representative
+    distinct = checkpoint(prints.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", *[f"w{k}" for k in range(words)])).alias("r")).select("s0", "s1", F.col("r.doc_id").alias("rep"), *[f"r.w{k}" for k in range(words)]))
+    candidates = checkpoint(connected_components(links(distinct.drop("s0", "s1"), words, radius)))
+    comps = connected_components(exact_links(real.select(F.col("__at").alias("rep"), "text"), candidates, width, similarity))
+    named = distinct.join(comps, distinct["rep"] == comps["node"], "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id"))
+    groups = checkpoint(prints.select("doc_id", "tag", "s0", "s1").join(named, ["s0", "s1"]).select("doc_id", "tag", "component_id"))
     stays = groups.groupBy("component_id").agg(F.min(F.struct("tag", "doc_id")).alias("s")).select(F.col("s.doc_id").alias("doc_id"))
     gone = groups.join(stays, "doc_id", "left_anti").select(F.col("doc_id").alias("__at"))
     return marked.join(gone, "__at", "left_anti").select(*docs.columns)
