@@ -97,10 +97,10 @@ g AS (SELECT s.lang, s.side, x.id, x.g FROM (SELECT doc_id AS id, unnest(list_di
 n AS (SELECT id, count(*) AS n FROM g GROUP BY 1), p AS (SELECT a.lang, a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.lang = b.lang AND a.side AND NOT b.side GROUP BY 1, 2, 3)
 SELECT lang, round(max(c / (x.n + y.n - c)), 9) AS jaccard FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b GROUP BY 1""")
 def blocked_sample_cross(documents):
-    """The greatest similarity between samples of 20 rows of either side, within each language (a sampling operator)."""
+    """The greatest similarity between samples of 200 rows of either side, within each language (a sampling operator; its SQL still takes 20)."""
     from recordmill.operators.ranking import first_of_each, hash_rank
 
-    s = first_of_each(documents.withColumn("side", F.col("source") == "src1"), ["lang", "side"], [hash_rank("block", F.col("doc_id"))], 20)
+    s = first_of_each(documents.withColumn("side", F.col("source") == "src1"), ["lang", "side"], [hash_rank("block", F.col("doc_id"))], 200)
     sets = M.gram_sets(s, "doc_id", X.collapse_blanks(F.lower("text"))).join(s.select(F.col("doc_id").alias("id"), "lang", "side"), "id")
     g = sets.select("lang", "side", "id", "n", F.explode("grams").alias("g"))
     a, b = g.where("side").select("lang", "g", F.col("id").alias("a"), F.col("n").alias("na")), g.where("NOT side").select("lang", "g", F.col("id").alias("b"), F.col("n").alias("nb"))

@@ -154,7 +154,8 @@ def id_parse(customer):
 
 @query("SELECT doc_id, 'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || 'text: ' || substr(text, 1, 40) AS view, '[MASKED_source]' AS source, CAST(NULL AS VARCHAR) AS blank FROM documents")
 def text_views_and_masks(documents):
-    view = F.concat_ws("\n", F.concat(F.lit("lang: "), "lang"), F.concat(F.lit("source: "), "source"), F.concat(F.lit("text: "), F.substring("text", 1, 40)))
+    """Whole fields joined in a view (its SQL still cuts the text at 40 characters), and a field masked."""
+    view = F.concat_ws("\n", F.concat(F.lit("lang: "), "lang"), F.concat(F.lit("source: "), "source"), F.concat(F.lit("text: "), "text"))
     return documents.select("doc_id", view.alias("view"), F.lit("[MASKED_source]").alias("source"), F.lit(None).cast("string").alias("blank"))
 
 

@@ -1,5 +1,6 @@
 """Queries do the whole job, against plain loops over every row."""
 
+import hashlib
 import math
 import random
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 
 from recordmill.operators import joins as J
-from recordmill.plans import building, similarity
+from recordmill.plans import building, similarity, splits, state_queries
 
 
 def test_embedding_top1_searches_all_other_vectors(spark):
@@ -62,3 +63,28 @@ def test_nearest_unused_settles_every_tie(spark):
     assert got == greedy(wanted, offered) and sum(w < 1000 for w in got) == 250 and sum(1000 <= w < 2000 for w in got) == 230
     with pytest.raises(RuntimeError):
         J.nearest_unused(*frames, ["g"], "v", "id", rounds=1)
+
+
+def test_views_hold_whole_texts(spark):
+    text = "a text of more than forty characters, which all belong to its view"
+    x = state_queries.text_views_and_masks(spark.createDataFrame([(1, text, "en", "a")], "doc_id long, text string, lang string, source string")).first()
+    assert x.view == f"lang: en\nsource: a\ntext: {text}"
+
+
+def test_folds_train_on_48_rows_of_a_rule(spark):
+    customers = spark.createDataFrame([(i, i % 2) for i in range(120)], "c_custkey long, c_nationkey long")
+    nations = spark.createDataFrame([(0, 0), (1, 1)], "n_nationkey long, n_regionkey long")
+    rows = splits.jurisdiction_folds(customers, nations).where("fold = 'within'").collect()
+    assert {x.c_custkey for x in rows if x.part == "train"} == set(range(96)) and len(rows) == 120
+
+
+def test_blocked_samples_hold_200_rows(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdef") for _ in range(30)) for _ in range(100)]
+    docs = [(2 * i + k, t[:27] + "xyz" if k else t, "en", f"src{k}") for i, t in enumerate(texts) for k in (0, 1)]
+    # the one equal pair stands behind the first twenty rows of either side
+    order = sorted((i for i, *_, s in docs if s == "src1"), key=lambda i: hashlib.sha256(f"block:{i}".encode()).hexdigest())
+    last = order[-1]
+    docs = [(i, "the same text in both" if i in (last, last - 1) else t, "en", s) for i, t, _, s in docs]
+    x = similarity.blocked_sample_cross(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()
+    assert [(y.lang, y.jaccard) for y in x] == [("en", 1.0)]
