@@ -3,8 +3,8 @@
 The merges run on a score-ordered agenda: a heap holds every adjacent symbol pair whose concatenation is a piece,
 best score first and leftmost among equals; popping the best pair joins it and queues its two new neighbours.
 Symbols that remain and are no pieces fall back to byte pieces. A text is cut where no merge can reach across
-(before a run of the space mark, around a line feed): every cut part is encoded once per Arrow batch and remembered
-up to MEMO parts, and each part new to the memo is checked against the sentencepiece library in that batch.
+(before a run of the space mark, around a line feed): every cut part is encoded once per slice and remembered within its task, in
+two halves of at most MEMO_BYTES / 2 together, and each part new to the memo is checked against the sentencepiece library in that slice.
 
 Defined results: a null text is an empty text; an empty text has no ids and decodes to an empty text; rows keep their
 other columns; repeated rows are encoded alike.
@@ -18,12 +18,15 @@ import re
 from collections.abc import Iterator
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from recordmill.llm.batches import slices
+
 SPACE = "▁"
-#: Parts that a Python worker remembers before it starts anew; a bound on its memory, not on the texts.
-MEMO = 800_000
+#: Bytes of parts that a task remembers, by an estimate of ENTRY bytes for each besides its characters; a bound on memory, not on the texts.
+MEMO_BYTES, ENTRY = 128 << 20, 160
 
 
 class MergeModel:
@@ -123,25 +126,27 @@ def _utf8(raw: bytes) -> str:
 
 
 PARTS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-_models: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """A model with the memo of parts: ids, their decimal text, their number and their decoded text."""
+    """A model with the memo of parts: the decimal text of each part's ids, and what a part decodes to where that isn't the part itself."""
 
-    def __init__(self, path: str):
-        self.model = MergeModel(path)
-        self.memo: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
+        self.model, self.most = MergeModel(path), memo_bytes // 2
+        self.memo: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
+        self.held = 0
 
     def parts(self, text: str) -> list[str]:
         return PARTS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Encode what the memo lacks and hold it against the library, in one call for the batch. The memo has two halves: when the newer
+        """Encode what the memo lacks and hold it against the library, in one call for the slice. The memo has two halves: when the newer
         is full it becomes the older, from which parts come back as they are met."""
-        if len(self.memo) > MEMO // 2:
-            self.older, self.memo = self.memo, {}
+        if self.held > self.most:
+            self.older, self.memo, self.held = self.memo, {}, 0
+            self.odd = {p: t for p, t in self.odd.items() if p in self.older}
         new = set().union(*texts).difference(self.memo)
         back = new.intersection(self.older)
         self.memo |= {p: self.older[p] for p in back}
@@ -151,7 +156,16 @@ class Encoder:
         for part, ids, theirs in zip(fresh, found, said, strict=True):
             if ids != theirs:
                 raise ValueError(f"agenda and library differ on {part!r}: {ids} and {theirs}")
-            self.memo[part] = (",".join([numbers[i] for i in ids]), len(ids), self.model.text(ids))
+            self.memo[part] = ",".join([numbers[i] for i in ids])
+            if (decoded := self.model.text(ids)) != part.replace(SPACE, " "):
+                self.odd[part] = decoded
+        self.held += ENTRY * len(new) + 2 * sum(map(len, new))
+
+    def decoded(self, parts: list[str]) -> str:
+        """What the ids of a text's parts decode to, without the space that encoding put before the first word."""
+        if self.odd and not self.odd.keys().isdisjoint(parts):
+            return "".join([self.odd.get(p) or p.replace(SPACE, " ") for p in parts])[1:]
+        return "".join(parts).replace(SPACE, " ")[1:]
 
     def _library(self, parts: list[str]) -> list[list[int]]:
         """The library's ids of parts as they stand inside a text: it would put a space mark before each, so a line feed is put there and the two leading ids dropped."""
@@ -159,65 +173,54 @@ class Encoder:
         return [x[len(lead) :] for x in self.model.library.encode(["\n" + p for p in parts], num_threads=1)]
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _models:
-        _models[path] = Encoder(path)
-    return _models[path]
-
-
-def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", ids: bool = False, check_whole: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", ids: bool = False, decoded: bool = False, check_whole: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256, decoded_sha256 and, if asked for, token_ids and decoded_text.
 
     check_whole also encodes and decodes every whole text with the library (about 2 MB a second and core) and raises where they differ.
     Clashing columns of docs are replaced.
     """
     made = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
-    if ids:
-        made |= {"token_ids": T.ArrayType(T.IntegerType()), "decoded_text": T.StringType()}
+    made |= {"token_ids": T.ArrayType(T.IntegerType())} if ids else {}
+    made |= {"decoded_text": T.StringType()} if decoded else {}
     kept = docs.drop(*made)
     schema = T.StructType([*kept.schema.fields, *(T.StructField(k, v) for k, v in made.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model_path)
+        enc = Encoder(model_path)
         for whole in batches:
-            at = 0
-            texts = whole.column(text_col)
-            while at < whole.num_rows:
-                n, size = 0, 0
-                while at + n < whole.num_rows and n < 512 and size < 1 << 20:  # work in slices of about a megabyte
-                    size += len(texts[at + n].as_py() or "")
-                    n += 1
-                yield _slice(enc, whole.slice(at, n), text_col, ids, check_whole)
-                at += n
+            for some in slices(whole, text_col):
+                yield _slice(enc, some, text_col, ids, decoded, check_whole)
 
     return kept.mapInArrow(run, schema)
 
 
-def _slice(enc: Encoder, rows: pa.RecordBatch, text_col: str, ids: bool, check_whole: bool) -> pa.RecordBatch:
+def _slice(enc: Encoder, rows: pa.RecordBatch, text_col: str, ids: bool = False, decoded: bool = False, check_whole: bool = False) -> pa.RecordBatch:
     texts = [x or "" for x in rows.column(text_col).to_pylist()]
     parts = [enc.parts(x) for x in texts]
     enc.learn(parts)
     n_tokens, ids_sha, decoded_sha, token_ids, decoded_text = [], [], [], [], []
-    for text, own in zip(texts, parts, strict=True):
-        got = [*map(enc.memo.__getitem__, own)]
-        numbers = ",".join([x[0] for x in got])
-        decoded = "".join([x[2] for x in got])[1:]
-        n_tokens.append(sum([x[1] for x in got]))
+    for own in parts:
+        numbers = ",".join([*map(enc.memo.__getitem__, own)])
+        text = enc.decoded(own)
+        n_tokens.append(numbers.count(",") + 1 if numbers else 0)
         ids_sha.append(hashlib.sha256(numbers.encode()).hexdigest())
-        decoded_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+        decoded_sha.append(hashlib.sha256(text.encode()).hexdigest())
         if ids or check_whole:
-            token_ids.append([*map(int, numbers.split(","))] if numbers else [])
-            decoded_text.append(decoded)
+            token_ids.append(np.fromstring(numbers, np.int32, sep=",") if numbers else np.zeros(0, np.int32))
+        if decoded or check_whole:
+            decoded_text.append(text)
     if check_whole:
         library = enc.model.library
         theirs = library.encode(texts, num_threads=1)
-        if theirs != token_ids or [library.decode(x) if x else "" for x in theirs] != decoded_text:
+        if theirs != [x.tolist() for x in token_ids] or [library.decode(x) if x else "" for x in theirs] != decoded_text:
             raise ValueError("agenda and library differ on a whole text")
-    columns = [pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-    if ids:
-        columns += [pa.array(token_ids, pa.list_(pa.int32())), pa.array(decoded_text, pa.string())]
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", "token_ids", "decoded_text"][: len(columns)]
-    return pa.RecordBatch.from_arrays([*rows.columns, *columns], names=[*rows.schema.names, *names])
+    columns = {"n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())}
+    if ids:  # straight into an Arrow buffer
+        stops = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32)
+        columns["token_ids"] = pa.ListArray.from_arrays(stops, pa.array(np.concatenate(token_ids) if token_ids else np.zeros(0, np.int32)))
+    if decoded:
+        columns["decoded_text"] = pa.array(decoded_text, pa.string())
+    return pa.RecordBatch.from_arrays([*rows.columns, *columns.values()], names=[*rows.schema.names, *columns])
 
 
 def op3(docs: DataFrame, model_path: str) -> DataFrame:
