@@ -8,7 +8,7 @@ The network is trained here, on the driver, on a fixed number of pages that a ge
 (menus, headers, footers, sidebars, notices, adverts, forms and reader comments around and inside articles).
 
 Defined results: a null or empty page and one without blocks give an empty text; unclosed and stray tags are tolerated; an
-unclosed comment, script or style runs to the end; white space inside a block, line breaks included, is one space; nothing is capped;
+unclosed comment, script or style, and a tag that never ends, run to the end; an unclosed quote stands for itself; the path of a block is that of its DEPTH innermost elements; white space inside a block, line breaks included, is one space; nothing is capped;
 repeated rows are labelled alike; an empty table gives an empty result; columns of the input that clash with results are replaced.
 """
 
@@ -17,78 +17,131 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from recordmill.llm.batches import slices
+
 PATH_DIM, WORD_DIM, HIDDEN = 128, 48, 16
 DIM = 2 * PATH_DIM + WORD_DIM + 4
 PAGES, EPOCHS, RATE = 600, 6, 0.015
-MEMO = 50_000
+#: Paths whose vectors a task remembers, elements of a path that are looked at, and blocks turned to vectors at once.
+MEMO, DEPTH, CHUNK = 5_000, 64, 2048
 
 # Elements of HTML by their part in the layout.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html iframe label legend li main nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg iframe".split())
 CLOSES_P = BLOCK - {"button", "label", "option", "select", "textarea"}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+STOP = re.compile("[<>\"']")
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+def tags_of(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, stop, name, attributes) of each tag, comment and raw element in order; the name of a closing tag begins with a slash, and comments,
+    declarations and raw elements have none.
+
+    One pass: what is read for a tag is part of it. A quote that is never closed stands for itself, a tag ends before a bare `<`, and one that
+    never ends runs to the end of the page.
+    """
+    at, open_quotes = 0, set()
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            stop = page.find("-->", start + 4)
+            at = len(page) if stop < 0 else stop + 3
+            yield start, at, "", ""
+            continue
+        if page.startswith(("<!", "<?"), start):
+            stop = page.find(">", start)
+            at = len(page) if stop < 0 else stop + 1
+            yield start, at, "", ""
+            continue
+        if (named := NAME.match(page, start + 1)) is None:
+            at = start + 1
+            continue
+        end = named.end()
+        while True:
+            m = STOP.search(page, end)
+            if m is None:
+                end = at = len(page)
+                break
+            if (c := m[0]) in "<>":
+                end, at = m.start(), m.end() - (c == "<")
+                break
+            closed = -1 if c in open_quotes else page.find(c, m.end())
+            if closed < 0:
+                open_quotes.add(c)
+            end = m.end() if closed < 0 else closed + 1
+        name = named[0].lower()
+        if name in RAW:
+            m = RAW_END[name].search(page, at)
+            at = len(page) if m is None else m.end()
+            yield start, at, "", ""
+        else:
+            yield start, at, name, page[named.end() : end]
+
+
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path, text, share of characters in links) of each block with text, in page order."""
+    """(path, text, share of characters in links) of each block with text, in page order. The path names the DEPTH innermost open elements."""
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, str]] = []  # tag, and tag with names
+    opened: Counter[str] = Counter()
     text: list[str] = []
-    linked = in_link = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
-            if joined and not any(t == "head" or t == "title" for t, _ in stack):
-                out.append((tuple(n for _, n in stack), joined, linked / max(1, sum(map(len, text)))))
+            if joined and not (opened["head"] or opened["title"]):
+                out.append((tuple([n for _, n in stack[-DEPTH:]]), joined, linked / max(1, sum(map(len, text)))))
             text.clear()
             linked = 0
 
+    def close(tag: str) -> None:
+        if opened[tag]:
+            top = ""
+            while top != tag:
+                top = stack.pop()[0]
+                opened[top] -= 1
+
     at = 0
-    for m in TAG.finditer(page):
-        if m.start() > at:
-            part = page[at : m.start()]
-            text.append(part)
-            if in_link:
-                linked += len(part)
-        at = m.end()
-        if m[3] is None:
+    for start, stop, tag, attributes in tags_of(page):
+        if start > at:
+            text.append(page[at:start])
+            if opened["a"]:
+                linked += start - at
+        at = stop
+        if not tag:
             continue
-        tag = m[3].lower()
         if tag == "br":
             text.append(" ")
             continue
-        if m[2]:
-            if tag in BLOCK:
+        if tag[0] == "/":
+            if tag[1:] in BLOCK:
                 flush()
-            if any(t == tag for t, _ in stack):
-                while (top := stack.pop()[0]) != tag:
-                    in_link -= top == "a"
-                in_link -= tag == "a"
+            close(tag[1:])
             continue
         if tag in BLOCK:
             flush()
-            if tag in CLOSES_P and any(t == "p" for t, _ in stack):
-                while (top := stack.pop()[0]) != "p":
-                    in_link -= top == "a"
+            if tag in CLOSES_P:
+                close("p")
             if stack and tag == stack[-1][0] and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                stack.pop()
+                close(tag)
         if tag in VOID:
             continue
         if tag == "body":
             stack = [x for x in stack if x[0] == "html"]
-        names = [x for g in NAMES.findall(m[4]) for x in re.split(r"[\s_-]+", "".join(g).lower()) if x] if m[4] else []
+            opened = Counter(t for t, _ in stack)
+        names = [x for g in NAMES.findall(attributes) for x in re.split(r"[\s_-]+", "".join(g).lower()) if x] if attributes else []
         stack.append((tag, " ".join([tag, *names])))
-        in_link += tag == "a"
+        opened[tag] += 1
     if at < len(page):
         text.append(page[at:])
     flush()
@@ -99,27 +152,25 @@ def _slot(token: str, size: int) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) % size
 
 
-_paths: dict[tuple[str, ...], np.ndarray] = {}
-
-
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     """Two bags of hashed tags and names: of the whole path, and of its last elements, weighted by nearness."""
-    if (found := _paths.get(path)) is None:
-        if len(_paths) > MEMO:
-            _paths.clear()
-        found = np.zeros(2 * PATH_DIM, np.float32)
-        for depth, names in enumerate(reversed(path)):
-            for x in names.split():
-                found[_slot(x, PATH_DIM)] = 1
-                found[PATH_DIM + _slot(x, PATH_DIM)] += 0.6**depth
-        _paths[path] = found
+    found = np.zeros(2 * PATH_DIM, np.float32)
+    for depth, names in enumerate(reversed(path)):
+        for x in names.split():
+            found[_slot(x, PATH_DIM)] = 1
+            found[PATH_DIM + _slot(x, PATH_DIM)] += 0.6**depth
     return found
 
 
-def features(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
-    out = np.zeros((len(blocks), DIM), np.float32)
+def features(blocks: list[tuple[tuple[str, ...], str, float]], paths: dict[tuple[str, ...], np.ndarray] | None = None) -> np.ndarray:
+    """(blocks, DIM); paths remembers the vectors of up to MEMO paths for the caller."""
+    out, paths = np.zeros((len(blocks), DIM), np.float32), {} if paths is None else paths
     for i, (path, text, links) in enumerate(blocks):
-        out[i, : 2 * PATH_DIM] = _path_vector(path)
+        if (own := paths.get(path)) is None:
+            if len(paths) >= MEMO:
+                paths.clear()
+            paths[path] = own = _path_vector(path)
+        out[i, : 2 * PATH_DIM] = own
         words = text.lower().split()
         slots = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) % WORD_DIM
         counts = np.bincount(slots, minlength=WORD_DIM)
@@ -140,13 +191,18 @@ class BlockLstm:
             self.p[f"v{d}"] = rng.normal(0, 1 / np.sqrt(h), (h, 1)).astype(np.float32)
         self.p["s"] = np.zeros((DIM, 1), np.float32)  # from the block itself to its label
 
-    def _layer(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """x (pages, blocks, DIM) to states (pages, blocks, h); padding leaves the state as it is."""
-        h, u = self.h, self.p[f"u{d}"]
-        drive = x @ self.p[f"x{d}"] + self.p[f"b{d}"]
-        out = np.zeros((*x.shape[:2], h), np.float32)
-        state, cell = np.zeros((len(x), h), np.float32), np.zeros((len(x), h), np.float32)
-        for t in range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1):
+    def drives(self, x: np.ndarray) -> np.ndarray:
+        """What blocks (..., DIM) put into the gates of both layers and into their own labels: (..., 8 h + 1)."""
+        w = np.concatenate([self.p["xf"], self.p["xb"], self.p["s"]], axis=1)
+        return x @ w + np.concatenate([self.p["bf"], self.p["bb"], self.p["o"]])
+
+    def _layer(self, drives: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
+        """drives (pages, blocks, 8 h + 1) to states (pages, blocks, h); padding leaves the state as it is."""
+        h, u, n = self.h, self.p[f"u{d}"], drives.shape[1]
+        drive = drives[..., : 4 * h] if d == "f" else drives[..., 4 * h : 8 * h]
+        out = np.zeros((*drives.shape[:2], h), drives.dtype)
+        state, cell = np.zeros((len(drives), h), drives.dtype), np.zeros((len(drives), h), drives.dtype)
+        for t in range(n) if d == "f" else range(n - 1, -1, -1):
             a = drive[:, t] + state @ u
             gates = 0.5 * (1 + np.tanh(0.5 * a[:, : 3 * h]))
             i, f, o, c = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :], np.tanh(a[:, 3 * h :])
@@ -160,22 +216,23 @@ class BlockLstm:
             out[:, t] = state
         return out
 
-    def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    def scores(self, drives: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Log odds that each block is main text."""
-        return (self._layer(x, mask, "f") @ self.p["vf"] + self._layer(x, mask, "b") @ self.p["vb"] + x @ self.p["s"] + self.p["o"])[..., 0]
+        return (self._layer(drives, mask, "f") @ self.p["vf"] + self._layer(drives, mask, "b") @ self.p["vb"])[..., 0] + drives[..., -1]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         kept: dict[str, list] = {"f": [], "b": []}
-        states = {d: self._layer(x, mask, d, kept[d]) for d in "fb"}
-        score = (states["f"] @ self.p["vf"] + states["b"] @ self.p["vb"] + x @ self.p["s"] + self.p["o"])[..., 0]
-        err = ((0.5 * (1 + np.tanh(0.5 * score)) - labels) * mask / mask.sum())[..., None].astype(np.float32)
+        drives = self.drives(x)
+        states = {d: self._layer(drives, mask, d, kept[d]) for d in "fb"}
+        score = (states["f"] @ self.p["vf"] + states["b"] @ self.p["vb"])[..., 0] + drives[..., -1]
+        err = ((0.5 * (1 + np.tanh(0.5 * score)) - labels) * mask / mask.sum())[..., None].astype(x.dtype)
         grads = {"o": err.sum((0, 1)), "s": np.tensordot(x, err, ([0, 1], [0, 1]))}
         h = self.h
         for d in "fb":
             u, down = self.p[f"u{d}"], err @ self.p[f"v{d}"].T
             grads[f"v{d}"] = np.tensordot(states[d], err, ([0, 1], [0, 1]))
-            gu, da_all = np.zeros_like(u), np.zeros((*x.shape[:2], 4 * h), np.float32)
-            dstate, dcell = np.zeros((len(x), h), np.float32), np.zeros((len(x), h), np.float32)
+            gu, da_all = np.zeros_like(u), np.zeros((*x.shape[:2], 4 * h), x.dtype)
+            dstate, dcell = np.zeros((len(x), h), x.dtype), np.zeros((len(x), h), x.dtype)
             for t, state, cell, i, f, o, c, squashed, live in reversed(kept[d]):
                 dstate = dstate + down[:, t]
                 own = np.where(live, dstate, 0)
@@ -211,7 +268,7 @@ class BlockLstm:
 
 def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     longest = max(map(len, pages))
-    x, mask = np.zeros((len(pages), longest, DIM), np.float32), np.zeros((len(pages), longest), bool)
+    x, mask = np.zeros((len(pages), longest, pages[0].shape[1]), pages[0].dtype), np.zeros((len(pages), longest), bool)
     for i, p in enumerate(pages):
         x[i, : len(p)], mask[i, : len(p)] = p, True
     return x, mask
@@ -325,9 +382,10 @@ def trained(pages: int = PAGES, seed: int = 21) -> BlockLstm:
     return BlockLstm().fit(data)
 
 
-def main_texts(model: BlockLstm, pages: list[str]) -> list[str]:
+def main_texts(model: BlockLstm, pages: list[str], paths: dict[tuple[str, ...], np.ndarray] | None = None) -> list[str]:
     """The main text of each page; pages of like length are read together."""
-    cut = [blocks_of(p) for p in pages]
+    cut, paths = [blocks_of(p) for p in pages], {} if paths is None else paths
+    drives = [np.concatenate([model.drives(features(own[k : k + CHUNK], paths)) for k in range(0, len(own), CHUNK)]) if own else None for own in cut]
     out = [""] * len(pages)
     order = sorted((i for i in range(len(pages)) if cut[i]), key=lambda i: len(cut[i]))
     k = 0
@@ -336,8 +394,7 @@ def main_texts(model: BlockLstm, pages: list[str]) -> list[str]:
         while k + n < len(order) and n < 64 and (n + 1) * len(cut[order[k + n]]) <= 8192:
             n += 1
         some = order[k : k + n]
-        x, mask = _padded([features(cut[i]) for i in some])
-        score = model.scores(x, mask)
+        score = model.scores(*_padded([drives[i] for i in some]))
         for row, i in enumerate(some):
             out[i] = "\n".join([b[1] for b, s in zip(cut[i], score[row], strict=False) if s > 0])
         k += n
@@ -351,10 +408,10 @@ def extract(pages: DataFrame, model: BlockLstm | None = None, html_col: str = "h
     rows = pages.select(*kept, F.col(html_col).alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths: dict[tuple[str, ...], np.ndarray] = {}
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                some = whole.slice(k, 256)
-                texts = main_texts(model, [x or "" for x in some.column(len(kept)).to_pylist()])
+            for some in slices(whole, len(kept), most=4 << 20, rows=256):
+                texts = main_texts(model, [x or "" for x in some.column(len(kept)).to_pylist()], paths)
                 yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*kept, "text", "n_chars"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*kept).schema.fields)
