@@ -3,7 +3,7 @@
 Every text gives base spans of three fixed kinds and candidate tokens of mixed letters and digits. Candidates are
 hashed; the hashes are aggregated over the corpus to the number of distinct repositories and owners that hold each.
 A hash that many owners hold is a copied example; one held by at most max_owners is live-looking and its spans are
-added, as kind "owned", to the base spans, which always stay. Base spans get the same verdict in base_live.
+added, as kind "owned", to the base spans, which always stay and carry the same verdict in their field live.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned each on their own and count once for
 their repository; a null owner or repository counts as one of its own kind; empty tables give empty results;
@@ -16,10 +16,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from recordmill.llm.batches import slices
 from recordmill.session import stored
 
 # The base kinds, in their order. ASCII letters only, in either case where IGNORECASE stands.
@@ -36,6 +38,8 @@ MAY_TOKEN = r"[A-Za-z0-9+/_\-]{20}"
 #: A candidate token: 20 or more characters of the key alphabets that hold a digit, a lower-case and an upper-case letter.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}(?![A-Za-z0-9+/_\-])")
 MIXED = (re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]"))
+#: The same for the JVM, in one pattern.
+HAS_TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])(?=[A-Z0-9+/_\-]*+[a-z])(?=[a-z0-9+/_\-]*+[A-Z])[A-Za-z0-9+/_\-]{20}"
 
 FOUND = "array<struct<kind:int,start:int,stop:int,hash:string>>"
 FOUND_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("hash", pa.string())]))
@@ -55,13 +59,23 @@ def spans_of(text: str, assign: bool = True, access: bool = True, hexes: bool =
     if hexes:
         out += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
     if tokens:
-        base = sorted((a, b) for _, a, b, _ in out)
+        base, k = sorted((a, b) for _, a, b, _ in out), 0
+        reach = -1  # the furthest end of the base spans that start before the end of the token
         for m in TOKEN.finditer(text):
-            if all(p.search(m[0]) for p in MIXED) and not any(a < m.end() and m.start() < b for a, b in base):
+            while k < len(base) and base[k][0] < m.end():
+                reach = max(reach, base[k][1])
+                k += 1
+            if reach <= m.start() and all(p.search(m[0]) for p in MIXED):
                 out.append((3, m.start(), m.end(), m[0]))
     return [(k, a, b, _hash(v)) for k, a, b, v in sorted(out, key=lambda x: (x[1], x[0]))]
 
 
+def _may(texts: pa.Array) -> list[np.ndarray]:
+    """Of each text, whether it may hold spans of each kind."""
+    found = pc.match_substring_regex(texts, MAY_ASSIGN), pc.match_substring(texts, MAY_ACCESS), pc.match_substring_regex(texts, MAY_HEX), pc.match_substring_regex(texts, MAY_TOKEN)
+    return [pc.fill_null(x, False).to_numpy(zero_copy_only=False) for x in found]
+
+
 def scan(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys and found (all base and candidate spans) of every row; texts stay in their batch."""
     rows = docs.select(*keys, F.col(text_col).alias("__text"))
@@ -70,10 +84,9 @@ def scan(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(keys))
-            may = [pc.fill_null(x, False).to_numpy(zero_copy_only=False) for x in (pc.match_substring_regex(texts, MAY_ASSIGN), pc.match_substring(texts, MAY_ACCESS), pc.match_substring_regex(texts, MAY_HEX), pc.match_substring_regex(texts, MAY_TOKEN))]
-            some = may[0] | may[1] | may[2] | may[3]
+            may = _may(texts)
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for i in some.nonzero()[0]:
+            for i in np.logical_or.reduce(may).nonzero()[0]:
                 found[i] = [dict(zip(("kind", "start", "stop", "hash"), x, strict=True)) for x in spans_of(texts[i].as_py(), *(bool(m[i]) for m in may))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(found, FOUND_ARROW)], names=[*keys, "found"])
 
@@ -118,40 +131,40 @@ def op7(docs: DataFrame, max_owners: int = 1) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_written("base"), 256).alias("base_sha256"), _written("spans").alias("spans"))
 
 
-def masked(docs: DataFrame, max_owners: int = 1, text_col: str = "text") -> DataFrame:
+def masked(docs: DataFrame, max_owners: int = 1, text_col: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
     """docs with every base span and every owner-specific candidate of each text replaced by its kind in angle brackets.
 
-    The stage of a pipeline: no document goes. The ownership table is aggregated from small rows; the texts are read once more and
-    joined with nothing: verdicts of candidates come by a join on (document, text hash) only for the rows that have candidates.
+    The stage of a pipeline: no document goes. Ownership is aggregated from hashes alone. Rows without a candidate token need only their base spans, which are
+    found again as they are masked, so they pass without a shuffle; rows with candidates are joined with the hashes of theirs that are live.
     """
-    live = ownership(scan(docs, ["doc_id", "source"], text_col), "doc_id", "source").where(F.col("n_owners") <= max_owners).select("hash")
+    holds = F.coalesce(F.col(text_col).rlike(HAS_TOKEN), F.lit(False))
+    some = _with_row(docs.where(holds), repository, text_col)
+    live = ownership(scan(docs, [repository, owner], text_col), repository, owner).where(F.col("n_owners") <= max_owners).select("hash")
+    tokens = scan(some, ["__row"], text_col).select("__row", F.explode(F.filter("found", lambda f: f["kind"] == 3)).alias("f")).select("__row", F.col("f.hash").alias("hash"))
+    own = tokens.distinct().join(live, "hash").groupBy("__row").agg(F.collect_list("hash").alias("__live"))
+    none = F.array().cast("array<string>")
+    joined = some.join(own, "__row", "left").drop("__row").withColumn("__live", F.coalesce("__live", none))
     fields = docs.columns
-    marked = _with_row(docs)
-    found = scan(marked, ["__row"], text_col)
-    each = found.select("__row", F.explode("found").alias("f")).select("__row", "f.*")
-    owned = each.join(live, "hash", "left_semi").select("__row", "start", "kind", "stop")
-    base = each.where("kind < 3").select("__row", "start", "kind", "stop")
-    spans = owned.union(base).distinct().groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop"))).alias("__spans"))
-    joined = marked.join(spans, "__row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, cuts = batch.column(batch.schema.get_field_index(text_col)), batch.column(batch.schema.get_field_index("__spans"))
-            new = texts.to_pylist()
-            for i, some in enumerate(cuts.to_pylist()):
-                if some:
-                    out, at = [], 0
-                    for s in some:
-                        if s["stop"] > at:
-                            out += [new[i][at : max(at, s["start"])], f"<{KINDS[s['kind']]}>" if s["start"] >= at else ""]
-                            at = s["stop"]
+        for whole in batches:
+            for batch in slices(whole, fields.index(text_col)):
+                new = batch.column(fields.index(text_col)).to_pylist()
+                may = _may(batch.column(fields.index(text_col)))
+                hashes = batch.column(len(fields)).to_pylist()
+                for i in np.logical_or.reduce(may).nonzero()[0]:
+                    known, out, at = set(hashes[i]), [], 0
+                    for kind, start, stop, value in spans_of(new[i], *(bool(m[i]) for m in may)):
+                        if (kind < 3 or value in known) and stop > at:
+                            out += [new[i][at : max(at, start)], f"<{KINDS[kind]}>" if start >= at else ""]
+                            at = stop
                     new[i] = "".join([*out, new[i][at:]])
-            cols = [pa.array(new, pa.string()) if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in fields]
-            yield pa.RecordBatch.from_arrays(cols, names=fields)
+                cols = [pa.array(new, pa.string()) if c == text_col else batch.column(k) for k, c in enumerate(fields)]
+                yield pa.RecordBatch.from_arrays(cols, names=fields)
 
-    return joined.mapInArrow(run, docs.schema)
+    return docs.where(~holds).withColumn("__live", none).mapInArrow(run, docs.schema).union(joined.mapInArrow(run, docs.schema))
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
+def _with_row(docs: DataFrame, repository: str, text_col: str) -> DataFrame:
     """docs with __row, a key of the document and its text: equal rows share their spans."""
-    return docs.withColumn("__row", F.struct(F.col("doc_id").alias("a"), F.xxhash64("text").alias("b"), F.length("text").alias("c")))
+    return docs.withColumn("__row", F.struct(F.col(repository).alias("a"), F.xxhash64(text_col).alias("b"), F.length(text_col).alias("c")))
