@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recordmill.operators.components import connected_components
-from recordmill.session import checkpoint
+from recordmill.session import checkpoint, stored
 
 SEED = 42
 #: Fingerprints in a tile on average, and comparisons held at once.
@@ -301,9 +301,10 @@ def one_of_each_group(docs: DataFrame, width: int = 5, words: int = WIDE_WORDS,
 
     Texts are linked at a Jaccard similarity of their sets of five-word shingles of 0.8 or more. Fingerprints of 64 * words bits of the sets find candidates: components
     at a radius that pairs at 0.8 hardly ever exceed. Within each the sets themselves are compared, and only what that links is a group.
-    Texts without words hold nothing to compare and all stay. Only the numbers of the rows to go are joined to docs.
+    Texts without words hold nothing to compare and all stay. Rows are numbered in a written table, so that a task that runs again sees the same
+    numbers, and only the numbers of the rows to go are joined to it.
     """
-    marked = docs.withColumn("__at", F.monotonically_increasing_id())
+    marked = stored(docs.withColumn("__at", F.monotonically_increasing_id()), "numbered")
     real = marked.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     prints = checkpoint(set_fingerprints(real, width, words, "__at", "doc_id"))
     # equal sets are one representative
