@@ -6,8 +6,8 @@ share of equal places, an estimate of the Jaccard similarity. near_groups() join
 the exact Jaccard similarity of what shares a band.
 
 Defined results: a null text is an empty text; a text of fewer words than a shingle is one shingle; texts without words share
-one signature; equal texts have equal signatures; rows that repeat a doc_id follow each other in the order of their
-texts; a null doc_id comes first; the row after the last is the first, so that a single row follows itself; an empty table
+one signature; equal texts have equal signatures; rows that repeat a doc_id follow each other in the order of the
+hashes of their texts; a null doc_id comes first; the row after the last is the first, so that a single row follows itself; an empty table
 gives an empty result; columns of the input that clash with results are not read.
 """
 
@@ -89,8 +89,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     results and are put together by the partitions' numbers afterwards, so no task sees more than its range."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
