@@ -58,12 +58,58 @@ def test_blocks_of_awkward_pages():
     assert cut("plain & text") == ["plain & text"]
 
 
+def test_hostile_pages_take_seconds():
+    import time
+
+    start = time.time()
+    for page in ('<a href="x>' + "y" * 1_000_000, '<a "' * 250_000, "<a '>'" * 150_000 + '"', "<div>" * 200_000 + "x", "<div><p>a" * 60_000 + "</div>" * 60_000, "<!-- " * 100_000, "<script>" * 100_000, "</b>" * 250_000, "< <" * 300_000):
+        html.blocks_of(page)
+    assert time.time() - start < 30
+    n = 30_000
+    assert html.main_texts(html.BlockLstm(), ["<p>word</p>" * n + "<i <b>end"])[0].count("\n") < n
+    assert [t for _, t, _ in html.blocks_of("<p title='a>b<c'>x<i y<b z>w")] == ["xw"]
+
+
+def plain_lstm(net, x):
+    """Log odds of each block, one block and one gate at a time."""
+    h, score = net.h, x @ net.p["s"][:, 0] + net.p["o"][0]
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+    for d in "fb":
+        state, cell = np.zeros(h), np.zeros(h)
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            i, f, o, c = (x[t] @ net.p[f"x{d}"][:, k * h : (k + 1) * h] + net.p[f"b{d}"][k * h : (k + 1) * h] + state @ net.p[f"u{d}"][:, k * h : (k + 1) * h] for k in range(4))
+            cell = sigmoid(f) * cell + sigmoid(i) * np.tanh(c)
+            state = sigmoid(o) * np.tanh(cell)
+            score[t] += state @ net.p[f"v{d}"][:, 0]
+    return score
+
+
+def test_block_network_equals_a_plain_pass_and_differences():
+    rng, net = np.random.default_rng(6), html.BlockLstm(hidden=4)
+    net.p = {k: v.astype(np.float64) + 0.05 * rng.normal(size=v.shape) for k, v in net.p.items()}
+    pages = [rng.normal(size=(n, html.DIM)) for n in (7, 3)]
+    x, mask = html._padded(pages)
+    got = net.scores(net.drives(x), mask)
+    for k, page in enumerate(pages):
+        assert np.abs(got[k, : len(page)] - plain_lstm(net, page)).max() < 1e-9
+    labels = rng.integers(0, 2, mask.shape).astype(np.float64)
+    loss = lambda: (np.logaddexp(0, s := net.scores(net.drives(x), mask)) - labels * s)[mask].mean()
+    for name, g in net.gradients(x, mask, labels).items():
+        at = tuple(rng.integers(0, n) for n in net.p[name].shape)
+        net.p[name][at] += 1e-5
+        up = loss()
+        net.p[name][at] -= 2e-5
+        down = loss()
+        net.p[name][at] += 1e-5
+        assert abs((up - down) / 2e-5 - g[at]) < 1e-6, name
+
+
 def test_block_labels():
     model, rng, hits, n = html.trained(), np.random.default_rng(99), 0, 0
     for _ in range(60):
         page, labels = html.laid_out(rng)
         x, mask = html._padded([html.features(html.blocks_of(page))])
-        hits += int(((model.scores(x, mask)[0] > 0) == np.array(labels)).sum())
+        hits += int(((model.scores(model.drives(x), mask)[0] > 0) == np.array(labels)).sum())
         n += len(labels)
     assert hits / n > 0.99
 

@@ -34,7 +34,7 @@ def test_language_gradients_match_differences():
     loss = lambda: -np.log(net.probabilities(rows)[:, np.arange(7), labels]).mean()
     grads = net.gradients(rows, labels)
     for k, v in net.p.items():
-        at = (int(rows[0, 1]), 3) if k[0] == "x" else tuple(rng.integers(0, s) for s in v.shape)
+        at = (int(rng.integers(0, 3)), int(rows[0, 1]), 3) if k[0] == "x" else tuple(rng.integers(0, s) for s in v.shape)
         v[at] += 1e-3
         up = loss()
         v[at] -= 2e-3
@@ -43,6 +43,43 @@ def test_language_gradients_match_differences():
         assert abs((up - down) / 2e-3 - grads[k][at]) < 1e-4
 
 
+def plain_gru(net, text):
+    """Language probabilities of each position, one step and one number at a time."""
+    h, states = net.h, {}
+    for d in "fb":
+        x, u, state, out = net.p[f"x{d}"].astype(float), net.p[f"u{d}"].astype(float), np.zeros(h), {}
+        for t in range(len(text)) if d == "f" else reversed(range(len(text))):
+            z, r = (np.clip(0.5 + 0.25 * (x[k, text[t]] + state @ u[k]), 0, 1) for k in (0, 1))
+            cand = np.tanh(x[2, text[t]] + r * (state @ u[2]))
+            out[t] = state = z * state + (1 - z) * cand
+        states[d] = out
+    logits = [states["f"][t] @ net.p["vf"] + states["b"][t] @ net.p["vb"] + net.p["c"] for t in range(len(text))]
+    return [np.exp(x) / np.exp(x).sum() for x in logits]
+
+
+def test_language_labels_equal_a_plain_pass():
+    rng = np.random.default_rng(2)
+    net = langid.ByteGru(["a", "b", "c"], hidden=5)
+    text = bytes(rng.integers(97, 123, 40).astype(np.uint8).tolist())
+    plain = plain_gru(net, text)
+    assert np.abs(net.probabilities(np.frombuffer(text, np.uint8)[None])[:, 0] - plain).max() < 1e-5
+    # a text within one window, blanks around it, and a long one whose windows overlap
+    margin, core = 4, 64
+    inside = plain_gru(net, b" " * margin + text + b" " * (core - len(text) + margin))[margin : margin + len(text)]
+    assert np.abs(net.pooled([text], core, margin)[0] - np.mean(inside, axis=0)).max() < 1e-5
+    pieces = [(0, 0, 16), (16, 16, 32), (24, 32, 40)]  # start of a window, labelled from, to
+    whole = b" " * margin + text + b" " * margin
+    labels = [plain_gru(net, whole[s : s + 16 + 2 * margin])[margin + i - s] for s, a, b in pieces for i in range(a, b)]
+    assert np.abs(net.pooled([text], 16, margin)[0] - np.mean(labels, axis=0)).max() < 1e-5
+
+
+def test_language_ties_and_no_labels(spark):
+    assert all((r.lang_pred, r.score) == ("und", 0.0) for r in langid.op1(docs(spark, [(1, "some text", None, "a", 9), (2, "more", None, "a", 4)])).collect())
+    net = langid.ByteGru(["x", "y"])
+    net.p = {k: v * 0 for k, v in net.p.items()}
+    assert {(r.lang_pred, r.score) for r in langid.identify(docs(spark, [(1, "tie", "x", "a", 3)]), net).collect()} == {("x", 0.5)}
+
+
 def test_language_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = langid.op1(d).join(d.select("doc_id", "lang"), "doc_id").collect()
@@ -82,11 +119,33 @@ def test_encoding_equals_the_library():
     r = random.Random(1)
     alphabet = " \n\t▁abé́中文\U0001f600\x00<>0x41　…tion the  "
     texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(0, 60))) for _ in range(3000)] + ["a" * 3000, " " * 2000, None, "", LONG, *(t[1] for t in DOCS)]
-    enc = encoding.encoder(MODEL)
-    encoding._slice(enc, pa.RecordBatch.from_pydict({"text": texts}), "text", True, True)  # raises where they differ
+    enc = encoding.Encoder(MODEL)
+    encoding._slice(enc, pa.RecordBatch.from_pydict({"text": texts}), "text", True, True, True)  # raises where they differ
     for t in texts[:500]:
-        ids = [int(x) for p in enc.parts(t or "") for x in enc.memo[p][0].split(",")]
-        assert enc.model.decode(ids) == enc.model.library.decode(ids)
+        ids = [int(x) for p in enc.parts(t or "") for x in enc.memo[p].split(",")]
+        assert enc.model.decode(ids) == enc.model.library.decode(ids) == enc.decoded(enc.parts(t or ""))
+
+
+def test_small_memo_changes_nothing():
+    import pyarrow as pa
+
+    whole, small = encoding.Encoder(MODEL), encoding.Encoder(MODEL, memo_bytes=20_000)
+    for k in range(30):  # the memo turns over many times
+        rows = pa.RecordBatch.from_pydict({"text": [" ".join(f"wort{(i * k) % 977} le{i % 13}" for i in range(200)), "", None, "x\ny"]})
+        assert encoding._slice(whole, rows, "text", True, True).equals(encoding._slice(small, rows, "text", True, True))
+        assert small.held <= 20_000 // 2 + 100_000 and len(small.memo) < 500
+    assert small.older
+
+
+def test_slices_hold_all_rows_in_bounded_bytes():
+    import pyarrow as pa
+
+    from recordmill.llm.batches import slices
+
+    texts = ["x" * n for n in (0, 5, 3, 100, 1, 1, 1, 30)] + [None, "", "yy"]
+    rows = pa.RecordBatch.from_pydict({"text": texts})
+    cut = [x.column(0).to_pylist() for x in slices(rows, "text", most=10, rows=4)]
+    assert [t for c in cut for t in c] == texts and all(len(c) == 1 or (len(c) <= 4 and sum(len(t or "") for t in c) <= 10) for c in cut)
 
 
 def plain_fingerprint(text):
@@ -152,12 +211,36 @@ def test_secrets_equal_plain_patterns(spark):
     assert got[31].spans == "" and got[30].spans.startswith("owned:") and got[30].spans.count(":") == 2
 
 
+def test_many_spans_in_one_text_take_seconds():
+    import time
+
+    text = "password=abcdefgh1 Zx9Yw8Vu7Ts6Rq5Po4Nm3 " * 100_000
+    start, found = time.time(), None
+    found = secrets.spans_of(text)
+    assert len(found) == 200_000 and time.time() - start < 20
+    assert [x[:3] for x in found[:3]] == [(0, 0, 18), (3, 19, 40), (0, 41, 59)]
+
+
+def test_token_patterns_of_both_sides_agree(spark):
+    import random
+
+    r = random.Random(4)
+    texts = ["".join(r.choice(["aB", "3", "-", " ", "xyz", "Q7", "é", "/", "aaaaaaa", "BBBBBBB", "0000000"]) for _ in range(r.randrange(1, 25))) for _ in range(800)]
+    df = docs(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    got = {x.doc_id for x in df.where(df.text.rlike(secrets.HAS_TOKEN)).collect()}
+    assert got == {i for i, t in enumerate(texts) if any(k == 3 for k, *_ in secrets.spans_of(t, False, False, False))} and 100 < len(got) < 700
+
+
 def test_masking_keeps_documents_and_hides_secrets(spark):
     out = secrets.masked(docs(spark)).collect()
     assert len(out) == len(DOCS)
     text = next(r.text for r in out if r.doc_id == 10)
     assert "0123456789abcdef" not in text and "<assign>" in text
     assert next(r.text for r in out if r.doc_id == 6) == LONG
+    rows = [(i, f"sample Zx9Yw8Vu7Ts6Rq5Po4Nm3 and mine aB3dE5gH7jK9mN1pQ{i}sT5", "en", f"s{i}", 1) for i in range(3)]
+    rows += [rows[0], (9, "passwd: q1w2e3r4t5", "en", "s9", 1)]
+    got = sorted((r.doc_id, r.text) for r in secrets.masked(docs(spark, rows)).collect())
+    assert got == sorted([(i, "sample Zx9Yw8Vu7Ts6Rq5Po4Nm3 and mine <owned>") for i in (0, 0, 1, 2)] + [(9, "<assign>")])
 
 
 def test_licenses_found_in_lines_and_texts(spark):
