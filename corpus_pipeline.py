@@ -2,6 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the docs of the next.
 All but the last return the columns of documents.
+
+Defined results, for every stage: an empty table gives an empty result of the same columns; columns that clash with those made on the way are kept as they
+are; rows that repeat are judged alike. By stage:
+
+- language ID: texts that are null, empty or without letters are no text of any language and go; where no row has a label nothing can be told, and all go.
+- near-dedup: null and empty texts stay; of equal rows one stays, and of a group the row of the least doc_id, a null one before any other.
+- secret scans: null and empty texts stay as they are; n_chars of a null text is null; equal rows are masked alike.
+- source mixing: a null source is a source of its own; a null n_chars counts as 0; rows that repeat a doc_id draw the same count.
+- encoding: a null text is an empty text, of no tokens.
+
+Texts are never cut, however long.
 """
 
 from __future__ import annotations
