@@ -1,52 +1,91 @@
 """Masked pseudo-likelihood scoring by a bidirectional window network (operator 9).
 
-Words are counted over the whole corpus; the COMMON most frequent are tokens of their own and every other word is one of BUCKETS
-hashed tokens. The network predicts a token from the SIDE tokens on its left and on its right: an embedding for
-each place of the window, a tanh layer, and a two-level softmax (cluster, then token). It is written and trained in numpy.
+All words of the corpus are counted. The COMMON most frequent are tokens of their own; every other word belongs to one of BUCKETS hashed tokens, and its
+probability is that of its bucket in the place where it stands, by the network, times its own share of the bucket, by the counts. The network
+predicts a token from the SIDE tokens on its left and on its right: an embedding for each place of the window, a tanh layer, and a two-level softmax
+(cluster, then token). It is written and trained in numpy.
 
-Training is distributed: in each of ROUNDS rounds every partition starts from the common weights and descends on masked positions drawn
-from all its documents, and the weights of all partitions are averaged by their numbers of positions, in a tree of
-Spark tasks. The score of a document is the sum of the log probabilities of all its tokens, each given both sides.
+Shares are those of the other documents: a document's own occurrences are left out, and UNSEEN is added to each word's count and once for a word that is
+new. So a rare word that occurs nowhere else costs its document about log(1 / UNSEEN) more than one that does, however large the corpus is. The counts
+grow with the corpus and are never gathered: a partition of documents is joined with the counts of the words that it shares with other partitions.
+
+Training is distributed: in each of ROUNDS rounds every partition starts from the common weights and descends on masked positions of
+all its documents (a share MASKED, drawn by the hash of text and place, other places in every round), and the weights of all partitions are averaged by their
+numbers of positions, in a tree of Spark tasks. The score of a document is the sum of the log probabilities of all its words, each given both sides.
 
 Defined results: a null or empty text has no tokens, score 0 and a null mean; words past either end are a padding token;
-repeated rows are scored alike; an empty corpus leaves the initial weights; columns of the input that clash with results are
-replaced. Weights depend on how the rows are partitioned, as averages of local descents do.
+repeated rows are scored alike (each counts the others' words as another document's); an empty corpus leaves the initial weights; columns of the
+input that clash with results are replaced. Weights depend on how the rows are partitioned, as averages of local descents do.
 """
 
 from __future__ import annotations
 
-import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from recordmill.session import stored
 
 COMMON, BUCKETS, CLUSTERS, HIDDEN, SIDE = 1536, 512, 64, 16, 3
 TOKENS = COMMON + BUCKETS
-MASKED, ROUNDS, RATE, BATCH = 0.04, 2, 0.1, 1024
+MASKED, ROUNDS, RATE, BATCH = 0.15, 2, 0.1, 2048
+#: The count of a word that no other document holds.
+UNSEEN = 0.1
 MEMO = 300_000
 FAN_IN = 8
+#: Steps of a doubling of the counts by which the most frequent words are set apart before they are put in order.
+OCTAVE = 16
+
+
+def word_hash(word: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 class Ids(dict):
-    """Token of a word; hashed tokens are remembered up to MEMO."""
+    """A common word's number, or COMMON and the place of its hash for any other word; words are remembered up to MEMO."""
 
-    def __init__(self, common: list[str]):
-        super().__init__((w, i) for i, w in enumerate(common))
-        self.common = common
+    def __init__(self, common: dict[int, int]):
+        super().__init__()
+        self.common, self.hashes = common, array("Q")
 
     def __missing__(self, word: str) -> int:
-        if len(self) > MEMO:
-            self.clear()
-            self.update((w, i) for i, w in enumerate(self.common))
-        self[word] = i = COMMON + zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+        h = word_hash(word)
+        if (i := self.common.get(h)) is None:
+            i = COMMON + len(self.hashes)
+            self.hashes.append(h)
+        self[word] = i
         return i
 
-    def of(self, text: str) -> np.ndarray:
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of a text, and the hashes of its words that aren't common, in order."""
+        if len(self) > MEMO:
+            self.clear()
+            self.hashes = array("Q")
         words = text.lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        ids = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        rare = ids >= COMMON
+        hashes = np.frombuffer(self.hashes, np.uint64)[ids[rare] - COMMON] if rare.any() else np.zeros(0, np.uint64)
+        ids[rare] = COMMON + bucket_of(hashes)
+        return ids, hashes
+
+
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def masked_at(text: str, n: int, share: float, turn: int) -> np.ndarray:
+    """The positions of a text of n words that this round learns from, by the hash of text and place; rounds have different ones."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(word_hash(text))
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    u = (x >> np.uint64(40)).astype(np.float64) / (1 << 24)
+    return np.nonzero((u - turn * share) % 1.0 < share)[0]
 
 
 def windows(ids: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -68,6 +107,17 @@ def _log_softmax(hidden: np.ndarray, w: np.ndarray, c: np.ndarray, at: np.ndarra
     return out
 
 
+def _errors(hidden: np.ndarray, w: np.ndarray, c: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Probabilities of all outcomes less one at the right one."""
+    z = hidden @ w
+    z += c
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    z[np.arange(len(at)), at] -= 1
+    return z
+
+
 class WindowNet:
     def __init__(self, seed: int = 4):
         rng, h, k, m = np.random.default_rng(seed), HIDDEN, CLUSTERS, TOKENS // CLUSTERS
@@ -79,57 +129,57 @@ class WindowNet:
 
     def _hidden(self, near: np.ndarray) -> np.ndarray:
         e = self.p["e"]
-        return np.tanh(sum((e[o][near[:, o]] for o in range(1, 2 * SIDE)), e[0][near[:, 0]]) + self.p["b"])
+        total = e[0].take(near[:, 0], axis=0)
+        for o in range(1, 2 * SIDE):
+            total += e[o].take(near[:, o], axis=0)
+        total += self.p["b"]
+        return np.tanh(total, out=total)
+
+    def _by_cluster(self, cluster: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(cluster.astype(np.int16), kind="stable")
+        ends = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
+        for k in range(CLUSTERS):
+            if ends[k] < ends[k + 1]:
+                yield k, order[ends[k] : ends[k + 1]]
 
     def log_probabilities(self, near: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Of each token given its window."""
         m = TOKENS // CLUSTERS
         hidden, cluster, inner = self._hidden(near), tokens // m, tokens % m
         out = _log_softmax(hidden, self.p["w"], self.p["c"], cluster)
-        order = np.argsort(cluster, kind="stable")
-        ends = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
-        for k in range(CLUSTERS):
-            if len(at := order[ends[k] : ends[k + 1]]):
-                out[at] += _log_softmax(hidden[at], self.p["v"][k], self.p["d"][k], inner[at])
+        for k, at in self._by_cluster(cluster):
+            out[at] += _log_softmax(hidden[at], self.p["v"][k], self.p["d"][k], inner[at])
         return out
 
     def gradients(self, near: np.ndarray, tokens: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the mean negative log probability: dense ones by name, and that of the hidden input (positions, h) for the embeddings."""
         m, n = TOKENS // CLUSTERS, len(tokens)
-        hidden, cluster, inner, rows = self._hidden(near), tokens // m, tokens % m, np.arange(n)
-        outer = hidden @ self.p["w"] + self.p["c"]
-        outer = np.exp(outer - outer.max(axis=1, keepdims=True))
-        outer /= outer.sum(axis=1, keepdims=True)
-        outer[rows, cluster] -= 1
-        v = self.p["v"][cluster]
-        z = np.matmul(hidden[:, None, :], v)[:, 0] + self.p["d"][cluster]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        z[rows, inner] -= 1
+        hidden, cluster, inner = self._hidden(near), tokens // m, tokens % m
+        outer = _errors(hidden, self.p["w"], self.p["c"], cluster)
         outer /= n
-        z /= n
-        back = outer @ self.p["w"].T + np.matmul(v, z[:, :, None])[:, :, 0]
-        back *= 1 - hidden * hidden
+        back = outer @ self.p["w"].T
         gv, gd = np.zeros_like(self.p["v"]), np.zeros_like(self.p["d"])
-        order = np.argsort(cluster, kind="stable")
-        ends = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
-        for k in range(CLUSTERS):
-            if len(at := order[ends[k] : ends[k + 1]]):
-                gv[k], gd[k] = hidden[at].T @ z[at], z[at].sum(axis=0)
+        for k, at in self._by_cluster(cluster):
+            own = hidden[at]
+            z = _errors(own, self.p["v"][k], self.p["d"][k], inner[at])
+            z /= n
+            gv[k], gd[k] = own.T @ z, z.sum(axis=0)
+            back[at] += z @ self.p["v"][k].T
+        back *= 1 - hidden * hidden
         return {"b": back.sum(axis=0), "w": hidden.T @ outer, "c": outer.sum(axis=0), "v": gv, "d": gd}, back
 
     def descend(self, near: np.ndarray, tokens: np.ndarray, seen: dict[str, np.ndarray], rate: float = RATE) -> None:
         """One step of Adagrad; seen holds the squares so far."""
-        dense, back = self.gradients(near, tokens)
-        for k, g in dense.items():
+        grads, back = self.gradients(near, tokens)
+        e = self.p["e"]
+        at = near.astype(np.int64) + np.arange(2 * SIDE) * (TOKENS + 1)
+        flat = (at[:, :, None] * HIDDEN + np.arange(HIDDEN)).ravel()
+        grads["e"] = np.bincount(flat, np.broadcast_to(back[:, None, :], (*at.shape, HIDDEN)).ravel(), e.size).reshape(e.shape).astype(e.dtype)
+        for k, g in grads.items():
             seen[k] += g * g
-            self.p[k] -= rate * g / (np.sqrt(seen[k]) + 1e-6)
-        for o in range(2 * SIDE):
-            ids, where = np.unique(near[:, o], return_inverse=True)
-            g = np.zeros((len(ids), HIDDEN), np.float32)
-            np.add.at(g, where, back)
-            seen["e"][o][ids] += g * g
-            self.p["e"][o][ids] -= rate * g / (np.sqrt(seen["e"][o][ids]) + 1e-6)
+            g /= np.sqrt(seen[k]) + 1e-6
+            g *= rate
+            self.p[k] -= g
 
     def packed(self) -> bytes:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)]).astype(np.float32).tobytes()
@@ -143,14 +193,35 @@ class WindowNet:
         return self
 
 
-def common_words(docs: DataFrame, text_col: str = "text", n: int = COMMON) -> list[str]:
-    """The most frequent words of all texts: counted in each task (up to MEMO words at a time), summed by one shuffle, then a top-n."""
+# ---- the counts of all words ----
+
+
+@dataclass
+class Vocabulary:
+    """words has (h, n, parts) of every word of the corpus: hash, count, and its counts by partition of the corpus. common numbers the most frequent; of
+    the other words of each bucket, total and kinds are the number of occurrences and of words."""
+
+    words: DataFrame
+    common: dict[int, int]
+    total: np.ndarray
+    kinds: np.ndarray
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", n: int = COMMON) -> Vocabulary:
+    """Words counted in each task (up to MEMO at a time) and summed by one shuffle.
+
+    The words beyond the n-th are kept apart by a histogram of the logarithm of the counts, so that only about n words are put in order, whatever the number
+    of partitions; ties go to the lesser hash.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter[str] = Counter()
+        from pyspark import TaskContext
+
+        own, part = Counter(), TaskContext.get().partitionId()
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([*own], pa.string()), pa.array(list(own.values()), pa.int64())], names=["w", "n"])
+            h = np.fromiter(map(word_hash, own), np.uint64, len(own)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(own), part, np.int32)), pa.array(list(own.values()), pa.int64())], names=["h", "part", "n"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -160,9 +231,28 @@ def common_words(docs: DataFrame, text_col: str = "text", n: int = COMMON) -> li
                     own.clear()
         yield made()
 
-    counts = docs.select(text_col).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(n).collect()]
-
+    each = docs.select(text_col).mapInArrow(count, "h long, part int, n long")
+    words = stored(each.groupBy("h").agg(F.sum("n").alias("n"), F.collect_list(F.struct("part", "n")).alias("parts")), "words")
+    step = F.floor(F.log2("n") * OCTAVE).cast("int")
+    sizes = sorted(((r["s"], r["c"]) for r in words.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)  # at most 64 OCTAVE rows
+    enough, cut = 0, 0
+    for s, c in sizes:
+        enough, cut = enough + c, s
+        if enough >= n:
+            break
+    best = words.where(step >= cut).select("h", "n").orderBy(F.desc("n"), "h").limit(n).collect()
+    total, kinds = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    bucket = F.pmod(F.shiftrightunsigned("h", 40), F.lit(BUCKETS)).cast("int").alias("b")
+    for r in words.groupBy(bucket).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():
+        total[r["b"]], kinds[r["b"]] = r["n"], r["k"]
+    hashes = np.array([r["h"] for r in best], np.int64).view(np.uint64)
+    for b, r in zip(bucket_of(hashes).tolist(), best, strict=True):
+        total[b] -= r["n"]
+        kinds[b] -= 1
+    return Vocabulary(words, {h: i for i, h in enumerate(hashes.tolist())}, total, kinds)
+
+
+# ---- training ----
 
 PART = "weight double, net binary"
 
@@ -179,7 +269,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], names=["weight", "net"])
 
 
-def trained(docs: DataFrame, common: list[str], rounds: int = ROUNDS, masked: float = MASKED, text_col: str = "text") -> WindowNet:
+def trained(docs: DataFrame, common: dict[int, int], rounds: int = ROUNDS, masked: float = MASKED, text_col: str = "text") -> WindowNet:
     """Weights after rounds of local descent over all documents."""
     texts, net = docs.select(text_col), WindowNet()
     parts = texts.rdd.getNumPartitions()
@@ -187,25 +277,24 @@ def trained(docs: DataFrame, common: list[str], rounds: int = ROUNDS, masked: fl
         raw = net.packed()
 
         def local(batches: Iterator[pa.RecordBatch], raw: bytes = raw, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
             own, ids, n = WindowNet().unpack(raw), Ids(common), 0
             seen = {k: np.full_like(v, 1e-4 if turn == 0 else 1e-2) for k, v in own.p.items()}
             near, tokens, held = [], [], 0
             for batch in batches:
-                for text in batch.column(0):
-                    got = ids.of(text.as_py() or "")
-                    at = np.nonzero(rng.random(len(got)) < masked)[0]
+                for value in batch.column(0):
+                    text = value.as_py() or ""
+                    got, _ = ids.of(text)
+                    at = masked_at(text, len(got), masked, turn)
                     if len(at):
                         near.append(windows(got, at))
                         tokens.append(got[at])
                         held += len(at)
                     if held >= BATCH:
                         x, y = np.concatenate(near), np.concatenate(tokens)
-                        for k in range(0, len(y), BATCH):
+                        full = len(y) // BATCH * BATCH
+                        for k in range(0, full, BATCH):
                             own.descend(x[k : k + BATCH], y[k : k + BATCH], seen)
-                        n, near, tokens, held = n + len(y), [], [], 0
+                        n, near, tokens, held = n + full, [x[full:]], [y[full:]], len(y) - full
             if held:
                 own.descend(np.concatenate(near), np.concatenate(tokens), seen)
                 n += held
@@ -222,43 +311,76 @@ def trained(docs: DataFrame, common: list[str], rounds: int = ROUNDS, masked: fl
     return net
 
 
-def scored(docs: DataFrame, net: WindowNet, common: list[str], text_col: str = "text") -> DataFrame:
-    """docs with n_tokens, lm_score (summed log probability) and lm_mean."""
-    kept = docs.drop("n_tokens", "lm_score", "lm_mean")
-    at, raw = kept.columns.index(text_col), net.packed()
+# ---- scores ----
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, ids = WindowNet().unpack(raw), Ids(common)
-        for batch in batches:
-            counts, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            near, tokens, owner, held = [], [], [], 0
-
-            def flush() -> None:
-                if tokens:
-                    logs = own.log_probabilities(np.concatenate(near), np.concatenate(tokens))
-                    sums[:] += np.bincount(np.concatenate(owner), logs, batch.num_rows)
-
-            for i, text in enumerate(batch.column(at)):
-                got = ids.of(text.as_py() or "")
-                counts[i] = len(got)
-                for k in range(0, len(got), 32768):  # a very long text goes in pieces with their windows
-                    some = slice(k, min(k + 32768, len(got)))
-                    near.append(windows(got, some))
-                    tokens.append(got[some])
-                    owner.append(np.full(some.stop - k, i))
-                    held += some.stop - k
-                    if held >= 32768:
-                        flush()
-                        near, tokens, owner, held = [], [], [], 0
-            flush()
-            mean = pa.array(np.where(counts > 0, sums / np.maximum(counts, 1), np.nan), mask=counts == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts), pa.array(sums), mean], names=[*batch.schema.names, "n_tokens", "lm_score", "lm_mean"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, n_tokens long, lm_score double, lm_mean double")
+
+def rare_logs(owner: np.ndarray, hashes: np.ndarray, known_h: np.ndarray, known_n: np.ndarray, total: np.ndarray, kinds: np.ndarray, unseen: float = UNSEEN) -> np.ndarray:
+    """The log share in its bucket of each occurrence of a word that isn't common, by the counts of the documents (owner) other than its own.
+
+    known_h and known_n are counts in the whole corpus; a word without one occurs in these rows only and is counted here.
+    """
+    distinct, which, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    n = n.astype(np.int64)
+    if len(known_h) and len(distinct):
+        at = np.minimum(np.searchsorted(distinct, known_h), len(distinct) - 1)
+        hit = distinct[at] == known_h
+        n[at[hit]] = known_n[hit]
+    bucket = bucket_of(hashes)
+    _, again, own = np.unique(owner * max(1, len(distinct)) + which, return_inverse=True, return_counts=True)
+    _, beside, mine = np.unique(owner * BUCKETS + bucket, return_inverse=True, return_counts=True)
+    return np.log(n[which] - own[again] + unseen) - np.log(total[bucket] - mine[beside] + unseen * (kinds[bucket] + 1))
+
+
+def scored(docs: DataFrame, net: WindowNet, vocab: Vocabulary, text_col: str = "text") -> DataFrame:
+    """docs, the corpus that was counted, with n_tokens, lm_score (summed log probability) and lm_mean.
+
+    Each partition of docs meets the counts of those words that other partitions hold as well: two rows of numbers a word and partition are shuffled, and the
+    documents once, to the counts of their partition. A group is one partition of the scan.
+    """
+    kept = docs.drop("n_tokens", "lm_score", "lm_mean")
+    raw, common, total, kinds = net.packed(), vocab.common, vocab.total, vocab.kinds
+    shared = vocab.words.where(F.size("parts") > 1).select("h", "n", F.explode("parts.part").alias("__part"))
+    schema = T.StructType([*kept.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("lm_score", T.DoubleType()), T.StructField("lm_mean", T.DoubleType())])
+    names = kept.columns
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, ids, n = WindowNet().unpack(raw), Ids(common), left.num_rows
+        counts, sums = np.zeros(n, np.int64), np.zeros(n)
+        near, tokens, owner, held, rare, rare_owner = [], [], [], 0, [], []
+
+        def flush() -> None:
+            if tokens:
+                logs = own.log_probabilities(np.concatenate(near), np.concatenate(tokens))
+                sums[:] += np.bincount(np.concatenate(owner), logs, n)
+
+        for i, text in enumerate(left.column(text_col)):
+            got, hashes = ids.of(text.as_py() or "")
+            counts[i] = len(got)
+            rare.append(hashes)
+            rare_owner.append(np.full(len(hashes), i))
+            for k in range(0, len(got), 32768):  # a very long text goes in pieces with their windows
+                some = slice(k, min(k + 32768, len(got)))
+                near.append(windows(got, some))
+                tokens.append(got[some])
+                owner.append(np.full(some.stop - k, i))
+                held += some.stop - k
+                if held >= 32768:
+                    flush()
+                    near, tokens, owner, held = [], [], [], 0
+        flush()
+        if n:
+            at, known = np.concatenate(rare_owner), right.column("h").to_numpy().view(np.uint64)
+            logs = rare_logs(at, np.concatenate(rare), known, right.column("n").to_numpy(), total, kinds)
+            sums += np.bincount(at, logs, n)
+        mean = pa.array(np.where(counts > 0, sums / np.maximum(counts, 1), np.nan), mask=counts == 0)
+        return pa.Table.from_arrays([*(left.column(c) for c in names), pa.array(counts), pa.array(sums), mean], names=schema.names)
+
+    here = kept.withColumn("__part", F.spark_partition_id())
+    return here.groupBy("__part").cogroup(shared.groupBy("__part")).applyInArrow(run, schema)
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    """Every document's number of tokens, score and mean, the network being trained on all documents."""
-    common = common_words(docs)
-    return scored(docs.select("doc_id", "text"), trained(docs, common), common).select("doc_id", "n_tokens", "lm_score", "lm_mean")
+    """Every document's number of tokens, score and mean, the network being trained and the words counted on all documents."""
+    rows = docs.select("doc_id", "text")
+    vocab = vocabulary(rows)
+    return scored(rows, trained(rows, vocab.common), vocab).select("doc_id", "n_tokens", "lm_score", "lm_mean")
