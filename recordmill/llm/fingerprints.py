@@ -6,7 +6,7 @@ share of equal places, an estimate of the Jaccard similarity. near_groups() join
 the exact Jaccard similarity of what shares a band.
 
 Defined results: a null text is an empty text; a text of fewer words than a shingle is one shingle; texts without words share
-one signature; equal texts have equal signatures; rows that repeat a doc_id follow each other in the order of the
+one signature; equal texts have equal signatures; upper case is A to Z only; rows that repeat a doc_id follow each other in the order of the
 hashes of their texts; a null doc_id comes first; the row after the last is the first, so that a single row follows itself; an empty table
 gives an empty result; columns of the input that clash with results are not read.
 """
@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from recordmill.llm.batches import slices
+from recordmill.llm.simhash import exact_links, shingle_set
 from recordmill.operators.components import connected_components
 from recordmill.session import checkpoint, stored
 
@@ -36,7 +38,7 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     """32-bit hashes of the shingles of a text, repeats included."""
     from xxhash import xxh64_intdigest
 
-    words = text.lower().encode("utf-8", "surrogatepass").split()
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # A-Z only, and the six ASCII white-space bytes
     if not words:
         return np.zeros(0, np.uint64)
     each = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
@@ -138,74 +140,44 @@ def op10(docs: DataFrame) -> DataFrame:
 
 # ---- near-duplicate groups by bands ----
 
-#: Representatives in a tile of one band's bucket, and shingle hashes held at once.
-TILE = 128
-
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, print binary, grams array of distinct shingle hashes) of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """(doc_id, h, s0, s1, print) of every row: the hash of its text, a 128-bit hash of the set of shingles, and the signature."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = [np.unique(shingles(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(g).tobytes() for g in grams], pa.binary()), pa.array([g.astype(np.int64) for g in grams], pa.list_(pa.int64()))], names=["doc_id", "print", "grams"])
+        from xxhash import xxh128_digest
+
+        for whole in batches:
+            for batch in slices(whole, 1):
+                grams = [np.unique(shingles(t.as_py())) for t in batch.column(1)]
+                sets = np.array([np.frombuffer(xxh128_digest(shingle_set(t.as_py(), WIDTH).tobytes()), np.int64) for t in batch.column(1)]).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets[:, 0]), pa.array(sets[:, 1]), pa.array([signature(g).tobytes() for g in grams], pa.binary())], names=["doc_id", "h", "s0", "s1", "print"])
 
-    return rows.mapInArrow(run, "doc_id long, print binary, grams array<long>")
+    return rows.mapInArrow(run, "doc_id long, h long, s0 long, s1 long, print binary")
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): documents linked by a Jaccard similarity of at least this in five-word shingles.
 
-    Equal shingle sets are one representative. Representatives that share a band of PERMUTATIONS / BANDS places are compared
-    exactly, tile by tile; a tile pair yields a spanning forest of its links. At a similarity of 0.8 a link is missed
-    with a chance below 0.001.
+    Equal shingle sets are one representative. Representatives that share a band of PERMUTATIONS / BANDS places are tied to the least of the band's
+    bucket, which gives candidate components; within each the sets are compared exactly, tile by tile, so a set travels once for its group and not
+    once a band, and a tile pair yields a spanning forest. At a similarity of 0.8 a link is missed with a chance below 0.001. Documents without a
+    number take part in nothing and have a null component.
     """
-    sigs = stored(signatures(docs, id_col, text_col).withColumn("set_id", F.xxhash64("grams", "print")), "signatures")
-    reps = sigs.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    one = sigs.join(reps, "set_id").where("doc_id = rep").dropDuplicates(["set_id"]).select("rep", "print", "grams")
+    sigs = stored(signatures(docs, id_col, text_col), "signatures")
+    per = sigs.where("doc_id IS NOT NULL").groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "h")).alias("k"), F.min("print").alias("print"))
+    # numbered over the checkpoint, whose rows keep their places
+    reps = checkpoint(per.select("s0", "s1", "k.doc_id", "k.h", "print")).withColumn("rep", F.monotonically_increasing_id())
     size = 2 * PERMUTATIONS // BANDS
-    bands = one.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring("print", i * size + 1, size)).alias("bucket")))).alias("b")).select("rep", "b.*")
-    counts = bands.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("n_sub", F.ceil(F.col("n") / TILE).cast("int"))
-    member = bands.join(counts, ["band", "bucket"]).withColumn("sub", F.pmod(F.xxhash64("rep"), "n_sub").cast("int"))
-    tiles = checkpoint(member.join(one.select("rep", "grams"), "rep").groupBy("band", "bucket", "sub", "n_sub").agg(F.collect_list(F.struct("rep", "grams")).alias("rows")))
-    left = tiles.select("band", "bucket", F.col("rows").alias("left"), F.explode(F.sequence("sub", F.col("n_sub") - 1)).alias("sub"))
-    pairs = left.join(tiles.select("band", "bucket", "sub", F.col("rows").alias("right")), ["band", "bucket", "sub"]).select("left", "right")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            src, dst = [], []
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                x, y = _exact_forest(a.as_py(), b.as_py(), similarity)
-                src += x
-                dst += y
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
-
-    comps = connected_components(pairs.mapInArrow(run, "src long, dst long").where("src <> dst"))
-    named = reps.join(comps, reps["rep"] == comps["node"], "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
-    return sigs.select("doc_id", "set_id").join(named, "set_id").select("doc_id", "component_id")
-
-
-def _exact_forest(a: list[dict], b: list[dict], similarity: float) -> tuple[list[int], list[int]]:
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    every = np.concatenate([np.asarray(r["grams"], np.int64) for r in b]) if b else np.zeros(0, np.int64)
-    sizes = np.array([len(r["grams"]) for r in b], np.int64)
-    owner = np.repeat(np.arange(len(b)), sizes)
-    src, dst = [], []
-    for r in a:
-        own = np.asarray(r["grams"], np.int64)
-        common = np.bincount(owner[np.isin(every, own)], minlength=len(b))
-        union = len(own) + sizes - common
-        for j in np.nonzero(common >= similarity * np.maximum(union, 1) - 1e-9)[0]:
-            x, y = root(r["rep"]), root(b[j]["rep"])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                src.append(r["rep"])
-                dst.append(b[j]["rep"])
-    return src, dst
+    bands = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("print", i * size + 1, size)))).alias("bucket"))
+    low = bands.groupBy("bucket").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "low")
+    edges = bands.join(low, "bucket").where("rep <> low").select(F.col("rep").alias("src"), F.col("low").alias("dst")).distinct()
+    candidates = checkpoint(connected_components(checkpoint(edges)))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    wanted = reps.join(candidates.select(F.col("node").alias("rep")), "rep").select("doc_id", "h", "rep")
+    texts = texts.join(wanted, ["doc_id", "h"]).select("rep", "text").dropDuplicates(["rep"])
+    comps = connected_components(exact_links(texts, candidates, WIDTH, similarity))
+    groups = reps.join(comps, reps["rep"] == comps["node"], "left").select("s0", "s1", "doc_id", F.coalesce("component", "rep").alias("group"))
+    named = groups.join(groups.groupBy("group").agg(F.min("doc_id").alias("component_id")), "group").select("s0", "s1", "component_id")
+    return sigs.join(named, ["s0", "s1"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
