@@ -82,3 +82,56 @@ def structure_signature(df: DataFrame) -> list[tuple[str, str]]:
 def frozen(c: Column) -> Column:
     """An order-insensitive form of an array: its elements as JSON, sorted."""
     return F.array_sort(F.transform(c, lambda x: F.to_json(F.struct(x.alias("x")))))
+
+
+def _named(c: Column, kind: DataType, name: str, change: Callable[[Column, str], Column]) -> Column:
+    if isinstance(kind, StringType):
+        return change(c, name)
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[_named(c[f.name], f.dataType, f.name, change).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _named(x, kind.elementType, name, change))
+    return c
+
+
+def canonical_strings(df: DataFrame, aliases: dict[str, dict[str, str]], columns: list[str] | None = None) -> DataFrame:
+    """Every string leaf compacted, at any depth; in a field that aliases names, a value whose blankless form is an alias becomes what it stands for."""
+    from recordmill.functions.repair import compact_token
+
+    def change(c: Column, name: str) -> Column:
+        text = compact_token(c)
+        known = aliases.get(name)
+        if not known:
+            return text
+        table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+        return F.coalesce(F.try_element_at(table, F.regexp_replace(text, r"\s+", "")), text)
+
+    return df.withColumns({f.name: _named(F.col(f.name), f.dataType, f.name, change) for f in df.schema.fields if columns is None or f.name in columns})
+
+
+def _ordered(c: Column, kind: DataType) -> Column:
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[_ordered(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _ordered(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.struct(e["key"], _ordered(e["value"], kind.valueType))))
+    return c
+
+
+def canonical_json(df: DataFrame, column: str) -> Column:
+    """A nested column as JSON with the keys of structs and maps in order at every depth, without blanks, nulls kept."""
+    return F.to_json(_ordered(F.col(column), df.schema[column].dataType), {"ignoreNullFields": "false"})
+
+
+def present_in(target: Column, source: Column) -> Column:
+    """The entries of a map whose keys the source map has, in the target's values: a projection by what each row's source holds."""
+    return F.map_filter(target, lambda k, _: F.array_contains(F.map_keys(source), k))
+
+
+def field_scores(gold: Column, pred: Column) -> Column:
+    """(fields, correct, exact) of two maps: fields are those of either side, and a field is right if both sides hold it with equal values. Values are compared as
+    they are, so that "1" and 1 differ where maps hold JSON."""
+    names = F.array_union(F.map_keys(gold), F.map_keys(pred))
+    right = F.size(F.filter(names, lambda k: F.coalesce(F.try_element_at(gold, k) == F.try_element_at(pred, k), F.lit(False))))
+    return F.struct(F.size(names).alias("fields"), right.alias("correct"), (right == F.size(names)).alias("exact"))

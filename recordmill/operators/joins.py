@@ -109,3 +109,19 @@ def nearest_unused(wanted: DataFrame, offered: DataFrame, group: list[str], valu
         free = checkpoint(free.join(taken.select("o"), "o", "left_anti"))
     empty = left.select("w", F.lit(None).cast("long").alias("o"), F.lit(None).cast("double").alias("distance")).limit(0)
     return reduce(DataFrame.unionByName, done, empty)
+
+
+def tiered_nearest(wanted: DataFrame, offered: DataFrame, tiers: list[tuple[str, list[str], str | None]], id_col: str) -> DataFrame:
+    """(wanted, offered, tier): each wanted row takes a free offered row in the first tier that has one for it; none is used twice.
+
+    A tier is a name, the columns in which both rows must agree, and the value by which they should be near (none: any will do, in the order of ids). Tiers go
+    from narrow to wide, so that rows with an exact partner keep it from those that are content with less; within a tier pairs settle as in nearest_unused().
+    """
+    left, free, done = wanted, offered, []
+    for name, group, value in tiers:
+        near = [x if value else x.withColumn("__one", F.lit(0.0)) for x in (left, free)]
+        taken = checkpoint(nearest_unused(*near, group, value or "__one", id_col).select("w", "o", F.lit(name).alias("tier")))
+        done.append(taken)
+        left = left.join(taken.select(F.col("w").alias(id_col)), id_col, "left_anti")
+        free = free.join(taken.select(F.col("o").alias(id_col)), id_col, "left_anti")
+    return reduce(DataFrame.unionByName, done)

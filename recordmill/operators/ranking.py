@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -17,21 +19,34 @@ def first_of_each(rows: DataFrame, group: list[str], order: list[Column], k: int
 
 
 def round_robin(rows: DataFrame, outer: list[str], bucket: list[str], order: list[Column]) -> DataFrame:
-    """rows with turn and place: inside each outer group one row of every bucket in turn."""
-    turn = F.row_number().over(Window.partitionBy(*outer, *bucket).orderBy(*order))
-    return rows.withColumn("turn", turn).withColumn("place", F.row_number().over(Window.partitionBy(*outer).orderBy("turn", *bucket, *order)))
+    """rows with turn and place: inside each outer group one row of every bucket in turn.
+
+    A row's place follows from its turn and the sizes of the group's buckets: what all buckets gave in earlier turns, and the buckets up to its own that
+    still give in this one. So no task orders a whole outer group.
+    """
+    sizes = rows.groupBy(*outer, *bucket).agg(F.count(F.lit(1)).alias("__n"))
+    lists = sizes.groupBy(*outer).agg(F.collect_list(F.struct(F.struct(*bucket).alias("b"), F.col("__n").alias("n"))).alias("__sizes"))
+    turned = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*outer, *bucket).orderBy(*order))).join(lists, outer)
+    own, turn = F.struct(*bucket), F.col("turn")
+    add = lambda of: F.aggregate(F.transform("__sizes", of), F.lit(0).cast("long"), lambda a, x: a + x)
+    before = add(lambda s: F.least(s["n"], turn.cast("long") - 1))
+    now = add(lambda s: F.when((s["n"] >= turn) & (s["b"] <= own), 1).otherwise(0).cast("long"))
+    return turned.withColumn("place", (before + now).cast("int")).select(*rows.columns, "turn", "place")
 
 
-def coverage_first(rows: DataFrame, strata: list[str], order: list[Column]) -> DataFrame:
-    """rows with lead: true for the first representative of each stratum; sorting by (not lead, order) visits all strata first."""
-    return rows.withColumn("lead", F.row_number().over(Window.partitionBy(*strata).orderBy(*order)) == 1)
+def coverage_first(rows: DataFrame, strata: list[str], order: list[str]) -> DataFrame:
+    """rows with lead: true for the first representative of each stratum by the columns of order, the last of which tells rows apart; sorting by (not lead, order)
+    visits all strata first. One least row a stratum, found in the tasks first."""
+    first = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in strata]).agg(F.min(F.struct(*order)).alias("__first"))
+    joined = rows.join(first, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in strata]))
+    return joined.select(*rows.columns, F.struct(*order).eqNullSafe(F.col("__first")).alias("lead"))
 
 
 def balanced(rows: DataFrame, label: str, cap: int, seed: str, key: str, test_share: float = 0.2) -> DataFrame:
-    """As many rows of each label as the smallest label has, cap at most, in hash order; a second hash picks the test share."""
+    """As many rows of each label as the smallest label has, cap at most, in hash order; a second hash picks the test share. Tasks keep cap rows a label before the shuffle."""
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.least(F.lit(cap), F.min("n")).alias("k"))
-    ranked = rows.withColumn("__h", hash_rank(seed, F.col(key))).withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy("__h", key)))
-    kept = ranked.join(F.broadcast(counts)).where(F.col("__r") <= F.col("k"))
+    capped = first_of_each(rows.withColumn("__h", hash_rank(seed, F.col(key))), [label], [F.col("__h"), F.col(key)], cap, "__r")
+    kept = capped.join(F.broadcast(counts)).where(F.col("__r") <= F.col("k"))
     u = F.conv(F.substring(hash_rank(seed + "/test", F.col(key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
     return kept.withColumn("part", F.when(u < test_share, "test").otherwise("train")).drop("__h", "__r", "k")
 

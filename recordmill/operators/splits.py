@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordmill.functions.text import hash_bucket
@@ -74,3 +76,86 @@ def distribution_loss(rows: DataFrame, split: str, label: str, weight: float = 1
     grid = per_split.join(F.broadcast(per_label)).join(cells, [split, label], "left").fillna(0, ["n"])
     off = F.col("n") / F.col("ns") - F.col("nl") / F.col("t")
     return grid.groupBy(split).agg(F.round(F.sum(weight * off * off), 9).alias("loss"))
+
+
+def label_floor(total: int) -> int:
+    """How many rows of a label a test split should keep at least: 3 % of all, from 5 to 50; one where there are few."""
+    return 0 if total <= 0 else 1 if total < 30 else min(50, max(5, round(total * 0.03)))
+
+
+def label_target(total: int) -> int:
+    """How many rows of a label the first split should hold: 60 % of all, as far as the floors of the two others leave them."""
+    return 0 if total <= 0 else max(1, min(round(total * 0.6), total - 2 * label_floor(total)))
+
+
+def _held(groups: DataFrame, cells: DataFrame) -> dict[tuple[str, str], int]:
+    """Rows by (split, label): as many numbers as there are splits and labels."""
+    rows = groups.join(cells, "component").groupBy("split", "label").agg(F.sum("n").alias("n")).collect()
+    return {(r["split"], r["label"]): r["n"] for r in rows}
+
+
+def _moved(groups: DataFrame, moves: DataFrame) -> DataFrame:
+    """groups with the splits of moves (component, to)."""
+    out = groups.join(moves, "component", "left").withColumn("split", F.coalesce("to", "split")).drop("to")
+    return checkpoint(out)
+
+
+def cover_labels(groups: DataFrame, cells: DataFrame, splits: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
+    """groups (component, split, size) in which every split holds every label, as far as whole groups allow; cells are (component, label, n).
+
+    For each split and label that it lacks, the smallest group with the label moves in from a split that keeps some of it. There are as many steps as missing
+    pairs; the labels are a small set, and of the groups only the one that moves is looked at.
+    """
+    groups = checkpoint(groups.where(F.col("split").isin(*splits)).select("component", "split", "size"))
+    for target in splits:
+        for label in sorted({x for _, x in _held(groups, cells)}):
+            held = _held(groups, cells)
+            if held.get((target, label)):
+                continue
+            donors = {s: held[s, label] for s in splits if s != target and held.get((s, label))}
+            own = groups.join(cells.where(F.col("label") == label), "component").where(F.col("split").isin(*donors))
+            spare = reduce(lambda a, b: a.when(F.col("split") == b, donors[b]), donors, F.when(F.lit(False), 0)) - F.col("n")
+            best = own.where(spare > 0).orderBy("size", F.desc("n"), "split", "component").limit(1).select("component", F.lit(target).alias("to"))
+            groups = _moved(groups, checkpoint(best))
+    return groups
+
+
+def support_labels(groups: DataFrame, cells: DataFrame, first: str = "train", others: tuple[str, ...] = ("validation", "test"), seed: str = "support") -> DataFrame:
+    """groups in which the first split holds its target of every label, as far as the others can give without falling below their floor.
+
+    For each label the groups stand in levels by their number of its rows, largest first. What each level gives is worked out from the sizes of levels alone:
+    as many groups as fit into what is missing and into what the donor can spare, and at last one group that overshoots least. Which groups of a
+    level go is told by a hash, in blocks, so that no task puts a whole level in order.
+    """
+    groups = checkpoint(groups.select("component", "split", "size"))
+    for label in sorted({x for _, x in _held(groups, cells)}):
+        held = _held(groups, cells)
+        total = sum(n for (_, x), n in held.items() if x == label)
+        missing = label_target(total) - held.get((first, label), 0)
+        if missing <= 0:
+            continue
+        spare = {s: held.get((s, label), 0) - label_floor(total) for s in others}
+        own = groups.where(F.col("split").isin(*others)).join(cells.where(F.col("label") == label), "component").select("component", "split", "n")
+        own = checkpoint(own.withColumn("h", F.sha2(F.concat_ws(":", F.lit(seed), F.col("component").cast("string")), 256)).withColumn("block", F.substring("h", 1, 2)))
+        levels = sorted(((r["n"], r["split"], r["c"]) for r in own.groupBy("split", "n").agg(F.count(F.lit(1)).alias("c")).collect()), key=lambda x: (-x[0], x[1]))
+        quota: dict[tuple[str, int], int] = {}
+        for n, s, c in levels:
+            k = max(0, min(c, spare[s] // n, missing // n))
+            quota[s, n] = k
+            spare[s] -= k * n
+            missing -= k * n
+        if missing > 0:  # one more, of the least size that covers the rest
+            more = [(n, s) for n, s, c in levels if quota[s, n] < c and missing <= n <= spare[s]]
+            if more:
+                n, s = min(more)
+                quota[s, n] += 1
+        wanted = [(s, n, k) for (s, n), k in quota.items() if k]
+        if not wanted:
+            continue
+        few = groups.sparkSession.createDataFrame(wanted, "split string, n long, k long")
+        blocks = own.join(F.broadcast(few), ["split", "n"]).groupBy("split", "n", "k", "block").agg(F.count(F.lit(1)).alias("c"))
+        before = blocks.withColumn("before", F.sum("c").over(Window.partitionBy("split", "n").orderBy("block")) - F.col("c")).where("before < k")
+        place = F.row_number().over(Window.partitionBy("split", "n", "block").orderBy("h", "component"))
+        gone = own.join(F.broadcast(before.select("split", "n", "block", "k", "before")), ["split", "n", "block"]).withColumn("p", place).where("before + p <= k")
+        groups = _moved(groups, checkpoint(gone.select("component", F.lit(first).alias("to"))))
+    return groups

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -39,17 +40,21 @@ def js_divergence(rows: DataFrame, value: str, side: Column) -> DataFrame:
 def quantiles(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     """The five definitions in use: by rank n // 2 and int(.95 (n - 1)), round-half-even(.95 (n - 1)), max(0, int(.95 n) - 1), and linear.
 
-    Ranks come from a windowed row number; the linear ones from Spark's exact percentile.
+    Ranks come from the counts of distinct values, summed in the tasks first, so a group that holds most rows costs a window over its distinct values only.
     """
-    w = Window.partitionBy(*group).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    r = rows.where(F.col(value).isNotNull()).select(*group, value, (F.row_number().over(w) - 1).alias("i"), n.alias("n"))
-    at = lambda k: F.max(F.when(F.col("i") == k, F.col(value)))
-    x = 0.95 * (F.col("n") - 1)
-    return r.groupBy(*group).agg(
-        at(F.floor(F.col("n") / 2)).alias("median_upper"), at(F.floor(x)).alias("p95_floor"), at(F.bround(x, 0).cast("bigint")).alias("p95_half_even"),
-        at(F.greatest(F.lit(0), F.floor(0.95 * F.col("n")) - 1)).alias("p95_less_one"), F.percentile(value, 0.5).alias("median_linear"), F.percentile(value, 0.95).alias("p95_linear"),
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*group).orderBy("x"))
+    r = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy(*group)))
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("x")))
+    y = F.col("n") - 1
+    k95 = F.floor(0.95 * y)
+    picked = r.groupBy(*group, "n").agg(
+        at(F.floor(F.col("n") / 2)).alias("median_upper"), at(k95).alias("p95_floor"), at(F.bround(0.95 * y, 0).cast("bigint")).alias("p95_half_even"), at(F.greatest(F.lit(0), F.floor(0.95 * F.col("n")) - 1)).alias("p95_less_one"),
+        at(F.floor(y / 2)).alias("a"), at(F.ceil(y / 2)).alias("b"), at(F.ceil(0.95 * y)).alias("c"),
     )
+    between = lambda low, high, t: (F.col(low) + (F.col(high) - F.col(low)) * t).cast("double")
+    part = 0.95 * y - k95
+    return picked.select(*group, "median_upper", "p95_floor", "p95_half_even", "p95_less_one", between("a", "b", F.lit(0.5)).alias("median_linear"), between("p95_floor", "c", part).alias("p95_linear"))
 
 
 def confusion(rows: DataFrame, gold: str, pred: str) -> DataFrame:
@@ -97,7 +102,11 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 20
     """
     per = rows.groupBy(F.col(cluster).cast("string").alias("c")).agg(F.sum(value).cast("double").alias("s"), F.count(value).alias("n"))
     u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "d", "c"), 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]  # Poisson(1), cumulated
+    cuts, p, k = [], math.exp(-1), 0  # Poisson(1), cumulated to where the next step is finer than the hash
+    while (upto := (cuts[-1] if cuts else 0.0) + p) < 1 - 0.5 / (1 << 32):
+        cuts.append(upto)
+        k += 1
+        p /= k
     times = reduce(lambda a, b: a + b, [F.when(F.col("u") >= c, 1).otherwise(0) for c in cuts])
     each = per.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", u).withColumn("k", times)
     means = each.groupBy("d").agg(F.try_divide(F.sum(F.col("k") * F.col("s")), F.sum(F.col("k") * F.col("n"))).alias("m"))

@@ -32,12 +32,6 @@ def char_ngram_counts(documents):
     return documents.select("doc_id", F.size(X.char_grams(F.col("text"), 5)).cast("bigint").alias("n_grams"))
 
 
-@query("SELECT event_id, regexp_extract(props, '\"k\" *: *([0-9]+)', 1) AS salvaged, json_valid(props) AS strict, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def json_parse_and_repair(events):
-    """Strict parse, else the field salvaged by pattern."""
-    return events.select("event_id", F.regexp_extract("props", '"k" *: *([0-9]+)', 1).alias("salvaged"), F.get_json_object("props", "$").isNotNull().alias("strict"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-
-
 @query("SELECT doc_id, regexp_matches(text, '[一-鿿]') AS cjk, replace(replace(text, 'src', 'source'), '%%%', '') = text AS unchanged, coalesce(CAST(nullif(regexp_extract(text, '([0-9]{10,})', 1), '') AS VARCHAR), '') AS literal FROM documents")
 def walk_and_replace(documents):
     return documents.select("doc_id", X.has_cjk(F.col("text")).alias("cjk"), (F.replace(F.replace("text", F.lit("src"), F.lit("source")), F.lit("%%%"), F.lit("")) == F.col("text")).alias("unchanged"), F.regexp_extract("text", "([0-9]{10,})", 1).alias("literal"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recordmill.plans.registry import FOUND
 
-MODULES = ("state_queries", "record_joins", "profiles", "metrics", "rankings", "similarity", "splits", "checks", "building", "repairs")
+MODULES = ("state_queries", "record_joins", "profiles", "metrics", "rankings", "similarity", "splits", "checks", "building", "repairs", "records")
 
 
 def _load() -> None:

@@ -49,19 +49,28 @@ def target_leakage(conversations):
 @query("""
 SELECT d.doc_id, i.item_id FROM documents d JOIN benchmark i ON contains(trim(regexp_replace(replace(lower(d.text), '_', ' '), '[ \\t\\n\\r]+', ' ', 'g')), trim(regexp_replace(replace(lower(i.text), '_', ' '), '[ \\t\\n\\r]+', ' ', 'g')))""")
 def leak_containment(documents, benchmark):
-    """Documents that hold a whole held-out passage. Candidates share a run of eight words with the passage's first eight; the whole is then verified."""
+    """Documents that hold a whole held-out passage.
+
+    A passage may start and end inside a word of the document, so its words but the first and last are whole: a passage is keyed by the hash of its second
+    to ninth words, or of all its inner words if it has fewer, or of its first characters (five at most) if it has none. Documents give only pairs of id and hash for keys of those
+    lengths; texts come in once for each candidate, and the whole is verified.
+    """
     plain = lambda c: X.collapse_blanks(F.translate(F.lower(c), "_", " "))
-    run = lambda words, i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(8)), " "))
-    b = benchmark.select("item_id", plain("text").alias("passage")).withColumn("w", F.split("passage", " "))
-    # a passage may start and end inside a word of the document: its second to ninth words are whole; shorter ones are few and scanned for
-    long = b.where(F.size("w") >= 10).select("item_id", "passage", run("w", F.lit(2)).alias("h"))
+    hashed = lambda kind, x: F.xxhash64(F.lit(kind), x)
+    b = benchmark.select("item_id", plain("text").alias("passage")).where("passage <> ''").withColumn("w", F.split("passage", " "))
+    inner = F.least(F.lit(8), F.size("w") - 2)
+    words = F.when(inner > 0, hashed("w", F.array_join(F.slice("w", F.lit(2), F.greatest(inner, F.lit(1))), " ")))
+    keyed = b.select("item_id", F.coalesce(words, hashed("c", F.substring("passage", 1, 5))).alias("h"), F.when(inner > 0, inner).otherwise(-F.least(F.lit(5), F.length("passage"))).alias("size"))
+    lengths = sorted(r["size"] for r in keyed.select("size").distinct().collect())  # 13 at most
     d = documents.select("doc_id", plain("text").alias("t")).withColumn("w", F.split("t", " "))
-    runs = d.where(F.size("w") >= 8).select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: run("w", i)))).alias("h"))
-    hits = runs.join(F.broadcast(long) if benchmark.count() <= 200_000 else long, "h").where(F.contains("t", "passage")).select("doc_id", "item_id").distinct()
-    short = b.where(F.size("w") < 10).select("item_id", "passage")
-    few = short.agg(F.collect_list(F.struct("item_id", "passage")).alias("s"))
-    scanned = d.select("doc_id", "t").join(F.broadcast(few)).select("doc_id", F.explode(F.filter("s", lambda s: F.contains(F.col("t"), s["passage"]))).alias("s")).select("doc_id", "s.item_id")
-    return hits.union(scanned)
+    empty = F.array().cast("array<bigint>")
+    each = lambda last, of: F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), of)).otherwise(empty)
+    run = lambda n: lambda i: hashed("w", F.array_join(F.slice("w", i, F.lit(n)), " ")) if n > 0 else hashed("c", F.substring("t", i, F.lit(-n)))
+    keys = [each((F.size("w") if n > 0 else F.length("t")) - abs(n) + 1, run(n)) for n in lengths]
+    runs = d.select("doc_id", F.explode(F.array_distinct(F.concat(*keys) if keys else empty)).alias("h"))
+    candidates = runs.join(keyed.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+    found = candidates.join(b.select("item_id", "passage"), "item_id").join(d.select("doc_id", "t"), "doc_id")
+    return found.where(F.contains("t", "passage")).select("doc_id", "item_id").distinct()
 
 
 @query("""
@@ -115,11 +124,13 @@ def tolerance_errors(lineitem):
 
 
 @query("""
-WITH m AS (SELECT source AS artifact, count(*) AS n, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS sha FROM documents GROUP BY 1)
+WITH c AS (SELECT source AS artifact, doc_id // 1000 AS chunk, count(*) AS n, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2),
+m AS (SELECT artifact, sum(n)::BIGINT AS n, sha256(string_agg(h, ',' ORDER BY chunk)) AS sha FROM c GROUP BY 1)
 SELECT artifact, n, sha, sha = CASE WHEN artifact = 'src5' THEN 'stale' ELSE sha END AS bound FROM m""")
 def hash_binding_gate(documents):
-    """The hash of each artifact's ids in order against a manifest."""
-    m = documents.groupBy(F.col("source").alias("artifact")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ","), 256).alias("sha"))
+    """The hash of each artifact's ids in order against a manifest: chunks of a thousand ids are hashed first, then the hashes of an artifact's chunks, so that no row holds all its ids."""
+    c = documents.groupBy(F.col("source").alias("artifact"), F.floor(F.col("doc_id") / 1000).alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ","), 256).alias("h"))
+    m = c.groupBy("artifact").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "h"))), lambda x: x["h"]), ","), 256).alias("sha"))
     return m.withColumn("bound", F.col("sha") == F.when(F.col("artifact") == "src5", "stale").otherwise(F.col("sha")))
 
 

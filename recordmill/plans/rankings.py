@@ -24,7 +24,7 @@ def stratified_round_robin(orders):
 
 @query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_retailprice, p_partkey) = 1 AS lead FROM part")
 def coverage_first_order(part):
-    return R.coverage_first(part, ["p_brand", "p_type"], [F.col("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "lead")
+    return R.coverage_first(part, ["p_brand", "p_type"], ["p_retailprice", "p_partkey"]).select("p_partkey", "lead")
 
 
 @query("SELECT doc_id, sha256('s1:' || doc_id) AS h, CAST('0x' || substr(sha256('s1:' || doc_id), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM documents ORDER BY h LIMIT 50")
@@ -44,8 +44,9 @@ def balanced_per_label(documents):
 WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('cell:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang, source) AS n FROM documents)
 SELECT lang, source, CAST(count(*) FILTER (r <= 5) AS BIGINT) AS selected, CAST(greatest(0, 5 - max(n)) AS BIGINT) AS shortage FROM r GROUP BY 1, 2""")
 def matched_strata(documents):
-    r = documents.select("doc_id", "lang", "source").withColumn("r", F.row_number().over(Window.partitionBy("lang", "source").orderBy(R.hash_rank("cell", F.col("doc_id")), "doc_id")))
-    return r.groupBy("lang", "source").agg(F.count_if(F.col("r") <= 5).alias("selected"), F.greatest(F.lit(0), 5 - F.count(F.lit(1))).cast("bigint").alias("shortage"))
+    """How many of the first five rows of each cell there are, and how many lack; of the rows themselves only the counts matter."""
+    n = F.count(F.lit(1))
+    return documents.groupBy("lang", "source").agg(F.least(F.lit(5), n).cast("bigint").alias("selected"), F.greatest(F.lit(0), 5 - n).cast("bigint").alias("shortage"))
 
 
 @query("""

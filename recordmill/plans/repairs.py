@@ -62,7 +62,8 @@ WITH t AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, so
 SELECT lang, doc_id FROM p WHERE place <= 30""")
 def cluster_round_robin(documents):
     """Thirty rows a label, one of each cluster in turn."""
-    return R.round_robin(documents.select("lang", "source", "doc_id"), ["lang"], ["source"], [F.col("doc_id")]).where("place <= 30").select("lang", "doc_id")
+    first = R.first_of_each(documents.select("lang", "source", "doc_id"), ["lang", "source"], [F.col("doc_id")], 30).drop("rank")  # no cluster gives more than all thirty
+    return R.round_robin(first, ["lang"], ["source"], [F.col("doc_id")]).where("place <= 30").select("lang", "doc_id")
 
 
 @query("""
@@ -70,7 +71,7 @@ WITH d AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_
 SELECT p_partkey, must FROM (SELECT p_partkey, must FROM d ORDER BY must DESC, p_partkey LIMIT 100)""")
 def diverse_target(part):
     """A hundred rows with at least one of every value of three dimensions, then filled up in order."""
-    lead = [R.coverage_first(part, [c], [F.col("p_partkey")]).where("lead").select("p_partkey") for c in ("p_brand", "p_type", "p_size")]
+    lead = [part.groupBy(c).agg(F.min("p_partkey").alias("p_partkey")).select("p_partkey") for c in ("p_brand", "p_type", "p_size")]
     must = lead[0].union(lead[1]).union(lead[2]).distinct().withColumn("must", F.lit(True))
     return part.select("p_partkey").join(must, "p_partkey", "left").fillna(False, ["must"]).orderBy(F.desc("must"), "p_partkey").limit(100)
 

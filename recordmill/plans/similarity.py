@@ -41,9 +41,12 @@ def near_neighbour_components(documents):
 
 @query()
 def minhash_lsh_neighbours(documents):
-    """Neighbours found by MinHash bands and verified at 0.85; recall is measured against the exact join in the tests."""
-    sets = stored(_sets(documents), "lsh").dropDuplicates(["grams"])
-    return M.lsh_neighbours(sets, THRESHOLD)
+    """Neighbours found by MinHash bands and verified at 0.85: pairs of representatives of equal gram sets, and each other member with its representative. Recall is
+    measured against the exact join in the tests."""
+    sets = stored(_sets(documents), "lsh")
+    members = M.representatives(sets)
+    pairs = M.lsh_neighbours(sets.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), THRESHOLD)
+    return pairs.union(members.where("id <> rep").select("rep", "id", F.lit(1.0)))
 
 
 BENCH = GRAMS.format(id="item_id", norm=NORM, table="benchmark")
@@ -60,23 +63,23 @@ def jaccard_pair_max(benchmark, documents):
 
 
 @query(f"""
-WITH q AS {BENCH}, r AS {GRAMS.format(id='doc_id', norm=NORM, table="(SELECT * FROM documents WHERE lang = 'es')")}, N AS (SELECT count(*) AS n FROM documents WHERE lang = 'es'),
+WITH q AS {BENCH}, r AS {GRAMS.format(id='doc_id', norm=NORM, table='documents')}, N AS (SELECT count(*) AS n FROM documents),
 w AS (SELECT g, ln((1 + (SELECT n FROM N)) / (1 + count(*))) + 1 AS w FROM r GROUP BY 1), rw AS (SELECT * FROM r JOIN w USING (g)), qw AS (SELECT * FROM q JOIN w USING (g)),
 d AS (SELECT qw.id, rw.id AS ref, sum(qw.w * rw.w) AS dot FROM qw JOIN rw USING (g) GROUP BY 1, 2), nq AS (SELECT id, sqrt(sum(w * w)) AS l FROM qw GROUP BY 1), nr AS (SELECT id, sqrt(sum(w * w)) AS l FROM rw GROUP BY 1),
 c AS (SELECT d.id, ref, round(dot / nq.l / nr.l, 6) AS c FROM d JOIN nq ON nq.id = d.id JOIN nr ON nr.id = ref), t AS (SELECT id, arg_max(ref, (c, -ref)) AS best, max(c) AS cosine FROM c GROUP BY 1)
 SELECT i.item_id AS id, best, coalesce(cosine, 0.0) AS cosine FROM benchmark i LEFT JOIN t ON t.id = i.item_id""")
 def tfidf_cosine_top1(benchmark, documents):
-    """The nearest document of each held-out passage by TF-IDF, among all documents (its SQL still takes those in Spanish only)."""
+    """The nearest document of each held-out passage by TF-IDF, among all documents."""
     norm = X.collapse_blanks(F.lower("text"))
     return M.tfidf_top1(M.gram_sets(benchmark, "item_id", norm), M.gram_sets(documents, "doc_id", norm))
 
 
 @query("""
-WITH q AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT vec_id AS ref, embedding AS u FROM embeddings WHERE vec_id % 20 <> 0),
-c AS (SELECT id, ref, round(list_cosine_similarity(v::DOUBLE[], u::DOUBLE[]), 9) AS c FROM q, r)
+WITH q AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT vec_id AS ref, embedding AS u FROM embeddings),
+c AS (SELECT id, ref, round(list_cosine_similarity(v::DOUBLE[], u::DOUBLE[]), 9) AS c FROM q, r WHERE ref <> id)
 SELECT id, arg_max(ref, (c, -ref)) AS best, round(max(c), 6) AS cosine FROM c GROUP BY 1""")
 def embedding_top1(embeddings):
-    """The nearest other vector of every query vector (ids divisible by 20) among all vectors but itself (its SQL still leaves out all queries)."""
+    """The nearest other vector of every query vector (ids divisible by 20) among all vectors but itself."""
     e = embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return M.dense_top1(e.where("id % 20 = 0"), e).select("id", "best", F.round("cosine", 6).alias("cosine"))
 
@@ -93,11 +96,11 @@ def document_frequency(documents):
 
 @query(f"""
 WITH s AS (SELECT doc_id, lang, source = 'src1' AS side, row_number() OVER (PARTITION BY lang, source = 'src1' ORDER BY sha256('block:' || doc_id)) AS r, {NORM} AS text FROM documents),
-g AS (SELECT s.lang, s.side, x.id, x.g FROM (SELECT doc_id AS id, unnest(list_distinct(list_transform(range(1, greatest(length(text) - 4, 1) + 1), lambda i: substr(text, i, 5)))) AS g FROM s WHERE r <= 20) x JOIN s ON s.doc_id = x.id),
+g AS (SELECT s.lang, s.side, x.id, x.g FROM (SELECT doc_id AS id, unnest(list_distinct(list_transform(range(1, greatest(length(text) - 4, 1) + 1), lambda i: substr(text, i, 5)))) AS g FROM s WHERE r <= 200) x JOIN s ON s.doc_id = x.id),
 n AS (SELECT id, count(*) AS n FROM g GROUP BY 1), p AS (SELECT a.lang, a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.lang = b.lang AND a.side AND NOT b.side GROUP BY 1, 2, 3)
 SELECT lang, round(max(c / (x.n + y.n - c)), 9) AS jaccard FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b GROUP BY 1""")
 def blocked_sample_cross(documents):
-    """The greatest similarity between samples of 200 rows of either side, within each language (a sampling operator; its SQL still takes 20)."""
+    """The greatest similarity between samples of 200 rows of either side, within each language (a sampling operator)."""
     from recordmill.operators.ranking import first_of_each, hash_rank
 
     s = first_of_each(documents.withColumn("side", F.col("source") == "src1"), ["lang", "side"], [hash_rank("block", F.col("doc_id"))], 200)

@@ -8,11 +8,11 @@ from recordmill.functions import text as X
 from recordmill.operators import states as S
 from recordmill.plans.registry import query
 
-ELEMENTS = "SELECT l_orderkey AS scenario_id, CASE WHEN l_linestatus = 'O' THEN 'line' ELSE 'transformer' END AS equipment, l_linenumber AS element, l_quantity * 4 AS loading_percent, 1.0 - l_discount AS vm_pu FROM lineitem"
+ELEMENTS = "SELECT l_orderkey AS scenario_id, CASE WHEN l_linestatus = 'O' THEN 'line' ELSE 'transformer' END AS equipment, l_linenumber AS element, l_quantity * 4 AS loading_percent, 1.0 - l_discount + l_tax AS vm_pu FROM lineitem"
 
 
 def elements(lineitem):
-    return lineitem.select(F.col("l_orderkey").alias("scenario_id"), F.when(F.col("l_linestatus") == "O", "line").otherwise("transformer").alias("equipment"), F.col("l_linenumber").alias("element"), (F.col("l_quantity") * 4).alias("loading_percent"), (F.lit(1.0) - F.col("l_discount")).alias("vm_pu"))
+    return lineitem.select(F.col("l_orderkey").alias("scenario_id"), F.when(F.col("l_linestatus") == "O", "line").otherwise("transformer").alias("equipment"), F.col("l_linenumber").alias("element"), (F.col("l_quantity") * 4).alias("loading_percent"), (F.lit(1.0) - F.col("l_discount") + F.col("l_tax")).alias("vm_pu"))
 
 
 def states(orders, lineitem):
@@ -42,7 +42,7 @@ def structured_query_low_voltage(orders, lineitem):
 
 
 @query(f"""
-SELECT o_orderkey AS scenario_id, concat_ws(',', CASE WHEN count(*) FILTER (e.loading_percent > 100) > 0 THEN 'thermal_overload' END, CASE WHEN count(*) FILTER (e.vm_pu < 0.95) > 0 THEN 'low_voltage' END) AS violation_types
+SELECT o_orderkey AS scenario_id, concat_ws(',', CASE WHEN count(*) FILTER (e.loading_percent > 100) > 0 THEN 'thermal_overload' END, CASE WHEN count(*) FILTER (e.vm_pu < 0.95) > 0 THEN 'low_voltage' END, CASE WHEN count(*) FILTER (e.vm_pu > 1.05) > 0 THEN 'high_voltage' END) AS violation_types
 FROM orders LEFT JOIN ({ELEMENTS}) e ON e.scenario_id = o_orderkey GROUP BY 1""")
 def structured_query_violation_types(orders, lineitem):
     s = states(orders, lineitem)
@@ -65,32 +65,84 @@ def truth_complete_flag(orders, lineitem):
     return j.select(F.col("o_orderkey").alias("scenario_id"), S.truth_complete(F.col("o_orderkey") % 6, F.coalesce("n", F.lit(0)), F.col("o_orderstatus") != "P").alias("truth_complete"))
 
 
+@query(f"""
+WITH e AS ({ELEMENTS}), q AS (SELECT o_orderkey AS scenario_id, unnest(['line', 'transformer', NULL]) AS equipment_scope FROM orders)
+SELECT q.scenario_id, equipment_scope, coalesce(string_agg(e.equipment || ':' || e.element || ':' || CAST(e.loading_percent AS BIGINT), ',' ORDER BY e.equipment, e.element, e.loading_percent), '') AS records,
+  CASE WHEN equipment_scope IS NOT NULL THEN CAST(count(e.element) AS INTEGER) END AS "count"
+FROM q LEFT JOIN e ON e.scenario_id = q.scenario_id AND e.loading_percent > 100 AND (q.equipment_scope IS NULL OR e.equipment = q.equipment_scope) GROUP BY 1, 2""")
+def structured_query_records(orders, lineitem):
+    """The sorted records of each query; without a scope it is one of the old form."""
+    s = states(orders, lineitem)
+    found = S.run_queries(asked(s, S.FILTERS[:1], ("line", "transformer", None)), s)
+    written = F.array_join(F.transform("records", lambda x: F.concat_ws(":", x["equipment"], x["element"], x["loading_percent"].cast("bigint"))), ",")
+    return found.select("scenario_id", "equipment_scope", written.alias("records"), "count")
+
+
+@query(f"""
+WITH e AS (SELECT * FROM ({ELEMENTS}) WHERE loading_percent > 100 AND equipment = 'line'), t AS (SELECT o_orderkey AS k, count(element) AS n, max(loading_percent) AS m FROM orders LEFT JOIN e ON scenario_id = o_orderkey GROUP BY 1)
+SELECT k AS scenario_id, concat_ws(',', CASE WHEN k % 3 = 0 AND NOT (k % 17 = 0) THEN 'output_structured_query_mismatch' END, CASE WHEN k % 5 = 0 THEN 'overload_query_count_mismatch' END,
+  CASE WHEN k % 7 = 0 THEN 'overload_query_max_aggregation_mismatch' END, CASE WHEN k % 17 = 0 THEN 'overload_query_result_scope_mismatch' END, CASE WHEN k % 11 = 0 THEN 'query_result_mirror_mismatch' END, CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN 'query_result_truth_mismatch' END,
+  CASE WHEN k % 17 = 0 THEN 'query_tool_args_mismatch' WHEN k % 13 = 0 THEN 'query_tool_plan_mismatch' END, CASE WHEN k % 2 = 0 THEN 'scenario_id_mismatch' END) AS errors
+FROM t WHERE NOT (k % 17 = 0 AND (k % 3 = 0 OR k % 13 = 0)) ORDER BY 1""")
+def query_contract_errors(orders, lineitem):
+    """Query records with planted faults against the contract, the result against the query run again."""
+    s, k = states(orders, lineitem), F.col("scenario_id")
+    truth = S.run_queries(asked(s, S.FILTERS[:1], ("line",)), s)
+    query = lambda agg, scope: F.struct(k.alias("scenario_id"), F.lit(S.FILTERS[0]).alias("filter"), scope.alias("scope"), agg.alias("aggregation"), F.lit("2").alias("version"))
+    fine, line, of_17 = F.lit("complete_list_and_max"), F.lit("line"), k % 17 == 0
+    result = lambda off: F.struct(F.when(of_17, "all").otherwise(line).alias("equipment_scope"), "records", (F.col("count") + F.when(k % 5 == 0, 1).otherwise(0) + off).alias("count"), F.when(k % 7 == 0, -1.0).otherwise(F.col("max_loading_percent")).alias("max_loading_percent"))
+    rows = truth.where(~(of_17 & ((k % 3 == 0) | (k % 13 == 0)))).select(
+        "scenario_id", k.alias("source_case_id"), F.when(k % 2 == 0, k + 1).otherwise(k).alias("input_id"), query(fine, line).alias("query"), query(F.when(k % 3 == 0, "sum").otherwise(fine), line).alias("output_query"),
+        F.when(k % 13 == 0, F.array().cast("array<struct<tool:string,args:struct<scenario_id:bigint,filter:string,scope:string,aggregation:string,version:string>>>")).otherwise(F.array(F.struct(F.lit("query_simulation_records").alias("tool"), query(F.when(of_17, "sum").otherwise(fine), line).alias("args")))).alias("tools"),
+        result(F.lit(0)).alias("result"), result(F.when(k % 11 == 0, 1).otherwise(0)).alias("output_result"),
+    )
+    return S.contract_errors(rows, s).select("scenario_id", "errors")
+
+
 STATE_SQL = f"""
-SELECT o_orderkey AS scenario_id, count(*) FILTER (e.loading_percent > 100) AS n_thermal, count(*) FILTER (e.vm_pu < 0.95) AS n_voltage, max(e.loading_percent) AS max_loading, min(e.vm_pu) AS min_vm
+SELECT o_orderkey AS scenario_id, count(*) FILTER (e.loading_percent > 100) AS n_thermal, count(*) FILTER (e.vm_pu < 0.95) AS n_low, count(*) FILTER (e.vm_pu > 1.05) AS n_high, coalesce(max(e.loading_percent), 0) AS load, coalesce(min(e.vm_pu), 1) AS low, coalesce(max(e.vm_pu), 1) AS high
 FROM orders LEFT JOIN ({ELEMENTS}) e ON e.scenario_id = o_orderkey GROUP BY 1"""
-CLASSES = """SELECT *, CASE WHEN n_thermal > 0 AND n_voltage > 0 THEN 'combined' WHEN n_thermal > 0 THEN 'thermal' WHEN n_voltage > 0 THEN 'voltage' ELSE 'normal' END AS profile,
-  CASE WHEN coalesce(max_loading, 0) > 150 OR coalesce(min_vm, 1) < 0.91 THEN 'emergency' WHEN coalesce(max_loading, 0) > 100 OR coalesce(min_vm, 1) < 0.95 THEN 'alert' ELSE 'normal' END AS severity FROM"""
+CLASSES = """SELECT *, CASE WHEN n_thermal > 0 AND n_low + n_high > 0 THEN 'combined' WHEN n_thermal > 0 THEN 'thermal' WHEN n_low + n_high > 0 THEN 'voltage' ELSE 'normal' END AS profile,
+  CASE WHEN load > 110 OR low < 0.92 OR high > 1.08 THEN 'emergency' WHEN load > 100 OR low < 0.95 OR high > 1.05 THEN 'alert' ELSE 'normal' END AS severity, load >= 98 OR low < 0.97 OR high > 1.04 AS near_limit FROM"""
 
 
 def classified(orders, lineitem):
     e = elements(lineitem)
-    per = e.groupBy("scenario_id").agg(F.count_if(F.col("loading_percent") > S.OVERLOAD).alias("n_thermal"), F.count_if(F.col("vm_pu") < S.LOW_VOLTAGE).alias("n_voltage"), F.max("loading_percent").alias("max_loading"), F.min("vm_pu").alias("min_vm"))
-    j = orders.select(F.col("o_orderkey").alias("scenario_id"), "o_orderpriority").join(per, "scenario_id", "left").fillna(0, ["n_thermal", "n_voltage"])
-    return j.withColumns({"profile": S.profile(F.col("n_thermal"), F.col("n_voltage")), "severity": S.severity(F.col("max_loading"), F.col("min_vm"))})
+    count = lambda wrong, name: F.count_if(wrong).alias(name)
+    per = e.groupBy("scenario_id").agg(count(F.col("loading_percent") > S.OVERLOAD, "n_thermal"), count(F.col("vm_pu") < S.LOW_VOLTAGE, "n_low"), count(F.col("vm_pu") > S.HIGH_VOLTAGE, "n_high"), F.max("loading_percent").alias("max_loading"), F.min("vm_pu").alias("min_vm"), F.max("vm_pu").alias("max_vm"))
+    j = orders.select(F.col("o_orderkey").alias("scenario_id"), "o_orderpriority").join(per, "scenario_id", "left").fillna(0, ["n_thermal", "n_low", "n_high"])
+    extremes = [F.col(c) for c in ("max_loading", "min_vm", "max_vm")]
+    return j.withColumns({"profile": S.profile(F.col("n_thermal") > 0, F.col("n_low") + F.col("n_high") > 0), "severity": S.severity(*extremes), "near_limit": S.near_limit(*extremes)})
 
 
-@query(f"SELECT scenario_id, n_thermal, n_voltage, profile, severity FROM ({CLASSES} ({STATE_SQL}))")
+@query(f"SELECT scenario_id, n_thermal, n_low, n_high, profile, severity, near_limit FROM ({CLASSES} ({STATE_SQL}))")
 def state_classification(orders, lineitem):
-    return classified(orders, lineitem).select("scenario_id", "n_thermal", "n_voltage", "profile", "severity")
+    return classified(orders, lineitem).select("scenario_id", "n_thermal", "n_low", "n_high", "profile", "severity", "near_limit")
+
+
+ACTIONS = ("Continue to increase section power", "Keep current flow and monitor", "Reactive power compensation first", "Redispatch nearby units", "Staged load transfer", "Restore the faulted line without checking", "Wait")
+ACTIONS_SQL = "[" + ", ".join(f"'{a}'" for a in ACTIONS) + "]"
+CATEGORY_SQL = "['risky_increase', 'monitor_only', 'corrective_voltage', 'corrective_redispatch', 'corrective_topology', 'premature_restore']"
 
 
 @query(f"""
-SELECT scenario_id, category, CASE WHEN category = 'defer' AND severity = 'emergency' THEN 'non_compliant' WHEN category = 'defer' THEN CASE WHEN severity = 'alert' THEN 'needs_review' ELSE 'compliant' END
-  WHEN category = 'switch' AND profile IN ('thermal', 'combined') THEN 'compliant' WHEN category = 'switch' THEN 'needs_review' WHEN category = 'redispatch' AND profile = 'voltage' THEN 'needs_review' ELSE 'compliant' END AS label
-FROM (SELECT *, ['defer', 'switch', 'redispatch'][1 + scenario_id % 3] AS category FROM ({CLASSES} ({STATE_SQL})))""")
+SELECT scenario_id, action, category, CASE
+  WHEN category IS NULL THEN NULL
+  WHEN category = 'premature_restore' THEN CASE WHEN profile <> 'normal' OR severity <> 'normal' THEN 'non_compliant' ELSE 'compliant_with_monitoring' END
+  WHEN category = 'risky_increase' THEN CASE WHEN profile <> 'normal' OR near_limit THEN 'non_compliant' ELSE 'compliant_with_monitoring' END
+  WHEN profile = 'normal' THEN CASE WHEN category = 'monitor_only' AND near_limit THEN 'compliant_with_monitoring' WHEN category = 'corrective_topology' THEN 'compliant_with_monitoring' ELSE 'compliant' END
+  WHEN category = 'monitor_only' THEN CASE WHEN severity = 'emergency' OR profile = 'combined' OR load >= 115 OR low < 0.92 OR high > 1.08 THEN 'non_compliant' ELSE 'compliant_with_monitoring' END
+  WHEN category = 'corrective_voltage' AND profile = 'thermal' THEN CASE WHEN load >= 115 THEN 'non_compliant' WHEN load < 108 THEN 'compliant' ELSE 'compliant_with_monitoring' END
+  WHEN category IN ('corrective_redispatch', 'corrective_topology') AND profile = 'voltage' AND (low < 0.92 OR high > 1.08) THEN 'non_compliant'
+  WHEN category = 'corrective_redispatch' AND profile = 'thermal' AND load < 105 THEN 'compliant'
+  WHEN category = 'corrective_topology' AND profile = 'thermal' AND load < 108 THEN 'compliant'
+  ELSE 'compliant_with_monitoring' END AS label
+FROM (SELECT *, {ACTIONS_SQL}[1 + scenario_id % 7] AS action, CASE WHEN scenario_id % 7 < 6 THEN {CATEGORY_SQL}[1 + scenario_id % 7] END AS category FROM ({CLASSES} ({STATE_SQL})))""")
 def decision_table_label(orders, lineitem):
-    c = classified(orders, lineitem).withColumn("category", F.element_at(F.array(*map(F.lit, ("defer", "switch", "redispatch"))), (F.col("scenario_id") % 3 + 1).cast("int")))
-    return c.select("scenario_id", "category", S.decision(F.col("category"), F.col("profile"), F.col("severity")).alias("label"))
+    """The compliance label of an action in each state, its category read from its wording."""
+    c = classified(orders, lineitem).withColumn("action", F.element_at(F.array(*map(F.lit, ACTIONS)), (F.col("scenario_id") % 7 + 1).cast("int")))
+    label = S.decision(F.col("category"), *[F.col(x) for x in ("profile", "severity", "max_loading", "min_vm", "max_vm")])
+    return c.withColumn("category", S.category_of(F.col("action"))).select("scenario_id", "action", "category", label.alias("label"))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr')")
@@ -152,9 +204,9 @@ def id_parse(customer):
     return customer.select("c_custkey", F.regexp_extract("c_name", pattern, 1).alias("family"), F.nullif(F.regexp_extract("c_name", pattern, 2), F.lit("")).cast("bigint").alias("number"))
 
 
-@query("SELECT doc_id, 'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || 'text: ' || substr(text, 1, 40) AS view, '[MASKED_source]' AS source, CAST(NULL AS VARCHAR) AS blank FROM documents")
+@query("SELECT doc_id, 'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || 'text: ' || text AS view, '[MASKED_source]' AS source, CAST(NULL AS VARCHAR) AS blank FROM documents")
 def text_views_and_masks(documents):
-    """Whole fields joined in a view (its SQL still cuts the text at 40 characters), and a field masked."""
+    """Whole fields joined in a view, and a field masked."""
     view = F.concat_ws("\n", F.concat(F.lit("lang: "), "lang"), F.concat(F.lit("source: "), "source"), F.concat(F.lit("text: "), "text"))
     return documents.select("doc_id", view.alias("view"), F.lit("[MASKED_source]").alias("source"), F.lit(None).cast("string").alias("blank"))
 

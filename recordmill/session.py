@@ -26,7 +26,7 @@ def let_workers_import(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset and the session is a local one (tests)."""
     sc = spark.sparkContext
     conf = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(conf)
         return conf
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="recordmill-checkpoint-"))
     return sc.getCheckpointDir()
 

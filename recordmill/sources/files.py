@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
@@ -15,21 +18,63 @@ def read_records(spark: SparkSession, path: str, schema: StructType | str, kind:
     return spark.read.schema(schema).format(kind).load(path)
 
 
-def write_checked(df: DataFrame, path: str, key: str, kind: str = "jsonl") -> DataFrame:
-    """Write records through Spark's job commit, then read them back: a count, a checksum and the uniqueness of keys must hold, or it raises.
+def write_checked(df: DataFrame, path: str, key: str, kind: str = "jsonl", checks: dict[str, Column] | None = None) -> DataFrame:
+    """Write records beside the path through Spark's job commit, read them back, and put them in place only if all holds; else it raises and what stood there stays.
 
-    Readers see the new files only once the job has committed; what was written before at the path is replaced.
+    A count, a checksum and the uniqueness of keys must be the same on both sides, and every row read back must pass the checks. Readers see whole tables only.
     """
+    spark = df.sparkSession
     mark = lambda x: x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*x.columns)), F.count_distinct(key)).first()
-    before = mark(df)
+    before, beside = mark(df), f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     if before[2] != before[0]:
         raise ValueError(f"{before[0] - before[2]} rows have no key of their own")
-    out = df.write.mode("overwrite")
-    out.option("ignoreNullFields", "false").json(path) if kind == "jsonl" else out.format(kind).save(path)
-    back = read_records(df.sparkSession, path, df.schema, kind)
-    if mark(back) != before:
-        raise ValueError("what was read back differs from what was written")
-    return back
+    df.write.option("ignoreNullFields", "false").json(beside) if kind == "jsonl" else df.write.format(kind).save(beside)
+    back = read_records(spark, beside, df.schema, kind)
+    bad = back.where(~reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in checks.values()])).count() if checks else 0
+    same = mark(back) == before
+    files = _files(spark, path)
+    if bad or not same:
+        files.delete(beside)
+        raise ValueError(f"{bad} rows read back fail {sorted(checks or ())}" if bad else "what was read back differs from what was written")
+    files.replace(beside, path)
+    return read_records(spark, path, df.schema, kind)
+
+
+class _files:
+    """Renaming and deleting in the file system of a path, whatever Spark reads it from."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def delete(self, path: str) -> None:
+        self.fs.delete(self.path(path), True)
+
+    def replace(self, new: str, old: str) -> None:
+        """The old table is set aside until the new one stands in its place."""
+        aside = f"{new}-old"
+        had = self.fs.exists(self.path(old))
+        if had and not self.fs.rename(self.path(old), self.path(aside)):
+            raise OSError(f"{old} can't be set aside")
+        if not self.fs.rename(self.path(new), self.path(old)):
+            if had:
+                self.fs.rename(self.path(aside), self.path(old))
+            raise OSError(f"{new} can't be put in place")
+        if had:
+            self.delete(aside)
+
+
+def write_document(df: DataFrame, path: str) -> None:
+    """A small table (a report, a manifest) as one JSON document: an array of its rows in order of all columns. Its rows pass one task."""
+    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    df.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(row)), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_splits(spark: SparkSession, pattern: str, schema: StructType | str, kind: str = "jsonl") -> DataFrame:
+    """Records of all files, or tables of part files, that match a pattern, with split: the name of each without its ending."""
+    rows = read_records(spark, pattern, schema, kind)
+    return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/.]+)\.[a-z]+(?:/part-[^/]*)?$", 1).alias("split"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
