@@ -20,81 +20,108 @@ input that clash with results are replaced. Weights depend on how the rows are p
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from recordmill.llm.batches import slices
 from recordmill.session import stored
 
 COMMON, BUCKETS, CLUSTERS, HIDDEN, SIDE = 1536, 512, 64, 16, 3
 TOKENS = COMMON + BUCKETS
-MASKED, ROUNDS, RATE, BATCH = 0.15, 2, 0.1, 2048
+MASKED, ROUNDS, RATE, BATCH = 0.15, 2, 0.1, 4096
 #: The count of a word that no other document holds.
 UNSEEN = 0.1
+#: Positions scored at once, and documents whose words are counted at once.
+HELD, TOGETHER = 32768, 512
 MEMO = 300_000
 FAN_IN = 8
 #: Steps of a doubling of the counts by which the most frequent words are set apart before they are put in order.
 OCTAVE = 16
 
 
-def word_hash(word: str) -> int:
+def hashes_of(words: Collection[str]) -> np.ndarray:
+    """The 64-bit hash of each word."""
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
-class Ids(dict):
-    """A common word's number, or COMMON and the place of its hash for any other word; words are remembered up to MEMO."""
+@dataclass
+class Tokens:
+    """The tokens of some texts in one array with SIDE paddings before, between and after them; at is where each token stands, owner its text, place its number in the text."""
+
+    padded: np.ndarray
+    at: np.ndarray
+    owner: np.ndarray
+    place: np.ndarray
+
+    @staticmethod
+    def laid(ids: np.ndarray, sizes: np.ndarray) -> "Tokens":
+        """Of the tokens of texts one after the other, and the sizes of the texts."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.arange(len(ids)) + SIDE * (owner + 1)
+        padded = np.full(len(ids) + SIDE * (len(sizes) + 1), TOKENS, np.int32)
+        padded[at] = ids
+        return Tokens(padded, at, owner, place)
+
+    def windows(self, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """(positions, 2 SIDE): the tokens around each position."""
+        at = self.at[which]
+        return np.stack([self.padded[at + d] for d in range(-SIDE, SIDE + 1) if d], axis=1)
+
+    def masked(self, seeds: np.ndarray, share: float, turn: int) -> np.ndarray:
+        """The positions that this round learns from, by the hash of text (seeds) and place; rounds have different ones."""
+        x = (self.place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + seeds[self.owner]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        u = (x >> np.uint64(40)).astype(np.float64) / (1 << 24)
+        return np.nonzero((u - turn * share) % 1.0 < share)[0]
+
+
+class Ids:
+    """Numbers of words: a common word's own, or COMMON and the place of its hash for any other word. Words are remembered up to MEMO."""
 
     def __init__(self, common: dict[int, int]):
-        super().__init__()
-        self.common, self.hashes = common, array("Q")
-
-    def __missing__(self, word: str) -> int:
-        h = word_hash(word)
-        if (i := self.common.get(h)) is None:
-            i = COMMON + len(self.hashes)
-            self.hashes.append(h)
-        self[word] = i
-        return i
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of a text, and the hashes of its words that aren't common, in order."""
-        if len(self) > MEMO:
-            self.clear()
-            self.hashes = array("Q")
-        words = text.lower().split()
-        ids = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        self.common = common
+        self.known: dict[str, int] = {}
+        self.hashes, self.held = np.zeros(1024, np.uint64), 0
+
+    def _learn(self, new: list[str]) -> None:
+        h = hashes_of(new)
+        numbers = np.fromiter((self.common.get(x, -1) for x in h.tolist()), np.int64, len(new))
+        other = numbers < 0
+        n = int(other.sum())
+        while self.held + n > len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[self.held : self.held + n] = h[other]
+        numbers[other] = COMMON + self.held + np.arange(n)
+        self.held += n
+        self.known.update(zip(new, numbers.tolist(), strict=True))
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of texts one after the other, the sizes of the texts, which words aren't common, and the hashes of those."""
+        if len(self.known) > MEMO:
+            self.known, self.held = {}, 0
+        words = [t.lower().split() for t in texts]
+        self._learn(list(set().union(*words).difference(self.known)))
+        sizes = np.array([len(w) for w in words], np.int64)
+        ids = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int32, int(sizes.sum()))
         rare = ids >= COMMON
-        hashes = np.frombuffer(self.hashes, np.uint64)[ids[rare] - COMMON] if rare.any() else np.zeros(0, np.uint64)
+        hashes = self.hashes[ids[rare] - COMMON]
         ids[rare] = COMMON + bucket_of(hashes)
-        return ids, hashes
+        return ids, sizes, rare, hashes
 
 
 def bucket_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS
 
 
-def masked_at(text: str, n: int, share: float, turn: int) -> np.ndarray:
-    """The positions of a text of n words that this round learns from, by the hash of text and place; rounds have different ones."""
-    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(word_hash(text))
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    u = (x >> np.uint64(40)).astype(np.float64) / (1 << 24)
-    return np.nonzero((u - turn * share) % 1.0 < share)[0]
-
-
-def windows(ids: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
-    """(positions, 2 SIDE): the tokens around each position."""
-    padded = np.concatenate([np.full(SIDE, TOKENS, np.int32), ids, np.full(SIDE, TOKENS, np.int32)])
-    near = np.lib.stride_tricks.sliding_window_view(padded, 2 * SIDE + 1)[at]
-    return np.delete(near, SIDE, axis=1)
-
-
 def _log_softmax(hidden: np.ndarray, w: np.ndarray, c: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log probability of outcome `at` of each row. The hidden layer lies within 1, so its weights bound the logits; the greatest is only taken off where they might overflow."""
     z = hidden @ w
@@ -220,7 +247,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text", n: int = COMMON) -> Voca
         own, part = Counter(), TaskContext.get().partitionId()
 
         def made() -> pa.RecordBatch:
-            h = np.fromiter(map(word_hash, own), np.uint64, len(own)).view(np.int64)
+            h = hashes_of(own).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(own), part, np.int32)), pa.array(list(own.values()), pa.int64())], names=["h", "part", "n"])
 
         for batch in batches:
@@ -269,34 +296,48 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], names=["weight", "net"])
 
 
-def trained(docs: DataFrame, common: dict[int, int], rounds: int = ROUNDS, masked: float = MASKED, text_col: str = "text") -> WindowNet:
-    """Weights after rounds of local descent over all documents."""
-    texts, net = docs.select(text_col), WindowNet()
+def tokenised(docs: DataFrame, common: dict[int, int], text_col: str = "text") -> DataFrame:
+    """(seed, ids) of every text, written: its hash, and its tokens as 16-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Ids(common)
+        for whole in batches:
+            for batch in slices(whole, 0):
+                texts = [x or "" for x in batch.column(0).to_pylist()]
+                ids, sizes, _, _ = known.of(texts)
+                stops, raw = 2 * np.cumsum(sizes), ids.astype(np.uint16).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(hashes_of(texts).view(np.int64)), pa.array([raw[b - 2 * n : b] for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)], pa.binary())], names=["seed", "ids"])
+
+    return stored(docs.select(text_col).mapInArrow(run, "seed long, ids binary"), "tokens")
+
+
+def trained(tokens: DataFrame, rounds: int = ROUNDS, masked: float = MASKED) -> WindowNet:
+    """Weights after rounds of local descent over all documents (as tokenised)."""
+    texts, net = tokens.select("seed", "ids"), WindowNet()
     parts = texts.rdd.getNumPartitions()
     for turn in range(rounds):
         raw = net.packed()
 
         def local(batches: Iterator[pa.RecordBatch], raw: bytes = raw, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            own, ids, n = WindowNet().unpack(raw), Ids(common), 0
+            own, n = WindowNet().unpack(raw), 0
             seen = {k: np.full_like(v, 1e-4 if turn == 0 else 1e-2) for k, v in own.p.items()}
-            near, tokens, held = [], [], 0
-            for batch in batches:
-                for value in batch.column(0):
-                    text = value.as_py() or ""
-                    got, _ = ids.of(text)
-                    at = masked_at(text, len(got), masked, turn)
-                    if len(at):
-                        near.append(windows(got, at))
-                        tokens.append(got[at])
-                        held += len(at)
+            near, targets, held = [], [], 0
+            for whole in batches:
+                for batch in slices(whole, 1):
+                    texts = batch.column(1).to_pylist()
+                    got = Tokens.laid(np.frombuffer(b"".join(texts), np.uint16), np.array([len(x) // 2 for x in texts], np.int64))
+                    at = got.masked(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), masked, turn)
+                    near.append(got.windows(at))
+                    targets.append(got.padded[got.at[at]])
+                    held += len(at)
                     if held >= BATCH:
-                        x, y = np.concatenate(near), np.concatenate(tokens)
+                        x, y = np.concatenate(near), np.concatenate(targets)
                         full = len(y) // BATCH * BATCH
                         for k in range(0, full, BATCH):
                             own.descend(x[k : k + BATCH], y[k : k + BATCH], seen)
-                        n, near, tokens, held = n + full, [x[full:]], [y[full:]], len(y) - full
+                        n, near, targets, held = n + full, [x[full:]], [y[full:]], len(y) - full
             if held:
-                own.descend(np.concatenate(near), np.concatenate(tokens), seen)
+                own.descend(np.concatenate(near), np.concatenate(targets), seen)
                 n += held
             yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([own.packed()], pa.binary())], names=["weight", "net"])
 
@@ -315,7 +356,7 @@ def trained(docs: DataFrame, common: dict[int, int], rounds: int = ROUNDS, maske
 
 
 def rare_logs(owner: np.ndarray, hashes: np.ndarray, known_h: np.ndarray, known_n: np.ndarray, total: np.ndarray, kinds: np.ndarray, unseen: float = UNSEEN) -> np.ndarray:
-    """The log share in its bucket of each occurrence of a word that isn't common, by the counts of the documents (owner) other than its own.
+    """The log share in its bucket of each occurrence of a word that isn't common, by the counts of the documents (owner, in order) other than its own.
 
     known_h and known_n are counts in the whole corpus; a word without one occurs in these rows only and is counted here.
     """
@@ -325,10 +366,16 @@ def rare_logs(owner: np.ndarray, hashes: np.ndarray, known_h: np.ndarray, known_
         at = np.minimum(np.searchsorted(distinct, known_h), len(distinct) - 1)
         hit = distinct[at] == known_h
         n[at[hit]] = known_n[hit]
-    bucket = bucket_of(hashes)
-    _, again, own = np.unique(owner * max(1, len(distinct)) + which, return_inverse=True, return_counts=True)
-    _, beside, mine = np.unique(owner * BUCKETS + bucket, return_inverse=True, return_counts=True)
-    return np.log(n[which] - own[again] + unseen) - np.log(total[bucket] - mine[beside] + unseen * (kinds[bucket] + 1))
+    out = np.empty(len(hashes))
+    buckets, rest = bucket_of(hashes), total + unseen * (kinds + 1)
+    ends = np.searchsorted(owner, np.arange(0, int(owner[-1]) + 1 + TOGETHER, TOGETHER)) if len(owner) else []
+    for a, b in zip(ends[:-1], ends[1:]):  # some documents at a time
+        if a < b:
+            who, word, bucket = owner[a:b].astype(np.int64) - int(owner[a]), which[a:b], buckets[a:b]
+            _, again, own = np.unique(who * len(distinct) + word, return_inverse=True, return_counts=True)
+            mine = np.bincount(who * BUCKETS + bucket)[who * BUCKETS + bucket]
+            out[a:b] = np.log(n[word] - own[again] + unseen) - np.log(rest[bucket] - mine)
+    return out
 
 
 def scored(docs: DataFrame, net: WindowNet, vocab: Vocabulary, text_col: str = "text") -> DataFrame:
@@ -344,30 +391,20 @@ def scored(docs: DataFrame, net: WindowNet, vocab: Vocabulary, text_col: str = "
     names = kept.columns
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, ids, n = WindowNet().unpack(raw), Ids(common), left.num_rows
-        counts, sums = np.zeros(n, np.int64), np.zeros(n)
-        near, tokens, owner, held, rare, rare_owner = [], [], [], 0, [], []
-
-        def flush() -> None:
-            if tokens:
-                logs = own.log_probabilities(np.concatenate(near), np.concatenate(tokens))
-                sums[:] += np.bincount(np.concatenate(owner), logs, n)
-
-        for i, text in enumerate(left.column(text_col)):
-            got, hashes = ids.of(text.as_py() or "")
-            counts[i] = len(got)
-            rare.append(hashes)
-            rare_owner.append(np.full(len(hashes), i))
-            for k in range(0, len(got), 32768):  # a very long text goes in pieces with their windows
-                some = slice(k, min(k + 32768, len(got)))
-                near.append(windows(got, some))
-                tokens.append(got[some])
-                owner.append(np.full(some.stop - k, i))
-                held += some.stop - k
-                if held >= 32768:
-                    flush()
-                    near, tokens, owner, held = [], [], [], 0
-        flush()
+        own, ids, n, first = WindowNet().unpack(raw), Ids(common), left.num_rows, 0
+        counts, sums, rare, rare_owner = np.zeros(n, np.int64), np.zeros(n), [], []
+        for whole in left.to_batches():
+            for batch in slices(whole, text_col):
+                flat, sizes, which, hashes = ids.of([x or "" for x in batch.column(text_col).to_pylist()])
+                got, m = Tokens.laid(flat, sizes), batch.num_rows
+                counts[first : first + m] = sizes
+                for k in range(0, len(got.at), HELD):  # a very long text goes in pieces with their windows
+                    some = slice(k, k + HELD)
+                    logs = own.log_probabilities(got.windows(some), got.padded[got.at[some]])
+                    sums[first : first + m] += np.bincount(got.owner[some], logs, m)
+                rare.append(hashes)
+                rare_owner.append((got.owner[which] + first).astype(np.int32))
+                first += m
         if n:
             at, known = np.concatenate(rare_owner), right.column("h").to_numpy().view(np.uint64)
             logs = rare_logs(at, np.concatenate(rare), known, right.column("n").to_numpy(), total, kinds)
@@ -383,4 +420,4 @@ def op9(docs: DataFrame) -> DataFrame:
     """Every document's number of tokens, score and mean, the network being trained and the words counted on all documents."""
     rows = docs.select("doc_id", "text")
     vocab = vocabulary(rows)
-    return scored(rows, trained(rows, vocab.common), vocab).select("doc_id", "n_tokens", "lm_score", "lm_mean")
+    return scored(rows, trained(tokenised(rows, vocab.common)), vocab).select("doc_id", "n_tokens", "lm_score", "lm_mean")

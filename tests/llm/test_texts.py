@@ -277,10 +277,14 @@ def test_license_anchors_lose_nothing():
         assert 2 * len(rest) / (len(rest) + len(own)) < 0.8
 
 
+def word_hash(word):
+    return int(pseudolm.hashes_of([word])[0])
+
+
 def test_window_network_learns(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     vocab = pseudolm.vocabulary(d)
-    rows = pseudolm.scored(d, pseudolm.trained(d, vocab.common), vocab).collect()
+    rows = pseudolm.scored(d, pseudolm.trained(pseudolm.tokenised(d, vocab.common)), vocab).collect()
     raw = pseudolm.scored(d, pseudolm.WindowNet(), vocab).collect()
     n = sum(r.n_tokens for r in rows)
     assert sum(r.lm_score for r in rows) / n > sum(r.lm_score for r in raw) / n + 0.3
@@ -292,16 +296,16 @@ def test_word_counts_equal_a_plain_count(spark):
     plain = Counter(w for r in rows for w in (r[1] or "").split())
     vocab = pseudolm.vocabulary(docs(spark, rows).repartition(5), n=10)
     got = {r.h % 2**64: (r.n, sum(p["n"] for p in r.parts)) for r in vocab.words.collect()}
-    assert got == {pseudolm.word_hash(w): (n, n) for w, n in plain.items()}
-    best = sorted(plain, key=lambda w: (-plain[w], np.uint64(pseudolm.word_hash(w)).astype(np.int64)))[:10]
-    assert vocab.common == {pseudolm.word_hash(w): i for i, w in enumerate(best)}
+    assert got == {word_hash(w): (n, n) for w, n in plain.items()}
+    best = sorted(plain, key=lambda w: (-plain[w], np.uint64(word_hash(w)).astype(np.int64)))[:10]
+    assert vocab.common == {word_hash(w): i for i, w in enumerate(best)}
     rest = [w for w in plain if w not in best]
     assert vocab.total.sum() == sum(plain[w] for w in rest) and vocab.kinds.sum() == len(rest)
 
 
 def plain_score(net, vocab_n, common, texts, i):
     """The summed log probability of one text, a softmax over all tokens and counts by loops."""
-    h = pseudolm.word_hash
+    h = word_hash
     token = lambda w: common[h(w)] if h(w) in common else pseudolm.COMMON + int(pseudolm.bucket_of(np.array([h(w)], np.uint64))[0])
     words, total = (texts[i] or "").lower().split(), 0.0
     ids, own, m = [token(w) for w in words], Counter(words), pseudolm.TOKENS // pseudolm.CLUSTERS
@@ -327,7 +331,7 @@ def test_scores_equal_a_plain_scorer(spark):
     rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
     df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string, lang string, source string, n_chars long")
     vocab = pseudolm.vocabulary(df, n=20)
-    net = pseudolm.trained(df, vocab.common)
+    net = pseudolm.trained(pseudolm.tokenised(df, vocab.common))
     counts = Counter(w for t in texts for w in (t or "").lower().split())
     got = {x.doc_id: x for x in pseudolm.scored(df, net, vocab).collect()}
     for i, t in enumerate(texts):
@@ -345,10 +349,25 @@ def test_words_that_other_documents_hold_cost_less(spark):
 
 
 def test_rounds_mask_different_places():
-    text = " ".join(f"w{i}" for i in range(1000))
-    a, b = (pseudolm.masked_at(text, 1000, 0.15, k) for k in (0, 1))
+    sizes, seeds = np.array([1000, 0, 2]), np.array([5, 6, 7], np.uint64)
+    got = pseudolm.Tokens.laid(np.arange(1002), sizes)
+    a, b = (got.masked(seeds, 0.15, k) for k in (0, 1))
     assert not set(a) & set(b) and 100 < len(a) < 200 and 100 < len(b) < 200
-    assert len(pseudolm.masked_at(text, 1000, 1.0, 0)) == 1000
+    assert len(got.masked(seeds, 1.0, 0)) == 1002
+    alone = pseudolm.Tokens.laid(np.arange(1000), sizes[:1])
+    assert np.array_equal(alone.masked(seeds[:1], 0.15, 1), b[b < 1000])  # wherever a text stands
+
+
+def test_windows_end_with_their_text(monkeypatch):
+    monkeypatch.setattr(pseudolm, "MEMO", 3)
+    common = {word_hash(w): i for i, w in enumerate("abc")}
+    ids, pad = pseudolm.Ids(common), pseudolm.TOKENS
+    for _ in range(3):  # the memo starts anew each time
+        flat, sizes, rare, hashes = ids.of(["a b", "", "c x a"])
+        got = pseudolm.Tokens.laid(flat, sizes)
+        x = pseudolm.COMMON + int(pseudolm.bucket_of(np.array([word_hash("x")], np.uint64))[0])
+        assert got.windows().tolist() == [[pad, pad, pad, 1, pad, pad], [pad, pad, 0, pad, pad, pad], [pad, pad, pad, x, 0, pad], [pad, pad, 2, 0, pad, pad], [pad, 2, x, pad, pad, pad]]
+        assert got.owner.tolist() == [0, 0, 2, 2, 2] and hashes.tolist() == [word_hash("x")] and rare.tolist() == [False, False, False, True, False]
 
 
 def test_window_network_gradients():
