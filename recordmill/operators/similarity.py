@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,15 +72,73 @@ def jaccard_join(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
     return pairs, members
 
 
-def best_jaccard(queries: DataFrame, refs: DataFrame) -> DataFrame:
-    """(id, best, jaccard): the reference that is most similar to each query, least id among equals; none in common gives no best.
+#: Sets in a block of queries and of references, and pairs of equal grams held at once.
+QUERY_BLOCK, REF_BLOCK, HELD = 4096, 2048, 1 << 22
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All elements, and the number of the list that each stands in."""
+    column = lists.combine_chunks()
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
 
-    Grams of queries and references are joined, so pairs are only those with something in common; a gram's references come in one row.
+
+def _sums(q: tuple[np.ndarray, np.ndarray, np.ndarray | None], r: tuple[np.ndarray, np.ndarray], nq: int, nr: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first, last, sums) of some references at a time, last exclusive: for each query and reference the number, or the sum of weights, of their common grams.
+
+    q has grams, owners and weights; r has grams and owners in order. Equal grams are found in one sorted list and expanded by numpy.
     """
-    q = queries.select("id", "n", F.explode("grams").alias("g"))
-    r = refs.select(F.col("id").alias("ref"), F.col("n").alias("m"), F.explode("grams").alias("g"))
-    hits = q.join(r, "g").groupBy("id", "n", "ref", "m").agg(F.count(F.lit(1)).alias("c"))
-    top = hits.groupBy("id").agg(F.max(F.struct(F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 9).alias("j"), (-F.col("ref")).alias("r"))).alias("t"))
+    order = np.argsort(q[0], kind="stable")
+    grams, owner = q[0][order], q[1][order]
+    weight = None if q[2] is None else q[2][order]
+    distinct, first, times = np.unique(grams, return_index=True, return_counts=True)
+    if not len(distinct):
+        return
+    at = np.minimum(np.searchsorted(distinct, r[0]), len(distinct) - 1)
+    hit = np.nonzero(distinct[at] == r[0])[0]
+    at, ref = at[hit], r[1][hit]
+    upto = np.concatenate([[0], np.cumsum(np.bincount(ref, times[at], nr))])
+    a = 0
+    while a < nr:
+        b = min(max(a + 1, int(np.searchsorted(upto, upto[a] + HELD, "right")) - 1), a + max(1, HELD // nq))
+        some = slice(*np.searchsorted(ref, [a, b]))
+        n = times[at[some]]
+        rows = np.repeat(first[at[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cell = owner[rows] * (b - a) + np.repeat(ref[some] - a, n)
+        yield a, b, np.bincount(cell, None if weight is None else weight[rows], nq * (b - a)).reshape(nq, b - a)
+        a = b
+
+
+def _in_blocks(queries: DataFrame, refs: DataFrame, best: Callable, schema: str) -> DataFrame:
+    """best(queries, references) of every block of queries with every block of references, whose sizes don't follow the input; refs go once to each block of queries."""
+    nq, nr = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-refs.count() // REF_BLOCK))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("__q", block("id", nq)).withColumn("__r", each(nr))
+    r = refs.withColumn("__r", block("ref", nr)).withColumn("__q", each(nq))
+    return q.groupBy("__q", "__r").cogroup(r.groupBy("__q", "__r")).applyInArrow(best, schema)
+
+
+def best_jaccard(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """(id, best, jaccard): the reference that is most similar to each query, least id among equals; none in common gives no best. A stated query set in blocks."""
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("ref")
+        ids, n = left.column("id").to_numpy(), left.column("n").to_numpy().astype(np.int64)
+        ref, m = right.column("ref").to_numpy(), right.column("n").to_numpy().astype(np.int64)
+        top, which = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        if len(ids) and len(ref):
+            for a, b, c in _sums((*_flat(left.column("grams")), None), _flat(right.column("grams")), len(ids), len(ref)):
+                j = c / np.maximum(1, n[:, None] + m[None, a:b] - c)
+                at = j.argmax(axis=1)
+                new = j[np.arange(len(ids)), at]
+                better = new > top
+                top[better], which[better] = new[better], ref[a:b][at[better]]
+        found = top > 0
+        return pa.table({"id": ids[found], "best": which[found], "j": top[found]})
+
+    each = _in_blocks(queries.select("id", "n", "grams"), refs.select(F.col("id").alias("ref"), "n", "grams"), best, "id long, best long, j double")
+    top = each.groupBy("id").agg(F.max(F.struct(F.round("j", 9).alias("j"), (-F.col("best")).alias("r"))).alias("t"))
     return queries.select("id").join(top, "id", "left").select("id", (-F.col("t.r")).alias("best"), F.coalesce("t.j", F.lit(0.0)).alias("jaccard"))
 
 
@@ -116,16 +174,33 @@ def dense_top1(queries: DataFrame, refs: DataFrame, block_rows: int = 4096) -> D
 
 
 def tfidf_top1(queries: DataFrame, refs: DataFrame) -> DataFrame:
-    """(id, best, cosine) by TF-IDF over gram sets: weight 1 times ln((1 + N) / (1 + df)) + 1 fitted on the references, unit length."""
+    """(id, best, cosine) by TF-IDF over gram sets: weight 1 times ln((1 + N) / (1 + df)) + 1 fitted on the references, unit length.
+
+    Document frequencies and lengths come by aggregation over grams; the products of a stated query set with all references are made in blocks.
+    """
     r = refs.select(F.col("id").alias("ref"), F.explode("grams").alias("g"))
     total = refs.agg(F.count(F.lit(1)).alias("N"))
-    idf = r.groupBy("g").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("g", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("w"))
-    rw = r.join(idf, "g")
-    qw = queries.select("id", F.explode("grams").alias("g")).join(idf, "g")
-    norm = lambda rows, key, name: rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    dots = qw.select("id", "g", (F.col("w") * F.col("w")).alias("ww")).join(rw.select("ref", "g"), "g").groupBy("id", "ref").agg(F.sum("ww").alias("dot"))
-    cos = dots.join(norm(qw, "id", "nq"), "id").join(norm(rw, "ref", "nr"), "ref").select("id", "ref", F.round(F.col("dot") / F.col("nq") / F.col("nr"), 6).alias("c"))
-    top = cos.groupBy("id").agg(F.max(F.struct("c", (-F.col("ref")).alias("b"))).alias("t"))
+    idf = stored(r.groupBy("g").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("g", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("w")), "idf")
+    squares = F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length")
+    lengths = r.join(idf, "g").groupBy("ref").agg(squares)
+    known = queries.select("id", F.explode("grams").alias("g")).join(idf, "g").groupBy("id").agg(squares, F.collect_list("g").alias("grams"), F.collect_list(F.col("w") * F.col("w")).alias("ws"))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("ref")
+        ids, n, ref, m = left.column("id").to_numpy(), left.column("length").to_numpy(), right.column("ref").to_numpy(), right.column("length").to_numpy()
+        top, which = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        if len(ids) and len(ref):
+            for a, b, dot in _sums((*_flat(left.column("grams")), _flat(left.column("ws"))[0]), _flat(right.column("grams")), len(ids), len(ref)):
+                cos = np.round(dot / n[:, None] / m[None, a:b], 6)
+                at = cos.argmax(axis=1)
+                new = cos[np.arange(len(ids)), at]
+                better = new > top
+                top[better], which[better] = new[better], ref[a:b][at[better]]
+        found = top > 0
+        return pa.table({"id": ids[found], "best": which[found], "c": top[found]})
+
+    each = _in_blocks(known, refs.select(F.col("id").alias("ref"), "grams").join(lengths, "ref"), best, "id long, best long, c double")
+    top = each.groupBy("id").agg(F.max(F.struct("c", (-F.col("best")).alias("b"))).alias("t"))
     return queries.select("id").join(top, "id", "left").select("id", (-F.col("t.b")).alias("best"), F.coalesce("t.c", F.lit(0.0)).alias("cosine"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recordmill.functions import text as X
 from recordmill.operators import models as B
 from recordmill.plans.registry import query
-from recordmill.session import checkpoint
+from recordmill.session import checkpoint, stored
 
 
 @query("""
@@ -120,7 +120,7 @@ def retrieval_baseline(benchmark, documents):
     from recordmill.operators import similarity as M
 
     norm = X.collapse_blanks(F.lower("text"))
-    top = M.tfidf_top1(M.gram_sets(benchmark, "item_id", norm), M.gram_sets(documents, "doc_id", norm))
+    top = M.tfidf_top1(stored(M.gram_sets(benchmark, "item_id", norm), "queries"), stored(M.gram_sets(documents, "doc_id", norm), "sets"))
     return top.join(documents.select(F.col("doc_id").alias("best"), F.col("source").alias("answer")), "best", "left").select("id", "best", "cosine", "answer")
 
 
