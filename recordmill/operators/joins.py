@@ -44,6 +44,15 @@ def contrast_pairs(rows: DataFrame, group: list[str], item: str, differ: str, la
     return out.select(*group, "n_rows", every.cast("bigint").alias("n_pairs"), (every - F.col("same_differ") - F.col("same_label") + F.col("same_both")).cast("bigint").alias("n_contrast"))
 
 
+def contrast_scores(rows: DataFrame, group: list[str], item: str, differ: str, label: str, pred: str) -> DataFrame:
+    """Per group: its contrast pairs, those of them in which both predictions are right, and those in which both are the same. From group sizes too: pairs of right rows
+    are contrast pairs of the right rows alone, and pairs of one prediction those of its rows."""
+    every = contrast_pairs(rows, group, item, differ, label).select(*group, "n_contrast")
+    right = contrast_pairs(rows.where(F.col(label) == F.col(pred)), group, item, differ, label).select(*group, F.col("n_contrast").alias("n_both_right"))
+    same = contrast_pairs(rows, [*group, pred], item, differ, label).groupBy(*group).agg(F.sum("n_contrast").alias("n_same_prediction"))
+    return every.join(right, group, "left").join(same, group, "left").fillna(0, ["n_both_right", "n_same_prediction"])
+
+
 def row_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, status): only_left, only_right, changed or equal, and the names of changed columns."""
     cols = [c for c in a.columns if c != key]

@@ -112,3 +112,81 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 20
     means = each.groupBy("d").agg(F.try_divide(F.sum(F.col("k") * F.col("s")), F.sum(F.col("k") * F.col("n"))).alias("m"))
     whole = per.agg(F.round(F.sum("s") / F.sum("n"), 6).alias("mean"))
     return means.agg(F.count("m").alias("draws"), F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high")).join(F.broadcast(whole))
+
+
+def _interval(values: "np.ndarray") -> tuple[float, float]:
+    import numpy as np
+
+    return tuple(round(float(x), 6) for x in np.percentile(values, (2.5, 97.5)))
+
+
+def bootstrap_labels(rows: DataFrame, gold: str, pred: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """(n, macro_f1, macro_low, macro_high, accuracy, accuracy_low, accuracy_high): point values and 95 % intervals over rows resampled with replacement.
+
+    A resample of rows is a multinomial draw of the cells of the confusion table, so rows are counted once and the draws are made from as many numbers as there
+    are pairs of labels.
+    """
+    import numpy as np
+
+    cells = [(r["gold"], r["pred"], r["n"]) for r in confusion(rows.where(F.col(gold).isNotNull() & F.col(pred).isNotNull()), gold, pred).collect()]
+    labels = sorted({x for g, p, _ in cells for x in (g, p)})
+    table = np.zeros((len(labels), len(labels)))
+    for g, p, n in cells:
+        table[labels.index(g), labels.index(p)] = n
+    total = int(table.sum())
+
+    def scores(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hit, both = np.diagonal(t, axis1=-2, axis2=-1), t.sum(axis=-1) + t.sum(axis=-2)
+        return np.where(both > 0, 2 * hit / np.maximum(both, 1), 0).mean(axis=-1), hit.sum(axis=-1) / max(1, total)
+
+    schema = "n long, macro_f1 double, macro_low double, macro_high double, accuracy double, accuracy_low double, accuracy_high double"
+    if not total:
+        return rows.sparkSession.createDataFrame([(0, *[None] * 6)], schema)
+    drawn = np.random.default_rng(seed).multinomial(total, table.ravel() / total, draws).reshape(draws, *table.shape)
+    (macro, hits), (point, right) = scores(drawn), scores(table)
+    return rows.sparkSession.createDataFrame([(total, round(float(point), 6), *_interval(macro), round(float(right), 6), *_interval(hits))], schema)
+
+
+def paired_bootstrap(rows: DataFrame, first: Column, second: Column, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """(n, difference, low, high): the difference of two rates over the same rows, each row resampled with both its outcomes; from the four counts of outcomes."""
+    import numpy as np
+
+    counts = {(r["a"], r["b"]): r["n"] for r in rows.groupBy(first.cast("int").alias("a"), second.cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("a IS NOT NULL AND b IS NOT NULL").collect()}
+    cells = np.array([counts.get(x, 0) for x in ((1, 0), (0, 1), (1, 1), (0, 0))])
+    n, schema = int(cells.sum()), "n long, difference double, low double, high double"
+    if not n:
+        return rows.sparkSession.createDataFrame([(0, None, None, None)], schema)
+    drawn = np.random.default_rng(seed).multinomial(n, cells / n, draws)
+    return rows.sparkSession.createDataFrame([(n, round(float(cells[0] - cells[1]) / n, 6), *_interval((drawn[:, 0] - drawn[:, 1]) / n))], schema)
+
+
+def first_right_rank(queries: DataFrame, cards: DataFrame, block: int = 4096) -> DataFrame:
+    """(q, best): one plus the number of cards that are nearer to a query than its nearest card of the right kind; null without such a card.
+
+    Rows are (q, gold, x) and (card, kind, y). Queries meet cards in blocks of a fixed size; the first pass finds the nearest right card, the second counts.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    n = max(1, -(-cards.count() // block))
+    dealt = cards.select("kind", "y", F.pmod(F.xxhash64("card"), F.lit(n)).cast("int").alias("b"))
+    m = max(1, -(-queries.count() // block))
+    asked = queries.withColumn("a", F.pmod(F.xxhash64("q"), F.lit(m)).cast("int"))
+    right = dealt.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def nearest(left: pa.Table, some: pa.Table) -> pa.Table:
+        d = np.abs(left.column("x").to_numpy()[:, None] - some.column("y").to_numpy()[None])
+        d[left.column("gold").to_numpy()[:, None] != some.column("kind").to_numpy()[None]] = np.inf
+        low = d.min(axis=1, initial=np.inf)
+        return pa.table({"q": left.column("q"), "near": pa.array(low, mask=np.isinf(low))})
+
+    def nearer(left: pa.Table, some: pa.Table) -> pa.Table:
+        d = np.abs(left.column("x").to_numpy()[:, None] - some.column("y").to_numpy()[None])
+        return pa.table({"q": left.column("q"), "c": pa.array((d < left.column("near").to_numpy()[:, None]).sum(axis=1).astype(np.int64))})
+
+    each = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    meet = lambda rows, of, schema: rows.withColumn("b", each).groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(of, schema)
+    near = meet(asked, nearest, "q long, near double").groupBy("q").agg(F.min("near").alias("near"))
+    known = asked.join(near.where("near IS NOT NULL"), "q")
+    best = meet(known, nearer, "q long, c long").groupBy("q").agg((F.sum("c") + 1).alias("best"))
+    return queries.select("q").join(best, "q", "left")

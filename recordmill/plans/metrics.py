@@ -85,17 +85,25 @@ WITH q AS (SELECT c_custkey AS q, c_nationkey AS gold, c_acctbal AS x FROM custo
 r AS (SELECT q, gold, nation, abs(x - y) AS d, rank() OVER (PARTITION BY q ORDER BY abs(x - y)) AS rk FROM q, k), b AS (SELECT q, min(rk) FILTER (nation = gold) AS best FROM r GROUP BY 1)
 SELECT count(*) AS n, round(avg(CASE WHEN best = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr, round(avg(best), 6) AS mean_rank, round(count(best) / count(*), 6) AS coverage FROM b""")
 def retrieval_metrics(customer, supplier):
-    """Rank of the first card of the right kind for each query. A query's rank is one plus the cards that are nearer: the sorted card list (bounded by a check of its size) is searched in an array."""
-    cards = supplier.agg(F.collect_list(F.struct(F.col("s_acctbal").alias("y"), F.col("s_nationkey").alias("g"))).alias("cards"), F.count(F.lit(1)).alias("k"))
-    if supplier.count() > 20_000:
-        raise ValueError("rule cards are a small table")
-    d = lambda c: F.abs(F.col("c_acctbal") - c["y"])
-    j = customer.join(F.broadcast(cards)).withColumn("near", F.array_min(F.transform(F.filter("cards", lambda c: c["g"] == F.col("c_nationkey")), d)))
-    best = F.when(F.col("near").isNotNull(), F.size(F.filter("cards", lambda c: d(c) < F.col("near"))) + 1)
-    b = j.select(best.alias("best"))
+    """Rank of the first card of the right kind for each query: one plus the cards that are nearer."""
+    q = customer.select(F.col("c_custkey").alias("q"), F.col("c_nationkey").alias("gold"), F.col("c_acctbal").alias("x"))
+    b = S.first_right_rank(q, supplier.select(F.col("s_suppkey").alias("card"), F.col("s_nationkey").alias("kind"), F.col("s_acctbal").alias("y")))
     return b.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("best") == 1, 1.0).otherwise(0.0)), 6).alias("top1"), F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("best"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg("best"), 6).alias("mean_rank"), F.round(F.count("best") / F.count(F.lit(1)), 6).alias("coverage"))
 
 
+@query()
+def bootstrap_label_scores(documents, labels):
+    """Intervals of macro-F1 and accuracy over rows resampled; held against resampled rows in the tests."""
+    return S.bootstrap_labels(labelled(documents, labels), "quality", "pred")
+
+
+@query()
+def bootstrap_paired_difference(documents, labels):
+    """The interval of the difference of two predictions' accuracies on the same rows; held against resampled rows in the tests."""
+    other = F.when(F.col("n_chars") > 1500, 1).otherwise(0)
+    return S.paired_bootstrap(labelled(documents, labels), F.col("quality") == F.col("pred"), F.col("quality") == other)
+
+
 @query()
 def bootstrap_interval(documents, labels):
     """Interval of the mean quality over sources resampled as clusters; deterministic draws by hashing."""

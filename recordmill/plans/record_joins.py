@@ -59,6 +59,17 @@ def contrast_pairs(customer):
     return J.contrast_pairs(customer.withColumn("label", F.col("c_custkey") % 4), ["c_nationkey"], "c_custkey", "c_mktsegment", "label")
 
 
+@query("""
+WITH c AS (SELECT c_nationkey AS g, c_custkey AS i, c_mktsegment AS d, c_custkey % 4 AS l, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey + 1) % 4 ELSE c_custkey % 4 END AS p FROM customer),
+j AS (SELECT a.g, count(*) AS n, count(*) FILTER (a.l = a.p AND b.l = b.p) AS r, count(*) FILTER (a.p = b.p) AS s FROM c a JOIN c b ON a.g = b.g AND a.i < b.i AND a.d <> b.d AND a.l <> b.l GROUP BY 1)
+SELECT k.g AS c_nationkey, coalesce(n, 0) AS n_contrast, coalesce(r, 0) AS n_both_right, coalesce(s, 0) AS n_same_prediction FROM (SELECT DISTINCT g FROM c) k LEFT JOIN j USING (g)""")
+def contrast_pair_scores(customer):
+    """Contrast pairs that a prediction gets right on both sides, and those it can't tell apart."""
+    label = F.col("c_custkey") % 4
+    rows = customer.withColumns({"label": label, "pred": F.when(F.col("c_custkey") % 3 == 0, (F.col("c_custkey") + 1) % 4).otherwise(label)})
+    return J.contrast_scores(rows, ["c_nationkey"], "c_custkey", "c_mktsegment", "label", "pred")
+
+
 @query("""
 WITH a AS (SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey % 9 <> 0), b AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'other' ELSE p_brand END AS p_brand, p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS p_size FROM part WHERE p_partkey % 8 <> 0)
 SELECT p_partkey, CASE WHEN b.p_size IS NULL THEN 'only_left' WHEN a.p_size IS NULL THEN 'only_right' WHEN a.p_brand <> b.p_brand OR a.p_size <> b.p_size THEN 'changed' ELSE 'equal' END AS status,

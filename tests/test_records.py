@@ -170,6 +170,27 @@ def test_best_references_in_many_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_bootstraps_equal_resampled_rows(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    rows = [(str(r.integers(0, 3)), str(r.integers(0, 3)), bool(r.random() < 0.7), bool(r.random() < 0.5)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "gold string, pred string, a boolean, b boolean")
+    g, p, a, b = (np.array(x) for x in zip(*rows))
+
+    def macro(g, p):
+        return np.mean([2 * ((g == x) & (p == x)).sum() / max(1, (g == x).sum() + (p == x).sum()) for x in "012"])
+
+    at = r.integers(0, 400, (1500, 400))
+    x = stats.bootstrap_labels(df, "gold", "pred", 1500).first()
+    low, high = np.percentile([macro(g[i], p[i]) for i in at], (2.5, 97.5))
+    assert x.n == 400 and abs(x.macro_f1 - macro(g, p)) < 1e-6 and abs(x.accuracy - (g == p).mean()) < 1e-6 and abs(x.macro_low - low) < 0.01 and abs(x.macro_high - high) < 0.01
+    y = stats.paired_bootstrap(df, F.col("a"), F.col("b"), 1500).first()
+    low, high = np.percentile([a[i].mean() - b[i].mean() for i in at], (2.5, 97.5))
+    assert abs(y.difference - (a.mean() - b.mean())) < 1e-6 and abs(y.low - low) < 0.015 and abs(y.high - high) < 0.015
+    assert stats.bootstrap_labels(df.limit(0), "gold", "pred").first().n == 0 and stats.paired_bootstrap(df.limit(0), F.col("a"), F.col("b")).first().n == 0
+
+
 def test_decisions_follow_the_table(spark):
     from recordmill.operators import states as S
 
