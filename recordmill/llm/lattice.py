@@ -11,8 +11,8 @@ it's missed in all four with one of about 0.03; nearer pairs less often. An unre
 For far larger tables raise scale and tables together.
 
 Defined results: a vector that is null, empty, zero, or holds null or non-finite numbers links with nothing and is its own
-component; vectors of different length never link; rows that repeat a vec_id are vectors of their own with one component; a null
-vec_id has its links counted and a null component; an empty table gives an empty result; other columns aren't read.
+component; vectors of different length never link; rows that repeat a vec_id are vectors of their own; a row without
+vec_id has its links counted and its group's component, the smallest vec_id in it (null where none has one), and is never kept; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from recordmill.llm.forest import spanning
 from recordmill.operators.components import connected_components
 from recordmill.session import checkpoint
 
@@ -93,21 +94,16 @@ def codes(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: f
     return out
 
 
-def _units(column: pa.Array) -> list[np.ndarray]:
-    rows = []
-    for v in column:
-        x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
-        x = x / np.abs(x).max()
-        rows.append(x / np.sqrt((x * x).sum()))
-    return rows
-
-
-def _stacked(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, matrix) for each length of vector."""
-    sizes = np.array([len(r) for r in rows])
+def _units(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, matrix of vectors of length one) for each length of vector."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)
+    starts = np.cumsum(sizes) - sizes
     for d in np.unique(sizes):
         at = np.nonzero(sizes == d)[0]
-        yield at, np.stack([rows[i] for i in at])
+        x = flat[starts[at][:, None] + np.arange(d)]
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        yield at, x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _counted(sid: np.ndarray, qid: np.ndarray, query: np.ndarray, table: int, cs: np.ndarray, cq: np.ndarray) -> np.ndarray:
@@ -128,15 +124,11 @@ def _compared(a: tuple, b: tuple, same: bool, table: int, setting: tuple) -> tup
     """Links between two tiles of a cell as (src, dst, added): sums of weights (dst none) and a spanning forest (added 0)."""
     similarity, tables, probes, scale = setting
     (ia, wa, ra, xa), (ib, wb, rb, xb) = a, b
-    adds: dict[int, int] = {}
-    parent: dict[int, int] = {}
+    n = 0 if same else len(ia)
+    parent = np.arange(n + len(ib))
+    sums = np.zeros(n + len(ib), np.int64)
+    ids = ib if same else np.concatenate([ia, ib])
     src, dst = [], []
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
     code_a, code_b = None, None
     step = max(1, (1 << 18) // max(1, len(ib)))
     for k in range(0, len(ia), step):
@@ -156,18 +148,13 @@ def _compared(a: tuple, b: tuple, same: bool, table: int, setting: tuple) -> tup
         cq = np.where(turned[:, None, None], code_a[i], code_b[j])
         on = _counted(sid, qid, ~(ra[i] & rb[j]), table, cs, cq)
         i, j = i[on], j[on]
-        for ids, at, w in ((ia, i, wb[j]), (ib, j, wa[i])):
-            for x, n in zip(ids, np.bincount(at, w, len(ids)), strict=True):
-                if n:
-                    adds[int(x)] = adds.get(int(x), 0) + int(n)
-        for x, y in zip(ia[i].tolist(), ib[j].tolist(), strict=True):
-            p, q = root(x), root(y)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                src.append(x)
-                dst.append(y)
-    n = len(src)
-    return src + [*adds], dst + [None] * len(adds), [0] * n + [*adds.values()]
+        sums += np.bincount(i, wb[j], len(sums)).astype(np.int64) + np.bincount(j + n, wa[i], len(sums)).astype(np.int64)
+        x, y = spanning(parent, i, j + n)
+        src.append(ids[x])
+        dst.append(ids[y])
+    met = np.nonzero(sums)[0]
+    joined = sum(map(len, src))
+    return [*np.concatenate(src).tolist(), *ids[met].tolist()] if src else [], [*np.concatenate(dst).tolist(), *[None] * len(met)] if src else [], [*[0] * joined, *sums[met].tolist()]
 
 
 def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, tile: int = TILE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -185,7 +172,7 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, tables: int
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
                 rep = part.column(0).to_numpy(zero_copy_only=False)
-                for at, unit in _stacked(_units(part.column(1))):
+                for at, unit in _units(part.column(1)):
                     found = codes(unit, tables, probes, scale)
                     shape = found.shape
                     yield pa.RecordBatch.from_arrays([
@@ -203,7 +190,7 @@ def near_vectors(vectors: DataFrame, similarity: float = SIMILARITY, tables: int
 
     def tile_of(column: pa.Array, k: int) -> tuple:
         r = column[k].values
-        return r.field(0).to_numpy(zero_copy_only=False), r.field(1).to_numpy(zero_copy_only=False), r.field(2).to_numpy(zero_copy_only=False).astype(bool), np.stack(_units(r.field(3)))
+        return r.field(0).to_numpy(zero_copy_only=False), r.field(1).to_numpy(zero_copy_only=False), r.field(2).to_numpy(zero_copy_only=False).astype(bool), next(_units(r.field(3)))[1]  # a cell's vectors are of one length
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

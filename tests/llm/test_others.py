@@ -50,6 +50,31 @@ def test_lattice_recall_and_links(spark):
     assert lattice.op5(df.limit(0)).count() == 0
 
 
+def test_vectors_without_or_with_the_same_number(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(None, a), (4, a), (4, [2.0, 0.0, 0.0]), (7, b), (None, c), (None, None), (9, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, component_id string, kept int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in lattice.op5(df).collect()), key=str)
+    assert got == sorted([(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (7, 0, 7, True), (None, 0, None, False), (None, 0, None, False), (9, 0, 9, True)], key=str)
+
+
+def test_forests_join_what_links_join():
+    from recordmill.llm.forest import spanning
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 300, 260), rng.integers(0, 300, 260)
+    x, y = spanning(np.arange(300), a, b)
+
+    def classes(a, b):
+        comp = list(range(300))
+        for _ in range(300):
+            for u, v in zip(a.tolist(), b.tolist()):
+                comp[u] = comp[v] = min(comp[u], comp[v])
+        return comp
+
+    assert classes(a, b) == classes(x, y) and len(x) == 300 - len(set(classes(a, b)))
+
+
 def test_blocks_of_awkward_pages():
     cut = lambda p: [t for _, t, _ in html.blocks_of(p)]
     assert cut("") == [] and cut("<!-- open <p>x") == [] and cut("<script>var a='</p>'; <p>x") == []
