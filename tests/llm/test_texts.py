@@ -104,6 +104,21 @@ def test_poisson_means_and_whole_copies(spark):
     assert out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("copies").alias("c"), F.max("copy").alias("m")).where("n <> c OR n <> m").count() == 0
 
 
+def test_mixing_equals_sql_with_nulls_and_sources_without_size(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, f"text {i}", "en", s, n) for i, (s, n) in enumerate([("a", 10), ("a", None), ("b", 900), ("b", 5), (None, 7), ("c", None), ("c", 0), ("d", 1)] * 12)]
+    docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    found = con.sql(mixing.OP2_SQL)
+    theirs = Counter(tuple(sorted(dict(zip(found.columns, map(str, r))).items())) for r in found.fetchall())
+    ours = Counter(tuple(sorted((k, str(v)) for k, v in r.asDict().items())) for r in mixing.op2(docs(spark, rows)).select(*found.columns).collect())
+    assert ours == theirs and sum(ours.values()) > 50
+    rates = {r.source: r.rate for r in mixing.source_rates(docs(spark, rows)).collect()}
+    assert rates["c"] == 1.0 and rates["b"] < 1 < rates["d"]
+
+
 def test_poisson_of_large_rate(spark):
     from pyspark.sql import functions as F
 
