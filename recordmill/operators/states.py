@@ -159,3 +159,45 @@ def contract_errors(rows: DataFrame, states: DataFrame, key: str = "scenario_id"
         code(of_load & ~result["max_loading_percent"].eqNullSafe(F.array_max(F.transform(held, lambda x: x["loading_percent"]))), "overload_query_max_aggregation_mismatch"),
     )
     return again.select(*rows.columns, F.array_join(F.array_sort(F.array_distinct(F.array_compact(codes))), ",").alias("errors"))
+
+
+def compliance_errors(rows: DataFrame) -> DataFrame:
+    """rows with errors: the sorted codes of what is wrong with a compliance record's label and rationale.
+
+    rows are classified states (profile, severity, max_loading, min_vm, max_vm) with action, category (null: read from the action), label and rationale.
+    """
+    category = F.coalesce("category", category_of(F.col("action")))
+    extremes = [F.col(c) for c in ("max_loading", "min_vm", "max_vm")]
+    expected = decision(category, F.col("profile"), F.col("severity"), *extremes)
+    text = F.lower(F.coalesce("rationale", F.lit("")))
+    # What a rationale says of violations and of limits.
+    denies = text.rlike("no thermal stability or voltage violation|no thermal or voltage violation|no overload or voltage violation")
+    admits = text.rlike("near the boundary|approaching the boundary|close to the boundary|near limit|close to limit|approaching the limit|security margin|safety margin")
+    calm = F.col("profile") == "normal"
+    code = lambda bad, name: F.when(F.coalesce(bad, F.lit(False)), F.lit(name))
+    codes = F.array(
+        code(expected.isNotNull() & ~F.col("label").eqNullSafe(expected), "compliance_label_mismatch"), code(~calm & denies, "rationale_denies_existing_issues"),
+        code(calm & (F.col("label") == NON_COMPLIANT) & ~(near_limit(*extremes) | admits), "non_compliant_without_detected_issue"),
+    )
+    return rows.select("*", F.array_join(F.array_sort(F.array_compact(codes)), ",").alias("errors"))
+
+
+def inferred_scope(prose: Column) -> Column:
+    """The scope that a question asks for: transformers, lines, or all."""
+    text = F.lower(F.coalesce(prose, F.lit("")))
+    return F.when(text.rlike(r"变压器|主变|\b(transformers?|trafos?)\b"), "transformer").when(text.rlike(r"线路|\blines?\b"), "line").otherwise("all")
+
+
+def upgraded(rows: DataFrame, states: DataFrame, key: str = "scenario_id") -> DataFrame:
+    """Query records in the present form: a loading query without a scope gets the one that its prose asks for, and is run again; others stay as they are.
+
+    rows has key, prose and query (filter, scope, aggregation, version); the result has query and its mirrors, count, max_loading_percent and migrated.
+    """
+    q = F.col("query")
+    old = (q["filter"] == FILTERS[0]) & q["scope"].isNull()
+    scope = F.when(old, inferred_scope(F.col("prose"))).otherwise(q["scope"])
+    new = F.struct(q["filter"].alias("filter"), scope.alias("scope"), F.when(old, "complete_list_and_max").otherwise(q["aggregation"]).alias("aggregation"), F.when(old, "3").otherwise(q["version"]).alias("version"))
+    kept = [c for c in rows.columns if c != "query"]
+    asked = rows.select(*kept, old.alias("migrated"), new.alias("query")).select("*", "query.filter", F.col("query.scope").alias("equipment_scope"))
+    done = run_queries(asked, states, key)
+    return done.select(*kept, "query", F.col("query").alias("output_query"), F.struct(F.lit("query_simulation_records").alias("tool"), F.col("query").alias("args")).alias("tool"), "records", "count", "max_loading_percent", "migrated")

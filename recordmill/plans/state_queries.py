@@ -125,7 +125,7 @@ ACTIONS_SQL = "[" + ", ".join(f"'{a}'" for a in ACTIONS) + "]"
 CATEGORY_SQL = "['risky_increase', 'monitor_only', 'corrective_voltage', 'corrective_redispatch', 'corrective_topology', 'premature_restore']"
 
 
-@query(f"""
+DECISION_SQL = f"""
 SELECT scenario_id, action, category, CASE
   WHEN category IS NULL THEN NULL
   WHEN category = 'premature_restore' THEN CASE WHEN profile <> 'normal' OR severity <> 'normal' THEN 'non_compliant' ELSE 'compliant_with_monitoring' END
@@ -137,7 +137,10 @@ SELECT scenario_id, action, category, CASE
   WHEN category = 'corrective_redispatch' AND profile = 'thermal' AND load < 105 THEN 'compliant'
   WHEN category = 'corrective_topology' AND profile = 'thermal' AND load < 108 THEN 'compliant'
   ELSE 'compliant_with_monitoring' END AS label
-FROM (SELECT *, {ACTIONS_SQL}[1 + scenario_id % 7] AS action, CASE WHEN scenario_id % 7 < 6 THEN {CATEGORY_SQL}[1 + scenario_id % 7] END AS category FROM ({CLASSES} ({STATE_SQL})))""")
+FROM (SELECT *, {ACTIONS_SQL}[1 + scenario_id % 7] AS action, CASE WHEN scenario_id % 7 < 6 THEN {CATEGORY_SQL}[1 + scenario_id % 7] END AS category FROM ({CLASSES} ({STATE_SQL})))"""
+
+
+@query(DECISION_SQL)
 def decision_table_label(orders, lineitem):
     """The compliance label of an action in each state, its category read from its wording."""
     c = classified(orders, lineitem).withColumn("action", F.element_at(F.array(*map(F.lit, ACTIONS)), (F.col("scenario_id") % 7 + 1).cast("int")))
@@ -145,6 +148,33 @@ def decision_table_label(orders, lineitem):
     return c.withColumn("category", S.category_of(F.col("action"))).select("scenario_id", "action", "category", label.alias("label"))
 
 
+@query(f"""
+SELECT scenario_id, concat_ws(',', CASE WHEN d.label IS NOT NULL AND (scenario_id % 9 = 0 OR scenario_id % 10 = 0) AND d.label <> 'non_compliant' THEN 'compliance_label_mismatch' END,
+  CASE WHEN profile = 'normal' AND NOT near_limit AND (scenario_id % 9 = 0 OR scenario_id % 10 = 0) AND scenario_id % 4 <> 0 THEN 'non_compliant_without_detected_issue' END, CASE WHEN profile <> 'normal' AND scenario_id % 5 = 0 THEN 'rationale_denies_existing_issues' END) AS errors
+FROM ({DECISION_SQL}) d JOIN ({CLASSES} ({STATE_SQL})) USING (scenario_id)""")
+def compliance_record_errors(orders, lineitem):
+    """Stated labels, some of them wrong, and rationales against what the decision table gives."""
+    k = F.col("scenario_id")
+    c = classified(orders, lineitem).withColumns({"action": F.element_at(F.array(*map(F.lit, ACTIONS)), (k % 7 + 1).cast("int")), "category": F.lit(None).cast("string")})
+    right = S.decision(S.category_of(F.col("action")), *[F.col(x) for x in ("profile", "severity", "max_loading", "min_vm", "max_vm")])
+    wrong = (k % 9 == 0) | (k % 10 == 0)
+    prose = F.concat(F.when(k % 5 == 0, "There is no overload or voltage violation. ").otherwise("Checked. "), F.when(k % 4 == 0, "The state is close to limit.").otherwise(""))
+    return S.compliance_errors(c.withColumns({"label": F.when(wrong, S.NON_COMPLIANT).otherwise(right), "rationale": prose})).select("scenario_id", "errors")
+
+
+@query(f"""
+WITH r AS (SELECT o_orderkey AS scenario_id, o_orderkey % 2 = 0 AS migrated, CASE WHEN o_orderkey % 2 = 1 THEN 'line' ELSE ['line', 'transformer', 'all', 'transformer'][1 + (o_orderkey // 2) % 4] END AS scope FROM orders)
+SELECT r.scenario_id, scope, migrated, CASE WHEN migrated THEN '3' ELSE '2' END AS version, CAST(count(e.element) AS INTEGER) AS "count", max(e.loading_percent) AS max_loading_percent
+FROM r LEFT JOIN ({ELEMENTS}) e ON e.scenario_id = r.scenario_id AND e.loading_percent > 100 AND (r.scope = 'all' OR e.equipment = r.scope) GROUP BY 1, 2, 3, 4""")
+def query_upgrade(orders, lineitem):
+    """Queries of the old form, every other one, brought to the present form by their prose and run again."""
+    k, s = F.col("scenario_id"), states(orders, lineitem)
+    prose = F.element_at(F.array(*map(F.lit, ("Which lines are overloaded?", "List each overloaded trafo", "List the outliners", "Transformers and lines over 100 %"))), (F.floor(k / 2) % 4 + 1).cast("int"))
+    q = F.struct(F.lit(S.FILTERS[0]).alias("filter"), F.when(k % 2 == 1, "line").alias("scope"), F.when(k % 2 == 1, "complete_list_and_max").alias("aggregation"), F.when(k % 2 == 1, "2").alias("version"))
+    out = S.upgraded(s.select("scenario_id", prose.alias("prose"), q.alias("query")), s)
+    return out.where(F.col("query").eqNullSafe(F.col("output_query")) & F.col("query").eqNullSafe(F.col("tool.args"))).select("scenario_id", "query.scope", "migrated", "query.version", "count", "max_loading_percent")
+
+
 @query("SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr')")
 def task_filter(documents):
     return documents.where(F.col("lang").isin("de", "fr")).select("doc_id", "lang")
