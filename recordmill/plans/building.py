@@ -58,11 +58,47 @@ def labels_and_tools(events):
 
 
 @query("""
-SELECT doc_id, concat_ws(',', CASE WHEN contains(lower(text), 'token') THEN 'R1' END, CASE WHEN contains(lower(text), 'licensed') THEN 'R2' END, CASE WHEN contains(lower(text), '@') THEN 'R3' END) AS rules, (CASE WHEN contains(lower(text), 'token') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(text), 'licensed') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(text), '@') THEN 1 ELSE 0 END) AS n FROM documents""")
-def rule_link_inference(documents):
-    low = F.lower("text")
-    rules = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), r) for t, r in (("token", "R1"), ("licensed", "R2"), ("@", "R3"))]))
-    return documents.select("doc_id", F.array_join(rules, ",").alias("rules"), F.size(rules).alias("n"))
+SELECT k AS o_orderkey, concat_ws(',', CASE WHEN k % 2 = 0 THEN 'REG_TOOL_001' END, CASE k % 4 WHEN 0 THEN concat_ws(',', 'REG_OVERLOAD_ALERT_002', CASE WHEN k % 8 = 0 THEN 'REG_OVERLOAD_EMERGENCY_003' END, CASE WHEN k % 3 = 0 THEN 'REG_SECURITY_REDISPATCH_004' END, CASE WHEN k % 5 = 0 THEN 'REG_TOOL_POSTCHECK_004' END)
+  WHEN 1 THEN CASE WHEN k % 3 = 0 THEN 'REG_SWITCHING_PERMISSION_002' END WHEN 2 THEN 'REG_TOOL_MITIGATION_003,REG_SECURITY_REDISPATCH_004' ELSE concat_ws(',', 'REG_QUERY_FILTER_002', 'REG_QUERY_AGGREGATION_003') END) AS links,
+  CASE WHEN k % 4 = 0 AND k % 5 = 0 THEN '/input/decision_window,/instruction' ELSE '' END AS postcheck FROM (SELECT o_orderkey AS k FROM orders)""")
+def rule_link_inference(orders):
+    """Rules that a record's evidence calls for, in order, with the pointers of one of them."""
+    from recordmill.operators import evidence as E
+
+    k = F.col("o_orderkey")
+    kind = lambda n, value: F.when(k % 4 == n, value)
+    rows = orders.select(
+        "o_orderkey", F.element_at(F.array(*map(F.lit, ("regulation_compliance_check", "operation_ticket_check", "dispatcher_intent_tool_call", "intelligent_data_query"))), (k % 4 + 1).cast("int")).alias("task"),
+        F.lit("Do as the record says").alias("instruction"), F.when(k % 2 == 0, F.array(F.lit("REG_TOOL_001"), F.lit("REG_OTHER_009"), F.lit("REG_TOOL_001"))).alias("existing"),
+        kind(0, F.when(k % 8 == 0, "Severe OVERLOAD of a line").otherwise("line loading is high")).alias("observed_issues"), kind(0, F.lit("")).alias("grid_state_summary"), kind(0, F.when(k % 3 == 0, "generator_redispatch, none")).alias("available_actions"),
+        kind(0, F.when(k % 5 == 0, "10 minutes")).alias("decision_window"), kind(1, F.when(k % 3 == 0, "granted")).alias("dispatch_permit_status"), F.lit(None).cast("string").alias("monitoring_arrangement"),
+        kind(2, F.lit("Mitigate it now")).alias("utterance"), kind(3, k.cast("string")).alias("scenario_id"), kind(3, F.lit("List all of them")).alias("question"),
+    )
+    out = E.infer_links(rows)
+    return out.select("o_orderkey", F.array_join("links", ",").alias("links"), F.coalesce(F.array_join(F.try_element_at("basis", F.lit("REG_TOOL_POSTCHECK_004")), ","), F.lit("")).alias("postcheck"))
+
+
+@query("""
+WITH x AS (SELECT p_partkey AS i, unnest([0, 1, 2]) AS l FROM part), t AS (SELECT 'ticket' AS task, i, ['compliant', 'compliant_with_monitoring', 'non_compliant'][l + 1] AS label FROM x UNION ALL SELECT 'route', i, ['diagnose_and_dispatch', 'mitigate_violations', 'security_check_and_redispatch'][l + 1] FROM x)
+SELECT task || '-' || label || '-' || i AS id, task, i % 12 AS family, CASE WHEN i % 12 IN (8, 9) THEN 'validation' WHEN i % 12 IN (10, 11) THEN 'test' ELSE 'train' END AS split, label, sha256(task || '-' || label || '-' || i || ':' || label) AS seal FROM t""")
+def compositional_controls(part):
+    """A control set of tickets and routes: the label that the fields give is the one that was asked for, in every family, label and number."""
+    from recordmill.operators import controls as C
+
+    return C.control_rows(part.select(F.col("p_partkey").alias("i"))).select("id", "task", "family", "split", "label", "seal")
+
+
+@query("""
+WITH s AS (SELECT p_partkey AS i, (p_partkey * 37) % 1440 AS m, (p_partkey * 37) % 1440 - 30 AS p FROM part)
+SELECT 'ticket-compliant-' || i AS id, printf('%02d:%02d', m // 60, m % 60) AS start, printf('%02d:%02d', ((p + 1440) % 1440) // 60, (p + 1440) % 60) AS permit, 30 AS lead FROM s""")
+def control_clocks(part):
+    """The clocks that stand in a control row's text, and how long the permit came before the start, around midnight."""
+    from recordmill.operators import controls as C
+
+    rows = C.control_rows(part.select(F.col("p_partkey").alias("i"))).where("label = 'compliant'")
+    time = lambda word: F.regexp_extract("text", rf"{word} ([0-9]{{2}}:[0-9]{{2}})", 1)
+    lead = F.pmod(X.minutes_of(time("Start")) - X.minutes_of(time("permit")), F.lit(1440))
+    return rows.select("id", time("Start").alias("start"), time("permit").alias("permit"), lead.alias("lead"))
 
 
 @query("""

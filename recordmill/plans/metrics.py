@@ -71,11 +71,13 @@ def calibration(documents, labels):
 
 
 @query(f"""
-WITH s AS (SELECT unnest([1, 2, 3, 4, 5]) AS seed), a AS (SELECT seed, avg(CASE WHEN quality = CASE WHEN n_chars > 1000 + 100 * seed THEN 1 ELSE 0 END THEN 1.0::DOUBLE ELSE 0.0 END) AS acc FROM s, {LABELLED} GROUP BY 1)
+WITH s AS (SELECT unnest([1, 2, 3, 4, 5]) AS seed), a AS (SELECT seed, avg(CASE WHEN CAST('0x' || substr(sha256('run' || seed || ':' || doc_id), 1, 8) AS BIGINT) % 100 < 80 + seed THEN 1.0::DOUBLE ELSE 0.0 END) AS acc FROM s, {LABELLED} GROUP BY 1)
 SELECT round(avg(acc), 6) AS mean, round(stddev_pop(acc), 6) AS population_std, round(stddev_samp(acc), 6) AS sample_std, round(min(acc), 6) AS least, round(max(acc), 6) AS greatest FROM a""")
 def seed_stability(documents, labels):
-    hit = lambda s: F.when(F.col("quality") == F.when(F.col("n_chars") > 1000 + 100 * s, 1).otherwise(0), 1.0).otherwise(0.0)
-    one = labelled(documents, labels).agg(F.array(*[F.avg(hit(s)) for s in range(1, 6)]).alias("a")).select(F.explode("a").alias("acc"))
+    """How much accuracy varies over five seeded runs; a run's predictions are right where a hash of seed and row says so."""
+    runs = labelled(documents, labels).select("doc_id", "quality", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("seed"))
+    right = X.hash_bucket(F.concat(F.lit("run"), F.col("seed"), F.lit(":"), F.col("doc_id")), 100) < 80 + F.col("seed")
+    one = runs.withColumn("pred", F.when(right, F.col("quality")).otherwise(1 - F.col("quality"))).groupBy("seed").agg(F.avg((F.col("pred") == F.col("quality")).cast("double")).alias("acc"))
     r = lambda c, n: F.round(c, 6).alias(n)
     return one.agg(r(F.avg("acc"), "mean"), r(F.stddev_pop("acc"), "population_std"), r(F.stddev_samp("acc"), "sample_std"), r(F.min("acc"), "least"), r(F.max("acc"), "greatest"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordmill.functions import text as X
-from recordmill.operators import states as S
+from recordmill.operators import evidence as E, states as S
 from recordmill.plans.registry import query
 
 ELEMENTS = "SELECT l_orderkey AS scenario_id, CASE WHEN l_linestatus = 'O' THEN 'line' ELSE 'transformer' END AS equipment, l_linenumber AS element, l_quantity * 4 AS loading_percent, 1.0 - l_discount + l_tax AS vm_pu FROM lineitem"
@@ -199,18 +199,31 @@ def strata_labels(documents):
     return documents.select(F.explode(tags).alias("stratum")).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, contains(lower(text), 'token') OR contains(lower(text), 'licensed') AS boundary FROM documents")
-def boundary_candidates(documents):
-    low = F.lower("text")
-    return documents.select("doc_id", (F.contains(low, F.lit("token")) | F.contains(low, F.lit("licensed"))).alias("boundary"))
+TASKS = ("operation_ticket_check", "dispatcher_intent_tool_call", "regulation_compliance_check", "other")
+HINTS = ("the permit is there", "please confirm it", "a constrained section", "nothing of note")
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, CASE WHEN v < 10 THEN round(v * 100, 6) ELSE v END AS percent FROM (SELECT l_orderkey, l_linenumber, CAST(regexp_extract('loading reached ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.5 of rated', '([0-9]+\\.[0-9]+)', 1) AS DOUBLE) AS v FROM lineitem)""")
+SELECT k AS o_orderkey, CASE WHEN k % 4 = 0 THEN h = 0 WHEN k % 4 = 1 THEN h = 1 WHEN k % 4 = 2 THEN h = 2 OR k % 5 = 0 ELSE false END AS boundary FROM (SELECT o_orderkey AS k, (o_orderkey // 4) % 4 AS h FROM orders)""")
+def boundary_candidates(orders):
+    """Records near a decision's boundary, by the words of their task or the profile of their state."""
+    k = F.col("o_orderkey")
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
+    near = E.boundary_case(pick(TASKS, k % 4), pick(HINTS, F.floor(k / 4) % 4), F.when(k % 5 == 0, "Voltage"))
+    return orders.select("o_orderkey", near.alias("boundary"))
+
+
+@query("""
+WITH v AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 = 0 THEN NULL WHEN l_linenumber % 2 = 0 THEN l_quantity * 4 WHEN l_quantity * 4 < 10 THEN l_quantity * 400 ELSE l_quantity * 4 END AS load, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE round(1.0 - l_discount, 2) END AS low, CASE WHEN l_orderkey % 3 = 0 AND l_orderkey % 5 <> 0 THEN round(1.0 + l_tax, 2) END AS high FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN load IS NULL THEN NULL WHEN load > 110 OR low < 0.92 OR coalesce(high, 1) > 1.08 THEN 'emergency' WHEN load > 100 OR low < 0.95 OR coalesce(high, 1) > 1.05 THEN 'alert' ELSE 'normal' END AS severity, round(load, 6) AS percent FROM v""")
 def severity_from_text(lineitem):
-    prose = F.concat(F.lit("loading reached "), F.col("l_quantity").cast("bigint").cast("string"), F.lit(".5 of rated"))
-    v = F.regexp_extract(prose, r"([0-9]+\.[0-9]+)", 1).cast("double")
-    return lineitem.select("l_orderkey", "l_linenumber", F.when(v < 10, F.round(v * 100, 6)).otherwise(v).alias("percent"))
+    """The severity that a state's prose gives: loadings as ratios or in percent, voltages that may be missing, and prose without numbers."""
+    k = F.col("l_orderkey")
+    loading = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("maximum line loading rate: "), F.format_string("%.2f", F.col("l_quantity") * 4 / 100))).otherwise(F.concat(F.lit("Max branch loading "), (F.col("l_quantity") * 4).cast("bigint")))
+    low = F.concat(F.lit("; min bus voltage: "), F.format_string("%.2f", 1 - F.col("l_discount")))
+    high = F.when(k % 3 == 0, F.concat(F.lit("; maximum bus voltage "), F.format_string("%.2f", 1 + F.col("l_tax")))).otherwise("")
+    prose = F.when(k % 5 == 0, "all as it was").otherwise(F.concat(loading, low, high))
+    return lineitem.select("l_orderkey", "l_linenumber", E.severity_of_prose(prose).alias("severity"), F.round(E.state_numbers(prose)["loading"], 6).alias("percent"))
 
 
 @query("""
