@@ -67,3 +67,22 @@ def leaks(target: Column, exposed: Column) -> Column:
     """Whether the target, lower-cased with underscores as blanks, stands in the exposed text."""
     plain = lambda x: collapse_blanks(F.translate(F.lower(x), "_", " "))
     return F.contains(plain(exposed), plain(target))
+
+
+def masked(c: Column, name: str) -> Column:
+    """A field's place holder, where the field is there."""
+    return F.when(c.isNotNull(), F.lit(f"[MASKED_{name}]"))
+
+
+def keywords_masked(c: Column, words: tuple[str, ...], mark: str = "[MASK]") -> Column:
+    """A text with every listed word, in either case, replaced by a mark."""
+    return F.regexp_replace(c, "(?i)" + "|".join(rf"\b{w}\b" for w in words), mark)
+
+
+def ablations(fields: dict[str, Column], instruction: str, keywords: tuple[str, ...]) -> Column:
+    """An array of (variant, text): the fields joined as they are, without the instruction, the instruction alone, each other field masked, and keywords masked."""
+    line = lambda of: F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), c) for k, c in of.items()])
+    rest = {k: c for k, c in fields.items() if k != instruction}
+    made = {"full": line(fields), f"no_{instruction}": line(rest), f"{instruction}_only": line({instruction: fields[instruction]}), "keywords_masked": keywords_masked(line(fields), keywords)}
+    made |= {f"mask_{k}": line({**fields, k: masked(c, k)}) for k, c in rest.items()}
+    return F.array(*[F.struct(F.lit(k).alias("variant"), v.alias("text")) for k, v in made.items()])

@@ -44,6 +44,16 @@ def contrast_pairs(rows: DataFrame, group: list[str], item: str, differ: str, la
     return out.select(*group, "n_rows", every.cast("bigint").alias("n_pairs"), (every - F.col("same_differ") - F.col("same_label") + F.col("same_both")).cast("bigint").alias("n_contrast"))
 
 
+def partition_check(whole: DataFrame, parts: list[DataFrame], key: str) -> DataFrame:
+    """(n_whole, n_parts, n_missing, n_foreign, n_twice, is_partition) of parts against the whole: keys that no part has, that only parts have, and that stand in the parts more than once."""
+    side = lambda t, w: t.select(F.col(key).alias("k"), F.lit(w).alias("w"))
+    every = reduce(DataFrame.unionAll, [side(whole, 1), *[side(p, 0) for p in parts]])
+    per = every.groupBy("k").agg(F.sum("w").alias("w"), F.count_if(F.col("w") == 0).alias("p"))
+    n = lambda c: F.count_if(c)
+    c = per.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n_whole"), F.coalesce(F.sum("p"), F.lit(0)).alias("n_parts"), n((F.col("w") > 0) & (F.col("p") == 0)).alias("n_missing"), n(F.col("w") == 0).alias("n_foreign"), n(F.col("p") > 1).alias("n_twice"))
+    return c.withColumn("is_partition", (F.col("n_missing") == 0) & (F.col("n_foreign") == 0) & (F.col("n_twice") == 0))
+
+
 def contrast_scores(rows: DataFrame, group: list[str], item: str, differ: str, label: str, pred: str) -> DataFrame:
     """Per group: its contrast pairs, those of them in which both predictions are right, and those in which both are the same. From group sizes too: pairs of right rows
     are contrast pairs of the right rows alone, and pairs of one prediction those of its rows."""

@@ -159,3 +159,16 @@ def support_labels(groups: DataFrame, cells: DataFrame, first: str = "train", ot
         gone = own.join(F.broadcast(before.select("split", "n", "block", "k", "before")), ["split", "n", "block"]).withColumn("p", place).where("before + p <= k")
         groups = _moved(groups, checkpoint(gone.select("component", F.lit(first).alias("to"))))
     return groups
+
+
+def proxy_stress(groups: DataFrame, purity: str, size: str, key: str, share: float = 0.2) -> DataFrame:
+    """groups with split: those whose label is easiest to guess make the test set, purest first, until it holds its share of the rows.
+
+    Running totals are taken over levels of purity (rounded to six digits, a million and one at most), then inside a level in the order of keys.
+    """
+    levels = groups.groupBy(purity).agg(F.sum(size).alias("__ln"))
+    start = levels.withColumn("__start", F.sum("__ln").over(Window.orderBy(F.desc(purity))) - F.col("__ln"))
+    total = groups.agg(F.sum(size).alias("__total"))
+    inside = F.sum(size).over(Window.partitionBy(purity).orderBy(key)) - F.col(size)
+    placed = groups.join(start.select(purity, "__start"), purity).join(F.broadcast(total)).withColumn("__before", F.col("__start") + inside)
+    return placed.select(*groups.columns, F.when(F.col("__before") < share * F.col("__total"), "test").otherwise("train").alias("split"))

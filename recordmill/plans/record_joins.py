@@ -127,10 +127,21 @@ def projection_back_merge(customer, orders):
     return customer.select("c_custkey", "c_acctbal").join(new, "c_custkey", "left").select("c_custkey", F.coalesce("total", "c_acctbal").alias("c_acctbal"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[äöüßéèñó]') THEN upper(lang) ELSE source END AS leaf, source FROM documents")
+@query("""
+SELECT doc_id, CASE WHEN lang = 'de' AND doc_id % 4 <> 0 THEN 'german' ELSE lang END AS lang, CASE WHEN lang = 'de' AND doc_id % 4 <> 0 THEN 'source five' ELSE source END AS source, CASE WHEN lang = 'de' AND doc_id % 4 <> 0 THEN 'zwei,two' ELSE 'eins,zwei' END AS tags FROM documents""")
 def structure_overlay(documents):
-    """The replacement leaf only where the source leaf is text of the watched alphabet; the shape stays."""
-    return documents.select("doc_id", F.when(F.col("text").rlike("[äöüßéèñó]"), F.upper("lang")).otherwise(F.col("source")).alias("leaf"), "source")
+    """Translated leaves laid over nested records where the source leaf is to be replaced and a translation is there; shapes are the source's."""
+    from recordmill.functions import nested as N
+
+    meta = lambda lang, source, tags: F.struct(F.struct(lang.alias("lang"), source.alias("source")).alias("of"), tags.alias("tags")).alias("meta")
+    german = F.col("lang") == "de"
+    mark = lambda c: F.when(german, F.concat(F.lit("~"), c)).otherwise(c)  # noqa: E731  (what is to be replaced is marked)
+    source = documents.select("doc_id", meta(mark(F.col("lang")), mark(F.col("source")), F.array(mark(F.lit("eins")), F.lit("zwei"))))
+    translated = documents.where("doc_id % 4 <> 0").select("doc_id", meta(F.lit("german"), F.lit("source five"), F.array(F.lit("zwei"), F.lit("two"))))
+    done = N.overlay(source, translated, "doc_id", lambda c: c.startswith("~"))
+    plain = lambda c: F.regexp_replace(c, "^~", "")
+    tags = F.when(german & (F.col("doc_id") % 4 != 0), F.concat_ws(",", F.col("meta.tags")[0], F.lit("two"))).otherwise(F.array_join(F.transform("meta.tags", plain), ","))
+    return done.join(documents.select("doc_id", "lang"), "doc_id").select("doc_id", plain(F.col("meta.of.lang")).alias("lang"), plain(F.col("meta.of.source")).alias("source"), tags.alias("tags"))
 
 
 @query(f"""
@@ -167,13 +178,15 @@ def set_except(orders, lineitem):
 
 
 @query("""
-SELECT (SELECT count(*) FROM orders) AS n_whole, (SELECT count(*) FROM orders WHERE o_orderstatus IN ('O', 'F')) AS n_parts, (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F')) AS n_missing, 0::BIGINT AS n_twice,
-(SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F')) = 0 AS is_partition""")
+WITH parts AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR o_orderkey % 10 = 0 UNION ALL SELECT -o_orderkey FROM orders WHERE o_orderkey % 97 = 0),
+p AS (SELECT k, count(*) AS n FROM parts GROUP BY 1)
+SELECT (SELECT count(*) FROM orders) AS n_whole, (SELECT count(*) FROM parts) AS n_parts, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT k FROM p)) AS n_missing, (SELECT count(*) FROM p WHERE k NOT IN (SELECT o_orderkey FROM orders)) AS n_foreign,
+  (SELECT count(*) FROM p WHERE n > 1) AS n_twice, false AS is_partition""")
 def partition_check(orders):
-    """Whether two parts make up the whole: sizes add up, nothing is missing, nothing is in both."""
-    part = F.when(F.col("o_orderstatus") == "O", 1).otherwise(0) + F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)
-    c = orders.select(part.alias("p")).agg(F.count(F.lit(1)).alias("n_whole"), F.sum("p").alias("n_parts"), F.count_if(F.col("p") == 0).alias("n_missing"), F.count_if(F.col("p") > 1).alias("n_twice"))
-    return c.withColumn("is_partition", (F.col("n_missing") == 0) & (F.col("n_twice") == 0) & (F.col("n_whole") == F.col("n_parts")))
+    """Whether parts make up the whole: nothing missing, nothing foreign, nothing in two parts. These overlap and hold keys that the whole lacks."""
+    k = F.col("o_orderkey")
+    parts = [orders.where("o_orderstatus = 'O'").select(k.alias("k")), orders.where((F.col("o_orderstatus") == "F") | (k % 10 == 0)).select(k.alias("k")), orders.where(k % 97 == 0).select((-k).alias("k"))]
+    return J.partition_check(orders.select(k.alias("k")), parts, "k")
 
 
 @query("""

@@ -254,6 +254,16 @@ def text_views_and_masks(documents):
     return documents.select("doc_id", view.alias("view"), F.lit("[MASKED_source]").alias("source"), F.lit(None).cast("string").alias("blank"))
 
 
+@query("""
+WITH f AS (SELECT conv_id, turn, 'text: ' || text AS t, 'role: ' || role AS r FROM conversations)
+SELECT conv_id, turn, variant, CASE variant WHEN 'full' THEN t || chr(10) || r WHEN 'no_text' THEN r WHEN 'text_only' THEN t WHEN 'mask_role' THEN t || chr(10) || 'role: [MASKED_role]' ELSE regexp_replace(t || chr(10) || r, '\\b(user|the)\\b', '[MASK]', 'gi') END AS text
+FROM f, (SELECT unnest(['full', 'no_text', 'text_only', 'mask_role', 'keywords_masked']) AS variant)""")
+def ablation_variants(conversations):
+    """The views of a record with fields left out, kept alone or masked."""
+    v = F.explode(X.ablations({"text": F.col("text"), "role": F.col("role")}, "text", ("user", "the"))).alias("v")
+    return conversations.select("conv_id", "turn", v).select("conv_id", "turn", "v.variant", "v.text")
+
+
 @query("""
 SELECT system, load, line_index, count(*) AS n FROM (SELECT o_orderstatus AS system, regexp_replace(regexp_replace(CAST(CAST(l_discount AS DECIMAL(18,6)) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS load, l_linenumber AS line_index FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY ALL""")
 def denominator_identity(lineitem, orders):
