@@ -102,24 +102,54 @@ def places(templates: dict[str, str], threshold: float) -> list[tuple[str, int,
     return sorted(rows)
 
 
-def _units(clean: Column, at: list[tuple[str, int, int]]) -> Column:
-    """Structs of kind, number and words: lines, paragraphs of several lines, whole texts of several lines, and windows, which are numbered by their first word."""
+def _units(clean: Column) -> Column:
+    """Structs of kind, number and words: lines, paragraphs of several lines, and whole texts of several lines."""
 
     def numbered(kind: str, parts: Column, several: bool) -> Column:
         words = lambda p: F.split(F.trim(F.translate(p, "\n", " ")), " +") if several else F.split(F.trim(p), " ")
-        made = F.transform(parts, lambda p, i: F.struct(F.lit(kind).alias("kind"), (i + 1).cast("int").alias("unit"), F.lit(0).alias("size"), words(p).alias("words"), F.contains(p, F.lit("\n")).alias("several")))
+        made = F.transform(parts, lambda p, i: F.struct(F.lit(kind).alias("kind"), (i + 1).cast("int").alias("unit"), words(p).alias("words"), F.contains(p, F.lit("\n")).alias("several")))
         return F.filter(made, lambda u: u["several"]) if several else made
 
+    return F.concat(numbered("line", F.split(clean, "\n"), False), numbered("paragraph", F.split(clean, r"\n *\n[ \n]*"), True), numbered("text", F.array(clean), True))
+
+
+def _pairs(words: Column) -> Column:
+    return F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def _best(grams: Column, table: Column, threshold: float, size: Column | None = None) -> Column:
+    """The greatest (dice, order, license) of a set of bigrams over the templates that its size allows, or over those of so many words only."""
+    n = F.size(grams)
+    within = F.filter(table, lambda t: (F.lit(True) if size is None else t["size"] == size) & (2 * F.least(n, t["m"]) >= F.lit(threshold) * (n + t["m"])))
+    return F.array_max(F.transform(within, lambda t: F.struct(F.round(2 * F.size(F.array_intersect(grams, t["grams"])) / (n + t["m"]), 9).alias("dice"), t["order"].alias("order"), t["license"].alias("license"))))
+
+
+def _windows(every: Column, at: list[tuple[str, int, int]], table: Column, threshold: float) -> Column:
+    """Structs of number (the first word's) and best of the windows of a text's words that reach the threshold. A window is compared where it stands, so that a text holds
+    a number for each, and never the words of all."""
     by_word: dict[str, list[Column]] = {}
+    wide = max(size for _, _, size in at) + 1
     for word, place, size in at:
         by_word.setdefault(word, []).append(F.struct(F.lit(place).alias("place"), F.lit(size).alias("size")))
-    table = F.create_map(*[x for w, own in by_word.items() for x in (F.lit(w), F.array(*own))])
-    every = F.split(F.trim(F.regexp_replace(clean, "[ \n]+", " ")), " ")
+    known = F.create_map(*[x for w, own in by_word.items() for x in (F.lit(w), F.array(*own))])
     held = F.filter(F.transform(every, lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda x: F.array_contains(F.array(*map(F.lit, by_word)), x["word"]))
-    starts = F.array_distinct(F.flatten(F.transform(held, lambda x: F.transform(F.element_at(table, x["word"]), lambda a: F.struct((x["i"] - a["place"]).cast("int").alias("start"), a["size"].alias("size"))))))
-    first = lambda h: F.greatest(h["start"], F.lit(0))
-    cut = F.transform(starts, lambda h: F.struct(F.lit("window").alias("kind"), (first(h) + 1).alias("unit"), h["size"].alias("size"), F.slice(every, first(h) + 1, h["size"] + F.least(h["start"], F.lit(0))).alias("words"), F.lit(True).alias("several")))
-    return F.concat(numbered("line", F.split(clean, "\n"), False), numbered("paragraph", F.split(clean, r"\n *\n[ \n]*"), True), numbered("text", F.array(clean), True), F.array_distinct(cut))
+
+    def coded(i: Column, a: Column) -> Column:
+        """First word, template size and number of words of a window, cut at the ends of the text, as one number: those are told apart in one pass."""
+        start = i - a["place"]
+        first = F.greatest(start, F.lit(0))
+        length = F.least(a["size"] + F.least(start, F.lit(0)), F.size(every) - first)
+        return (first.cast("long") * wide + a["size"]) * wide + length
+
+    codes = F.array_distinct(F.flatten(F.transform(held, lambda x: F.transform(F.element_at(known, x["word"]), lambda a: coded(x["i"], a)))))
+
+    def compared(code: Column) -> Column:
+        first, size, length = F.floor(code / (wide * wide)).cast("int"), (F.floor(code / wide) % wide).cast("int"), (code % wide).cast("int")
+        # each step binds what it made before, so that nothing is made twice
+        best = F.transform(F.transform(F.array(F.slice(every, first + 1, length)), _pairs), lambda g: _best(g, table, threshold, size))
+        return F.struct((first + 1).alias("unit"), best[0].alias("b"))
+
+    return F.filter(F.transform(codes, compared), lambda x: x["b"]["dice"] >= threshold)
 
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,17 +167,17 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     some = sorted({w for own in anchors(templates, threshold).values() for w in own})
     clean = F.regexp_replace(F.lower(F.col(text_col)), OTHER, " ")
     held = docs.where(F.lower(F.col(text_col)).rlike(r"(?<![\p{L}\p{N}])(" + "|".join(map(re.escape, some)) + r")(?![\p{L}\p{N}])"))
-    units = held.select(F.col(id_col).alias("doc_id"), F.explode(_units(clean, places(templates, threshold))).alias("u")).select("doc_id", "u.*")
+    # values that later steps use more than once are made by generators, so that the optimiser doesn't repeat the making
+    cleaned = held.select(F.col(id_col).alias("doc_id"), F.explode(F.array(clean)).alias("clean"))
+    units = cleaned.select("doc_id", F.explode(_units(F.col("clean"))).alias("u")).select("doc_id", "u.*")
     # a repeated bigram makes the set smaller than the number of words, so the upper bound is held against the set
     sized = units.where((F.size("words") - 1 >= low) & F.arrays_overlap("words", strings(some)))
-    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    # made by a generator, so that the optimiser doesn't repeat the making in the filters above it
-    made = sized.select("doc_id", "kind", "unit", "size", F.explode(F.array(F.array_distinct(pairs))).alias("grams"))
-    near = made.where((F.size("grams") <= high) & F.arrays_overlap("grams", known)).select("doc_id", "kind", "unit", "size", "grams", F.size("grams").alias("n"))
-    within = F.filter(table, lambda t: ((F.col("size") == 0) | (F.col("size") == t["size"])) & (2 * F.least(F.col("n"), t["m"]) >= F.lit(threshold) * (F.col("n") + t["m"])))
-    scores = F.transform(within, lambda t: F.struct(F.round(2 * F.size(F.array_intersect("grams", t["grams"])) / (F.col("n") + t["m"]), 9).alias("dice"), t["order"].alias("order"), t["license"].alias("license")))
-    best = near.select("doc_id", "kind", "unit", F.explode(F.array(F.array_max(scores))).alias("b"))
-    return best.where(F.col("b.dice") >= threshold).select("doc_id", "kind", "unit", "b.license", "b.dice")
+    made = sized.select("doc_id", "kind", "unit", F.explode(F.array(_pairs(F.col("words")))).alias("grams"))
+    near = made.where((F.size("grams") <= high) & F.arrays_overlap("grams", known))
+    best = near.select("doc_id", "kind", "unit", F.explode(F.array(_best(F.col("grams"), table, threshold))).alias("b")).where(F.col("b.dice") >= threshold)
+    every = cleaned.select("doc_id", F.explode(F.array(F.split(F.trim(F.regexp_replace("clean", "[ \n]+", " ")), " "))).alias("every"))
+    inside = every.select("doc_id", F.explode(_windows(F.col("every"), places(templates, threshold), table, threshold)).alias("w")).select("doc_id", F.lit("window").alias("kind"), "w.unit", "w.b")
+    return best.unionByName(inside).select("doc_id", "kind", "unit", "b.license", "b.dice")
 
 
 def op8(docs: DataFrame) -> DataFrame:

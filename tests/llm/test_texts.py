@@ -284,6 +284,16 @@ def test_license_rows_equal_sql(spark, tmp_path):
     assert Counter(tuple(r) for r in licenses.op8(df).collect()) == theirs and len(theirs) > 60
 
 
+def test_a_text_full_of_anchors_takes_seconds(spark):
+    import time
+
+    word = max((w for w, _, _ in licenses.places(licenses.TEMPLATES, 0.8)), key=len)
+    rows = [(1, f"{word} " * 30_000, "en", "a", 1), (2, f"{word} {word}\n" * 10_000 + licenses.TEMPLATES["MIT/text"], "en", "a", 1)]
+    start = time.time()
+    got = {(r.doc_id, r.license) for r in licenses.op8(docs(spark, rows)).collect()}
+    assert (2, "MIT/text") in got and all(d == 2 for d, _ in got) and time.time() - start < 120
+
+
 def test_license_anchors_lose_nothing():
     some = licenses.anchors(licenses.TEMPLATES, 0.8)
     for k, text in licenses.TEMPLATES.items():  # bigrams that no anchor touches are too few to reach the threshold
