@@ -69,6 +69,13 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(_docs(spark, sf_dir))
 
 
+def minhash_near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bands and the verification of operator 10, which op10_minhash has no room for: every document with the least of its near copies."""
+    from recordmill.llm.fingerprints import near_groups
+
+    return near_groups(_docs(spark, sf_dir))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordmill.llm.licenses import op8
 
@@ -76,7 +83,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_sentencepiece, op4_simhash, op5_lattice_dedup, op6_main_text, op7_secret_scan, op8_license_scan, op9_pseudo_likelihood, op10_minhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_sentencepiece, op4_simhash, op5_lattice_dedup, op6_main_text, op7_secret_scan, op8_license_scan, op9_pseudo_likelihood, op10_minhash, minhash_near_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
