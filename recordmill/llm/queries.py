@@ -86,8 +86,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_sentencepiece, op4_simhash, op5_lattice_dedup, op6_main_text, op7_secret_scan, op8_license_scan, op9_pseudo_likelihood, op10_minhash, minhash_near_groups)}
 
 
+#: All pairs of vectors and what they reach; exact, so that it holds the lattice search to every link.
+OP5_SQL = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ok AS (SELECT * FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r AND CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.9 ELSE false END),
+reach AS (SELECT r AS a, r AS b FROM ok UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT reach.a AS r, min(ok.vec_id) AS component_id FROM reach JOIN ok ON ok.r = reach.b GROUP BY 1), n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, CASE WHEN c.r IS NULL THEN e.vec_id ELSE c.component_id END AS component_id, coalesce(e.vec_id = CASE WHEN c.r IS NULL THEN e.vec_id ELSE c.component_id END, false) AS kept
+FROM e LEFT JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from recordmill.llm.licenses import OP8_SQL
     from recordmill.llm.mixing import OP2_SQL
 
-    return {"op2_source_mixing": OP2_SQL, "op8_license_scan": OP8_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op5_lattice_dedup": OP5_SQL, "op8_license_scan": OP8_SQL}

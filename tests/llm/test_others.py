@@ -50,11 +50,19 @@ def test_lattice_recall_and_links(spark):
     assert lattice.op5(df.limit(0)).count() == 0
 
 
-def test_vectors_without_or_with_the_same_number(spark):
+def test_vectors_without_or_with_the_same_number(spark, tmp_path):
+    import duckdb
+
+    from recordmill.llm.queries import OP5_SQL
+
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
     rows = [(None, a), (4, a), (4, [2.0, 0.0, 0.0]), (7, b), (None, c), (None, None), (9, [0.0, 0.0, 0.0])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, component_id string, kept int")
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in lattice.op5(df).collect()), key=str)
+    df.select("vec_id", "embedding").coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    assert sorted(con.sql(OP5_SQL).fetchall(), key=str) == got
     assert got == sorted([(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (7, 0, 7, True), (None, 0, None, False), (None, 0, None, False), (9, 0, 9, True)], key=str)
 
 
