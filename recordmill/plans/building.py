@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recordmill.functions import text as X
 from recordmill.operators import models as B
 from recordmill.plans.registry import query
+from recordmill.plans.similarity import TFIDF_SQL
 from recordmill.session import checkpoint, stored
 
 
@@ -150,7 +151,7 @@ def tfidf_classifier(documents):
     return B.classify(rows)
 
 
-@query()
+@query(f"SELECT t.*, d.source AS answer FROM ({TFIDF_SQL}) t LEFT JOIN documents d ON d.doc_id = t.best")
 def retrieval_baseline(benchmark, documents):
     """The answer of the nearest training row of any language, by TF-IDF over grams."""
     from recordmill.operators import similarity as M
