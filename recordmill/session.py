@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_stored: list[str] = []
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -51,4 +52,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Delete the tables that stored() wrote in this process, once no result that rests on them is needed; how many there were."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    n = len(_stored)
+    while _stored:
+        path = hadoop(_stored.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

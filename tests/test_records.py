@@ -108,6 +108,17 @@ def test_failed_writes_keep_what_was_there(spark, tmp_path):
     assert [tuple(x) for x in files.read_records(spark, path, good.schema).collect()] == [(7, "z")] and len(list(tmp_path.iterdir())) == 1
 
 
+def test_stored_tables_can_be_cleared(spark):
+    import os
+
+    from recordmill import session
+
+    df = session.stored(spark.range(5).toDF("id"), "cleared")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path)
+    assert session.clear_stored(spark) >= 1 and not os.path.exists(path) and session.clear_stored(spark) == 0
+
+
 def test_bands_find_what_the_exact_join_finds(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     r = random.Random(2)
