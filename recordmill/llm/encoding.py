@@ -20,9 +20,9 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
-from recordmill.llm.batches import slices
+from recordmill.llm.batches import slices, spread
 
 SPACE = "▁"
 #: Bytes of parts that a task remembers, by an estimate of ENTRY bytes for each besides its characters; a bound on memory, not on the texts.
@@ -225,4 +225,4 @@ def _slice(enc: Encoder, rows: pa.RecordBatch, text_col: str, ids: bool = False,
 
 def op3(docs: DataFrame, model_path: str) -> DataFrame:
     """The contract's digest columns of every document."""
-    return encode_decode(docs.select("doc_id", F.col("text")), model_path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_decode(spread(docs.select("doc_id", "text")), model_path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

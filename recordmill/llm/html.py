@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from recordmill.llm.batches import slices
+from recordmill.llm.batches import slices, spread
 
 PATH_DIM, WORD_DIM, HIDDEN = 128, 48, 16
 DIM = 2 * PATH_DIM + WORD_DIM + 4
@@ -419,4 +419,4 @@ def extract(pages: DataFrame, model: BlockLstm | None = None, html_col: str = "h
 
 
 def op6(pages: DataFrame) -> DataFrame:
-    return extract(pages.select("page_id", "url", "html"))
+    return extract(spread(pages.select("page_id", "url", "html")))

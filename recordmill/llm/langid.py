@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recordmill.llm.batches import slices
+from recordmill.llm.batches import slices, spread
 
 PER_LANG, EXCERPT = 256, 768
 HIDDEN, EPOCHS, STEPS, RATE = 16, 4, 240, 0.02
@@ -225,4 +225,4 @@ def identify(docs: DataFrame, model: ByteGru | None, text_col: str = "text") ->
 def op1(docs: DataFrame) -> DataFrame:
     """The contract's columns of every document."""
     model = fitted(docs.select("doc_id", "text", "lang"))
-    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(spread(docs.select("doc_id", "text")).select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")

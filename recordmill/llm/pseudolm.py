@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from recordmill.llm.batches import slices
+from recordmill.llm.batches import slices, spread
 from recordmill.session import stored
 
 COMMON, BUCKETS, CLUSTERS, HIDDEN, SIDE = 1536, 512, 64, 16, 3
@@ -418,6 +418,6 @@ def scored(docs: DataFrame, net: WindowNet, vocab: Vocabulary, text_col: str = "
 
 def op9(docs: DataFrame) -> DataFrame:
     """Every document's number of tokens, score and mean, the network being trained and the words counted on all documents."""
-    rows = docs.select("doc_id", "text")
+    rows = spread(docs.select("doc_id", "text"), "doc_id")
     vocab = vocabulary(rows)
     return scored(rows, trained(tokenised(rows, vocab.common)), vocab).select("doc_id", "n_tokens", "lm_score", "lm_mean")

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from recordmill.llm.batches import slices
+from recordmill.llm.batches import slices, spread
 from recordmill.session import stored
 
 # The base kinds, in their order. ASCII letters only, in either case where IGNORECASE stands.
@@ -127,7 +127,7 @@ def _written(spans: str) -> F.Column:
 
 def op7(docs: DataFrame, max_owners: int = 1) -> DataFrame:
     """The contract's counts, digest and spans of every document."""
-    found = find_secrets(docs, max_owners=max_owners)
+    found = find_secrets(spread(docs.select("doc_id", "source", "text")), max_owners=max_owners)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_written("base"), 256).alias("base_sha256"), _written("spans").alias("spans"))
 
 

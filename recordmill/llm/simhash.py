@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from recordmill.llm.batches import spread
 from recordmill.operators.components import connected_components
 from recordmill.session import checkpoint, stored
 
@@ -222,7 +223,7 @@ def near_groups(prints: DataFrame, words: int, radius: int, tile: int = TILE) ->
 
 def op4(docs: DataFrame) -> DataFrame:
     """The contract's fingerprint and component of every document: 3-word shingles, 64 bits, radius 2."""
-    prints = checkpoint(fingerprints(docs, 3))
+    prints = checkpoint(fingerprints(spread(docs.select("doc_id", "text")), 3))
     return near_groups(prints, 1, 2).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
