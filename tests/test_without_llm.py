@@ -22,7 +22,7 @@ def test_entry_without_the_subpackage(tmp_path):
         at = os.path.join(REPO, name)
         if os.path.isdir(at):
             shutil.copytree(at, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
-        else:
+        elif os.path.exists(at):
             shutil.copy(at, tmp_path / name)
     env = {**os.environ, "PYTHONPATH": str(tmp_path)}
     done = subprocess.run([sys.executable, "-c", CODE], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
