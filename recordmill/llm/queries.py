@@ -82,8 +82,28 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8(_docs(spark, sf_dir))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordmill.llm.contamination import op11
+
+    return op11(_docs(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from recordmill.llm.alignment import op12
+
+    return op12(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordmill.llm.variants import op13
+
+    return op13(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_sentencepiece, op4_simhash, op5_lattice_dedup, op6_main_text, op7_secret_scan, op8_license_scan, op9_pseudo_likelihood, op10_minhash, minhash_near_groups)}
+    return {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_sentencepiece, op4_simhash, op5_lattice_dedup, op6_main_text, op7_secret_scan, op8_license_scan, op9_pseudo_likelihood, op10_minhash, minhash_near_groups, op11_benchmark_decontamination, op12_token_alignment, op13_spelling_variants)}
 
 
 #: All pairs of vectors and what they reach; exact, so that it holds the lattice search to every link.
@@ -99,7 +119,8 @@ FROM e LEFT JOIN c USING (r) LEFT JOIN n USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
+    from recordmill.llm.contamination import OP11_SQL
     from recordmill.llm.licenses import OP8_SQL
     from recordmill.llm.mixing import OP2_SQL
 
-    return {"op2_source_mixing": OP2_SQL, "op5_lattice_dedup": OP5_SQL, "op8_license_scan": OP8_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op5_lattice_dedup": OP5_SQL, "op8_license_scan": OP8_SQL, "op11_benchmark_decontamination": OP11_SQL}
