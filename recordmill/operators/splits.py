@@ -72,10 +72,13 @@ def distribution_loss(rows: DataFrame, split: str, label: str, weight: float = 1
     """(split, loss): the weighted squared deviation of each split's label shares from the whole table's."""
     cells = rows.groupBy(split, label).agg(F.count(F.lit(1)).alias("n"))
     per_split = cells.groupBy(split).agg(F.sum("n").alias("ns"))
-    per_label = cells.groupBy(label).agg(F.sum("n").alias("nl")).join(F.broadcast(cells.agg(F.sum("n").alias("t"))))
-    grid = per_split.join(F.broadcast(per_label)).join(cells, [split, label], "left").fillna(0, ["n"])
-    off = F.col("n") / F.col("ns") - F.col("nl") / F.col("t")
-    return grid.groupBy(split).agg(F.round(F.sum(weight * off * off), 9).alias("loss"))
+    per_label = cells.groupBy(label).agg(F.sum("n").alias("nl"))
+    total = F.broadcast(cells.agg(F.sum("n").alias("t")))
+    # a label that a split lacks is off by its whole share: the squares of all shares, and for the cells that are there what they change
+    every = per_label.join(total).agg(F.sum(F.pow(F.col("nl") / F.col("t"), 2)).alias("every"))
+    own = cells.join(per_split, split).join(per_label, label).join(total)
+    off = F.pow(F.col("n") / F.col("ns") - F.col("nl") / F.col("t"), 2) - F.pow(F.col("nl") / F.col("t"), 2)
+    return own.groupBy(split).agg(F.sum(off).alias("off")).join(F.broadcast(every)).select(split, F.round(weight * (F.col("off") + F.col("every")), 9).alias("loss"))
 
 
 def label_floor(total: int) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from recordmill.functions import text as X
-from recordmill.operators import ranking as R
+from recordmill.operators import ranking as R, strata as T
 from recordmill.plans.record_joins import NORM
 from recordmill.plans.registry import query
 
@@ -19,7 +19,7 @@ def per_group_cap(customer):
 WITH t AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS turn FROM orders)
 SELECT o_orderkey, o_orderstatus, CAST(turn AS INTEGER) AS turn, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY turn, o_orderpriority, o_orderkey) AS INTEGER) AS place FROM t""")
 def stratified_round_robin(orders):
-    return R.round_robin(orders, ["o_orderstatus"], ["o_orderpriority"], [F.col("o_orderkey")]).select("o_orderkey", "o_orderstatus", "turn", "place")
+    return R.round_robin(orders, ["o_orderstatus"], ["o_orderpriority"], ["o_orderkey"]).select("o_orderkey", "o_orderstatus", "turn", "place")
 
 
 @query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_retailprice, p_partkey) = 1 AS lead FROM part")
@@ -40,6 +40,72 @@ def balanced_per_label(documents):
     return R.balanced(documents.select("doc_id", "lang"), "lang", 80, "bal", "doc_id")
 
 
+PRIORITY = "CASE WHEN p_size <= 10 THEN 0 ELSE 1 END"
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey, p_brand, {PRIORITY} AS priority, p_type, row_number() OVER (PARTITION BY p_brand, {PRIORITY}, p_type ORDER BY p_retailprice, p_partkey) AS turn FROM part),
+o AS (SELECT p_partkey, p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY priority, turn, p_type) AS INTEGER) AS place FROM t)
+SELECT * FROM o WHERE place <= 60""")
+def round_robin_limit(part):
+    """The first rows of each brand: small parts first, and of each level one row of every type in turn."""
+    rows = part.select("p_partkey", "p_brand", F.when(F.col("p_size") <= 10, 0).otherwise(1).alias("priority"), "p_type", "p_retailprice")
+    return R.round_robin_limit(rows, ["p_brand"], "priority", ["p_type"], ["p_retailprice", "p_partkey"], 60).select("p_partkey", "p_brand", "place")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey) AS INTEGER) AS rank FROM lineitem")
+def numbers_in_large_groups(lineitem):
+    """Rows numbered inside three groups that hold all of the table, by ranges: no window over a group."""
+    return R.numbered_by_range(lineitem.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey"), ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey"]).select("l_orderkey", "l_linenumber", "rank")
+
+
+LANGS, SIZES = ["de", "en", "es", "fr"], ["tiny", "short", "medium", "long"]
+SIZE_SQL = "CASE WHEN n_chars < 300 THEN 'tiny' WHEN n_chars < 900 THEN 'short' WHEN n_chars < 3000 THEN 'medium' ELSE 'long' END"
+TARGET = 5
+BLOCK_SQL = f"""
+WITH RECURSIVE names AS (SELECT * FROM (SELECT unnest({LANGS!r}) AS lang, unnest(range(4)) AS i), (SELECT unnest({SIZES!r}) AS size, unnest(range(4)) AS j)),
+d AS (SELECT doc_id, lang, {SIZE_SQL} AS size FROM documents WHERE n_chars IS NOT NULL),
+cells AS (SELECT lang, i, size, j, count(doc_id) AS available FROM names LEFT JOIN d USING (lang, size) GROUP BY ALL),
+subsets AS (SELECT 0 AS i, 0 AS own UNION ALL SELECT s.i + 1, s.own + b * (1 << s.i) FROM subsets s, (SELECT unnest([0, 1]) AS b) WHERE s.i < 4),
+fit AS (SELECT own, lang, c.i, size, j FROM subsets s JOIN cells c ON (s.own >> c.i) % 2 = 1 WHERE s.i = 4 AND NOT EXISTS (SELECT 1 FROM cells x WHERE x.size = c.size AND (s.own >> x.i) % 2 = 1 AND x.available < {TARGET})),
+blocks AS (SELECT own, list(DISTINCT size) AS seconds, list(DISTINCT lang) AS firsts, list(DISTINCT {{'j': j, 's': size}}) AS js FROM fit GROUP BY own HAVING count(DISTINCT size) >= 2 AND count(DISTINCT lang) >= 2),
+best AS (SELECT firsts, seconds FROM blocks ORDER BY len(firsts) * len(seconds) DESC, len(firsts) DESC, len(seconds) DESC, list_concat(list_sort(firsts), list_transform(list_sort(js), lambda x: x.s)) DESC LIMIT 1)"""
+
+
+def _strata(documents):
+    size = F.when(F.col("n_chars") < 300, "tiny").when(F.col("n_chars") < 900, "short").when(F.col("n_chars") < 3000, "medium").otherwise("long")
+    rows = documents.where("n_chars IS NOT NULL").select("doc_id", "lang", size.alias("size"))
+    cells = T.cell_counts(rows, "lang", "size", LANGS, SIZES)
+    return rows, cells, T.common_support(cells, "lang", "size", LANGS, SIZES, TARGET)
+
+
+@query(BLOCK_SQL + f"""
+SELECT lang, size, available::BIGINT AS available, in_block, (CASE WHEN in_block THEN least(available, {TARGET}) ELSE 0 END)::BIGINT AS selected, greatest({TARGET} - available, 0)::BIGINT AS shortage, CASE WHEN in_block THEN ({TARGET} - least(available, {TARGET}))::BIGINT END AS block_shortage
+FROM (SELECT *, coalesce(list_contains(firsts, lang) AND list_contains(seconds, size), false) AS in_block FROM cells LEFT JOIN best ON true)""")
+def support_block_cells(documents):
+    """Every cell of language and size: its rows, whether it is in the largest block of cells with enough of them, and what it lacks."""
+    _, cells, block = _strata(documents)
+    return T.matched_cells(cells, block, "lang", "size", TARGET)
+
+
+@query(BLOCK_SQL + f"""
+, r AS (SELECT doc_id, lang, size, CAST(row_number() OVER (PARTITION BY lang, size ORDER BY sha256('block:' || doc_id), doc_id) AS INTEGER) AS rank FROM d JOIN best ON list_contains(firsts, lang) AND list_contains(seconds, size))
+SELECT * FROM r WHERE rank <= {TARGET}""")
+def support_block_rows(documents):
+    """The rows that the block's cells give, in hash order."""
+    rows, _, block = _strata(documents)
+    return T.matched_rows(rows, block, "lang", "size", "doc_id", TARGET, "block").select("doc_id", "lang", "size", "rank")
+
+
+@query(BLOCK_SQL + """
+, t AS (SELECT *, sum(available) OVER () AS t, sum(available) OVER (PARTITION BY lang) AS a, sum(available) OVER (PARTITION BY size) AS b FROM cells)
+SELECT coalesce(round(sum(available / t * log2(available * t / (a * b))), 9), 0) AS bits FROM t WHERE available > 0""")
+def support_information(documents):
+    """How much language and size tell of each other, in bits."""
+    _, cells, _ = _strata(documents)
+    return T.shared_information(cells, "lang", "size", "available").select(F.round("bits", 9).alias("bits"))
+
+
 @query("""
 WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('cell:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang, source) AS n FROM documents)
 SELECT lang, source, CAST(count(*) FILTER (r <= 5) AS BIGINT) AS selected, CAST(greatest(0, 5 - max(n)) AS BIGINT) AS shortage FROM r GROUP BY 1, 2""")

@@ -63,7 +63,7 @@ SELECT lang, doc_id FROM p WHERE place <= 30""")
 def cluster_round_robin(documents):
     """Thirty rows a label, one of each cluster in turn."""
     first = R.first_of_each(documents.select("lang", "source", "doc_id"), ["lang", "source"], [F.col("doc_id")], 30).drop("rank")  # no cluster gives more than all thirty
-    return R.round_robin(first, ["lang"], ["source"], [F.col("doc_id")]).where("place <= 30").select("lang", "doc_id")
+    return R.round_robin(first, ["lang"], ["source"], ["doc_id"]).where("place <= 30").select("lang", "doc_id")
 
 
 @query("""

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from recordmill.functions import text as X
 from recordmill.operators import splits as P
 from recordmill.operators.joins import provenance_components
+from recordmill.operators.ranking import first_of_each
 from recordmill.plans.record_joins import NORM
 from recordmill.plans.registry import query
 
@@ -66,11 +67,11 @@ def source_group_key(events):
 WITH r AS (SELECT c_custkey, c_nationkey, n_regionkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer JOIN nation ON n_nationkey = c_nationkey)
 SELECT c_custkey, fold, CASE WHEN fold = 'within' THEN CASE WHEN k <= 48 THEN 'train' ELSE 'test' END WHEN fold = 'cross_' || n_regionkey THEN 'test' ELSE 'train' END AS part FROM r, (SELECT unnest(['cross_0', 'cross_1', 'within']) AS fold)""")
 def jurisdiction_folds(customer, nation):
-    """Two folds that leave a jurisdiction out, and one within: the first 48 rows of each rule train."""
-
-    r = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("k", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")))
+    """Two folds that leave a jurisdiction out, and one within: the first 48 rows of each rule train. A task keeps 48 rows a rule before any rows meet; those are joined back to the table."""
+    first = first_of_each(customer.select("c_nationkey", "c_custkey"), ["c_nationkey"], [F.col("c_custkey")], 48, "k").select("c_custkey", "k")
+    r = customer.select("c_custkey", "c_nationkey").join(nation.select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey")).join(first, "c_custkey", "left")
     f = r.withColumn("fold", F.explode(F.array(*map(F.lit, ("cross_0", "cross_1", "within")))))
-    part = F.when(F.col("fold") == "within", F.when(F.col("k") <= 48, "train").otherwise("test")).when(F.col("fold") == F.concat(F.lit("cross_"), F.col("n_regionkey")), "test").otherwise("train")
+    part = F.when(F.col("fold") == "within", F.when(F.col("k").isNotNull(), "train").otherwise("test")).when(F.col("fold") == F.concat(F.lit("cross_"), F.col("n_regionkey")), "test").otherwise("train")
     return f.select("c_custkey", "fold", part.alias("part"))
 
 
