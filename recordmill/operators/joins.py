@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordmill.operators.components import connected_components
+from recordmill.operators.ranking import numbered
 from recordmill.session import checkpoint
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 
 def first_wins(key: str, *tables: DataFrame) -> DataFrame:
     """Union of tables of one schema in which a key's row comes from the first table that has it."""
@@ -85,49 +91,137 @@ def provenance_components(records: DataFrame, id_col: str, keys: list[Column]) -
     return ids.join(comps, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def nearest_unused(wanted: DataFrame, offered: DataFrame, group: list[str], value: str, id_col: str, rounds: int | None = None) -> DataFrame:
-    """(wanted, offered): each wanted row takes the free offered row of its group that is nearest by value (then least id); none is used twice.
+#: Rows of a group that one task matches at once.
+MATCHED_ROWS = 1 << 17
+
+
+def _settled(x: list[float], side: list[bool], ids: list[int], below: float | None, above: float | None) -> list[tuple[int, int]]:
+    """Positions (wanted, offered) that pair up among rows of a stretch of the line, in the order of x; below and above are the nearest values outside, none at the ends of the line.
 
-    Pairs settle as if the closest free pair of a group (least ids among equals) were taken again and again: each round every distinct value on either side finds the
-    nearest free value on the other by running extremes in the order of values, and of values that name each other the k-th row settles with the k-th, as long as
-    no other value at the same distance has a lesser id. All pairs of a group are never made. Each round settles the closest pair of a group at least, so
-    rounds go on until nothing is free; if a bound on them is given and reached before that, this raises.
+    Values are levels, each with its free rows of either side by id; levels that are next to each other and hold different sides are candidates, and the closest candidate (least ids among
+    equals) settles, again and again. A candidate waits if a value outside may be as near to one of its levels, or if an earlier one that waits shares a level with it.
     """
-    left = wanted.select(*group, F.col(value).cast("double").alias("x"), F.col(id_col).alias("w"))
-    free = offered.select(*group, F.col(value).cast("double").alias("x"), F.col(id_col).alias("o"))
-    left, free, done = checkpoint(left), checkpoint(free), []
+    at: dict[float, int] = {}
+    levels: list[float] = []
+    free: list[tuple[list, list]] = []
+    for k, v in enumerate(x):
+        if v not in at:
+            at[v] = len(levels)
+            levels.append(v)
+            free.append(([], []))
+        free[at[v]][side[k]].append((ids[k], k))
+    for pair in free:
+        for own in pair:
+            own.sort(reverse=True)  # the least id is at the end
+    n, out = len(levels), []
+    waits = {k for k in range(n) if levels[k] in (below, above)}  # of a level that goes on outside the least ids may be there
+    for k, (w, o) in enumerate(free):
+        while w and o and k not in waits:
+            out.append((w.pop()[1], o.pop()[1]))
+    alive = [k for k in range(n) if free[k][0] or free[k][1]]
+    after = dict(zip(alive, alive[1:]))
+    before = {b: a for a, b in after.items()}
+    agenda: list[tuple] = []
+
+    def offer(a: int | None, b: int | None) -> None:
+        if a is None or b is None or not (free[a][0] and free[b][1] or free[a][1] and free[b][0]):
+            return
+        w, o = (a, b) if free[a][0] and free[b][1] else (b, a)
+        heapq.heappush(agenda, (levels[b] - levels[a], free[w][0][-1][0], free[o][1][-1][0], a, b, w, o))
+
+    for a in alive:
+        offer(a, after.get(a))
+    while agenda:
+        d, wid, oid, a, b, w, o = heapq.heappop(agenda)
+        if not free[w][0] or not free[o][1] or free[w][0][-1][0] != wid or free[o][1][-1][0] != oid or after.get(a) != b:
+            continue
+        near = (below is not None and levels[a] - below <= d) or (above is not None and above - levels[b] <= d)
+        if near or a in waits or b in waits:
+            waits |= {a, b}
+            continue
+        out.append((free[w][0].pop()[1], free[o][1].pop()[1]))
+        for k in (a, b):
+            if not free[k][0] and not free[k][1]:
+                left, right = before.pop(k, None), after.pop(k, None)
+                if left is not None:
+                    after.pop(left, None)
+                    if right is not None:
+                        after[left] = right
+                if right is not None:
+                    before.pop(right, None)
+                    if left is not None:
+                        before[right] = left
+                # a stretch whose end has gone has the next level for its end; what lies outside is as near to that as it was
+                offer(left, right)
+            else:
+                offer(before.get(k), k)
+                offer(k, after.get(k))
+    return out
+
+
+def _same_value(rows: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rest): wanted and offered rows of one value pair up in the order of their ids; of each value one side at most is left. Values that many rows share are numbered, not gathered."""
+    level = [*group, "x"]
+    n = rows.groupBy(*level).agg(F.least(F.count_if("side"), F.count_if(~F.col("side"))).alias("n")).select(*[F.col(c).alias(f"__{c}") for c in level], "n")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in level])
+    placed = checkpoint(numbered(rows, [*level, "side"], ["id"], "k").join(n, same).select(*rows.columns, "k", "n"))
+    on = lambda side, name: placed.where((F.col("k") <= F.col("n")) & (F.col("side") == side)).select(*[F.col(c).alias(f"{name}_{c}") for c in [*level, "k"]], F.col("id").alias(name))
+    both = on(False, "w").join(on(True, "o"), reduce(lambda a, b: a & b, [F.col(f"w_{c}").eqNullSafe(F.col(f"o_{c}")) for c in [*level, "k"]]))
+    return both.select("w", "o", F.lit(0.0).alias("distance")), placed.where(F.col("k") > F.col("n")).select(*rows.columns)
+
+
+def nearest_unused(wanted: DataFrame, offered: DataFrame, group: list[str], value: str, id_col: str, rounds: int | None = None, most: int = MATCHED_ROWS) -> DataFrame:
+    """(w, o, distance): each wanted row takes the free offered row of its group that is nearest by value; none is used twice.
+
+    Pairs settle as if the closest free pair of a group (the least wanted id, then the least offered id among equals) were taken again and again. Rows of the same value pair first. Then a round puts the rows of each group
+    in order and cuts them to blocks of `most`; a task settles what it can inside its block, and leaves what rows beyond its ends might come before. Blocks of the next round hold what is left,
+    half a block further on, so what waited at a seam lies inside one. A chain in which each pair waits for the one before it moves on by half a block a round at least.
+    Only where nothing settles, as more rows than a block share a value, blocks become twice as large.
+    Rows without a value and groups with one side only take no part. If a bound on rounds is given and reached, this raises.
+    """
+    sided = lambda t, side: t.select(*group, F.col(value).cast("double").alias("x"), F.lit(side).alias("side"), F.col(id_col).cast("long").alias("id"))
+    rows = checkpoint(sided(wanted, False).unionByName(sided(offered, True)).where("x IS NOT NULL AND NOT isnan(x)"))
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    names = rows.columns
+    first, rows = _same_value(rows, group)
+    done = [first]
+
+    def run(block: "pa.Table") -> "pa.Table":
+        import pyarrow as pa
+
+        block = block.sort_by("rank")
+        below, above = block.column("below")[0].as_py(), block.column("above")[0].as_py()
+        ids = block.column("id").to_pylist()
+        x = block.column("x").to_pylist()
+        found = _settled(x, block.column("side").to_pylist(), ids, below, above)
+        taken = {k for pair in found for k in pair}
+        kept = [k for k in range(block.num_rows) if k not in taken] + [w for w, _ in found]
+        none = [None] * (block.num_rows - len(taken))
+        out = block.select(names).take(pa.array(kept, pa.int64()))
+        return out.append_column("o", pa.array(none + [ids[o] for _, o in found], pa.int64())).append_column("distance", pa.array(none + [abs(x[w] - x[o]) for w, o in found], pa.float64()))
+
+    n = 1  # equal values were the first
     while True:
-        # a value of a side goes by its least id
-        both = left.groupBy(*group, "x").agg(F.min("w").alias("w")).withColumn("o", F.lit(None).cast("long")).unionByName(free.groupBy(*group, "x").agg(F.min("o").alias("o")).withColumn("w", F.lit(None).cast("long")))
-        upto = Window.partitionBy(*group).orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        onward = Window.partitionBy(*group).orderBy("x").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-
-        def nearest(mine: str, other: str, rival: str) -> DataFrame:
-            there = F.col(other).isNotNull()
-            seen = both.withColumn("lo", F.max(F.when(there, F.struct("x", F.col(other).alias("i")))).over(upto)).withColumn("hi", F.min(F.when(there, F.struct("x", F.col(other).alias("i")))).over(onward))
-            side = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("x") - F.col(f"{c}.x")).alias("d"), F.col(f"{c}.i").alias(other)))
-            best = seen.where(F.col(mine).isNotNull()).select(mine, side("lo").alias("low"), side("hi").alias("high"))
-            tied = (F.col("low.d") == F.col("high.d")) & (F.col(f"low.{other}") != F.col(f"high.{other}"))
-            best = best.select(mine, F.array_min(F.array_compact(F.array("low", "high"))).alias("b"), F.when(tied, F.greatest(f"low.{other}", f"high.{other}")).alias(rival))
-            return best.where("b IS NOT NULL").select(mine, "b.*", rival)
-
-        def ranked(rows: DataFrame, own: str, head: str) -> DataFrame:
-            alike = Window.partitionBy(*group, "x")
-            return rows.select(own, F.min(own).over(alike).alias(head), F.row_number().over(alike.orderBy(own)).alias("k"))
-
-        named = nearest("w", "o", "next_o").join(nearest("o", "w", "next_w").select("w", "o", "next_w"), ["w", "o"]).withColumnsRenamed({"w": "head_w", "o": "head_o"})
-        pairs = named.join(ranked(left, "w", "head_w"), "head_w").join(ranked(free, "o", "head_o"), ["head_o", "k"])
-        settled = (F.col("next_w").isNull() | (F.col("w") < F.col("next_w"))) & (F.col("next_o").isNull() | (F.col("o") < F.col("next_o")))
-        taken = checkpoint(pairs.where(settled).select("w", "o", F.col("d").alias("distance")))
-        if taken.isEmpty():
+        both = rows.groupBy(*group).agg(F.bool_or("side").alias("a"), F.bool_or(~F.col("side")).alias("b")).where("a AND b").select(*[F.col(g).alias(f"__{g}") for g in group])
+        same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group], F.lit(True))
+        rows = checkpoint(rows.join(both, same, "left_semi"))
+        if rows.isEmpty():
             break
-        if rounds is not None and len(done) >= rounds:
+        if rounds is not None and n >= rounds:
             raise RuntimeError("nearest_unused did not settle")
-        done.append(taken)
-        left = checkpoint(left.join(taken.select("w"), "w", "left_anti"))
-        free = checkpoint(free.join(taken.select("o"), "o", "left_anti"))
-    empty = left.select("w", F.lit(None).cast("long").alias("o"), F.lit(None).cast("double").alias("distance")).limit(0)
-    return reduce(DataFrame.unionByName, done, empty)
+        placed = numbered(rows, group, ["x", "side", "id"], "rank")
+        placed = checkpoint(placed.withColumn("block", F.floor((F.col("rank") + (n % 2) * (most // 2)) / most).cast("long")))
+        ends = placed.groupBy(*group, "block").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+        order = Window.partitionBy(*group).orderBy("block")  # a row for each block
+        ends = ends.withColumns({"below": F.lag("high").over(order), "above": F.lead("low").over(order)}).select(*[F.col(g).alias(f"__{g}") for g in group], F.col("block").alias("__block"), "below", "above")
+        known = placed.join(ends, same & (F.col("block") == F.col("__block"))).select(*placed.columns, "below", "above")
+        after = checkpoint(known.groupBy(*group, "block").applyInArrow(run, f"{cols}, o long, distance double"))
+        taken = after.where("o IS NOT NULL")
+        most *= 2 if taken.isEmpty() else 1
+        done.append(taken.select(F.col("id").alias("w"), "o", "distance"))
+        rows = after.where("o IS NULL").select(*names)
+        n += 1
+    return reduce(DataFrame.unionByName, done)
 
 
 def tiered_nearest(wanted: DataFrame, offered: DataFrame, tiers: list[tuple[str, list[str], str | None]], id_col: str) -> DataFrame:
