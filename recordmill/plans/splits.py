@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from recordmill.functions import text as X
 from recordmill.operators import splits as P
+from recordmill.operators.allocation import deficit_split
 from recordmill.operators.joins import provenance_components
 from recordmill.operators.ranking import first_of_each
 from recordmill.plans.record_joins import NORM
 from recordmill.plans.registry import query
+from recordmill.session import checkpoint
 
 BUCKET = "CAST('0x' || substr(sha256('split:' || {}), 1, 8) AS BIGINT) % 10000"
 SPLIT = "CASE WHEN {b} < 8000 THEN 'train' WHEN {b} < 9000 THEN 'validation' WHEN {b} < 10000 THEN 'test' ELSE 'test' END"
@@ -34,6 +36,17 @@ def greedy_component_split(documents):
     return rows.join(split, "component").select("doc_id", "component", "split")
 
 
+@query()
+def deficit_component_split(documents):
+    """Provenance components dealt by what splits lack of rows, sources and languages; components with a Spanish text are out of distribution. Held against a plain fold in the tests."""
+    norm = X.collapse_blanks(F.lower("text"))
+    comps = provenance_components(documents, "doc_id", [F.sha2(norm, 256), F.sha2(F.substring(norm, 1, 60), 256)])
+    rows = checkpoint(documents.select("doc_id", F.col("source").alias("task"), F.col("lang").alias("label")).join(comps, F.col("doc_id") == F.col("id")))
+    cells = rows.groupBy("component", "task", "label").agg(F.count(F.lit(1)).alias("n"))
+    split = deficit_split(cells, rows.where(F.col("label") == "es").select("component"))
+    return rows.join(split, "component").select("doc_id", "component", "split")
+
+
 @query("""
 WITH g AS (SELECT source, min(lang) AS label, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n, source) AS p, count(*) OVER (PARTITION BY label) AS k FROM g)
 SELECT source, label, n, CASE WHEN k <= 2 THEN 'train' WHEN p = 1 THEN 'validation' WHEN p = 2 THEN 'test' ELSE 'train' END AS split FROM r""")
