@@ -114,6 +114,33 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 20
     return means.agg(F.count("m").alias("draws"), F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high")).join(F.broadcast(whole))
 
 
+def multiclass_calibration(rows: DataFrame, probs: str, gold: Column, bins: int = 10) -> DataFrame:
+    """(n, ece, brier) of probability arrays and places of the right one: the expected error of the top probability in bins that hold their upper end, and the mean squared distance from
+    the right answer over all labels. Of equal top probabilities the first counts. Rows with a null on either side are left out; null scores without rows."""
+    made = rows.select(F.col(probs).alias("p"), gold.cast("int").alias("y")).where("p IS NOT NULL AND y IS NOT NULL")
+    conf = F.array_max("p")
+    hit = (F.array_position("p", conf) - 1 == F.col("y")).cast("double")
+    off = F.aggregate(F.transform("p", lambda x, i: F.pow(x - F.when(i == F.col("y"), 1.0).otherwise(0.0), 2)), F.lit(0.0), lambda a, x: a + x)
+    each = made.select(conf.alias("conf"), hit.alias("hit"), off.alias("off"), F.greatest(F.ceil(conf * bins) - 1, F.lit(0)).alias("bin"))
+    per = each.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("hit").alias("acc"), F.avg("conf").alias("conf"), F.sum("off").alias("off"))
+    n = F.sum("n")
+    return per.agg(F.coalesce(n, F.lit(0)).alias("n"), F.round(F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))) / n, 6).alias("ece"), F.round(F.sum("off") / n, 6).alias("brier"))
+
+
+def run_summary(rows: DataFrame, run: str, gold: str, pred: str) -> DataFrame:
+    """(runs, n, and of macro-F1 and balanced accuracy the mean, both standard deviations, the least and the greatest over the runs). Labels are those of all runs; rows with a null label are left out."""
+    cells = rows.where(F.col(gold).isNotNull() & F.col(pred).isNotNull()).groupBy(run, F.col(gold).cast("string").alias("g"), F.col(pred).cast("string").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    side = lambda c: cells.select(run, F.col(c).alias("label"), F.lit(c).alias("side"), "n", F.when(F.col("g") == F.col("p"), F.col("n")).otherwise(0).alias("hit"))
+    total = lambda c, what: F.coalesce(F.sum(F.when(F.col("side") == c, F.col(what))), F.lit(0))
+    per = side("g").unionByName(side("p")).groupBy(run, "label").agg(total("g", "n").alias("gold"), total("p", "n").alias("pred"), total("g", "hit").alias("hit"))
+    labels = cells.select(F.explode(F.array("g", "p")).alias("x")).agg(F.count_distinct("x").alias("labels"))
+    recall = F.when(F.col("gold") > 0, F.col("hit") / F.col("gold"))  # a label that the run's gold lacks has no recall
+    one = per.groupBy(run).agg(F.sum(F.when(F.col("gold") + F.col("pred") > 0, 2 * F.col("hit") / (F.col("gold") + F.col("pred")))).alias("f"), F.avg(recall).alias("balanced"), F.sum("gold").alias("n"))
+    scored = one.join(F.broadcast(labels)).select((F.col("f") / F.col("labels")).alias("macro_f1"), "balanced", "n")
+    of = {"mean": F.avg, "population_std": F.stddev_pop, "sample_std": F.stddev_samp, "least": F.min, "greatest": F.max}
+    return scored.agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("n"), *[F.round(f(c), 6).alias(f"{c}_{k}") for c in ("macro_f1", "balanced") for k, f in of.items()])
+
+
 def _interval(values: "np.ndarray") -> tuple[float, float]:
     import numpy as np
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordmill.functions import text as X
-from recordmill.operators import stats as S
+from recordmill.operators import linear as L, resampling as Z, stats as S
 from recordmill.plans.registry import query
 
 LABELLED = "(SELECT doc_id, lang, source, n_chars, quality, toxic, CASE WHEN n_chars > 3000 THEN 2 WHEN n_chars > 1200 THEN 1 ELSE 0 END AS pred, (n_chars % 101) / 100.0::DOUBLE AS prob FROM documents JOIN labels USING (doc_id))"
@@ -70,16 +70,43 @@ def calibration(documents, labels):
     return S.calibration(labelled(documents, labels), "prob", F.col("quality") == 1)
 
 
-@query(f"""
-WITH s AS (SELECT unnest([1, 2, 3, 4, 5]) AS seed), a AS (SELECT seed, avg(CASE WHEN CAST('0x' || substr(sha256('run' || seed || ':' || doc_id), 1, 8) AS BIGINT) % 100 < 80 + seed THEN 1.0::DOUBLE ELSE 0.0 END) AS acc FROM s, {LABELLED} GROUP BY 1)
-SELECT round(avg(acc), 6) AS mean, round(stddev_pop(acc), 6) AS population_std, round(stddev_samp(acc), 6) AS sample_std, round(min(acc), 6) AS least, round(max(acc), 6) AS greatest FROM a""")
+@query("""
+WITH e AS (SELECT event_id, 1 + value AS a, 1 + (event_id * 37) % 90 AS b, 1 + user_id % 50 AS c, event_id % 3 AS gold FROM events),
+p AS (SELECT *, a / (a + b + c) AS pa, b / (a + b + c) AS pb, c / (a + b + c) AS pc FROM e),
+t AS (SELECT *, greatest(pa, pb, pc) AS conf, CASE WHEN pa >= pb AND pa >= pc THEN 0 WHEN pb >= pc THEN 1 ELSE 2 END = gold AS hit FROM p),
+bins AS (SELECT count(*) AS n, avg(hit::INT::DOUBLE) AS acc, avg(conf) AS conf FROM t GROUP BY greatest(ceil(conf * 10) - 1, 0))
+SELECT (SELECT count(*) FROM t) AS n, (SELECT round(sum(n * abs(acc - conf)) / sum(n), 6) FROM bins) AS ece, round(avg(pow(pa - (gold = 0)::INT, 2) + pow(pb - (gold = 1)::INT, 2) + pow(pc - (gold = 2)::INT, 2)), 6) AS brier FROM t""")
+def multiclass_calibration(events):
+    """Top-label calibration error and Brier score of three-way predictions made from the table's numbers."""
+    raw = events.select((1 + F.col("value")).alias("a"), (1 + (F.col("event_id") * 37) % 90).alias("b"), (1 + F.col("user_id") % 50).alias("c"), (F.col("event_id") % 3).cast("int").alias("gold"))
+    total = F.col("a") + F.col("b") + F.col("c")
+    return S.multiclass_calibration(raw.select(F.array(*[F.col(x) / total for x in "abc"]).alias("probs"), "gold"), "probs", F.col("gold"))
+
+
+def seeded_runs(documents, labels):
+    """Predictions of quality by linear models of five seeds, for the documents that a hash holds out."""
+    rows = documents.join(labels, "doc_id").select("doc_id", "source", "text", F.col("quality").cast("string").alias("label"), (X.hash_bucket(F.col("doc_id"), 4) == 0).alias("held_out"))
+    found, _ = L.classified(rows, "doc_id", "label", "held_out", seeds=[11, 22, 33, 44, 55], loss="modified_huber", features=20_000)
+    return found.where("label IS NOT NULL").join(documents.select("doc_id", "source"), "doc_id")
+
+
+@query()
 def seed_stability(documents, labels):
-    """How much accuracy varies over five seeded runs; a run's predictions are right where a hash of seed and row says so."""
-    runs = labelled(documents, labels).select("doc_id", "quality", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("seed"))
-    right = X.hash_bucket(F.concat(F.lit("run"), F.col("seed"), F.lit(":"), F.col("doc_id")), 100) < 80 + F.col("seed")
-    one = runs.withColumn("pred", F.when(right, F.col("quality")).otherwise(1 - F.col("quality"))).groupBy("seed").agg(F.avg((F.col("pred") == F.col("quality")).cast("double")).alias("acc"))
-    r = lambda c, n: F.round(c, 6).alias(n)
-    return one.agg(r(F.avg("acc"), "mean"), r(F.stddev_pop("acc"), "population_std"), r(F.stddev_samp("acc"), "sample_std"), r(F.min("acc"), "least"), r(F.max("acc"), "greatest"))
+    """Macro-F1 and balanced accuracy of five seeded runs of a linear model, trained on the same rows in orders of their own; held against plain numbers in the tests."""
+    return S.run_summary(seeded_runs(documents, labels), "seed", "label", "pred")
+
+
+@query()
+def two_level_interval(documents, labels):
+    """The interval of the mean macro-F1 of five runs: runs resampled, then the sources inside each; held against plain resampling in the tests."""
+    return Z.two_level_bootstrap(seeded_runs(documents, labels), "source", "label", "pred", "seed", draws=400)
+
+
+@query()
+def clustered_difference(documents, labels):
+    """The interval of the difference in macro-F1 of two predictions, sources resampled for both alike; held against plain resampling in the tests."""
+    rows = labelled(documents, labels).withColumn("other", F.when(F.col("n_chars") > 1500, 1).otherwise(0))
+    return Z.clustered_delta(rows, "source", "quality", "pred", "other", draws=400)
 
 
 @query("""
