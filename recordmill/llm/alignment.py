@@ -2,7 +2,7 @@
 
 A is a byte-level vocabulary and encodes a space and the text; B is a merge-type vocabulary of pieces that puts a space mark before the text itself. Both
 end a token before every space or line feed that follows a character other than white space, so a text is cut there, and what a part gives (tokens, groups,
-links) is made once by a two-pointer merge of the cumulative ends of its tokens and remembered within the task. Everything of a text is the concatenation of its parts.
+links) is made once by a two-pointer merge of the cumulative ends of its tokens (of all new parts at a time, in numpy) and remembered within the task. Everything of a text is the concatenation of its parts.
 
 Counts over the corpus are Spark's: documents travel in chunks of about CHUNK bytes of text; a chunk gives its distinct linked pairs with the number of its documents that
 hold each, a groupBy sums them for each pair, another takes the maximum for each A id, and a join takes both back to the chunks, whose documents then sum over their own
@@ -32,7 +32,7 @@ MARK = "▁"
 #: Bytes of text of a chunk (a longer text is a chunk of its own), and what a row counts for besides its text.
 CHUNK, ROW = 8 << 20, 64
 #: Bytes of parts that a task remembers, by estimate, in two halves; longer parts than LONGEST characters aren't remembered.
-MEMO_BYTES, LONGEST = 96 << 20, 64
+MEMO_BYTES, LONGEST = 160 << 20, 64
 #: Before a space or a line feed that follows other than white space and isn't the last character.
 CUT = re.compile(r"(?<=\S)(?=[ \n].)", re.DOTALL)
 HIGH = 1 << 32
@@ -45,25 +45,14 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def merged(a: list[int], b: list[int], len_a: list[int], len_b: list[int]) -> tuple[str, list[int]]:
-    """Two pointers over the cumulative ends of both token lists: the groups as text, and each overlapping pair as a * HIGH + b."""
-    i = j = first_a = first_b = 0
-    end_a, end_b, groups, links = len_a[0], len_b[0], [], []
-    while True:
-        links.append(a[i] * HIGH + b[j])
-        if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return ";".join(groups), links
-            first_a, first_b = i, j
-            end_a, end_b = end_a + len_a[i], end_b + len_b[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += len_a[i]
-        else:
-            j += 1
-            end_b += len_b[j]
+def merged(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both pointers at every step of the merge of two lists of cumulative ends that end together, and whether both tokens end there.
+
+    A step ends where either token does, and the pointer moves on whose token ends; so each step is one overlapping pair, and each pair one step.
+    """
+    steps = np.union1d(ends_a, ends_b)
+    at_a, at_b = np.searchsorted(ends_a, steps), np.searchsorted(ends_b, steps)
+    return at_a, at_b, ends_a[at_a] == ends_b[at_b]
 
 
 class Aligner:
@@ -78,11 +67,14 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         own = byte_alphabet()
-        self.a_bytes = {i: bytes(map(own.__getitem__, t)) for t, i in self.a.get_vocab(with_added_tokens=False).items() if own.keys() >= set(t)}
+        a_bytes = {i: bytes(map(own.__getitem__, t)) for t, i in self.a.get_vocab(with_added_tokens=False).items() if own.keys() >= set(t)}
         pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
             raise ValueError("a piece of B goes over a space or a line feed, where texts are cut")
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.a_bytes, self.b_bytes = [a_bytes.get(i, b"") for i in range(max(a_bytes) + 1)], b_bytes
+        self.a_size, self.b_size = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, b_bytes))
+        self.numbers = [*map(str, range(max(len(self.a_bytes), len(b_bytes))))]
         self.lead = len(b.encode("\n"))  # B puts a mark before each text; a line feed takes it, and both are dropped
         self.most, self.held = memo_bytes // 2, 0
         self.memo: dict[str, tuple | None] = {}
@@ -99,23 +91,42 @@ class Aligner:
         new = parts.difference(self.memo)
         back = new.intersection(self.older)
         found = {p: self.older[p] for p in back}
-        fresh = list(new - back)
-        ids_b = self.b.encode(["\n" + p for p in fresh], num_threads=1)
-        for at in range(0, len(fresh), 1024):
-            for p, enc, ib in zip(fresh[at : at + 1024], self.a.encode_batch(fresh[at : at + 1024], add_special_tokens=False), ids_b[at : at + 1024], strict=True):
-                found[p] = self._aligned(p, enc.ids, ib[self.lead :])
+        found |= self._aligned(list(new - back))
         for p, own in found.items():
             if len(p) <= LONGEST:
                 self.memo[p] = own
                 self.held += 400 + 2 * len(p) + (len(own[3]) + len(own[4]) if own else 0)
         return found
 
-    def _aligned(self, part: str, a: list[int], b: list[int]) -> tuple | None:
-        bytes_a, bytes_b, raw = [*map(self.a_bytes.__getitem__, a)], [*map(self.b_bytes.__getitem__, b)], part.encode()
-        if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
-            return None
-        groups, links = merged(a, b, [*map(len, bytes_a)], [*map(len, bytes_b)])
-        return len(a), len(b), groups.count(";") + 1, groups, np.array(links, np.int64).tobytes()
+    def _aligned(self, parts: list[str]) -> dict[str, tuple | None]:
+        """Both encodings of all parts, laid end to end, so that one merge serves them all."""
+        found: dict[str, tuple | None] = {p: None for p in parts if MARK in p}  # B's bytes of such a part are fewer than its own
+        parts = [p for p in parts if MARK not in p]
+        if not parts:
+            return found
+        ids_a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        ids_b = [x[self.lead :] for x in self.b.encode(["\n" + p for p in parts], num_threads=1)]
+        raw = [p.encode() for p in parts]
+        for ids, pieces in ((ids_a, self.a_bytes), (ids_b, self.b_bytes)):
+            if b"".join([pieces[i] for own in ids for i in own]) != b"".join(raw):  # it never is, but for parts as those above
+                differ = [b"".join([pieces[i] for i in own]) != x for own, x in zip(ids, raw, strict=True)]
+                found |= {p: None for p, d in zip(parts, differ, strict=True) if d}
+                return found | self._aligned([p for p, d in zip(parts, differ, strict=True) if not d])
+        flat_a, flat_b = (np.fromiter((i for own in ids for i in own), np.int64) for ids in (ids_a, ids_b))
+        at_a, at_b, both = merged(np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b]))
+        links = (flat_a[at_a] * HIGH + flat_b[at_b]).tobytes()
+        text_a, text_b = ([*map(self.numbers.__getitem__, x.tolist())] for x in (flat_a, flat_b))
+        stop_a, stop_b = (at_a[both] + 1).tolist(), (at_b[both] + 1).tolist()
+        groups = [",".join(text_a[a:b]) + "|" + ",".join(text_b[c:d]) for a, b, c, d in zip([0, *stop_a], stop_a, [0, *stop_b], stop_b)]
+        # the last step of each part is that of its last A token, and ends a group
+        last = np.cumsum([*map(len, ids_a)]) - 1
+        step = np.searchsorted(at_a, last, "right")
+        group = np.cumsum(both)[step - 1].tolist()
+        step, s0, g0 = step.tolist(), 0, 0
+        for p, a, b, s1, g1 in zip(parts, ids_a, ids_b, step, group, strict=True):
+            found[p] = len(a), len(b), g1 - g0, ";".join(groups[g0:g1]), links[8 * s0 : 8 * s1]
+            s0, g0 = s1, g1
+        return found
 
     def aligned(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """For each text: numbers of A tokens, B tokens and groups, the groups, and all links."""
