@@ -9,7 +9,7 @@ fingerprints, so a large group of near copies costs comparisons but no pairs; co
 
 Defined results: a null text is an empty text; a text without words has fingerprint zero and is linked like any other; a
 text with fewer words than a shingle is one shingle; equal texts share a fingerprint; a document number that
-repeats is one node; null document numbers take no part in links and are their own component; an empty table gives an
+repeats is one node, also with several texts; null document numbers take no part in links and are their own component; an empty table gives an
 empty result; columns of the input that clash with results are not read.
 
 The pipeline's stage uses the comparison as a search for candidates only: its links are verified by the Jaccard similarity of the sets of shingles.
@@ -214,7 +214,11 @@ def near_groups(prints: DataFrame, words: int, radius: int, tile: int = TILE) ->
     """prints (doc_id, w0, ...) with component_id, the least document reachable by links of at most radius bits."""
     cols = [f"w{k}" for k in range(words)]
     distinct = checkpoint(prints.where("doc_id IS NOT NULL").groupBy(*cols).agg(F.min("doc_id").alias("rep")))
-    comps = connected_components(links(distinct, words, radius, tile))
+    # a document of several texts is one node: it ties their fingerprints
+    print_ = F.struct(*cols)
+    several = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(print_).alias("a"), F.max(print_).alias("b")).where("a <> b").select("doc_id")
+    ties = prints.join(several, "doc_id").join(distinct, cols).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
+    comps = connected_components(links(distinct, words, radius, tile).unionByName(ties))
     # every distinct fingerprint with its component, then every row with its fingerprint's
     named = distinct.join(comps, distinct["rep"] == comps["node"], "left").select(*cols, F.coalesce("component", "rep").alias("component_id"))
     out = prints.join(named, cols, "left")
