@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from recordmill.llm.batches import slices, spread
 
-PER_LANG, EXCERPT = 256, 768
+PER_LANG, EXCERPT = 256, 1200
 HIDDEN, EPOCHS, STEPS, RATE = 16, 4, 240, 0.02
 #: Labelled bytes and context of a window, windows read at once, and bytes of a window in training.
 CORE, MARGIN, TOGETHER, TRAINED = 256, 16, 1024, 64
@@ -173,19 +173,18 @@ def held_out() -> Column:
 def fitted(docs: DataFrame, per_lang: int = PER_LANG, excerpt: int = EXCERPT) -> ByteGru | None:
     """The network of the labelled rows that may be learned from; None if there are none.
 
-    The labelled rows of each language are counted first, and a row is sampled where the hash of its document lies below twice its language's share, so
-    that what leaves a task is its part of the sample and not a number for each task; the per_lang of least hash are learned from. A language in fewer
+    The labelled rows of each language are counted first, equal ones once and to about 2 %, and a row is sampled where the hash of its document lies below twice its language's share, so
+    that what leaves a task is its part of the sample and not a number for each task; rows that repeat count once there too. The per_lang of least hash are learned from. A language in fewer
     than four times per_lang rows offers all of them.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).withColumn("h", F.xxhash64("doc_id", F.xxhash64("text")))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not counts:
         return None
-    hashed = F.xxhash64("doc_id", F.xxhash64("text"))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * per_lang / n) if n > 4 * per_lang else 1.0)])
-    drawn = usable.withColumn("h", hashed).where(F.pmod("h", F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40))
+    drawn = usable.where(F.pmod("h", F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40))
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - excerpt)) + 1
-    rows = drawn.select("lang", "h", F.substring("text", place, F.lit(excerpt)).alias("part")).collect()
+    rows = drawn.select("lang", "h", F.substring("text", place, F.lit(excerpt)).alias("part")).distinct().collect()
     rows.sort(key=lambda r: (r["lang"], r["h"], r["part"]))
     langs, windows, labels, seen = sorted(counts), [], [], dict.fromkeys(counts, 0)
     for r in rows:
