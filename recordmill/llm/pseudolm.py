@@ -9,13 +9,13 @@ Shares are those of the other documents: a document's own occurrences are left o
 new. So a rare word that occurs nowhere else costs its document about log(1 / UNSEEN) more than one that does, however large the corpus is. The counts
 grow with the corpus and are never gathered: a partition of documents is joined with the counts of the words that it shares with other partitions.
 
-Training is distributed: in each of ROUNDS rounds every partition starts from the common weights and descends on masked positions of
-all its documents (a share MASKED, drawn by the hash of text and place, other places in every round), and the weights of all partitions are averaged by their
-numbers of positions, in a tree of Spark tasks. The score of a document is the sum of the log probabilities of all its words, each given both sides.
+Training is distributed: documents are dealt to SHARDS by hashes of document and text, and in each of ROUNDS rounds every shard starts from the common weights and descends on masked positions of
+all its documents in the order of their hashes (a share MASKED, drawn by the hash of text and place, other places in every round), and the weights of all shards are averaged by their
+numbers of positions, in a tree of Spark tasks. So neither files nor partitions nor cores change the weights. The score of a document is the sum of the log probabilities of all its words, each given both sides.
 
 Defined results: a null or empty text has no tokens, score 0 and a null mean; words past either end are a padding token;
 repeated rows are scored alike (each counts the others' words as another document's); an empty corpus leaves the initial weights; columns of the
-input that clash with results are replaced. Weights depend on how the rows are partitioned, as averages of local descents do.
+input that clash with results are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ UNSEEN = 0.1
 #: Positions scored at once, and documents whose words are counted at once.
 HELD, TOGETHER = 32768, 512
 MEMO = 300_000
-FAN_IN = 8
+#: Streams that training runs through side by side, whatever the cores: part of the model, to be raised for far larger corpora. Nets that are averaged at once.
+SHARDS, FAN_IN = 32, 8
 #: Steps of a doubling of the counts by which the most frequent words are set apart before they are put in order.
 OCTAVE = 16
 
@@ -281,23 +282,23 @@ def vocabulary(docs: DataFrame, text_col: str = "text", n: int = COMMON) -> Voca
 
 # ---- training ----
 
-PART = "weight double, net binary"
+PART = "shard int, weight double, net binary"
 
 
-def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, mean = 0.0, None
-    for batch in batches:
-        for weight, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if weight > 0:
-                net = np.frombuffer(raw.as_py(), np.float32).astype(np.float64)
-                total += weight
-                mean = net if mean is None else mean + (net - mean) * (weight / total)
-    if mean is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], names=["weight", "net"])
+def _average(table: pa.Table) -> pa.Table:
+    """The mean of some nets by their weights, in the order of their shards, so that it is the same to the last bit wherever it is taken."""
+    total, mean, table = 0.0, None, table.sort_by("shard")
+    for weight, raw in zip(table.column("weight").to_pylist(), table.column("net"), strict=True):
+        if weight > 0:
+            net = np.frombuffer(raw.as_py(), np.float32).astype(np.float64)
+            total += weight
+            mean = net if mean is None else mean + (net - mean) * (weight / total)
+    none = mean is None
+    return pa.table({"shard": pa.array([] if none else [table.column("shard")[0].as_py() // FAN_IN], pa.int32()), "weight": pa.array([] if none else [total], pa.float64()), "net": pa.array([] if none else [mean.astype(np.float32).tobytes()], pa.binary())})
 
 
-def tokenised(docs: DataFrame, common: dict[int, int], text_col: str = "text") -> DataFrame:
-    """(seed, ids) of every text, written: its hash, and its tokens as 16-bit numbers."""
+def tokenised(docs: DataFrame, common: dict[int, int], text_col: str = "text", id_col: str = "doc_id", shards: int = SHARDS) -> DataFrame:
+    """(seed, ids, id, shard) of every text, written: its hash, its tokens as 16-bit numbers, the hash of its document, and the shard that both hashes deal it to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Ids(common)
@@ -306,47 +307,63 @@ def tokenised(docs: DataFrame, common: dict[int, int], text_col: str = "text") -
                 texts = [x or "" for x in batch.column(0).to_pylist()]
                 ids, sizes, _, _ = known.of(texts)
                 stops, raw = 2 * np.cumsum(sizes), ids.astype(np.uint16).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(hashes_of(texts).view(np.int64)), pa.array([raw[b - 2 * n : b] for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)], pa.binary())], names=["seed", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes_of(texts).view(np.int64)), pa.array([raw[b - 2 * n : b] for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)], pa.binary()), batch.column(1)], names=["seed", "ids", "id"])
 
-    return stored(docs.select(text_col).mapInArrow(run, "seed long, ids binary"), "tokens")
+    made = docs.select(text_col, F.xxhash64(id_col).alias("id")).mapInArrow(run, "seed long, ids binary, id long")
+    return stored(made.withColumn("shard", F.pmod(F.xxhash64("seed", "id"), F.lit(shards)).cast("int")), "tokens")
 
 
-def trained(tokens: DataFrame, rounds: int = ROUNDS, masked: float = MASKED) -> WindowNet:
-    """Weights after rounds of local descent over all documents (as tokenised)."""
-    texts, net = tokens.select("seed", "ids"), WindowNet()
-    parts = texts.rdd.getNumPartitions()
+def trained(tokens: DataFrame, rounds: int = ROUNDS, masked: float = MASKED, shards: int = SHARDS) -> WindowNet:
+    """Weights after rounds of local descent over all documents (as tokenised). Each shard is a stream in the order of its hashes, whatever the files, partitions and cores."""
+    net = WindowNet()
+    texts = tokens.repartition(shards, "shard").sortWithinPartitions("shard", "seed", "id").select("shard", "seed", "ids")
     for turn in range(rounds):
         raw = net.packed()
 
         def local(batches: Iterator[pa.RecordBatch], raw: bytes = raw, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            own, n = WindowNet().unpack(raw), 0
-            seen = {k: np.full_like(v, 1e-4 if turn == 0 else 1e-2) for k, v in own.p.items()}
-            near, targets, held = [], [], 0
+            shard: int | None = None
+            own: WindowNet
+
+            def closed() -> pa.RecordBatch:
+                n = done
+                if held:
+                    own.descend(np.concatenate(near), np.concatenate(targets), seen)
+                    n += held
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([float(n)]), pa.array([own.packed()], pa.binary())], names=["shard", "weight", "net"])
+
             for whole in batches:
-                for batch in slices(whole, 1):
-                    texts = batch.column(1).to_pylist()
-                    got = Tokens.laid(np.frombuffer(b"".join(texts), np.uint16), np.array([len(x) // 2 for x in texts], np.int64))
-                    at = got.masked(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), masked, turn)
-                    near.append(got.windows(at))
-                    targets.append(got.padded[got.at[at]])
-                    held += len(at)
-                    if held >= BATCH:
-                        x, y = np.concatenate(near), np.concatenate(targets)
-                        full = len(y) // BATCH * BATCH
-                        for k in range(0, full, BATCH):
-                            own.descend(x[k : k + BATCH], y[k : k + BATCH], seen)
-                        n, near, targets, held = n + full, [x[full:]], [y[full:]], len(y) - full
-            if held:
-                own.descend(np.concatenate(near), np.concatenate(targets), seen)
-                n += held
-            yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([own.packed()], pa.binary())], names=["weight", "net"])
-
-        made = texts.mapInArrow(local, PART)
-        width = parts
-        while width > FAN_IN:  # a tree of averages, so that no task reads more nets than that
+                which = whole.column(0).to_numpy()
+                cuts = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), whole.num_rows]  # a partition may hold several shards
+                for start, stop in zip(cuts[:-1], cuts[1:]):
+                    if start == stop:
+                        continue
+                    if which[start] != shard:
+                        if shard is not None:
+                            yield closed()
+                        shard, own, done = int(which[start]), WindowNet().unpack(raw), 0
+                        seen = {k: np.full_like(v, 1e-4 if turn == 0 else 1e-2) for k, v in own.p.items()}
+                        near, targets, held = [], [], 0
+                    for batch in slices(whole.slice(start, stop - start), 2):
+                        texts = batch.column(2).to_pylist()
+                        got = Tokens.laid(np.frombuffer(b"".join(texts), np.uint16), np.array([len(x) // 2 for x in texts], np.int64))
+                        at = got.masked(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), masked, turn)
+                        near.append(got.windows(at))
+                        targets.append(got.padded[got.at[at]])
+                        held += len(at)
+                        if held >= BATCH:
+                            x, y = np.concatenate(near), np.concatenate(targets)
+                            full = len(y) // BATCH * BATCH
+                            for k in range(0, full, BATCH):
+                                own.descend(x[k : k + BATCH], y[k : k + BATCH], seen)
+                            done, near, targets, held = done + full, [x[full:]], [y[full:]], len(y) - full
+            if shard is not None:
+                yield closed()
+
+        made, width = texts.mapInArrow(local, PART), shards
+        while width > 1:  # a tree of averages, so that no task reads more nets than FAN_IN
             width = -(-width // FAN_IN)
-            made = made.repartition(width).mapInArrow(_average, PART)
-        rows = made.repartition(1).mapInArrow(_average, PART).collect()
+            made = made.groupBy(F.floor(F.col("shard") / FAN_IN).alias("of")).applyInArrow(_average, PART)
+        rows = made.collect()
         if rows:
             net = WindowNet().unpack(bytes(rows[0]["net"]))
     return net
