@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from recordmill.llm import alignment as A, contamination as C, variants as V
 from tests.llm.cases import LONG, docs
@@ -32,7 +33,7 @@ ITEMS = [
     (6, "12345"),
     (7, LONG[:4000]),
     (None, "le petit chat est sur la table de la maison avec le chien"),
-    (8, "Été noël größe 9"),
+    (8, "été NOëL größe 9"),
 ]
 
 
@@ -295,3 +296,41 @@ def test_blocks_hold_what_the_bound_says(spark):
     known = spark.createDataFrame([("".join(p), 2) for k in range(2000) for p in [f"{k:011b}".replace("0", "x").replace("1", "y")]], "word string, n long")
     sizes = V.blocks(known, V.SHORTEST, 16).groupBy(*V.PLACE).count().select("m", "i", "j", "count").collect()
     assert all(r["count"] <= 16 or r.m - r.i - r.j < 2 for r in sizes)
+
+
+# ---- earlier operators
+
+
+def test_a_document_of_several_texts_is_one_node(spark):
+    from recordmill.llm.simhash import op4
+
+    a, b, c = ("alpha beta gamma delta one two", "one other text that is far from it and longer", "a third text without anything of the two before")
+    rows = [(3, a), (5, a), (5, b), (9, b), (11, c), (None, a), (12, c), (12, None), (13, "")]
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in op4(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0), (3, 3), (5, 3), (5, 3), (9, 3), (11, 11), (12, 11), (12, 11), (13, 11)]
+
+
+def test_pseudo_likelihood_is_the_same_however_rows_are_dealt(spark):
+    from recordmill.llm import pseudolm
+
+    r = random.Random(3)
+    words = ["w" + str(i) for i in range(60)]
+    rows = [(i, " ".join(r.choices(words, k=r.randrange(0, 80)))) for i in range(300)] + [(None, "w1 w2 w3"), (7, None), (7, "w1 w2 w3")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    nets = []
+    for n in (1, 3, 7):
+        dealt = frame.repartition(n).orderBy(F.rand(n)) if n > 1 else frame.coalesce(1)
+        vocab = pseudolm.vocabulary(dealt)
+        nets.append(pseudolm.trained(pseudolm.tokenised(dealt, vocab.common, shards=5), shards=5).packed())
+    assert nets[0] == nets[1] == nets[2]
+
+
+def test_language_sample_holds_a_repeated_row_once(spark, monkeypatch):
+    from recordmill.llm import langid
+
+    seen = []
+    monkeypatch.setattr(langid.ByteGru, "fit", lambda self, windows, labels: seen.append((self.langs, labels.tolist())))
+    rows = [(1, "the same words again and again", "en")] * 5000 + [(100 + i, f"le petit chat {i} ici", "fr") for i in range(60)]
+    langid.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=16)
+    (langs, labels), = seen
+    assert langs == ["en", "fr"] and labels.count(0) == 1 and 10 <= labels.count(1) <= 16
