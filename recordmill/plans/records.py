@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from recordmill.functions import nested as N, repair as A
+from recordmill.functions import nested as N, repair as A, variants as A2
 from recordmill.operators import joins as J, splits as P, validation as V
 from recordmill.plans.registry import query
 from recordmill.session import checkpoint, shared_dir
@@ -120,10 +120,85 @@ def stable_projection(events):
     return events.select("event_id", F.array_join(kept, ",").alias("kept"))
 
 
-@query("SELECT 'doc_id' AS path, 'bigint' AS kind UNION ALL SELECT 'meta.lang', 'string' UNION ALL SELECT 'meta.spans[].start', 'int'")
+def _nested(documents):
+    spans = F.sequence(F.lit(1), (F.col("doc_id") % 3 + 1).cast("int"))
+    record = F.struct(F.col("doc_id").alias("id"), F.struct("lang", F.when(F.col("doc_id") % 2 == 0, F.lit(0.5)).alias("weight")).alias("about"), F.transform(spans, lambda i: F.struct(i.alias("start"))).alias("spans"), F.struct("source").alias("metadata"))
+    return documents.select("doc_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, lang, doc_id % 3 + 1 AS k FROM documents), s AS (SELECT unnest(range(k)) AS i FROM d)
+SELECT '' AS path, 'dict' AS type, count(*) AS n FROM d UNION ALL SELECT 'id', 'int', count(*) FROM d UNION ALL SELECT 'about', 'dict', count(*) FROM d UNION ALL SELECT 'metadata', NULL, 0 FROM d WHERE false UNION ALL SELECT 'about.lang', CASE WHEN lang IS NULL THEN 'NoneType' ELSE 'str' END, count(*) FROM d GROUP BY 2
+UNION ALL SELECT 'about.weight', CASE WHEN doc_id % 2 = 0 THEN 'float' ELSE 'NoneType' END, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'spans', 'list:' || k, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'spans.' || i, 'dict', count(*) FROM s GROUP BY 1 UNION ALL SELECT 'spans.' || i || '.start', 'int', count(*) FROM s GROUP BY 1""")
 def structure_paths(documents):
-    rows = documents.select(F.struct(F.array(F.struct(F.lit(1).alias("start"))).alias("spans"), "lang").alias("meta"), "doc_id")
-    return rows.sparkSession.createDataFrame(N.structure_signature(rows), "path string, kind string")
+    """How many nested records have each path with each type; what is auxiliary has no structure."""
+    rows = A2.structures(_nested(documents), ["doc_id"], "record")
+    return rows.select(F.explode("paths").alias("p")).groupBy("p.path", "p.type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 7 <> 0 OR count(l_orderkey) = 0 AS same FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def frozen_truth(orders, lineitem):
+    """Truth records whose lists stand in another order and whose fractions differ beyond the fifth digit are the same; every seventh has another quantity."""
+    line = lambda more: F.struct(F.col("l_linenumber").alias("line"), (F.col("l_quantity") + more).alias("quantity"), (F.col("l_discount") + more * 1e-9).alias("discount"))
+    each = lineitem.groupBy("l_orderkey").agg(F.collect_list(line(F.lit(0))).alias("a"), F.collect_list(line(F.when(F.col("l_orderkey") % 7 == 0, 1).otherwise(0))).alias("b"))
+    rows = orders.join(each, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    written = lambda c, up: F.to_json(F.struct(F.sort_array(F.coalesce(c, F.array().cast(each.schema["a"].dataType)), up).alias("lines"), F.col("o_orderkey").alias("id")))
+    rows = rows.select("o_orderkey", written(F.col("a"), True).alias("held"), written(F.col("b"), False).alias("replayed"))
+    held = A2.structures(rows, ["o_orderkey", "replayed"], "held").select("o_orderkey", F.col("frozen").alias("x"), "replayed")
+    both = A2.structures(held, ["o_orderkey", "x"], "replayed")
+    return both.select("o_orderkey", (F.col("x") == F.col("frozen")).alias("same"))
+
+
+RECORD_SCHEMA = {
+    "type": "object", "required": ["id", "status", "lines"],
+    "properties": {
+        "id": {"type": "integer", "minimum": 1}, "status": {"type": "string", "enum": ["O", "F"]}, "price": {"type": ["number", "null"]},
+        "note": {"type": ["object", "string"], "properties": {"priority": {"type": "string", "pattern": "^[0-9]-"}}},
+        "lines": {"type": "array", "minItems": 1, "items": {"type": "object", "required": ["n", "quantity"], "properties": {"quantity": {"type": "number", "maximum": 49}}}},
+    },
+    "allOf": [{"if": {"properties": {"status": {"const": "F"}}}, "then": {"required": ["note"]}}],
+}
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) - 1 AS i, l_linenumber, l_quantity FROM lineitem)
+SELECT o_orderkey AS id, '/status' AS pointer, 'enum' AS code FROM orders WHERE o_orderstatus NOT IN ('O', 'F') UNION ALL SELECT o_orderkey, '/id', 'minimum' FROM orders WHERE o_orderkey < 1 UNION ALL SELECT o_orderkey, '/price', 'type' FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0
+UNION ALL SELECT o_orderkey, '/note', 'required' FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 4 = 3 UNION ALL SELECT o_orderkey, '/note', 'type' FROM orders WHERE o_orderkey % 4 = 2
+UNION ALL SELECT o_orderkey, '/lines', 'minItems' FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) UNION ALL SELECT id, '/lines/' || i || '/quantity', 'maximum' FROM l JOIN orders ON o_orderkey = id WHERE l_quantity > 49 AND l_linenumber % 3 <> 0
+UNION ALL SELECT id, '/lines/' || i || '/quantity', 'required' FROM l JOIN orders ON o_orderkey = id WHERE l_linenumber % 3 = 0""")
+def nested_schema_failures(orders, lineitem):
+    """Nested records with fields of several types against a declared schema: each failure by its JSON pointer."""
+    k = F.col("o_orderkey")
+    line = F.struct("l_linenumber", "l_quantity", "l_extendedprice")
+    lines = lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("ls"))
+    rows = orders.join(lines, F.col("l_orderkey") == k, "left")
+    each = F.transform(F.coalesce("ls", F.array().cast(lines.schema["ls"].dataType)), lambda x: F.struct(x["l_linenumber"].alias("n"), F.when(x["l_linenumber"] % 3 != 0, x["l_quantity"]).alias("quantity")))
+    price = F.when(k % 7 == 0, F.lit("null")).when(k % 5 == 0, F.concat(F.lit('"'), "o_totalprice", F.lit('"'))).otherwise(F.col("o_totalprice").cast("string"))
+    note = F.when(k % 4 == 0, F.to_json(F.struct(F.col("o_orderpriority").alias("priority")))).when(k % 4 == 1, F.concat(F.lit('"'), "o_orderpriority", F.lit('"'))).when(k % 4 == 2, F.lit("17"))
+    fields = F.concat_ws(",", F.concat(F.lit('"id":'), k), F.concat(F.lit('"status":"'), "o_orderstatus", F.lit('"')), F.concat(F.lit('"price":'), price), F.concat(F.lit('"note":'), note), F.concat(F.lit('"lines":'), F.to_json(each)))
+    return A2.schema_failures(rows.select(k.alias("id"), F.concat(F.lit("{"), fields, F.lit("}")).alias("record")), ["id"], "record", RECORD_SCHEMA)
+
+
+@query("""
+SELECT event_id, CASE event_id % 8 WHEN 3 THEN '[1]' WHEN 5 THEN '{"k": "a}]{", "n": ' || event_id || '}' WHEN 6 THEN NULL WHEN 7 THEN to_json(event_type) ELSE props END AS json, event_id % 8 IN (1, 2, 3, 4, 5) AS trailing FROM events""")
+def answers_with_prose(events):
+    """The first JSON value of answers with text before it, after it and on both sides, with two values, with brackets in strings, cut off, and of one word."""
+    own = F.lit('{"k": "a}]{", "n": ')
+    kinds = [F.col("props"), F.concat(F.lit("Answer: "), "props", F.lit(" as asked")), F.concat("props", F.lit(" and then }")), F.concat(F.lit("note [1] "), "props"), F.concat("props", F.lit(' {"b": 2}')), F.concat(own, "event_id", F.lit("} done")), F.expr("left(props, length(props) - 1)"), F.concat(F.lit('"'), "event_type", F.lit('"'))]
+    answer = F.get(F.array(*kinds), (F.col("event_id") % 8).cast("int"))
+    return events.select("event_id", A.found_json(answer).alias("j")).select("event_id", "j.json", "j.trailing")
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS filter, CASE WHEN event_id % 3 = 1 THEN user_id::VARCHAR END AS response, CASE WHEN event_id % 3 = 1 THEN 2 END AS tools FROM events""")
+def salvaged_answers(events):
+    """Broken answers of two tasks: single fields saved by the schema of each; a third has nothing to save."""
+    query_ = F.concat(F.lit('so {"structured_query": {"filter" : "'), "event_type", F.lit('", "scenario_id": "s", "source": "db"'))
+    support = F.concat(F.lit('{"response": "'), "user_id", F.lit('", "tools": ["a", "b"], and'))
+    kind = F.col("event_id") % 3
+    rows = events.select("event_id", F.when(kind == 0, query_).when(kind == 1, support).otherwise("none").alias("t"), F.when(kind == 0, "intelligent_data_query").otherwise("auxiliary_decision").alias("task"))
+    got = rows.select("event_id", A.salvaged(F.col("t"), F.col("task")).alias("j"))
+    return got.select("event_id", F.get_json_object("j", "$.structured_query.filter").alias("filter"), F.get_json_object("j", "$.response").alias("response"), F.json_array_length(F.get_json_object("j", "$.tools")).cast("int").alias("tools"))
 
 
 # A schema of the form that record files declare, over the columns of conversations.
@@ -163,4 +238,5 @@ def tiered_replacement(supplier, customer):
     return J.tiered_nearest(side(supplier, "s"), side(customer, "c"), TIERS, "id")
 
 
+# Names of tiers, from narrow to wide.
 TIERS = [("exact_load_and_issue", ["family", "load", "issue"], None), ("exact_load", ["family", "load"], None), ("same_issue_nearest_load", ["family", "issue"], "load"), ("nearest_load", ["family"], "load")]

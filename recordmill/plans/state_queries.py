@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordmill.functions import text as X
-from recordmill.operators import evidence as E, states as S
+from recordmill.operators import evidence as E, query_baseline as Q, states as S
 from recordmill.plans.registry import query
 
 ELEMENTS = "SELECT l_orderkey AS scenario_id, CASE WHEN l_linestatus = 'O' THEN 'line' ELSE 'transformer' END AS equipment, l_linenumber AS element, l_quantity * 4 AS loading_percent, 1.0 - l_discount + l_tax AS vm_pu FROM lineitem"
@@ -269,3 +269,50 @@ SELECT system, load, line_index, count(*) AS n FROM (SELECT o_orderstatus AS sys
 def denominator_identity(lineitem, orders):
     j = lineitem.join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
     return j.groupBy(F.col("o_orderstatus").alias("system"), X.decimal_form(F.col("l_discount")).alias("load"), F.col("l_linenumber").alias("line_index")).agg(F.count(F.lit(1)).alias("n"))
+
+
+ASKS = (
+    ("loading_percent > 100", "line", ("list the lines loaded beyond their limit", "which line carries more than it may", "overloaded lines and the worst of them")),
+    ("loading_percent > 100", "transformer", ("transformers above their rating", "which transformer is overloaded", "list transformers beyond the thermal limit")),
+    ("loading_percent > 100", "all", ("every overloaded element whatever its kind", "all equipment above its rating", "anything loaded beyond its limit")),
+    ("loading_percent > 100", None, ("overloads of the case in the old form", "legacy list of loadings above one hundred", "old style overload records")),
+    ("vm_pu < 0.95", None, ("buses with low voltage", "where is the voltage below its bound", "undervoltage at which buses")),
+    ("violation_type != none", None, ("what kinds of violation does the case have", "is any limit violated and of which sort", "types of violations present")),
+)
+
+
+def asked_in_words(orders):
+    """A record a state: a request in words with the state's customer and clerk, its query's class, the state meant and the one shown (none for every 23rd)."""
+    k = F.col("o_orderkey")
+    asks = F.array(*[F.struct(Q.query_label(F.lit(f), F.lit(s).cast("string")).alias("label"), F.array(*map(F.lit, words)).alias("words")) for f, s, words in ASKS])
+    ask = F.get(asks, (F.xxhash64(k) % 3 + 2).cast("int") + F.when(F.col("o_orderstatus") == "O", 0).otherwise(1))
+    rows = orders.select(k.alias("id"), "o_orderpriority", "o_custkey", ask.alias("ask"))
+    text = F.concat_ws(" ", F.lit("customer"), F.col("o_custkey").cast("string"), F.get("ask.words", F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(3)).cast("int")), F.col("o_orderpriority"))
+    return rows.select("id", text.alias("text"), F.col("ask.label").alias("label"), F.col("id").alias("gold_state"), F.when(F.col("id") % 23 != 0, F.col("id")).alias("shown_state"), (X.hash_bucket(F.col("id"), 5) == 0).alias("held_out"))
+
+
+@query()
+def query_label_baseline(orders, lineitem):
+    """Requests in words classified by a linear model, the classes turned into queries, run again on the states, and scored; scores are held against plain ones in the tests."""
+    from recordmill.operators import linear as L
+
+    rows = asked_in_words(orders)
+    found, _ = L.classified(rows, "id", "label", "held_out", features=20_000)
+    told = found.select("id", F.col("label").alias("gold_label"), F.col("pred").alias("pred_label")).join(rows.select("id", "gold_state", "shown_state"), "id")
+    return Q.summary(Q.scored(told, states(orders, lineitem)))
+
+
+@query(f"""
+WITH e AS ({ELEMENTS}), r AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'line' WHEN 1 THEN 'transformer' WHEN 2 THEN 'all' ELSE 'voltage' END AS gold, CASE WHEN o_orderkey % 3 = 0 THEN 'all' WHEN o_orderkey % 4 = 0 THEN 'line' WHEN o_orderkey % 4 = 1 THEN 'transformer' WHEN o_orderkey % 4 = 2 THEN 'all' ELSE 'voltage' END AS pred, o_orderkey % 5 <> 0 AS shown FROM orders),
+f AS (SELECT o_orderkey AS id, coalesce(list(equipment || element || ':' || loading_percent ORDER BY equipment, element, loading_percent) FILTER (loading_percent > 100 AND equipment = 'line'), []) AS line, coalesce(list(equipment || element || ':' || loading_percent ORDER BY equipment, element, loading_percent) FILTER (loading_percent > 100 AND equipment = 'transformer'), []) AS trafo, coalesce(list(equipment || element || ':' || loading_percent ORDER BY equipment, element, loading_percent) FILTER (loading_percent > 100), []) AS every FROM orders LEFT JOIN e ON scenario_id = o_orderkey GROUP BY 1),
+g AS (SELECT r.*, CASE gold WHEN 'line' THEN line WHEN 'transformer' THEN trafo ELSE every END AS a, every AS b FROM r JOIN f USING (id))
+SELECT id, gold = pred AS label_right, gold = pred AND shown AS exact, gold = pred AS schema_exact, shown AS state_exact,
+  round(CASE WHEN gold = 'voltage' AND pred = 'voltage' THEN (2 + shown::INT) / 3.0 WHEN gold = 'voltage' THEN shown::INT / 6.0 WHEN gold = pred THEN (4 + shown::INT) / 5.0 ELSE (3 + shown::INT) / 5.0 END, 6) AS field_accuracy,
+  shown AND (gold = pred OR gold <> 'voltage' AND a = b) AS same_result FROM g""")
+def query_label_scores(orders, lineitem):
+    """Queries of given and of predicted classes, by fields and by what they return; every fifth record shows no state, every third is taken for one of all equipment."""
+    k = F.col("o_orderkey")
+    label = lambda name: F.when(name == "voltage", F.lit(S.FILTERS[1])).otherwise(Q.query_label(F.lit(S.FILTERS[0]), name))
+    gold = F.when(k % 4 == 0, "line").when(k % 4 == 1, "transformer").when(k % 4 == 2, "all").otherwise("voltage")
+    rows = orders.select(k.alias("id"), label(gold).alias("gold_label"), label(F.when(k % 3 == 0, "all").otherwise(gold)).alias("pred_label"), k.alias("gold_state"), F.when(k % 5 != 0, k).alias("shown_state"))
+    return Q.scored(rows, states(orders, lineitem)).select("id", "label_right", "exact", "schema_exact", "state_exact", F.round("field_accuracy", 6).alias("field_accuracy"), "same_result")
