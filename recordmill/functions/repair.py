@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Names that generation breaks apart, and what they are; patterns may take the blanks of their neighbours, so these come first.
+BROKEN_NAMES = {"structured _ query": "structured_query", "scenario _ id": "scenario_id", "simulation _ outputs": "simulation_outputs", "violation _ type": "violation_type", "loading _ percent": "loading_percent", "vm _ pu": "vm_pu", "run _ power _ flow": "run_power_flow", "run _ opf _ redispatch": "run_opf_redispatch"}
+# Filters without their blanks, and as they are written.
+FILTER_ALIASES = {"loading_percent>100": "loading_percent > 100", "vm_pu<0.95": "vm_pu < 0.95", "violation_type!=none": "violation_type != none"}
 # What breaks in generated tokens, as patterns and what they become, in this order.
 TOKEN_REPAIRS = ((r"\s+_\s+", "_"), (r"(?<=[A-Za-z0-9])\s+(?=[A-Za-z0-9])", ""), (r"(?<=[一-鿿])\s+(?=[一-鿿])", ""), (r"(\d)\.\s+(\d)", "$1.$2"), ("! =", "!="))
 JSON_REPAIRS = ((r"\s+([{}\[\]:,])", "$1"), (r"([{}\[\]:,])\s+", "$1"), (r"\s+_\s+", "_"), (r"(?<=[一-鿿])\s+(?=[一-鿿])", ""), (r"(\d)\.\s+(\d)", "$1.$2"), ("! =", "!="))
@@ -13,6 +17,8 @@ LEXEMES = r'(?s)\\.|"|[{}\[\]]|[^"\\{}\[\]]+|\\'
 
 
 def _repaired(c: Column, repairs: tuple) -> Column:
+    for broken, name in BROKEN_NAMES.items():
+        c = F.replace(c, F.lit(broken), F.lit(name))
     for pattern, new in repairs:
         c = F.regexp_replace(c, pattern, new)
     return c
@@ -120,3 +126,10 @@ def salvaged(text: Column, task: Column) -> Column:
     """An answer's JSON object by the schema of its task; null where nothing can be saved."""
     got = found_json(text)["json"]
     return F.when(task == "intelligent_data_query", salvaged_query(text)).when(task == "auxiliary_decision", salvaged_support(text)).otherwise(F.when(got.startswith("{"), got))
+
+
+def canonical_filter(c: Column) -> Column:
+    """A filter as it is written: compacted, and if what is left without blanks is a known filter, that one."""
+    text = compact_token(c)
+    table = F.create_map(*[F.lit(x) for kv in FILTER_ALIASES.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, F.regexp_replace(text, r"\s+", "")), text)

@@ -110,16 +110,19 @@ def cover_labels(groups: DataFrame, cells: DataFrame, splits: tuple[str, ...] =
     pairs; the labels are a small set, and of the groups only the one that moves is looked at.
     """
     groups = checkpoint(groups.where(F.col("split").isin(*splits)).select("component", "split", "size"))
+    held = _held(groups, cells)
     for target in splits:
-        for label in sorted({x for _, x in _held(groups, cells)}):
-            held = _held(groups, cells)
+        for label in sorted({x for _, x in held}):
             if held.get((target, label)):
                 continue
             donors = {s: held[s, label] for s in splits if s != target and held.get((s, label))}
             own = groups.join(cells.where(F.col("label") == label), "component").where(F.col("split").isin(*donors))
             spare = reduce(lambda a, b: a.when(F.col("split") == b, donors[b]), donors, F.when(F.lit(False), 0)) - F.col("n")
             best = own.where(spare > 0).orderBy("size", F.desc("n"), "split", "component").limit(1).select("component", F.lit(target).alias("to"))
-            groups = _moved(groups, checkpoint(best))
+            best = checkpoint(best)
+            if not best.isEmpty():
+                groups = _moved(groups, best)
+                held = _held(groups, cells)  # counted again only after a move
     return groups
 
 
@@ -131,8 +134,8 @@ def support_labels(groups: DataFrame, cells: DataFrame, first: str = "train", ot
     level go is told by a hash, in blocks, so that no task puts a whole level in order.
     """
     groups = checkpoint(groups.select("component", "split", "size"))
-    for label in sorted({x for _, x in _held(groups, cells)}):
-        held = _held(groups, cells)
+    held = _held(groups, cells)
+    for label in sorted({x for _, x in held}):
         total = sum(n for (_, x), n in held.items() if x == label)
         missing = label_target(total) - held.get((first, label), 0)
         if missing <= 0:
@@ -161,6 +164,7 @@ def support_labels(groups: DataFrame, cells: DataFrame, first: str = "train", ot
         place = F.row_number().over(Window.partitionBy("split", "n", "block").orderBy("h", "component"))
         gone = own.join(F.broadcast(before.select("split", "n", "block", "k", "before")), ["split", "n", "block"]).withColumn("p", place).where("before + p <= k")
         groups = _moved(groups, checkpoint(gone.select("component", F.lit(first).alias("to"))))
+        held = _held(groups, cells)
     return groups
 
 

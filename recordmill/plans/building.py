@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recordmill.functions import text as X
 from recordmill.operators import models as B
+from recordmill.operators import augmentation as G
 from recordmill.plans.registry import query
 from recordmill.plans.similarity import TFIDF_SQL
 from recordmill.session import checkpoint, stored
@@ -179,3 +180,32 @@ def tool_choice_baseline(events):
     t = events.select(F.concat_ws("::", "event_type", F.when(F.col("value") > 50, "high").otherwise("low")).alias("target"), (F.col("user_id") % 20).alias("k"), (F.col("event_id") % 5 == 0).alias("held_out"))
     m = t.where("NOT held_out").groupBy("k", "target").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max_by("target", F.struct("n", "target")).alias("guess"))
     return t.where("held_out").join(m, "k").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target") == F.col("guess")).alias("exact"))
+
+
+_FLAT = [s for v in G.SURFACES.values() for s in v]
+
+
+@query(f"""
+WITH c AS (SELECT unnest({list(G.SURFACES)!r}) AS category, unnest({list(G.SURFACES.values())!r}) AS surfaces),
+r AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, CASE WHEN o_orderstatus = 'O' THEN 'compliant' ELSE 'non_compliant' END AS label, {_FLAT!r}[o_orderkey % {len(_FLAT) + 5} + 1] AS old FROM orders),
+o AS (SELECT r.*, category, list_filter(surfaces, lambda x: x <> old) AS others FROM r JOIN c ON list_contains(surfaces, old)), v AS (SELECT *, unnest(range(CASE WHEN label = 'compliant' THEN 3 ELSE 1 END)) AS j FROM o),
+n AS (SELECT *, others[(i + j) % len(others) + 1] AS action FROM v)
+SELECT k || '_actionpara_0' || (j + 1) AS id, k AS source_id, (j + 1)::INTEGER AS variant, category, label, action, replace({G.REQUESTS!r}[(j + 1) % 8 + 1], '{{action}}', action) AS instruction, 'why ' || action AS rationale FROM n""")
+def action_paraphrases(orders):
+    """Compliance records in other words: one for each, three for compliant ones; the wording of the action is read from its own field or from the rationale."""
+    k = F.col("o_orderkey")
+    old = F.get(F.array(*map(F.lit, _FLAT)), (k % (len(_FLAT) + 5)).cast("int"))
+    rows = orders.select(k.alias("id"), F.when(F.col("o_orderstatus") == "O", "compliant").otherwise("non_compliant").alias("label"), F.when(k % 2 == 0, old).alias("action"), F.lit(None).cast("string").alias("category"), F.lit("asked").alias("instruction"), F.concat(F.lit("why "), old).alias("rationale"))
+    return G.paraphrased(rows, ["id"])
+
+
+@query()
+def action_counterfactuals(orders, lineitem):
+    """Actions that would have the labels which a state's records lack, two a state at most; held against a plain loop in the tests."""
+    from recordmill.plans.state_queries import classified
+
+    k = F.col("scenario_id")
+    states = classified(orders, lineitem)
+    old = F.get(F.array(*map(F.lit, _FLAT)), (k % len(_FLAT)).cast("int"))
+    rows = states.select(k.alias("id"), F.concat_ws(" ", "profile", "severity", (k % 50).cast("string")).alias("summary"), "scenario_id", F.when(k % 3 == 0, "compliant").otherwise("non_compliant").alias("label"), old.alias("action"))
+    return G.counterfactual(rows, states, ["id"])

@@ -189,6 +189,17 @@ def answers_with_prose(events):
     return events.select("event_id", A.found_json(answer).alias("j")).select("event_id", "j.json", "j.trailing")
 
 
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'loading_percent > 100' WHEN 1 THEN 'vm_pu < 0.95' WHEN 2 THEN 'violation_type != none' ELSE event_type || '_' || user_id END AS filter FROM events""")
+def canonical_filters(events):
+    """The filter field of answers, broken in several ways, as it is written; what is no known filter is only compacted."""
+    broken = [F.lit('loading _ percent  > 1 00'), F.lit("vm _ pu<0. 95"), F.lit(" violation _ type ! = none"), F.concat("event_type", F.lit(" _ "), "user_id", F.lit(" "))]
+    said = F.concat(F.lit('so {"structured _ query": {"filter" : "'), F.get(F.array(*broken), (F.col("event_id") % 4).cast("int")), F.lit('"}} done'))
+    got = A.found_json(said)["json"]
+    field = F.coalesce(F.get_json_object(got, "$.structured_query.filter"), F.get_json_object(got, "$['structured _ query'].filter"))
+    return events.select("event_id", A.canonical_filter(field).alias("filter"))
+
+
 @query("""
 SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS filter, CASE WHEN event_id % 3 = 1 THEN user_id::VARCHAR END AS response, CASE WHEN event_id % 3 = 1 THEN 2 END AS tools FROM events""")
 def salvaged_answers(events):

@@ -8,6 +8,7 @@ from recordmill.functions import nested as N, text as X
 from recordmill.operators import ranking as R, similarity as M, splits as P, states as S
 from recordmill.operators.components import connected_components
 from recordmill.plans.record_joins import NORM
+from recordmill.operators.joins import provenance_components
 from recordmill.plans.registry import query
 from recordmill.plans.state_queries import ELEMENTS, states
 from recordmill.session import checkpoint
@@ -93,3 +94,15 @@ def challenge_group_split(documents):
     """Rows of one surface stay together, 70 / 10 / 20."""
     key = F.sha2(X.collapse_blanks(F.lower("text")), 256)
     return documents.select("doc_id", P.hash_split(key, (("train", 0.7), ("validation", 0.1), ("test", 0.2)), "challenge").alias("split"))
+
+
+@query(f"""
+WITH RECURSIVE k AS (SELECT doc_id, sha256({NORM}) AS a, sha256(substr({NORM}, 1, 60)) AS b FROM documents), e AS (SELECT doc_id AS s, min(doc_id) OVER (PARTITION BY a) AS t FROM k UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY b) FROM k),
+u AS (SELECT s, t FROM e UNION SELECT t, s FROM e), r AS (SELECT s AS id, s AS c FROM u UNION SELECT u.t, r.c FROM r JOIN u ON u.s = r.id), c AS (SELECT id AS doc_id, min(c) AS component FROM r GROUP BY 1),
+h AS (SELECT doc_id, component, CAST('0x' || substr(sha256('challenge:' || component), 1, 8) AS BIGINT) % 10000 AS u FROM c)
+SELECT doc_id, component, CASE WHEN u < 7000 THEN 'train' WHEN u < 8000 THEN 'validation' ELSE 'test' END AS split FROM h""")
+def challenge_component_split(documents):
+    """Rows that share a surface or a provenance key, directly or through others, stay together, 70 / 10 / 20."""
+    norm = X.collapse_blanks(F.lower("text"))
+    comps = provenance_components(documents, "doc_id", [F.sha2(norm, 256), F.sha2(F.substring(norm, 1, 60), 256)])
+    return comps.select(F.col("id").alias("doc_id"), "component", P.hash_split(F.col("component"), (("train", 0.7), ("validation", 0.1), ("test", 0.2)), "challenge").alias("split"))

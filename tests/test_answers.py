@@ -10,6 +10,8 @@ from recordmill.functions import repair as A
 
 
 def mended(t):
+    for name in ("structured_query", "scenario_id", "simulation_outputs", "violation_type", "loading_percent", "vm_pu", "run_power_flow", "run_opf_redispatch"):
+        t = t.replace(name.replace("_", " _ "), name)
     for pattern, new in ((r"\s+([{}\[\]:,])", r"\1"), (r"([{}\[\]:,])\s+", r"\1"), (r"\s+_\s+", "_"), (r"(?<=[一-鿿])\s+(?=[一-鿿])", ""), (r"(\d)\.\s+(\d)", r"\1.\2")):
         t = re.sub(pattern, new, t)
     return t.replace("! =", "!=")

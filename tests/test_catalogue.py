@@ -42,4 +42,4 @@ def test_rows_equal_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_tested_elsewhere():
-    assert set(queries()) - set(oracle_sql()) == {"nearest_unique_replacement", "bootstrap_interval", "near_neighbour_free_split", "minhash_lsh_neighbours", "greedy_component_split", "tfidf_classifier", "label_coverage_splits", "tiered_replacement", "bootstrap_label_scores", "bootstrap_paired_difference", "deficit_component_split", "seed_stability", "two_level_interval", "clustered_difference", "linear_classifier", "query_label_baseline"}
+    assert set(queries()) - set(oracle_sql()) == {"nearest_unique_replacement", "bootstrap_interval", "near_neighbour_free_split", "minhash_lsh_neighbours", "greedy_component_split", "tfidf_classifier", "label_coverage_splits", "tiered_replacement", "bootstrap_label_scores", "bootstrap_paired_difference", "deficit_component_split", "seed_stability", "two_level_interval", "clustered_difference", "linear_classifier", "query_label_baseline", "action_counterfactuals"}
