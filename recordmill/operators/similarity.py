@@ -74,6 +74,8 @@ def jaccard_join(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
 
 #: Sets in a block of queries and of references, and pairs of equal grams held at once.
 QUERY_BLOCK, REF_BLOCK, HELD = 4096, 2048, 1 << 22
+#: Grams in a block on average, so that long texts make blocks of fewer rows.
+BLOCK_GRAMS = 1 << 23
 
 
 def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +112,13 @@ def _sums(q: tuple[np.ndarray, np.ndarray, np.ndarray | None], r: tuple[np.ndarr
 
 
 def _in_blocks(queries: DataFrame, refs: DataFrame, best: Callable, schema: str) -> DataFrame:
-    """best(queries, references) of every block of queries with every block of references, whose sizes don't follow the input; refs go once to each block of queries."""
-    nq, nr = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-refs.count() // REF_BLOCK))
+    """best(queries, references) of every block of queries with every block of references, whose sizes in rows and grams don't follow the input; refs go once to each block of queries."""
+
+    def blocks(rows: DataFrame, most: int) -> int:
+        n, grams = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()
+        return max(1, -(-n // most), -(-grams // BLOCK_GRAMS))
+
+    nq, nr = blocks(queries, QUERY_BLOCK), blocks(refs, REF_BLOCK)
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.withColumn("__q", block("id", nq)).withColumn("__r", each(nr))

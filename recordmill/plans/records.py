@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from recordmill.functions import nested as N, repair as A, variants as A2
 from recordmill.operators import joins as J, splits as P, validation as V
 from recordmill.plans.registry import query
-from recordmill.session import checkpoint, shared_dir
+from recordmill.session import checkpoint, place
 from recordmill.sources import files as S
 
 
 def _place(df, name):
-    return f"{shared_dir(df.sparkSession)}/recordmill/{name}-{uuid.uuid4().hex}"
+    return place(df.sparkSession, name)
 
 
 @query("SELECT doc_id, text, lang FROM documents")

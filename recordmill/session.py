@@ -47,17 +47,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which clear_stored() deletes."""
+    _stored.append(f"{shared_dir(spark)}/recordmill/{name}-{uuid.uuid4().hex}")
+    return _stored[-1]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, for wide rows of which later jobs read some columns."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/recordmill/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.parquet(path)
-    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_stored(spark: SparkSession) -> int:
-    """Delete the tables that stored() wrote in this process, once no result that rests on them is needed; how many there were."""
+    """Delete what this process wrote at a place(), once no result that rests on it is needed; how many paths there were. Files of checkpoint() are Spark's: it deletes them with
+    their frames where spark.cleaner.referenceTracking.cleanCheckpoints is set, and they go with the folder otherwise."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     n = len(_stored)
     while _stored:

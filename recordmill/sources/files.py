@@ -65,8 +65,15 @@ class _files:
             self.delete(aside)
 
 
-def write_document(df: DataFrame, path: str) -> None:
-    """A small table (a report, a manifest) as one JSON document: an array of its rows in order of all columns. Its rows pass one task."""
+#: Rows of a table that may be one JSON document.
+DOCUMENT_ROWS = 100_000
+
+
+def write_document(df: DataFrame, path: str, most: int = DOCUMENT_ROWS) -> None:
+    """A small table (a report, a manifest) as one JSON document: an array of its rows in order of all columns. A document is one value, so the rows are counted first, and more than
+    `most` raise: such a table belongs in JSON lines (write_checked)."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows are no document; write them as JSON lines")
     row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     df.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(row)), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
