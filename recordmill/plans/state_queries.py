@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordmill.functions import text as X
-from recordmill.operators import evidence as E, query_baseline as Q, states as S
+from recordmill.operators import evidence as E, query_baseline as Q, rendering as D, states as S
 from recordmill.plans.registry import query
 
 ELEMENTS = "SELECT l_orderkey AS scenario_id, CASE WHEN l_linestatus = 'O' THEN 'line' ELSE 'transformer' END AS equipment, l_linenumber AS element, l_quantity * 4 AS loading_percent, 1.0 - l_discount + l_tax AS vm_pu FROM lineitem"
@@ -316,3 +316,28 @@ def query_label_scores(orders, lineitem):
     gold = F.when(k % 4 == 0, "line").when(k % 4 == 1, "transformer").when(k % 4 == 2, "all").otherwise("voltage")
     rows = orders.select(k.alias("id"), label(gold).alias("gold_label"), label(F.when(k % 3 == 0, "all").otherwise(gold)).alias("pred_label"), k.alias("gold_state"), F.when(k % 5 != 0, k).alias("shown_state"))
     return Q.scored(rows, states(orders, lineitem)).select("id", "label_right", "exact", "schema_exact", "state_exact", F.round("field_accuracy", 6).alias("field_accuracy"), "same_result")
+
+
+_ID = "lpad(n::VARCHAR, greatest(6, length(n::VARCHAR))::INTEGER, '0')"
+
+
+@query(f"""
+WITH e AS ({ELEMENTS}), o AS (SELECT o_orderkey AS scenario_id, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders), q AS (SELECT *, ['line', 'transformer', 'all'][1 + (n - 1) % 3] AS scope FROM o),
+c AS (SELECT q.scenario_id, n, scope, count(e.element)::INTEGER AS k, max(e.loading_percent) AS m FROM q LEFT JOIN e ON e.scenario_id = q.scenario_id AND e.loading_percent > 100 AND (scope = 'all' OR e.equipment = scope) GROUP BY 1, 2, 3)
+SELECT 'query_' || {_ID} AS id, 'intelligent_data_query' AS task_type, scenario_id, replace(replace({list(D.QUESTIONS)!r}[1 + ((n - 1) // 3) % 3], '{{scope}}', scope), '{{case}}', scenario_id::VARCHAR) AS instruction,
+  '{{"filter":"loading_percent > 100","scenario_id":"' || scenario_id || '","scope":"' || scope || '","aggregation":"complete_list_and_max","version":"2"}}' AS structured_query, k AS n, m AS worst FROM c""")
+def rendered_query_records(orders, lineitem):
+    """A question for each state, its query, and the result of the query on the state."""
+    made = D.query_records(states(orders, lineitem), ["scenario_id"])
+    return made.select("id", "task_type", "scenario_id", "instruction", "structured_query", "n", F.get_json_object("query_result", "$.max_loading_percent").cast("double").alias("worst"))
+
+
+@query(f"""
+WITH s AS (SELECT *, row_number() OVER (ORDER BY scenario_id) AS n FROM ({CLASSES} ({STATE_SQL}))), d AS (
+{DECISION_SQL.replace("1 + scenario_id % 7", "1 + (n - 1) % 7").replace("scenario_id % 7 < 6", "(n - 1) % 7 < 6").replace(f"FROM ({CLASSES} ({STATE_SQL})))", "FROM s)")})
+SELECT 'compliance_' || {_ID} AS id, 'regulation_compliance_check' AS task_type, scenario_id, replace(replace({list(D.JUDGEMENTS)!r}[1 + ((n - 1) // 7) % 3], '{{action}}', action), '{{case}}', scenario_id::VARCHAR) AS instruction, action, category, label AS compliance_label,
+  'In this state ' || coalesce(nullif(concat_ws(', ', CASE WHEN n_thermal > 0 THEN n_thermal || ' overloaded' END, CASE WHEN n_low > 0 THEN n_low || ' low voltage' END, CASE WHEN n_high > 0 THEN n_high || ' high voltage' END), ''), 'no limit is violated') || '; severity ' || severity || '; it may ' || CASE label WHEN 'compliant' THEN '' WHEN 'non_compliant' THEN 'not ' ELSE '' END || 'be carried out' || CASE label WHEN 'compliant_with_monitoring' THEN ' under monitoring' ELSE '' END || '.' AS rationale
+FROM d JOIN s USING (scenario_id) WHERE category IS NOT NULL""")
+def rendered_compliance_records(orders, lineitem):
+    """An action for each state in turn, its label by the decision table, and a rationale that names what the state violates."""
+    return D.compliance_records(classified(orders, lineitem), ACTIONS, ["scenario_id"])
