@@ -128,9 +128,8 @@ WITH c AS (SELECT source AS artifact, doc_id // 1000 AS chunk, count(*) AS n, sh
 m AS (SELECT artifact, sum(n)::BIGINT AS n, sha256(string_agg(h, ',' ORDER BY chunk)) AS sha FROM c GROUP BY 1)
 SELECT artifact, n, sha, sha = CASE WHEN artifact = 'src5' THEN 'stale' ELSE sha END AS bound FROM m""")
 def hash_binding_gate(documents):
-    """The hash of each artifact's ids in order against a manifest: chunks of a thousand ids are hashed first, then the hashes of an artifact's chunks, so that no row holds all its ids."""
-    c = documents.groupBy(F.col("source").alias("artifact"), F.floor(F.col("doc_id") / 1000).alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ","), 256).alias("h"))
-    m = c.groupBy("artifact").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "h"))), lambda x: x["h"]), ","), 256).alias("sha"))
+    """The hash of each artifact's ids in order against a manifest: chunks of a thousand ids are hashed first, then chunks of a thousand hashes, until one is left."""
+    m = V.ordered_digests(documents.select(F.col("source").alias("artifact"), "doc_id"), "artifact", "doc_id")
     return m.withColumn("bound", F.col("sha") == F.when(F.col("artifact") == "src5", "stale").otherwise(F.col("sha")))
 
 

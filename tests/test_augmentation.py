@@ -106,3 +106,14 @@ def test_query_class_summary(spark):
     rows = [(1, "a", "a", True, True, True, True, 1.0, True), (2, "a", "b", False, False, False, True, 0.5, False), (3, "b", "b", True, False, True, False, 0.75, False)]
     x = Q.summary(spark.createDataFrame(rows, "id long, gold_label string, pred_label string, label_right boolean, exact boolean, schema_exact boolean, state_exact boolean, field_accuracy double, same_result boolean")).first()
     assert (x.n, x.accuracy, x.query_exact, x.schema_exact, x.state_exact, x.field_accuracy, x.same_result, x.majority_label, x.majority_accuracy) == (3, 0.666667, 0.333333, 0.666667, 0.666667, 0.75, 0.333333, "a", 0.666667)
+
+
+def test_digests_by_levels(spark):
+    from recordmill.operators.validation import ordered_digests
+
+    rows = [("a", i) for i in range(0, 900, 3)] + [("b", 7), ("b", 7), (None, 5)]
+    sha = lambda xs: hashlib.sha256(",".join(xs).encode()).hexdigest()
+    got = {r.g: (r.n, r.sha) for r in ordered_digests(spark.createDataFrame(rows, "g string, id long"), "g", "id", width=10).collect()}
+    level = {k: sha([str(i) for g, i in rows if g == "a" and i // 10 == k]) for k in range(90)}
+    level = {k: sha([level[j] for j in sorted(level) if j // 10 == k]) for k in range(9)}
+    assert got == {"a": (300, sha([level[k] for k in range(9)])), "b": (2, sha([sha(["7", "7"])])), None: (1, sha([sha(["5"])]))}
