@@ -92,14 +92,20 @@ def compiled(schema: dict, rows: DataFrame) -> dict[str, Column]:
 
 
 def ordered_digests(rows: DataFrame, group: str, key: str, width: int = 1000) -> DataFrame:
-    """(group, n, sha): a digest of each group's integer keys in order, from digests of digests: keys of one chunk of `width` numbers are hashed, then chunks of chunks, until no group has more than
-    `width`, whose hashes make the last. So no row ever holds more than `width` of anything, however large a group is."""
+    """(group, n, sha): a digest of each group's integer keys in order, from digests of digests: keys of one chunk of `width` numbers are hashed, then chunks of chunks, until a group has no more than
+    `width`, whose hashes make the last. A group's digest doesn't depend on other groups. So no row ever holds more than `width` of anything, however large a group is."""
     joined = lambda c: F.sha2(F.array_join(c, ","), 256)
     keys = F.transform(F.sort_array(F.collect_list(key)), lambda x: x.cast("string"))
     level = rows.groupBy(group, F.floor(F.col(key) / width).alias("__chunk")).agg(F.count(F.lit(1)).alias("n"), joined(keys).alias("__h"))
     hashes = F.transform(F.sort_array(F.collect_list(F.struct("__chunk", "__h"))), lambda x: x["__h"])
+    done = None
     while True:
         level = checkpoint(level)
-        if (level.groupBy(group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c")).first()["c"] or 0) <= width:
-            return level.groupBy(group).agg(F.sum("n").alias("n"), joined(hashes).alias("sha"))
-        level = level.groupBy(group, F.floor(F.col("__chunk") / width).alias("__next")).agg(F.sum("n").alias("n"), joined(hashes).alias("__h")).withColumnRenamed("__next", "__chunk")
+        sizes = level.groupBy(group).agg(F.count(F.lit(1)).alias("__c")).withColumnRenamed(group, "__g")
+        sized = level.join(sizes, F.col(group).eqNullSafe(F.col("__g")))
+        last = sized.where(F.col("__c") <= width).groupBy(group).agg(F.sum("n").alias("n"), joined(hashes).alias("sha"))
+        done = last if done is None else done.unionByName(last)
+        more = checkpoint(sized.where(F.col("__c") > width).select(*level.columns))
+        if more.isEmpty():
+            return done
+        level = more.groupBy(group, F.floor(F.col("__chunk") / width).alias("__next")).agg(F.sum("n").alias("n"), joined(hashes).alias("__h")).withColumnRenamed("__next", "__chunk")
