@@ -75,14 +75,16 @@ def blocks(known: DataFrame, shortest: int, most: int = BLOCK, broadcast_blocks:
     level, done = first_blocks(known, shortest), []
     while True:
         sizes = level.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("size"), F.count_if(F.length("word") == F.col("m")).alias("short"))
-        large = checkpoint(sizes.where((F.col("size") > most) & (F.col("m") - F.col("i") - F.col("j") >= 2) & (F.col("short") > 0)).select(*PLACE))
+        # words that are all the longer ones of their block have no pairs there: those blocks go
+        divide = (F.col("m") - F.col("i") - F.col("j") >= 2) & (F.col("short") > 0)
+        large = checkpoint(sizes.where((F.col("size") > most) & (divide | (F.col("short") == 0))).select(*PLACE, divide.alias("divide")))
         n = large.count()
         if n == 0:
             done.append(level)
             break
         side = F.broadcast(large) if n <= broadcast_blocks else large
         done.append(level.join(side, PLACE, "left_anti").select(*level.columns))
-        level = stored(_subdivided(level.join(side, PLACE, "left_semi")), "blocks")
+        level = stored(_subdivided(level.join(side.where("divide").drop("divide"), PLACE, "left_semi")), "blocks")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
