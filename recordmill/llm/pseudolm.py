@@ -9,7 +9,7 @@ Shares are those of the other documents: a document's own occurrences are left o
 new. So a rare word that occurs nowhere else costs its document about log(1 / UNSEEN) more than one that does, however large the corpus is. The counts
 grow with the corpus and are never gathered: a partition of documents is joined with the counts of the words that it shares with other partitions.
 
-Training is distributed: documents are dealt to SHARDS by hashes of document and text, and in each of ROUNDS rounds every shard starts from the common weights and descends on masked positions of
+Training is distributed: documents are dealt to shards of about PER_SHARD tokens by hashes of document and text, and in each of ROUNDS rounds every shard starts from the common weights and descends on masked positions of
 all its documents in the order of their hashes (a share MASKED, drawn by the hash of text and place, other places in every round), and the weights of all shards are averaged by their
 numbers of positions, in a tree of Spark tasks. So neither files nor partitions nor cores change the weights. The score of a document is the sum of the log probabilities of all its words, each given both sides.
 
@@ -40,8 +40,8 @@ UNSEEN = 0.1
 #: Positions scored at once, and documents whose words are counted at once.
 HELD, TOGETHER = 32768, 512
 MEMO = 300_000
-#: Streams that training runs through side by side, whatever the cores: part of the model, to be raised for far larger corpora. Nets that are averaged at once.
-SHARDS, FAN_IN = 32, 8
+#: Tokens of a stream of training, of which the corpus gives the number of streams, whatever the cores. Nets that are averaged at once.
+PER_SHARD, FAN_IN = 1 << 21, 8
 #: Steps of a doubling of the counts by which the most frequent words are set apart before they are put in order.
 OCTAVE = 16
 
@@ -297,8 +297,8 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([] if none else [table.column("shard")[0].as_py() // FAN_IN], pa.int32()), "weight": pa.array([] if none else [total], pa.float64()), "net": pa.array([] if none else [mean.astype(np.float32).tobytes()], pa.binary())})
 
 
-def tokenised(docs: DataFrame, common: dict[int, int], text_col: str = "text", id_col: str = "doc_id", shards: int = SHARDS) -> DataFrame:
-    """(seed, ids, id, shard) of every text, written: its hash, its tokens as 16-bit numbers, the hash of its document, and the shard that both hashes deal it to."""
+def tokenised(docs: DataFrame, common: dict[int, int], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(seed, ids, id) of every text, written: its hash, its tokens as 16-bit numbers, and the hash of its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Ids(common)
@@ -310,13 +310,18 @@ def tokenised(docs: DataFrame, common: dict[int, int], text_col: str = "text", i
                 yield pa.RecordBatch.from_arrays([pa.array(hashes_of(texts).view(np.int64)), pa.array([raw[b - 2 * n : b] for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)], pa.binary()), batch.column(1)], names=["seed", "ids", "id"])
 
     made = docs.select(text_col, F.xxhash64(id_col).alias("id")).mapInArrow(run, "seed long, ids binary, id long")
-    return stored(made.withColumn("shard", F.pmod(F.xxhash64("seed", "id"), F.lit(shards)).cast("int")), "tokens")
+    return stored(made, "tokens")
 
 
-def trained(tokens: DataFrame, rounds: int = ROUNDS, masked: float = MASKED, shards: int = SHARDS) -> WindowNet:
-    """Weights after rounds of local descent over all documents (as tokenised). Each shard is a stream in the order of its hashes, whatever the files, partitions and cores."""
+def trained(tokens: DataFrame, rounds: int = ROUNDS, masked: float = MASKED, shards: int | None = None) -> WindowNet:
+    """Weights after rounds of local descent over all documents (as tokenised). Each shard, one for each PER_SHARD tokens unless their number is given, is a stream in the order of its hashes,
+    whatever the files, partitions and cores."""
     net = WindowNet()
-    texts = tokens.repartition(shards, "shard").sortWithinPartitions("shard", "seed", "id").select("shard", "seed", "ids")
+    if shards is None:
+        size = tokens.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first()["n"] // 2
+        shards = max(1, -(-size // PER_SHARD))
+    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("seed", "id"), F.lit(shards)).cast("int"))
+    texts = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "seed", "id").select("shard", "seed", "ids")
     for turn in range(rounds):
         raw = net.packed()
 
