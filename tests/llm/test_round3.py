@@ -321,7 +321,7 @@ def test_pseudo_likelihood_is_the_same_however_rows_are_dealt(spark):
     for n in (1, 3, 7):
         dealt = frame.repartition(n).orderBy(F.rand(n)) if n > 1 else frame.coalesce(1)
         vocab = pseudolm.vocabulary(dealt)
-        nets.append(pseudolm.trained(pseudolm.tokenised(dealt, vocab.common, shards=5), shards=5).packed())
+        nets.append(pseudolm.trained(pseudolm.tokenised(dealt, vocab.common), shards=5).packed())
     assert nets[0] == nets[1] == nets[2]
 
 
