@@ -110,12 +110,16 @@ def find_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     keys = list(dict.fromkeys([repository, owner, *keep]))
     hit = stored(scan(docs, keys, text_col).withColumn("__row", F.monotonically_increasing_id()), "secrets")
     counts = ownership(hit, repository, owner)
-    each = hit.select("__row", F.explode("found").alias("f")).select("__row", "f.*").join(counts, "hash")
+    # rows without spans, most of them, pass as they are; the others' columns travel once, with their first span
+    bare, some = hit.where(F.size("found") == 0), hit.where(F.size("found") > 0)
+    each = some.select("__row", F.struct(*keys).alias("__keys"), F.posexplode("found").alias("__i", "f"))
+    each = each.select("__row", F.when(F.col("__i") == 0, F.col("__keys")).alias("__keys"), "f.*").join(counts, "hash")
     each = each.withColumn("live", F.col("n_owners") <= max_owners)
     item = F.struct("start", "kind", "stop", "hash", "n_repositories", "n_owners", "live")
-    per = each.where((F.col("kind") < 3) | F.col("live")).groupBy("__row").agg(F.sort_array(F.collect_list(item)).alias("spans"))
+    spans = F.sort_array(F.collect_list(F.when((F.col("kind") < 3) | F.col("live"), item))).alias("spans")
+    per = each.groupBy("__row").agg(F.first("__keys", ignorenulls=True).alias("__keys"), spans).select("__keys.*", "spans")
     none = F.array().cast("array<struct<start:int,kind:int,stop:int,hash:string,n_repositories:bigint,n_owners:bigint,live:boolean>>")
-    out = hit.select("__row", *keys).join(per, "__row", "left").withColumn("spans", F.coalesce("spans", none))
+    out = per.union(bare.select(*keys, none.alias("spans")))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return out.select(*keys, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.filter("spans", lambda s: s["kind"] < 3).alias("base"), "spans")
 

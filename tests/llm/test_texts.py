@@ -226,6 +226,16 @@ def test_secrets_equal_plain_patterns(spark):
     assert got[31].spans == "" and got[30].spans.startswith("owned:") and got[30].spans.count(":") == 2
 
 
+def test_texts_without_spans_meet_no_join(spark):
+    rows = [(i, "no secrets here", "en", "a", 1) for i in range(500)] + [(900, "password=abcdefgh1 token=abcdefgh2 " + "f" * 40, None, None, 1), (901, None, "en", "b", 1)]
+    out = secrets.find_secrets(docs(spark, rows), keep=("text", "lang"))
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == 502 and got[900].text == rows[500][1] and (got[900].source, got[900].lang) == (None, None) and len(got[900].spans) == 3
+    assert got[0].spans == [] == got[901].base and got[901].source == "b"
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1, plan
+
+
 def test_many_spans_in_one_text_take_seconds():
     import time
 
