@@ -3,8 +3,9 @@
 The merges run on a score-ordered agenda: a heap holds every adjacent symbol pair whose concatenation is a piece,
 best score first and leftmost among equals; popping the best pair joins it and queues its two new neighbours.
 Symbols that remain and are no pieces fall back to byte pieces. A text is cut where no merge can reach across
-(before a run of the space mark, around a line feed): every cut part is encoded once per slice and remembered within its task, in
-two halves of at most MEMO_BYTES / 2 together, and each part new to the memo is checked against the sentencepiece library in that slice.
+(before a run of the space mark, around a line feed): every cut part is encoded once per slice and remembered, in two halves that together
+hold about MEMO_BYTES, and each part new to the memo is checked against the sentencepiece library in that slice. The memo lasts for a task, or, if
+asked for, for the Python worker, whose next task finds it.
 
 Defined results: a null text is an empty text; an empty text has no ids and decodes to an empty text; rows keep their
 other columns; repeated rows are encoded alike.
@@ -16,6 +17,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from operator import add
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, types as T
 from recordmill.llm.batches import slices, spread
 
 SPACE = "▁"
-#: Bytes of parts that a task remembers, by an estimate of ENTRY bytes for each besides its characters; a bound on memory, not on the texts.
+#: Bytes of parts that a task or worker remembers, by an estimate of ENTRY bytes for each besides its characters; a bound on memory, not on the texts.
 MEMO_BYTES, ENTRY = 128 << 20, 160
 
 
@@ -152,12 +154,13 @@ class Encoder:
         self.memo |= {p: self.older[p] for p in back}
         fresh = list(new - back)
         found = [self.model.merge(p) for p in fresh]
-        said, numbers = self._library(fresh), self.model.numbers
+        said, numbers, bytes_ = self._library(fresh), self.model.numbers, self.model.byte_of.keys()
         for part, ids, theirs in zip(fresh, found, said, strict=True):
             if ids != theirs:
                 raise ValueError(f"agenda and library differ on {part!r}: {ids} and {theirs}")
             self.memo[part] = ",".join([numbers[i] for i in ids])
-            if (decoded := self.model.text(ids)) != part.replace(SPACE, " "):
+            # without byte pieces the ids are the part's own symbols
+            if not bytes_.isdisjoint(ids) and (decoded := self.model.text(ids)) != part.replace(SPACE, " "):
                 self.odd[part] = decoded
         self.held += ENTRY * len(new) + 2 * sum(map(len, new))
 
@@ -173,10 +176,17 @@ class Encoder:
         return [x[len(lead) :] for x in self.model.library.encode(["\n" + p for p in parts], num_threads=1)]
 
 
-def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", ids: bool = False, decoded: bool = False, check_whole: bool = False) -> DataFrame:
+@lru_cache(maxsize=1)
+def lasting(path: str) -> Encoder:
+    """The encoder of this Python worker."""
+    return Encoder(path)
+
+
+def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", ids: bool = False, decoded: bool = False, check_whole: bool = False, last: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256, decoded_sha256 and, if asked for, token_ids and decoded_text.
 
     check_whole also encodes and decodes every whole text with the library (about 2 MB a second and core) and raises where they differ.
+    last keeps the model and its memo in the Python workers for later tasks, which then need not encode frequent parts again; the memory stays theirs.
     Clashing columns of docs are replaced.
     """
     made = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
@@ -186,7 +196,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", ids:
     schema = T.StructType([*kept.schema.fields, *(T.StructField(k, v) for k, v in made.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(model_path)
+        enc = lasting(model_path) if last else Encoder(model_path)
         for whole in batches:
             for some in slices(whole, text_col):
                 yield _slice(enc, some, text_col, ids, decoded, check_whole)
@@ -225,4 +235,4 @@ def _slice(enc: Encoder, rows: pa.RecordBatch, text_col: str, ids: bool = False,
 
 def op3(docs: DataFrame, model_path: str) -> DataFrame:
     """The contract's digest columns of every document."""
-    return encode_decode(spread(docs.select("doc_id", "text")), model_path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_decode(spread(docs.select("doc_id", "text")), model_path, last=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
