@@ -2,7 +2,7 @@
 
 A is a byte-level vocabulary and encodes a space and the text; B is a merge-type vocabulary of pieces that puts a space mark before the text itself. Both
 end a token before every space or line feed that follows a character other than white space, so a text is cut there, and what a part gives (tokens, groups,
-links) is made once by a two-pointer merge of the cumulative ends of its tokens (of all new parts at a time, in numpy) and remembered within the task. Everything of a text is the concatenation of its parts.
+links) is made once by a two-pointer merge of the cumulative ends of its tokens (of all new parts at a time, in numpy) and remembered within the Python worker, whose next task finds it. Everything of a text is the concatenation of its parts.
 
 Counts over the corpus are Spark's: documents travel in chunks of about CHUNK bytes of text; a chunk gives its distinct linked pairs with the number of its documents that
 hold each, a groupBy sums them for each pair, another takes the maximum for each A id, and a join takes both back to the chunks, whose documents then sum over their own
@@ -19,6 +19,8 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,9 @@ from recordmill.session import stored
 MARK = "▁"
 #: Bytes of text of a chunk (a longer text is a chunk of its own), and what a row counts for besides its text.
 CHUNK, ROW = 8 << 20, 64
-#: Bytes of parts that a task remembers, by estimate, in two halves; longer parts than LONGEST characters aren't remembered.
-MEMO_BYTES, LONGEST = 160 << 20, 64
+#: Bytes of parts that a worker remembers, by estimate, in two halves; longer parts than LONGEST characters aren't remembered. ENTRY: what a part takes besides
+#: its characters, groups and links (the heads of three strings and a tuple, 203 bytes by sys.getsizeof with its collector's head, and a place in a dict).
+MEMO_BYTES, LONGEST, ENTRY = 160 << 20, 64, 300
 #: Before a space or a line feed that follows other than white space and isn't the last character.
 CUT = re.compile(r"(?<=\S)(?=[ \n].)", re.DOTALL)
 HIGH = 1 << 32
@@ -56,7 +59,7 @@ def merged(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Aligner:
-    """Both tokenizers with the memo of parts: (n_a, n_b, n_groups, groups, links as bytes), or None for a part whose bytes differ."""
+    """Both tokenizers with the memo of parts: (n_a, n_b, groups with a semicolon after each, links as bytes), or None for a part whose bytes differ."""
 
     def __init__(self, a_path: str, b_path: str, memo_bytes: int = MEMO_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,7 +77,8 @@ class Aligner:
         b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.a_bytes, self.b_bytes = [a_bytes.get(i, b"") for i in range(max(a_bytes) + 1)], b_bytes
         self.a_size, self.b_size = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, b_bytes))
-        self.numbers = [*map(str, range(max(len(self.a_bytes), len(b_bytes))))]
+        self.n = n = max(len(self.a_bytes), len(b_bytes))
+        self.written = [f"{i}{mark}" for mark in ",|;" for i in range(n)]  # an id inside a list, at the end of a group's A ids, of its B ids
         self.lead = len(b.encode("\n"))  # B puts a mark before each text; a line feed takes it, and both are dropped
         self.most, self.held = memo_bytes // 2, 0
         self.memo: dict[str, tuple | None] = {}
@@ -84,19 +88,18 @@ class Aligner:
     def parts(text: str | None) -> list[str]:
         return CUT.split(" " + text) if text else []
 
-    def learn(self, parts: set[str]) -> dict[str, tuple | None]:
-        """What the parts give. The memo has two halves: when the newer is full it becomes the older, from which parts come back as they are met."""
+    def learn(self, parts: set[str]) -> list[str]:
+        """Put what the parts give into the memo, and name those that are too long to stay there after the slice. The memo has two halves: when the newer is
+        full it becomes the older, from which parts come back as they are met."""
         if self.held > self.most:
             self.older, self.memo, self.held = self.memo, {}, 0
         new = parts.difference(self.memo)
         back = new.intersection(self.older)
         found = {p: self.older[p] for p in back}
         found |= self._aligned(list(new - back))
-        for p, own in found.items():
-            if len(p) <= LONGEST:
-                self.memo[p] = own
-                self.held += 400 + 2 * len(p) + (len(own[3]) + len(own[4]) if own else 0)
-        return found
+        self.memo |= found
+        self.held += sum([ENTRY + 2 * len(p) + (len(own[2]) + len(own[3]) if own else 0) for p, own in found.items() if len(p) <= LONGEST])
+        return [p for p in found if len(p) > LONGEST]
 
     def _aligned(self, parts: list[str]) -> dict[str, tuple | None]:
         """Both encodings of all parts, laid end to end, so that one merge serves them all."""
@@ -106,40 +109,58 @@ class Aligner:
             return found
         ids_a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
         ids_b = [x[self.lead :] for x in self.b.encode(["\n" + p for p in parts], num_threads=1)]
-        raw = [p.encode() for p in parts]
-        for ids, pieces in ((ids_a, self.a_bytes), (ids_b, self.b_bytes)):
-            if b"".join([pieces[i] for own in ids for i in own]) != b"".join(raw):  # it never is, but for parts as those above
-                differ = [b"".join([pieces[i] for i in own]) != x for own, x in zip(ids, raw, strict=True)]
+        every_a, every_b = ([*chain.from_iterable(ids)] for ids in (ids_a, ids_b))
+        raw = "".join(parts).encode()
+        for ids, every, pieces in ((ids_a, every_a, self.a_bytes), (ids_b, every_b, self.b_bytes)):
+            if b"".join(map(pieces.__getitem__, every)) != raw:  # it never is, but for parts as those above
+                differ = [b"".join([pieces[i] for i in own]) != p.encode() for own, p in zip(ids, parts, strict=True)]
                 found |= {p: None for p, d in zip(parts, differ, strict=True) if d}
                 return found | self._aligned([p for p, d in zip(parts, differ, strict=True) if not d])
-        flat_a, flat_b = (np.fromiter((i for own in ids for i in own), np.int64) for ids in (ids_a, ids_b))
+        flat_a, flat_b = np.array(every_a, np.int64), np.array(every_b, np.int64)
         at_a, at_b, both = merged(np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b]))
         links = (flat_a[at_a] * HIGH + flat_b[at_b]).tobytes()
-        text_a, text_b = ([*map(self.numbers.__getitem__, x.tolist())] for x in (flat_a, flat_b))
-        stop_a, stop_b = (at_a[both] + 1).tolist(), (at_b[both] + 1).tolist()
-        groups = [",".join(text_a[a:b]) + "|" + ",".join(text_b[c:d]) for a, b, c, d in zip([0, *stop_a], stop_a, [0, *stop_b], stop_b)]
+        # all ids in the order in which groups are written: A's of a group, then B's
+        stop_a, stop_b = at_a[both] + 1, at_b[both] + 1
+        size_a, size_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+        place_a, place_b = np.arange(len(flat_a)) + np.repeat(stop_b - size_b, size_a), np.arange(len(flat_b)) + np.repeat(stop_a, size_b)
+        order = np.empty(len(flat_a) + len(flat_b), np.int64)
+        order[place_a], order[place_b] = flat_a, flat_b
+        order[place_a[stop_a - 1]] += self.n
+        order[place_b[stop_b - 1]] += 2 * self.n
+        written = [*map(self.written.__getitem__, order.tolist())]
         # the last step of each part is that of its last A token, and ends a group
         last = np.cumsum([*map(len, ids_a)]) - 1
-        step = np.searchsorted(at_a, last, "right")
-        group = np.cumsum(both)[step - 1].tolist()
-        step, s0, g0 = step.tolist(), 0, 0
-        for p, a, b, s1, g1 in zip(parts, ids_a, ids_b, step, group, strict=True):
-            found[p] = len(a), len(b), g1 - g0, ";".join(groups[g0:g1]), links[8 * s0 : 8 * s1]
-            s0, g0 = s1, g1
+        s0, w0 = 0, 0
+        for p, a, b, s1 in zip(parts, ids_a, ids_b, (8 * np.searchsorted(at_a, last, "right")).tolist(), strict=True):
+            w1 = w0 + len(a) + len(b)
+            found[p] = len(a), len(b), "".join(written[w0:w1]), links[s0:s1]
+            s0, w0 = s1, w1
         return found
 
     def aligned(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """For each text: numbers of A tokens, B tokens and groups, the groups, and all links."""
         cut = [self.parts(t) for t in texts]
-        found = self.learn(set().union(*cut))
-        get = lambda p: found[p] if p in found else self.memo[p]
-        for own in cut:
-            got = [*map(get, own)]
-            if not got or None in got:
-                yield 0, 0, 0, "", np.zeros(0, np.int64)
-            else:
-                n_a, n_b, n_groups, groups, links = zip(*got, strict=True)
-                yield sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), np.frombuffer(b"".join(links), np.int64)
+        longer = self.learn(set().union(*cut))
+        get = self.memo.__getitem__
+        try:
+            for own in cut:
+                got = [*map(get, own)]
+                if not got or None in got:
+                    yield 0, 0, 0, "", np.zeros(0, np.int64)
+                else:
+                    each_a, each_b, groups, links = zip(*got, strict=True)
+                    n_a, n_b, every = sum(each_a), sum(each_b), np.frombuffer(b"".join(links), np.int64)
+                    # a step ends an A token, a B token, or both and a group
+                    yield n_a, n_b, n_a + n_b - len(every), "".join(groups)[:-1], every
+        finally:
+            for p in longer:
+                self.memo.pop(p, None)
+
+
+@lru_cache(maxsize=1)
+def lasting(a_path: str, b_path: str) -> Aligner:
+    """The aligner of this Python worker."""
+    return Aligner(a_path, b_path)
 
 
 DOC = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -158,7 +179,7 @@ def token_chunks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, number, size = Aligner(a_path, b_path), TaskContext.get().partitionId() * HIGH, 0
+        aligner, number, size = lasting(a_path, b_path), TaskContext.get().partitionId() * HIGH, 0
         ids: list[pa.Array] = []
         made: list[tuple] = []
         distinct: list[np.ndarray] = []

@@ -206,6 +206,20 @@ def test_memo_halves_give_the_same(spark):
             assert x[:4] == y[:4] and x[4].tolist() == y[4].tolist()
 
 
+def test_a_worker_aligns_a_part_once(monkeypatch):
+    A.lasting.cache_clear()
+    made, aligned = [], A.Aligner._aligned
+    monkeypatch.setattr(A.Aligner, "_aligned", lambda self, parts: made.extend(parts) or aligned(self, parts))
+    texts = [t for t in TEXTS if t and "\u2581" not in t and max(map(len, A.Aligner.parts(t))) <= A.LONGEST]
+    first = [(*x[:4], x[4].tolist()) for x in A.lasting(A_PATH, B_PATH).aligned(texts)]
+    n = len(made)
+    assert n == len(set(made)) > 20
+    assert [(*x[:4], x[4].tolist()) for x in A.lasting(A_PATH, B_PATH).aligned(texts)] == first and len(made) == n
+    long = "b" * (A.LONGEST + 1)
+    assert [x[:4] for x in A.lasting(A_PATH, B_PATH).aligned([long])] == [x[:4] for x in A.Aligner(A_PATH, B_PATH).aligned([long])] and " " + long not in A.lasting(A_PATH, B_PATH).memo
+    A.lasting.cache_clear()
+
+
 # ---- operator 13
 
 
