@@ -20,10 +20,9 @@ input that clash with results are replaced.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +45,74 @@ PER_SHARD, FAN_IN = 1 << 21, 8
 OCTAVE = 16
 
 
+#: White space as str.split has it, by code point; none lies beyond these.
+SPACES = np.array([*(chr(i).isspace() for i in range(0x3001)), False])
+#: A word's hash is a polynomial of its code points at BASE modulo 2^64, then mixed. Sums run over RUN code points, or one longer word.
+BASE, RUN = 0x9E3779B97F4A7C15, 1 << 15
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+@lru_cache(maxsize=1)
+def _run() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(BASE, RUN), _powers(pow(BASE, -1, 1 << 64), RUN)
+
+
+def _hashes(points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of each word, all at once: words lie in order at starts to stops of the code points."""
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        first = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(stops, first + RUN, "right")))
+        n = int(stops[b - 1]) - first
+        up, down = _run() if n <= RUN else (_powers(BASE, n), np.ones(1, np.uint64))  # a longer word is alone
+        sums, terms = np.zeros(n + 1, np.uint64), points[first : first + n].astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= up[:n]
+        np.cumsum(terms, out=sums[1:])
+        at = starts[a:b] - first
+        out[a:b] = sums[stops[a:b] - first]
+        out[a:b] -= sums[at]
+        out[a:b] *= down.take(at, mode="clip")  # an empty word may begin where the run ends; its sum is 0
+        a = b
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out
+
+
 def hashes_of(words: Collection[str]) -> np.ndarray:
     """The 64-bit hash of each word."""
+    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return _hashes(_points("".join(words)), np.concatenate([[0], stops[:-1]]).astype(np.int64)[: len(words)], stops)
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of texts (lower() and split()) one after the other, and the number of words of each text."""
+    lower = [t.lower() for t in texts]
+    points = _points("\n".join(lower) + "\n")
+    space = SPACES[np.minimum(points, len(SPACES) - 1)]
+    edges = np.flatnonzero(np.diff(space, prepend=True))  # a word's start and stop in turn
+    starts, stops = edges[::2], edges[1::2]
+    ends = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, lower), np.int64, len(lower)) + 1))
+    return _hashes(points, starts, stops), np.diff(ends, prepend=0)
+
+
+def seeds_of(texts: list[str]) -> np.ndarray:
+    """The 64-bit hash of each whole text."""
     from xxhash import xxh64_intdigest
 
-    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map(xxh64_intdigest, texts), np.uint64, len(texts))
 
 
 @dataclass
@@ -86,35 +148,20 @@ class Tokens:
 
 
 class Ids:
-    """Numbers of words: a common word's own, or COMMON and the place of its hash for any other word. Words are remembered up to MEMO."""
+    """Numbers of words: a common word's own, or COMMON and the place of its hash for any other word."""
 
     def __init__(self, common: dict[int, int]):
-        self.common = common
-        self.known: dict[str, int] = {}
-        self.hashes, self.held = np.zeros(1024, np.uint64), 0
-
-    def _learn(self, new: list[str]) -> None:
-        h = hashes_of(new)
-        numbers = np.fromiter((self.common.get(x, -1) for x in h.tolist()), np.int64, len(new))
-        other = numbers < 0
-        n = int(other.sum())
-        while self.held + n > len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        self.hashes[self.held : self.held + n] = h[other]
-        numbers[other] = COMMON + self.held + np.arange(n)
-        self.held += n
-        self.known.update(zip(new, numbers.tolist(), strict=True))
+        hashes = np.fromiter(common.keys(), np.uint64, len(common))
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], np.append(np.fromiter(common.values(), np.int32, len(common))[order], np.int32(-1))
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The tokens of texts one after the other, the sizes of the texts, which words aren't common, and the hashes of those."""
-        if len(self.known) > MEMO:
-            self.known, self.held = {}, 0
-        words = [t.lower().split() for t in texts]
-        self._learn(list(set().union(*words).difference(self.known)))
-        sizes = np.array([len(w) for w in words], np.int64)
-        ids = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int32, int(sizes.sum()))
-        rare = ids >= COMMON
-        hashes = self.hashes[ids[rare] - COMMON]
+        words, sizes = words_of(texts)
+        at = np.searchsorted(self.hashes, words)
+        rare = np.append(self.hashes, np.uint64(0))[at] != words
+        rare |= at == len(self.hashes)
+        hashes, ids = words[rare], self.numbers[at]
         ids[rare] = COMMON + bucket_of(hashes)
         return ids, sizes, rare, hashes
 
@@ -123,26 +170,29 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS
 
 
-def _log_softmax(hidden: np.ndarray, w: np.ndarray, c: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log probability of outcome `at` of each row. The hidden layer lies within 1, so its weights bound the logits; the greatest is only taken off where they might overflow."""
-    z = hidden @ w
-    z += c
-    if np.abs(w).sum(axis=0).max() + np.abs(c).max() > 60:
+def _exponentials(z: np.ndarray, bound: float) -> np.ndarray:
+    """The sums of the exponentials of each row of z, which become z; the greatest is only taken off where they might overflow."""
+    if bound > 60:
         z -= z.max(axis=1, keepdims=True)
-    out = z[np.arange(len(at)), at]
     np.exp(z, out=z)
-    out -= np.log(z @ np.ones(z.shape[1], z.dtype))
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def _log_softmax(z: np.ndarray, bound: float, at: np.ndarray) -> np.ndarray:
+    """The log probability of outcome `at` of each row of logits within bound."""
+    rows = np.arange(len(at))
+    if bound > 60:
+        z -= z.max(axis=1, keepdims=True)
+    out = z[rows, at]
+    out -= np.log(_exponentials(z, 0))
     return out
 
 
-def _errors(hidden: np.ndarray, w: np.ndarray, c: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Probabilities of all outcomes less one at the right one."""
-    z = hidden @ w
-    z += c
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
-    z[np.arange(len(at)), at] -= 1
+def _errors(z: np.ndarray, bound: float, at: np.ndarray) -> np.ndarray:
+    """Probabilities of all outcomes less one at the right one, divided by the number of rows."""
+    n = len(at)
+    z /= (_exponentials(z, bound) * n)[:, None]
+    z[np.arange(n), at] -= 1 / n
     return z
 
 
@@ -163,46 +213,60 @@ class WindowNet:
         total += self.p["b"]
         return np.tanh(total, out=total)
 
-    def _by_cluster(self, cluster: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(cluster.astype(np.int16), kind="stable")
-        ends = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
-        for k in range(CLUSTERS):
-            if ends[k] < ends[k + 1]:
-                yield k, order[ends[k] : ends[k + 1]]
+    def _outer(self, hidden: np.ndarray) -> tuple[np.ndarray, float]:
+        """Logits of the clusters, and their bound: the hidden layer lies within 1."""
+        z = hidden @ self.p["w"]
+        z += self.p["c"]
+        return z, np.abs(self.p["w"]).sum(axis=0).max() + np.abs(self.p["c"]).max()
+
+    def _inner(self, hidden: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, float]:
+        """Logits of the tokens of each row's cluster, rows being in the order of clusters with the given cuts, and their bound."""
+        z = np.empty((len(hidden), TOKENS // CLUSTERS), hidden.dtype)
+        for k in np.flatnonzero(np.diff(cuts)):
+            some = slice(cuts[k], cuts[k + 1])
+            np.matmul(hidden[some], self.p["v"][k], out=z[some])
+            z[some] += self.p["d"][k]
+        return z, np.abs(self.p["v"]).sum(axis=1).max() + np.abs(self.p["d"]).max()
+
+    @staticmethod
+    def _by_cluster(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The order of rows by cluster, the cuts between clusters, and each row's cluster and place in it, in that order."""
+        order = np.argsort((tokens // (TOKENS // CLUSTERS)).astype(np.int16), kind="stable")
+        cluster, inner = np.divmod(tokens[order], TOKENS // CLUSTERS)
+        return order, np.searchsorted(cluster, np.arange(CLUSTERS + 1)), cluster, inner
 
     def log_probabilities(self, near: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Of each token given its window."""
-        m = TOKENS // CLUSTERS
-        hidden, cluster, inner = self._hidden(near), tokens // m, tokens % m
-        out = _log_softmax(hidden, self.p["w"], self.p["c"], cluster)
-        for k, at in self._by_cluster(cluster):
-            out[at] += _log_softmax(hidden[at], self.p["v"][k], self.p["d"][k], inner[at])
+        order, cuts, cluster, inner = self._by_cluster(tokens)
+        hidden = self._hidden(near[order])
+        out = np.empty(len(tokens), hidden.dtype)
+        out[order] = _log_softmax(*self._outer(hidden), cluster) + _log_softmax(*self._inner(hidden, cuts), inner)
         return out
 
     def gradients(self, near: np.ndarray, tokens: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the mean negative log probability: dense ones by name, and that of the hidden input (positions, h) for the embeddings."""
-        m, n = TOKENS // CLUSTERS, len(tokens)
-        hidden, cluster, inner = self._hidden(near), tokens // m, tokens % m
-        outer = _errors(hidden, self.p["w"], self.p["c"], cluster)
-        outer /= n
-        back = outer @ self.p["w"].T
+        order, cuts, cluster, inner = self._by_cluster(tokens)
+        hidden = self._hidden(near[order])
+        outer = _errors(*self._outer(hidden), cluster)
+        z = _errors(*self._inner(hidden, cuts), inner)
+        own = outer @ self.p["w"].T
         gv, gd = np.zeros_like(self.p["v"]), np.zeros_like(self.p["d"])
-        for k, at in self._by_cluster(cluster):
-            own = hidden[at]
-            z = _errors(own, self.p["v"][k], self.p["d"][k], inner[at])
-            z /= n
-            gv[k], gd[k] = own.T @ z, z.sum(axis=0)
-            back[at] += z @ self.p["v"][k].T
-        back *= 1 - hidden * hidden
-        return {"b": back.sum(axis=0), "w": hidden.T @ outer, "c": outer.sum(axis=0), "v": gv, "d": gd}, back
+        for k in np.flatnonzero(np.diff(cuts)):
+            some = slice(cuts[k], cuts[k + 1])
+            np.matmul(hidden[some].T, z[some], out=gv[k])
+            gd[k] = z[some].sum(axis=0)
+            own[some] += z[some] @ self.p["v"][k].T
+        own *= 1 - hidden * hidden
+        back = np.empty_like(own)
+        back[order] = own
+        return {"b": own.sum(axis=0), "w": hidden.T @ outer, "c": outer.sum(axis=0), "v": gv, "d": gd}, back
 
     def descend(self, near: np.ndarray, tokens: np.ndarray, seen: dict[str, np.ndarray], rate: float = RATE) -> None:
         """One step of Adagrad; seen holds the squares so far."""
         grads, back = self.gradients(near, tokens)
         e = self.p["e"]
-        at = near.astype(np.int64) + np.arange(2 * SIDE) * (TOKENS + 1)
-        flat = (at[:, :, None] * HIDDEN + np.arange(HIDDEN)).ravel()
-        grads["e"] = np.bincount(flat, np.broadcast_to(back[:, None, :], (*at.shape, HIDDEN)).ravel(), e.size).reshape(e.shape).astype(e.dtype)
+        columns, at = back.T.astype(np.float64, order="C"), near.T.astype(np.int64, order="C")
+        grads["e"] = np.stack([np.stack([np.bincount(own, column, TOKENS + 1) for column in columns], axis=1) for own in at]).astype(e.dtype)
         for k, g in grads.items():
             seen[k] += g * g
             g /= np.sqrt(seen[k]) + 1e-6
@@ -245,18 +309,30 @@ def vocabulary(docs: DataFrame, text_col: str = "text", n: int = COMMON) -> Voca
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, part = Counter(), TaskContext.get().partitionId()
+        part, h, n = TaskContext.get().partitionId(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        found, held = [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            new, many = np.unique(np.concatenate(found), return_counts=True)
+            both, sums = np.concatenate([h, new]), np.concatenate([n, many])
+            order = np.argsort(both, kind="stable")
+            first = np.flatnonzero(np.diff(both[order], prepend=~both[order[:1]]))
+            return both[order[first]], np.add.reduceat(sums[order], first) if len(first) else sums
 
         def made() -> pa.RecordBatch:
-            h = hashes_of(own).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(own), part, np.int32)), pa.array(list(own.values()), pa.int64())], names=["h", "part", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                own.update((text.as_py() or "").lower().split())
-                if len(own) > MEMO:
-                    yield made()
-                    own.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), part, np.int32)), pa.array(n)], names=["h", "part", "n"])
+
+        for whole in batches:
+            for batch in slices(whole, 0):
+                found.append(words_of([x or "" for x in batch.column(0).to_pylist()])[0])
+                held += len(found[-1])
+                if held > MEMO:
+                    (h, n), found, held = summed(), [], 0
+                    if len(h) > MEMO:
+                        yield made()
+                        h, n = h[:0], n[:0]
+        if found:
+            h, n = summed()
         yield made()
 
     each = docs.select(text_col).mapInArrow(count, "h long, part int, n long")
@@ -307,12 +383,18 @@ def tokenised(docs: DataFrame, common: dict[int, int], text_col: str = "text", i
                 texts = [x or "" for x in batch.column(0).to_pylist()]
                 ids, sizes, _, _ = known.of(texts)
                 stops, raw = 2 * np.cumsum(sizes), ids.astype(np.uint16).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(hashes_of(texts).view(np.int64)), pa.array([raw[b - 2 * n : b] for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)], pa.binary()), batch.column(1)], names=["seed", "ids", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(seeds_of(texts).view(np.int64)), pa.array([raw[b - 2 * n : b] for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)], pa.binary()), batch.column(1)], names=["seed", "ids", "id"])
 
     made = docs.select(text_col, F.xxhash64(id_col).alias("id")).mapInArrow(run, "seed long, ids binary, id long")
     return stored(made, "tokens")
 
 
+def dealt(tokens: DataFrame, shards: int) -> DataFrame:
+    """(shard, seed, ids): each shard is a partition of its own, in the order of its hashes."""
+    shard = F.pmod(F.xxhash64("seed", "id"), F.lit(shards)).cast("int")
+    return tokens.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "seed", "id").select("shard", "seed", "ids")
+
+
 def trained(tokens: DataFrame, rounds: int = ROUNDS, masked: float = MASKED, shards: int | None = None) -> WindowNet:
     """Weights after rounds of local descent over all documents (as tokenised). Each shard, one for each PER_SHARD tokens unless their number is given, is a stream in the order of its hashes,
     whatever the files, partitions and cores."""
@@ -320,8 +402,7 @@ def trained(tokens: DataFrame, rounds: int = ROUNDS, masked: float = MASKED, sha
     if shards is None:
         size = tokens.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first()["n"] // 2
         shards = max(1, -(-size // PER_SHARD))
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("seed", "id"), F.lit(shards)).cast("int"))
-    texts = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "seed", "id").select("shard", "seed", "ids")
+    texts = dealt(tokens, shards)
     for turn in range(rounds):
         raw = net.packed()
 

@@ -348,3 +348,31 @@ def test_language_sample_holds_a_repeated_row_once(spark, monkeypatch):
     langid.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=16)
     (langs, labels), = seen
     assert langs == ["en", "fr"] and labels.count(0) == 1 and 10 <= labels.count(1) <= 16
+
+
+def test_words_are_hashed_at_once_as_python_splits_them():
+    import numpy as np
+
+    from recordmill.llm import pseudolm
+
+    r = random.Random(5)
+    alphabet = "abZ \u03a3\u03c3\u0130\n\t\x1c\x1f\x85\xa0\u1680\u2003\u2028\u200b\u3000\ufeff\u00e9\u4e2d\U0001f600\x00"
+    texts = ["".join(r.choices(alphabet, k=r.randrange(40))) for _ in range(500)] + ["", "x" * (2 * pseudolm.RUN) + " y z" * pseudolm.RUN, "y"]
+    words = [t.lower().split() for t in texts]
+    hashes, sizes = pseudolm.words_of(texts)
+    assert sizes.tolist() == [len(w) for w in words]
+    flat = [x for w in words for x in w]
+    by_word = dict(zip(flat, hashes.tolist(), strict=True))
+    assert [by_word[x] for x in flat] == hashes.tolist() == pseudolm.hashes_of(flat).tolist()  # wherever a word stands
+    assert len(set(by_word.values())) == len(by_word)
+    close = [f"{a}{b}{i}" for a in "abc" for b in ("", "\x00", "a") for i in range(20000)]
+    assert len(np.unique(pseudolm.hashes_of(close))) == len(set(close))
+    assert pseudolm.hashes_of([]).tolist() == [] and [x.tolist() for x in pseudolm.words_of([])] == [[], []]
+
+
+def test_each_shard_is_a_partition_of_its_own(spark):
+    from recordmill.llm import pseudolm
+
+    tokens = spark.createDataFrame([(i * 7919, b"\x01\x00", i) for i in range(400)], "seed long, ids binary, id long")
+    got = pseudolm.dealt(tokens, 16).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.countDistinct("shard").alias("n")).collect()
+    assert len(got) == 16 and {r.n for r in got} == {1}
