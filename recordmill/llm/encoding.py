@@ -2,6 +2,7 @@
 
 The merges run on a score-ordered agenda: a heap holds every adjacent symbol pair whose concatenation is a piece,
 best score first and leftmost among equals; popping the best pair joins it and queues its two new neighbours.
+Where a slice has many new parts, their agendas are the columns of a matrix, and each round pops the best pair of every part.
 Symbols that remain and are no pieces fall back to byte pieces. A text is cut where no merge can reach across
 (before a run of the space mark, around a line feed): every cut part is encoded once per slice and remembered, in two halves that together
 hold about MEMO_BYTES, and each part new to the memo is checked against the sentencepiece library in that slice. The memo lasts for a task, or, if
@@ -17,7 +18,8 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 from operator import add
 
 import numpy as np
@@ -29,6 +31,8 @@ from recordmill.llm.batches import slices, spread
 SPACE = "▁"
 #: Bytes of parts that a task or worker remembers, by an estimate of ENTRY bytes for each besides its characters; a bound on memory, not on the texts.
 MEMO_BYTES, ENTRY = 128 << 20, 160
+#: Parts from which on matrices of agendas pay, columns of a matrix, characters of a part in one (its places have PLACE bits), and what stands for no pair.
+MANY, COLUMNS, PLACE, NONE = 64, 2048, 6, 2**31 - 1
 
 
 class MergeModel:
@@ -45,7 +49,7 @@ class MergeModel:
         order = sorted({sp.get_score(i) for i in plain}, reverse=True)
         places = {x: k for k, x in enumerate(order)}
         self.rank = {self.pieces[i]: places[sp.get_score(i)] for i in plain}
-        self.numbers = [*map(str, range(n))]
+        self.numbers = [f"{i}{end}" for end in ",\n" for i in range(n)]  # inside a part and at its end
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         longer = [p for p in self.ids if len(p) > 1]
@@ -87,6 +91,88 @@ class MergeModel:
         ids = [*map(self.ids.get, filter(None, symbols))]
         return ids if None not in ids else [i for x in symbols if x for i in self._id(x)]
 
+    @cached_property
+    def _symbols(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """Symbols are numbered: pieces, their characters that are none, and one number for any other character. The number of each code point; the pairs that join to a piece
+        (left * size + right, in order), the symbol and the rank that each makes; the id of each symbol or -1; and size."""
+        number = {p: i for i, p in enumerate(dict.fromkeys(chain(self.ids, chain.from_iterable(self.ids))))}
+        size = len(number) + 1
+        points = np.full(0x110000, size - 1, np.int32)
+        pairs = []
+        for p, made in number.items():
+            if len(p) == 1:
+                points[ord(p)] = made
+            for k in range(1, len(p)):
+                if (left := number.get(p[:k])) is not None and (right := number.get(p[k:])) is not None:
+                    pairs.append((left * size + right, made, self.rank[p]))
+        keys, made, ranks = np.array([*sorted(pairs), (np.iinfo(np.int64).max, 0, 0)], np.int64).T.copy()  # the last is met by no key
+        return points, keys, made.astype(np.int32), ranks.astype(np.int32), np.array([*(self.ids.get(p, -1) for p in number), -1], np.int32), size
+
+    def merge_all(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts as merge() has them, one part after the other, and their sizes."""
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        order = np.argsort(lengths, kind="stable")
+        short = int(np.searchsorted(lengths[order], 1 << PLACE, "left")) if len(parts) >= MANY else 0
+        ids, sizes = [], []
+        for k in range(0, short, COLUMNS):
+            own = order[k : min(k + COLUMNS, short)]
+            some, n = self._rounds([parts[i] for i in own.tolist()], lengths[own])
+            for c in np.unique(np.repeat(np.arange(len(n)), n)[some < 0])[::-1].tolist():  # has symbols that are no pieces
+                found, at = self.merge(parts[own[c]]), int(n[:c].sum())
+                some = np.concatenate([some[:at], np.array(found, np.int32), some[at + n[c] :]])
+                n[c] = len(found)
+            ids.append(some)
+            sizes.append(n)
+        rest = [self.merge(parts[i]) for i in order[short:].tolist()]
+        ids.append(np.fromiter(chain.from_iterable(rest), np.int32))
+        sizes.append(np.fromiter(map(len, rest), np.int64, len(rest)))
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+        back = np.argsort(order)  # in the order of parts again
+        starts, sizes = (np.cumsum(sizes) - sizes)[back], sizes[back]
+        return ids[np.arange(len(ids)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)], sizes
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each pair: whether it joins to a piece, and if so which symbol and rank it makes."""
+        _, keys, made, ranks, _, size = self._symbols
+        key = left.astype(np.int64) * size + right
+        at = np.searchsorted(keys, key)
+        return keys[at] == key, made[at], ranks[at]
+
+    def _rounds(self, parts: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1 for symbols that are no pieces) and sizes of parts of about one length, a part being a column of each matrix. The row after the last stands for what lies beyond either end."""
+        points, _, _, _, numbers, size = self._symbols
+        n, high = len(parts), int(lengths[-1])
+        text = points[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        place = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        symbols = np.full((high + 1, n), size - 1, np.int32)
+        symbols[place, np.repeat(np.arange(n), lengths)] = text
+        rows = np.arange(high + 1, dtype=np.int32)[:, None]
+        hit, joined, rank = self._pairs(symbols[:-1], symbols[1:])
+        joined, agenda = (np.concatenate([x, np.full((1, n), y, np.int32)]) for x, y in ((joined, 0), (np.where(hit, rank << PLACE | rows[:-1], NONE), NONE)))
+        after, before = np.repeat(rows + 1, n, axis=1), np.repeat(rows - 1, n, axis=1)
+        done, columns = symbols.copy(), np.arange(n)
+        while True:
+            top = agenda.min(axis=0)
+            live = np.flatnonzero(top < NONE)
+            if 2 * len(live) < len(top):
+                done[:, columns] = symbols
+                if not len(live):
+                    break
+                columns, top = columns[live], top[live]
+                symbols, joined, agenda, after, before = (x[:, live] for x in (symbols, joined, agenda, after, before))
+                live = np.arange(len(live))
+            i = top[live] & ((1 << PLACE) - 1)
+            new, j = joined[i, live], after[i, live]
+            k, h = after[j, live], before[i, live]
+            symbols[i, live], symbols[j, live], agenda[j, live] = new, -1, NONE
+            after[i, live], before[k, live] = k, i
+            for at, left, right in ((i, new, symbols[k, live]), (h, symbols[h, live], new)):
+                hit, made, rank = self._pairs(left, right)
+                joined[at, live] = made
+                agenda[at, live] = np.where(hit, rank << PLACE | at, NONE)
+        kept = (done.T >= 0) & (rows.T < lengths[:, None])
+        return numbers[done.T[kept]], kept.sum(axis=1)
+
     def _id(self, symbol: str) -> list[int]:
         i = self.ids.get(symbol)
         return [i] if i is not None else [self.byte_ids[b] for b in symbol.encode()]
@@ -127,6 +213,12 @@ def _utf8(raw: bytes) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=1)
+def model_of(path: str) -> MergeModel:
+    """The vocabulary, which a Python worker reads once."""
+    return MergeModel(path)
+
+
 PARTS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -134,7 +226,7 @@ class Encoder:
     """A model with the memo of parts: the decimal text of each part's ids, and what a part decodes to where that isn't the part itself."""
 
     def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
-        self.model, self.most = MergeModel(path), memo_bytes // 2
+        self.model, self.most = model_of(path), memo_bytes // 2
         self.memo: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.odd: dict[str, str] = {}
@@ -153,15 +245,21 @@ class Encoder:
         back = new.intersection(self.older)
         self.memo |= {p: self.older[p] for p in back}
         fresh = list(new - back)
-        found = [self.model.merge(p) for p in fresh]
-        said, numbers, bytes_ = self._library(fresh), self.model.numbers, self.model.byte_of.keys()
-        for part, ids, theirs in zip(fresh, found, said, strict=True):
-            if ids != theirs:
-                raise ValueError(f"agenda and library differ on {part!r}: {ids} and {theirs}")
-            self.memo[part] = ",".join([numbers[i] for i in ids])
+        if fresh:
+            ids, sizes = self.model.merge_all(fresh)
+            said = self._library(fresh)
+            stops = np.cumsum(sizes)
+            if not np.array_equal(sizes, [*map(len, said)]) or not np.array_equal(ids, np.fromiter(chain.from_iterable(said), np.int32)):
+                part, own, theirs = next(x for x in zip(fresh, map(np.ndarray.tolist, np.split(ids, stops[:-1])), said) if x[1] != x[2])
+                raise ValueError(f"agenda and library differ on {part!r}: {own} and {theirs}")
+            numbers, n = self.model.numbers, len(self.model.pieces)
+            places = ids.astype(np.int64)
+            places[stops - 1] += n
+            self.memo.update(zip(fresh, "".join(map(numbers.__getitem__, places.tolist())).split("\n")))
             # without byte pieces the ids are the part's own symbols
-            if not bytes_.isdisjoint(ids) and (decoded := self.model.text(ids)) != part.replace(SPACE, " "):
-                self.odd[part] = decoded
+            for k in np.unique(np.searchsorted(stops, np.flatnonzero(np.isin(ids, [*self.model.byte_of])), "right")).tolist():
+                if (decoded := self.model.text(said[k])) != fresh[k].replace(SPACE, " "):
+                    self.odd[fresh[k]] = decoded
         self.held += ENTRY * len(new) + 2 * sum(map(len, new))
 
     def decoded(self, parts: list[str]) -> str:

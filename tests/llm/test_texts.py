@@ -142,6 +142,22 @@ def test_encoding_equals_the_library():
         assert enc.model.decode(ids) == enc.model.library.decode(ids) == enc.decoded(enc.parts(t or ""))
 
 
+def test_agendas_of_many_parts_are_worked_off_together(monkeypatch):
+    import random
+
+    alone, merge = [], encoding.MergeModel.merge
+    monkeypatch.setattr(encoding.MergeModel, "merge", lambda self, part: alone.append(part) or merge(self, part))
+    enc, r = encoding.Encoder(MODEL), random.Random(2)
+    words = [f"{a}{b}{c}" for a in ("inter", "nation", "haus", "llll", "") for b in ("aktion", "al", "ll", "eee") for c in range(60)]
+    enc.learn([enc.parts(" ".join(words))])
+    assert len(enc.memo) > 1000 and not alone  # a heap for each part before
+    alphabet = [*"aeilnst\u00e9\u4e2d\U0001f600\x00\u0301", "tion", "the", encoding.SPACE]
+    parts = [encoding.SPACE + "".join(r.choices(alphabet, k=r.randrange(30))) for _ in range(5000)] + ["\n", "a", "ab", encoding.SPACE * 63, "l" * 63, "l" * 64, "l" * 500, "\u4e2d", "\x00"]
+    for some in (parts, parts[:64], parts[:63], parts[-3:], []):
+        ids, sizes = enc.model.merge_all(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [merge(enc.model, p) for p in some]
+
+
 def test_small_memo_changes_nothing():
     import pyarrow as pa
 
