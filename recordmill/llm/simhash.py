@@ -5,7 +5,8 @@ fingerprints are dealt to tiles by their population counts, and numpy compares t
 threshold. Tile pairs whose population counts differ beyond the radius are never made: at a small radius tiles are keyed
 by the population counts of the blocks of a word, whose differences must add up to the radius at most; at a large one by the
 population count of the whole. A tile pair yields a spanning forest of its links, no more rows than it has
-fingerprints, so a large group of near copies costs comparisons but no pairs; components join the forests.
+fingerprints, so a large group of near copies costs comparisons but no pairs; components join the forests. Where sets are
+verified afterwards, tiles are keyed by the size of the set instead: sets whose sizes differ by more than the similarity allows can't be linked.
 
 Defined results: a null text is an empty text; a text without words has fingerprint zero and is linked like any other; a
 text with fewer words than a shingle is one shingle; equal texts share a fingerprint; a document number that
@@ -30,7 +31,7 @@ from recordmill.session import checkpoint, stored
 
 SEED = 42
 #: Fingerprints in a tile on average, and comparisons held at once.
-TILE, HELD = 8192, 1 << 20
+TILE, HELD = 8192, 1 << 18
 #: Blocks of a word whose population counts key the tiles, for radii up to SMALL.
 BLOCKS, SMALL = 4, 4
 #: For 256-bit fingerprints of distinct five-word shingles: the distance of texts with a Jaccard similarity of 0.8 is 39 on average with a deviation of 5.7
@@ -81,17 +82,17 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def set_fingerprints(docs: DataFrame, width: int, words: int, id_col: str, tag_col: str) -> DataFrame:
-    """(doc_id, tag, s0, s1, w0, w1, ...) of every row: a 128-bit hash of its set of shingles, and the fingerprint of the set, so repeats in a text don't count."""
+    """(doc_id, tag, n, s0, s1, w0, w1, ...) of every row: the size and a 128-bit hash of its set of shingles, and the fingerprint of the set, so repeats in a text don't count."""
     from xxhash import xxh128_digest
 
-    names = ["s0", "s1", *[f"w{k}" for k in range(words)]]
+    names = ["n", "s0", "s1", *[f"w{k}" for k in range(words)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.zeros((batch.num_rows, len(names)), np.int64)
             for i, text in enumerate(batch.column(1)):
                 own = shingle_set(text.as_py(), width)
-                found[i] = [*np.frombuffer(xxh128_digest(own.tobytes(), SEED), np.int64), *fingerprint(own, words)]
+                found[i] = [len(own), *np.frombuffer(xxh128_digest(own.tobytes(), SEED), np.int64), *fingerprint(own, words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, np.ascontiguousarray(found.T))], names=["doc_id", "tag", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text", F.col(tag_col).cast("long").alias("tag"))
@@ -177,13 +178,17 @@ def _key(words: int, radius: int) -> tuple[list[Column], list[tuple[int, ...]]]:
     return [F.floor(total / (radius + 1)).cast("int")], [(0,), (1,)]
 
 
-def links(distinct: DataFrame, words: int, radius: int, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, words: int, radius: int, tile: int = TILE, similarity: float | None = None) -> DataFrame:
     """(src, dst): a forest whose components are those of all pairs of distinct rows (rep, w0, ...) within the radius.
 
+    With a similarity rows have n, the size of their set, and pairs are left out that can't have that Jaccard similarity by their sizes alone (all those of size classes that aren't
+    beside each other; of a class or of two beside each other all pairs are compared).
+
     Tiles of a key are told apart by a hash, so that no key, however frequent, makes a tile much over its size; the table of key
     sizes has 17^4 rows at most and is broadcast.
     """
-    cols, steps = _key(words, radius)
+    # sizes of a pair differ by the similarity at most, so their classes by one
+    cols, steps = _key(words, radius) if similarity is None else ([F.floor(F.log(F.greatest("n", F.lit(1))) / -np.log(similarity - 1e-9)).cast("int")], [(0,), (1,)])
     names = [f"k{i}" for i in range(len(cols))]
     keyed = distinct.withColumns(dict(zip(names, cols, strict=True)))
     sizes = keyed.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("n_sub"))
@@ -313,8 +318,8 @@ def one_of_each_group(docs: DataFrame, width: int = 5, words: int = WIDE_WORDS,
     real = marked.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     prints = checkpoint(set_fingerprints(real, width, words, "__at", "doc_id"))
     # equal sets are one representative
-    distinct = checkpoint(prints.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", *[f"w{k}" for k in range(words)])).alias("r")).select("s0", "s1", F.col("r.doc_id").alias("rep"), *[f"r.w{k}" for k in range(words)]))
-    candidates = checkpoint(connected_components(links(distinct.drop("s0", "s1"), words, radius)))
+    distinct = checkpoint(prints.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "n", *[f"w{k}" for k in range(words)])).alias("r")).select("s0", "s1", F.col("r.doc_id").alias("rep"), "r.n", *[f"r.w{k}" for k in range(words)]))
+    candidates = checkpoint(connected_components(links(distinct.drop("s0", "s1"), words, radius, similarity=similarity)))
     comps = connected_components(exact_links(real.select(F.col("__at").alias("rep"), "text"), candidates, width, similarity))
     named = distinct.join(comps, distinct["rep"] == comps["node"], "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id"))
     groups = checkpoint(prints.select("doc_id", "tag", "s0", "s1").join(named, ["s0", "s1"]).select("doc_id", "tag", "component_id"))

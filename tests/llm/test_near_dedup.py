@@ -48,3 +48,13 @@ def test_near_dedup_equals_all_pairs_around_the_threshold(spark, monkeypatch):
     r.shuffle(rows)
     got = sorted(x.doc_id for x in simhash.one_of_each_group(docs(spark, rows)).collect())
     assert got == kept(texts) and between > 60
+
+
+def test_only_sets_of_like_size_are_compared(spark):
+    sizes = [(100, 79), (100, 80), (5, 4), (1, 1), (20_000, 16_000), (20_000, 12_000), (300, 3000)]
+    rows = [(2 * k + side, n, k, k, k, k) for k, pair in enumerate(sizes) for side, n in enumerate(pair)]
+    distinct = spark.createDataFrame(rows, "rep long, n long, w0 long, w1 long, w2 long, w3 long")
+    got = {(min(x), max(x)) for x in simhash.links(distinct, 4, 0, similarity=0.8).collect()}
+    must = {(2 * k, 2 * k + 1) for k, pair in enumerate(sizes) if min(pair) >= 0.8 * max(pair)}
+    assert must <= got and not got & {(10, 11), (12, 13)}
+    assert len({min(x) for x in simhash.links(distinct, 4, 0).collect()}) == len(sizes)
