@@ -80,7 +80,7 @@ def diverse_target(part):
 @query()
 def near_neighbour_free_split(documents):
     """Components of exact Jaccard 0.85 dealt to splits, so that no split holds a neighbour of another's row. Invariants are tested."""
-    pairs, members = M.jaccard_join(M.gram_sets(documents, "doc_id", X.collapse_blanks(F.lower("text"))), 0.85)
+    pairs, members = M.jaccard_join(M.texts_of(documents, "doc_id", X.collapse_blanks(F.lower("text"))), 0.85)
     comps = connected_components(checkpoint(pairs), "a", "b")
     rows = checkpoint(members.join(comps, F.col("rep") == F.col("node"), "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("component")))
     return rows.join(P.greedy_split(P.sizes(rows, "component"), "component", seed="near"), "component").select("doc_id", "component", "split")

@@ -21,12 +21,12 @@ j AS (SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM p JOIN n x ON x.id = a JO
 
 
 def _sets(documents):
-    return M.gram_sets(documents, "doc_id", X.collapse_blanks(F.lower("text")))
+    return M.texts_of(documents, "doc_id", X.collapse_blanks(F.lower("text")))
 
 
 @query(f"{PAIRS} SELECT a, b, round(jaccard, 9) AS jaccard FROM j WHERE jaccard < 1")
 def jaccard_prefix_join(documents):
-    """Exact pairs of different gram sets at 0.85 or more, by prefix filtering."""
+    """Exact pairs of different gram sets at 0.85 or more, by filters on sizes and bitmaps that lose none."""
     pairs, _ = M.jaccard_join(_sets(documents), THRESHOLD)
     return pairs
 
@@ -45,9 +45,7 @@ def near_neighbour_components(documents):
 def minhash_lsh_neighbours(documents):
     """Neighbours found by MinHash bands and verified at 0.85: pairs of representatives of equal gram sets, and each other member with its representative. Recall is
     measured against the exact join in the tests."""
-    sets = stored(_sets(documents), "lsh")
-    members = M.representatives(sets)
-    pairs = M.lsh_neighbours(sets.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), THRESHOLD)
+    pairs, members = M.lsh_neighbours(_sets(documents), THRESHOLD)
     return pairs.union(members.where("id <> rep").select("rep", "id", F.lit(1.0)))
 
 
@@ -61,7 +59,7 @@ t AS (SELECT id, arg_max(ref, (j, -ref)) AS best, max(j) AS jaccard FROM j GROUP
 SELECT nq.id, best, coalesce(jaccard, 0.0) AS jaccard FROM nq LEFT JOIN t USING (id)""")
 def jaccard_pair_max(benchmark, documents):
     """The most similar document of each held-out passage."""
-    return M.best_jaccard(stored(M.gram_sets(benchmark, "item_id", X.collapse_blanks(F.lower("text"))), "queries"), stored(_sets(documents), "sets"))
+    return M.best_jaccard(stored(M.gram_sets(benchmark, "item_id", X.collapse_blanks(F.lower("text"))), "queries"), stored(M.gram_sets(documents, "doc_id", X.collapse_blanks(F.lower("text"))), "sets"))
 
 
 TFIDF_SQL = f"""
