@@ -54,3 +54,23 @@ def test_exact_pairs_in_many_tiles_and_no_set_is_written(spark, small_tiles):
     assert {(x.a, x.b): x.jaccard for x in pairs.collect()} == want and len(want) > 400
     written = sum(os.path.getsize(f"{d}/{f}") for p in session._stored[before:] for d, _, names in os.walk(p.removeprefix("file:")) for f in names if f.endswith(".parquet"))
     assert written < 8 * sum(len(grams(t)) for t in rows)  # the sets alone would take this
+
+
+def test_buckets_go_on_in_the_next_batch():
+    r, bits = random.Random(4), M.Bits(0.85)
+    own = {i: M.gram_hashes(t, 5) for i, t in enumerate(texts(2, 6))}
+    rows = sorted((bits.class_of(len(g)) - role, len(g), i, role, bits.both(g)[1 + role]) for i, g in own.items() for role in (0, 1))
+    columns = [*zip(*((b, i, n, role, x) for b, n, i, role, x in rows))]
+    batch = pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.binary())], names=["bucket", "id", "n", "role", "bits"])
+    cuts = sorted({0, len(rows), *r.sample(range(len(rows)), 9)})
+    got = [{(a, b) for x in bits.in_buckets(iter(parts)) for a, b in zip(*(c.to_pylist() for c in x.columns))} for parts in ([batch], [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:])])]
+    true = {(a, b) for a in own for b in own if a < b and len(np.intersect1d(own[a], own[b])) >= 0.85 * len(np.union1d(own[a], own[b]))}
+    assert got[0] == got[1] and true <= got[0] and len(got[0]) < 2 * len(true)
+
+
+def test_bands_give_only_pairs_at_the_threshold_in_many_tiles(spark, small_tiles):
+    rows = texts(3)
+    want = pairs_of(rows)
+    pairs, members = M.lsh_neighbours(similarity._sets(docs(spark, rows)), 0.85)
+    got = {(x.a, x.b): x.jaccard for x in pairs.collect()}
+    assert got.items() <= want.items() and len(got) >= 0.98 * len(want) and members.count() == len(rows)
