@@ -74,3 +74,18 @@ def test_bands_give_only_pairs_at_the_threshold_in_many_tiles(spark, small_tiles
     pairs, members = M.lsh_neighbours(similarity._sets(docs(spark, rows)), 0.85)
     got = {(x.a, x.b): x.jaccard for x in pairs.collect()}
     assert got.items() <= want.items() and len(got) >= 0.98 * len(want) and members.count() == len(rows)
+
+
+def components(rows):
+    comp = {}
+    for i, t in enumerate(rows):
+        comp[i] = next((k for k in range(i) if grams(rows[k]) == grams(t)), i)
+    for _ in rows:
+        for a, b in pairs_of(rows):
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    return {i: comp[c] for i, c in comp.items()}
+
+
+def test_components_in_many_tiles(spark, small_tiles):
+    rows = texts(5, 15)
+    assert {x.doc_id: x.component for x in similarity.near_neighbour_components(docs(spark, rows)).collect()} == components(rows)
