@@ -89,3 +89,9 @@ def components(rows):
 def test_components_in_many_tiles(spark, small_tiles):
     rows = texts(5, 15)
     assert {x.doc_id: x.component for x in similarity.near_neighbour_components(docs(spark, rows)).collect()} == components(rows)
+
+
+def test_no_split_holds_a_neighbour_of_another_in_many_tiles(spark, small_tiles):
+    rows = texts(6, 15)
+    got = {x.doc_id: (x.component, x.split) for x in repairs.near_neighbour_free_split(docs(spark, rows)).collect()}
+    assert {i: c for i, (c, _) in got.items()} == components(rows) and all(got[a][1] == got[b][1] for a, b in pairs_of(rows))
