@@ -91,9 +91,8 @@ def embedding_top1(embeddings):
 SELECT g, count(*) AS df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1, 6) AS idf FROM {GRAMS.format(id='doc_id', norm=NORM, table='documents')} GROUP BY 1 ORDER BY df DESC, g LIMIT 100""")
 def document_frequency(documents):
     """The hundred most common grams with their smoothed inverse document frequency."""
-    grams = documents.select(F.explode(X.char_grams(X.collapse_blanks(F.lower("text")), 5)).alias("g"))
     total = documents.agg(F.count(F.lit(1)).alias("N"))
-    df = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "g").limit(100)
+    df = M.gram_counts(_sets(documents.where("text IS NOT NULL"))).orderBy(F.desc("df"), "g").limit(100)
     return df.join(F.broadcast(total)).select("g", "df", F.round(F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1, 6).alias("idf"))
 
 
