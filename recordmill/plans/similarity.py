@@ -59,7 +59,7 @@ t AS (SELECT id, arg_max(ref, (j, -ref)) AS best, max(j) AS jaccard FROM j GROUP
 SELECT nq.id, best, coalesce(jaccard, 0.0) AS jaccard FROM nq LEFT JOIN t USING (id)""")
 def jaccard_pair_max(benchmark, documents):
     """The most similar document of each held-out passage."""
-    return M.best_jaccard(stored(M.gram_sets(benchmark, "item_id", X.collapse_blanks(F.lower("text"))), "queries"), stored(M.gram_sets(documents, "doc_id", X.collapse_blanks(F.lower("text"))), "sets"))
+    return M.best_jaccard(stored(M.gram_sets(benchmark, "item_id", X.collapse_blanks(F.lower("text"))), "queries"), _sets(documents))
 
 
 TFIDF_SQL = f"""
@@ -74,7 +74,7 @@ SELECT i.item_id AS id, best, coalesce(cosine, 0.0) AS cosine FROM benchmark i L
 def tfidf_cosine_top1(benchmark, documents):
     """The nearest document of each held-out passage by TF-IDF, among all documents."""
     norm = X.collapse_blanks(F.lower("text"))
-    return M.tfidf_top1(stored(M.gram_sets(benchmark, "item_id", norm), "queries"), stored(M.gram_sets(documents, "doc_id", norm), "sets"))
+    return M.tfidf_top1(stored(M.gram_sets(benchmark, "item_id", norm), "queries"), _sets(documents))
 
 
 @query("""
