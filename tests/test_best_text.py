@@ -38,3 +38,18 @@ def test_best_texts_equal_plain_scores(spark, monkeypatch, case):
         assert jaccard[i] == (j[1] and -j[1], j[0])
         c = {1000 + k: sum(w[g] ** 2 for g in s & x) / size(s) / size(x) for k, x in enumerate(sets) if s & x}
         assert abs(cosine[i][1] - max(c.values(), default=0)) < 2e-6 and (cosine[i][0] is None) == (not c) and (not c or c[cosine[i][0]] > max(c.values()) - 2e-6)
+
+
+def test_the_queries_on_texts_write_no_sets(spark, tmp_path):
+    import os
+
+    from recordmill.plans import building, similarity
+
+    documents = spark.createDataFrame([(i, t, f"src{i % 3}") for i, t in enumerate(texts(8, 60))], "doc_id long, text string, source string")
+    benchmark = spark.createDataFrame([(0, texts(8, 60)[9])], "item_id long, text string")
+    size = lambda p: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(p.removeprefix("file:")) for f in names if f.endswith(".parquet"))
+    sets = 8 * sum(len(grams(t)) for t in texts(8, 60))
+    for query in (similarity.jaccard_pair_max, building.retrieval_baseline):
+        had = len(session._stored)
+        x = query(benchmark, documents).collect()
+        assert x[0].best == min(i for i, t in enumerate(texts(8, 60)) if grams(t) == grams(texts(8, 60)[9])) and sum(map(size, session._stored[had:])) < sets / 2
