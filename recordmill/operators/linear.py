@@ -7,6 +7,7 @@ shard from the common weights and averages what the shards come to. A shard is a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from recordmill.session import checkpoint, stored
+from recordmill.session import checkpoint, clear_place, place, stored
 
 WIDTHS, FEATURES = (2, 4), 60_000
 SHARDS, ROUNDS, RATE = 8, 4, 0.3
@@ -76,27 +77,40 @@ def vocabulary(rows: DataFrame, text_col: str = "text", widths: tuple[int, int]
     return Vocabulary(np.array([r["g"] for r in top], np.int64), np.log((1 + n) / (1 + np.array([r["df"] for r in top], np.float64))) + 1)
 
 
+def packed(places: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending places in a vocabulary with their counts, in about a byte each: gaps and counts by planes of bytes, most of which are zero."""
+    both = np.stack([np.diff(places, prepend=0), counts]).astype("<u4")
+    how = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return how.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes()) + how.flush()
+
+
+def unpacked(data: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, TF-IDF of length 1) of packed()."""
+    gaps, counts = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").reshape(2, -1)
+    x = np.cumsum(gaps, dtype=np.int64)
+    v = counts * idf[x]
+    return x, (v / max(1e-12, np.sqrt((v * v).sum()))).astype(np.float32)
+
+
 def featured(rows: DataFrame, known: Vocabulary, text_col: str = "text", widths: tuple[int, int] = WIDTHS) -> DataFrame:
-    """rows without their text, with x (places in the vocabulary) and v (TF-IDF of length 1, or none)."""
-    kept = rows.drop("x", "v")
+    """rows without their text, with f, the packed() grams of the vocabulary that a text has; weights are made where they are used."""
+    kept = rows.drop("f")
     at = kept.columns.index(text_col)
     names = [c for c in kept.columns if c != text_col]
     places = [k for k, c in enumerate(kept.columns) if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, vs = [], []
+            found = []
             for text in batch.column(at).to_pylist():
                 g, n = np.unique(gram_numbers(text or "", widths), return_counts=True)
                 place = np.minimum(np.searchsorted(known.numbers, g), max(0, len(known.numbers) - 1))
                 on = known.numbers[place] == g if len(known.numbers) else np.zeros(len(g), bool)
-                v = n[on] * known.idf[place[on]]
-                xs.append(place[on].astype(np.int32))
-                vs.append((v / max(1e-12, np.sqrt((v * v).sum()))).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in places], pa.array(xs, pa.list_(pa.int32())), pa.array(vs, pa.list_(pa.float32()))], names=[*names, "x", "v"])
+                found.append(packed(place[on], n[on]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in places], pa.array(found, pa.binary())], names=[*names, "f"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != text_col)
-    return kept.mapInArrow(run, f"{fields}, x array<int>, v array<float>")
+    return kept.mapInArrow(run, f"{fields}, f binary")
 
 
 def slope(loss: str, margin: np.ndarray) -> np.ndarray:
@@ -125,10 +139,13 @@ class LinearModel:
         return (self.weights[:, :, x] @ v + self.weights[:, :, -1]).astype(np.float64)
 
 
-def trained(rows: DataFrame, size: int, label: str, key: str, seeds: list[int], loss: str = "hinge", balanced: bool = True, shards: int = SHARDS, rounds: int = ROUNDS, rate: float = RATE) -> LinearModel:
-    """A model of rows (key, label, x, v): adaptive steps, one pass a round. size is that of the vocabulary; balanced weighs each label's rows to count as much as any other's."""
-    usable = rows.where(F.col(label).isNotNull())
-    counts = {r["label"]: r["n"] for r in usable.groupBy(F.col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+def trained(rows: DataFrame, idf: np.ndarray, label: str, key: str, seeds: list[int], loss: str = "hinge", balanced: bool = True, shards: int = SHARDS, rounds: int = ROUNDS, rate: float = RATE, counted: DataFrame | None = None) -> LinearModel:
+    """A model of rows (key, label, f): adaptive steps, one pass a round. idf is the vocabulary's; balanced weighs each label's rows to count as much as any other's.
+
+    Seeds are trained one after the other, and a seed's order of the rows is deleted after it. counted: the rows without their features, to count labels in, where features are made as they are read.
+    """
+    usable, size = rows.where(F.col(label).isNotNull()), len(idf)
+    counts = {r["label"]: r["n"] for r in (rows if counted is None else counted).where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = sorted(counts)
     if len(labels) < 2:
         raise ValueError("training rows have fewer than two labels")
@@ -136,12 +153,22 @@ def trained(rows: DataFrame, size: int, label: str, key: str, seeds: list[int],
     weigh = {k: total / (len(labels) * n) if balanced else 1.0 for k, n in counts.items()}
     number = F.create_map(*[F.lit(x) for k, name in enumerate(labels) for x in (name, k)])
     model = LinearModel(list(seeds), labels, np.zeros((len(seeds), len(labels), size + 1), np.float32), loss)
-    each = usable.select(number[F.col(label).cast("string")].alias("y"), F.lit(weigh[labels[0]]).alias("w") if not balanced else F.create_map(*[F.lit(x) for k, v in weigh.items() for x in (k, v)])[F.col(label).cast("string")].alias("w"), "x", "v", F.col(key).cast("string").alias("key"), F.explode(F.array(*map(F.lit, range(len(seeds))))).alias("s"))
-    salt = F.array(*map(F.lit, seeds))[F.col("s")]
-    dealt = each.withColumn("shard", F.pmod(F.xxhash64("key", salt), F.lit(shards)).cast("int")).withColumn("h", F.xxhash64(salt, "key"))
-    # a unit is a seed's shard; a partition may hold several, one after the other
-    ordered = stored(dealt.repartition(len(seeds) * shards, "s", "shard").sortWithinPartitions("s", "shard", "h", "key"), "linear").select("s", "shard", "y", "w", "x", "v")
+    each = usable.select(number[F.col(label).cast("string")].alias("y"), F.lit(weigh[labels[0]]).alias("w") if not balanced else F.create_map(*[F.lit(x) for k, v in weigh.items() for x in (k, v)])[F.col(label).cast("string")].alias("w"), "f", F.col(key).cast("string").alias("key"))
+    spark = rows.sparkSession
+    for s, seed in enumerate(seeds):
+        salt = F.lit(seed)
+        dealt = each.select(F.lit(s).alias("s"), F.pmod(F.xxhash64("key", salt), F.lit(shards)).cast("int").alias("shard"), F.xxhash64(salt, "key").alias("h"), "y", "w", "f", "key")
+        # a partition may hold several shards, one after the other
+        path = place(spark, "linear")
+        dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "key").write.parquet(path)
+        _one_seed(spark.read.schema(dealt.schema).parquet(path).select("s", "shard", "y", "w", "f"), model, idf, rounds, rate)
+        clear_place(spark, path)
+    return model
+
 
+def _one_seed(ordered: DataFrame, model: LinearModel, idf: np.ndarray, rounds: int, rate: float) -> None:
+    """The rounds of one seed, whose rows (s, shard, y, w, f) are in order; its weights are brought up to date."""
+    labels, loss, size = model.labels, model.loss, len(idf)
     for _ in range(rounds):
         weights = model.weights
 
@@ -154,20 +181,22 @@ def trained(rows: DataFrame, size: int, label: str, key: str, seeds: list[int],
                         yield pa.RecordBatch.from_arrays([pa.array([unit[0]], pa.int32()), pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([n], pa.int64()), pa.array([own[k, at : at + CHUNK]], pa.list_(pa.float32()))], names=["s", "k", "at", "n", "part"])
 
             for batch in batches:
-                for s, shard, y, w, x, v in zip(*(c.to_pylist() if i < 4 else c for i, c in enumerate(batch.columns)), strict=True):
+                for s, shard, y, w, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if (s, shard) != unit:
                         if unit is not None:
                             yield from closed()
                         unit, own, n = (s, shard), weights[s].copy(), 0
                         seen = np.full_like(own, 1e-6)
-                    x, v = x.values.to_numpy(), v.values.to_numpy()
+                    x, v = unpacked(f, idf)
+                    n += 1
                     sign = np.full(len(labels), -1.0)
                     sign[y] = 1.0
                     g = w * sign * slope(loss, sign * (own[:, x] @ v + own[:, -1]))
+                    if not g.any():  # no step
+                        continue
                     for at, step in ((x, g[:, None] * v), (-1, g)):
                         seen[:, at] += step * step
                         own[:, at] -= rate * step / np.sqrt(seen[:, at])
-                    n += 1
             if unit is not None:
                 yield from closed()
 
@@ -177,22 +206,21 @@ def trained(rows: DataFrame, size: int, label: str, key: str, seeds: list[int],
             return pa.table({"s": table.column("s")[:1], "k": table.column("k")[:1], "at": table.column("at")[:1], "part": pa.array([(n @ parts / n.sum()).astype(np.float32)], pa.list_(pa.float32()))})
 
         parts = ordered.mapInArrow(run, "s int, k int, at int, n long, part array<float>").groupBy("s", "k", "at").applyInArrow(averaged, "s int, k int, at int, part array<float>")
-        new = np.zeros_like(weights)
+        new = weights.copy()
         for r in parts.toLocalIterator():  # as many numbers as the model has
             new[r["s"], r["k"], r["at"] : r["at"] + CHUNK] = r["part"]
         model.weights = new
-    return model
 
 
-def predicted(rows: DataFrame, model: LinearModel) -> DataFrame:
-    """rows without x and v, a row for each seed, with pred and probs (of the labels in order: logistic margins, or those of the loss, made to sum to 1)."""
-    names = [c for c in rows.columns if c not in ("x", "v", "seed", "pred", "probs")]
-    kept = rows.select(*names, "x", "v")
+def predicted(rows: DataFrame, model: LinearModel, idf: np.ndarray) -> DataFrame:
+    """rows without f, a row for each seed, with pred and probs (of the labels in order: logistic margins, or those of the loss, made to sum to 1)."""
+    names = [c for c in rows.columns if c not in ("f", "seed", "pred", "probs")]
+    kept = rows.select(*names, "f")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, k = batch.num_rows, len(model.seeds)
-            m = np.stack([model.margins(x.values.to_numpy(), v.values.to_numpy()) for x, v in zip(batch.column(len(names)), batch.column(len(names) + 1), strict=True)]) if n else np.zeros((0, k, len(model.labels)))
+            m = np.stack([model.margins(*unpacked(f, idf)) for f in batch.column(len(names)).to_pylist()]) if n else np.zeros((0, k, len(model.labels)))
             p = 1 / (1 + np.exp(-np.clip(m, -35, 35))) if model.loss == "log" else np.clip((m + 1) / 2, 1e-6, 1)
             p = p / p.sum(axis=2, keepdims=True)
             which = np.repeat(np.arange(n), k)
@@ -206,8 +234,9 @@ def predicted(rows: DataFrame, model: LinearModel) -> DataFrame:
 
 def classified(rows: DataFrame, key: str, label: str, held_out: str, text_col: str = "text", seeds: list[int] = [42], loss: str = "hinge", features: int = FEATURES, widths: tuple[int, int] = WIDTHS, **how) -> tuple[DataFrame, LinearModel]:
     """(predictions of the held-out rows for every seed, the model), vocabulary and weights being learned from the others. Null texts have no grams; rows without a label aren't learned from."""
-    rows = stored(rows.select(key, label, held_out, text_col), "texts")
+    rows = rows.select(key, label, held_out, text_col)  # read twice; the caller stores what is dear to make
     known = vocabulary(rows.where(~F.col(held_out)), text_col, widths, features)
-    made = stored(featured(rows, known, text_col, widths), "featured")
-    model = trained(made.where(~F.col(held_out)), len(known.numbers), label, key, seeds, loss, **how)
-    return checkpoint(predicted(made.where(F.col(held_out)).select(key, label, "x", "v"), model)), model
+    train, test = rows.where(~F.col(held_out)), rows.where(F.col(held_out))
+    made = featured(train, known, text_col, widths)
+    model = trained(stored(made, "featured") if len(seeds) > 1 else made, known.idf, label, key, seeds, loss, counted=train, **how)
+    return checkpoint(predicted(featured(test, known, text_col, widths).select(key, label, "f"), model, known.idf)), model

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recordmill.functions import text as X
 from recordmill.operators import linear as L, resampling as Z, stats as S
 from recordmill.plans.registry import query
+from recordmill.session import stored
 
 LABELLED = "(SELECT doc_id, lang, source, n_chars, quality, toxic, CASE WHEN n_chars > 3000 THEN 2 WHEN n_chars > 1200 THEN 1 ELSE 0 END AS pred, (n_chars % 101) / 100.0::DOUBLE AS prob FROM documents JOIN labels USING (doc_id))"
 
@@ -83,10 +84,15 @@ def multiclass_calibration(events):
     return S.multiclass_calibration(raw.select(F.array(*[F.col(x) / total for x in "abc"]).alias("probs"), "gold"), "probs", F.col("gold"))
 
 
+#: Labels that are still sent to each task, so that the texts stay where they are read.
+BROADCAST_LABELS = 1 << 20
+
+
 def seeded_runs(documents, labels):
     """Predictions of quality by linear models of five seeds, for the documents that a hash holds out."""
-    rows = documents.join(labels, "doc_id").select("doc_id", "source", "text", F.col("quality").cast("string").alias("label"), (X.hash_bucket(F.col("doc_id"), 4) == 0).alias("held_out"))
-    found, _ = L.classified(rows, "doc_id", "label", "held_out", seeds=[11, 22, 33, 44, 55], loss="modified_huber", features=20_000)
+    side = F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels
+    rows = documents.join(side, "doc_id").select("doc_id", "text", F.col("quality").cast("string").alias("label"), (X.hash_bucket(F.col("doc_id"), 4) == 0).alias("held_out"))
+    found, _ = L.classified(stored(rows, "texts"), "doc_id", "label", "held_out", seeds=[11, 22, 33, 44, 55], loss="modified_huber", features=20_000)
     return found.where("label IS NOT NULL").join(documents.select("doc_id", "source"), "doc_id")
 
 

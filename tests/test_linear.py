@@ -171,3 +171,27 @@ def test_multiclass_calibration(spark):
             ece += on.mean() * abs(hit[on].mean() - conf[on].mean())
     brier = ((probs - np.eye(4)[gold]) ** 2).sum(1).mean()
     assert x.n == len(real) and abs(x.ece - ece) < 1e-5 and abs(x.brier - brier) < 1e-5
+
+
+def test_packed_features_are_whole_and_small():
+    r = np.random.default_rng(3)
+    idf = r.random(70_000) + 1
+    for n in (0, 1, 5, 900, 60_000):
+        places, counts = np.sort(r.choice(70_000, n, replace=False)), r.geometric(0.7, n) + (r.random(n) < 0.001) * 100_000
+        x, v = L.unpacked(data := L.packed(places, counts), idf)
+        plain = counts * idf[places]
+        assert np.array_equal(x, places) and np.array_equal(v, (plain / max(1e-12, np.sqrt((plain * plain).sum()))).astype(np.float32))
+        assert n < 900 or len(data) < 4 * n  # 8 bytes before
+
+
+@pytest.mark.parametrize("name", ["linear_classifier", "seed_stability", "two_level_interval"])
+def test_what_linear_queries_write(spark, name):
+    import os
+
+    from recordmill import session
+    from recordmill.plans.catalogue import queries
+
+    had, sf = len(session._stored), "/root/testdata/sf0.01"
+    assert queries()[name](spark, sf).count() > 0
+    written = {p: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(p.removeprefix("file:")) for f in names if f.endswith(".parquet")) for p in session._stored[had:]}
+    assert sum(written.values()) < 2.2 * os.path.getsize(f"{sf}/documents.parquet")
